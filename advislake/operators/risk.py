@@ -156,13 +156,14 @@ BASE_FIELDS = {"base_likelihood": "likelihood", "base_action": "action", "base_m
 
 
 def with_baseline(df: DataFrame) -> DataFrame:
-    """Adds base_likelihood, base_action (indexes), base_model and base_reasons.
+    """Adds the struct ``base`` and base_likelihood, base_action (indexes), base_model and
+    base_reasons from it.
 
     Also keeps archetype_saved / archetype_determined / archetype_understates, which
     the review rules read.
     """
-    return df.withColumn("_base", baseline()).withColumns(
-        {name: F.col(f"_base.{field}") for name, field in BASE_FIELDS.items()}).drop("_base")
+    return df.withColumn("base", baseline()).withColumns(
+        {name: F.col(f"base.{field}") for name, field in BASE_FIELDS.items()})
 
 
 def _baseline_reasons(s: Column) -> Column:
@@ -214,8 +215,15 @@ RESIDUAL_FIELDS = {"resid_likelihood": "likelihood", "resid_action": "action",
 
 
 def residual(chosen: Column) -> Column:
-    """Struct of the residual profile under the control ids in ``chosen``; needs the
-    baseline columns. Purely row-local: candidates are one array per record."""
+    """Struct of the residual profile under the control ids in ``chosen``; needs ``base``.
+
+    Purely row-local: candidates are one array per record. ``base`` is read once and
+    bound, so a filter on the result does not repeat the baseline.
+    """
+    return let(F.col("base"), lambda base: _residual(chosen, base))
+
+
+def _residual(chosen: Column, base: Column) -> Column:
     nca = no_customer_action()
     cands = F.col("mitigation_candidates")
     ids = F.transform(cands, lambda c: c.id)
@@ -250,27 +258,27 @@ def residual(chosen: Column) -> Column:
         return struct_of(
             applied=s["applied"], ignored=s["ignored"], lc=F.least(s["lc"], cap),
             cc=F.least(s["cc"], F.lit(vocab.CONSEQUENCE_CREDIT_CAP)),
-            floor=F.greatest(F.lit(1), archetype_floor(F.col("base_model"), s["block"])))
+            floor=F.greatest(F.lit(1), archetype_floor(base["model"], s["block"])))
 
     def final(s):
         steps = (F.when((s["lc"] >= 1) | (s["cc"] >= 1), 1).otherwise(0)
                  + F.when((s["lc"] >= 2) & (s["cc"] >= 1), 1).otherwise(0))
-        action = F.when(nca, F.col("base_action")).otherwise(
-            F.greatest(s["floor"], F.col("base_action") - steps))
+        action = F.when(nca, base["action"]).otherwise(
+            F.greatest(s["floor"], base["action"] - steps))
         n = F.size(s["applied"])
         extra = reasons(
             F.when(n > 0, F.concat(n.cast("string"),
                                    F.lit(" verified exploit-relevant mitigation"),
                                    F.when(n == 1, "").otherwise("s"), F.lit(" applied"))),
             F.when((s["floor"] == 2) & (action == 2), F.concat(
-                archetype_reason(F.col("base_model")),
+                archetype_reason(base["model"]),
                 F.lit("; the model enforces an out-of-cycle remediation floor"))))
         return struct_of(
-            likelihood=F.when(nca, F.col("base_likelihood")).otherwise(
-                F.greatest(F.lit(0), F.col("base_likelihood") - s["lc"])),
+            likelihood=F.when(nca, base["likelihood"]).otherwise(
+                F.greatest(F.lit(0), base["likelihood"] - s["lc"])),
             action=action, applied=s["applied"], ignored=s["ignored"],
-            reasons=F.when(nca, F.col("base_reasons")).otherwise(
-                F.concat(F.col("base_reasons"), extra)))
+            reasons=F.when(nca, base["reasons"]).otherwise(
+                F.concat(base["reasons"], extra)))
 
     verdicts = F.transform(F.coalesce(picked, F.filter(cands, lambda c: F.lit(False))), verdict)
     return let(verdicts, lambda v: let(credits(v), lambda s: let(capped(s), final)))
@@ -283,7 +291,7 @@ def with_profile(df: DataFrame, selection=()) -> DataFrame:
     per-row selection. Adds resid_likelihood, resid_action, applied, ignored, reasons.
     """
     chosen = selection if isinstance(selection, Column) else words(selection)
-    out = df if "base_action" in df.columns else with_baseline(df)
+    out = df if "base" in df.columns else with_baseline(df)
     return out.withColumn("_resid", residual(chosen)).withColumns(
         {name: F.col(f"_resid.{field}") for name, field in RESIDUAL_FIELDS.items()}).drop("_resid")
 

@@ -223,7 +223,10 @@ def property_audit(spark, sf):
     return risk.credit_violations(B.records(spark, sf)).groupBy("violation").agg(F.count("*").alias("cases"))
 
 
-@register("v16_unrelated_controls", "SELECT cve, '' AS control FROM adv WHERE false", ["adv"])
+@register("v16_unrelated_controls", f"""SELECT b.cve, c.control FROM base b JOIN arch a ON a.model = b.base_m,
+   (SELECT unnest({vocab.CONTROL_IDS}) AS control) c WHERE car IS DISTINCT FROM false AND greatest(1, floor0) > base_a
+   AND NOT EXISTS (SELECT 1 FROM cand d WHERE d.k = b.k AND d.id = c.control AND d.relevance = 'relevant' AND d.confidence <> 'low')""",
+          ["base", "arch", "cand"])
 def unrelated(spark, sf):
     return risk.unrelated_control_effect(B.records(spark, sf))
 
@@ -290,7 +293,7 @@ def epss_bands(spark, sf):
         F.count("*").alias("records"))
 
 
-@register("c8_source_plain_text", None)
+@register("c8_source_plain_text")
 def plain_text(spark, sf):
     return B.table(spark, sf, "pages").select("page_id", scalar.source_plain_text(F.col("html")).alias("text"))
 
@@ -302,9 +305,7 @@ def strip_markup(spark, sf):
         F.col("html"), F.lit("&"), F.lit("and"))).alias("text"))
 
 
-@register("c10_entities", """SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
-   '&#39;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS text FROM (SELECT page_id, regexp_replace(html, '<[^>]+>', ' ', 'g') AS t FROM pages)
-   WHERE NOT regexp_matches(html, '&(?!(lt|gt|quot|nbsp|amp|#39);)')""" if False else None)
+@register("c10_entities")
 def entities(spark, sf):
     return B.table(spark, sf, "pages").select("page_id", scalar.strip_markup(F.col("html")).alias("text"))
 

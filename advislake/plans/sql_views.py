@@ -301,3 +301,44 @@ SELECT 'CVE-2026-' || lpad(CAST(l_orderkey AS VARCHAR), 7, '0') AS cve, l_linenu
   CASE l_returnflag WHEN 'R' THEN '2' WHEN 'A' THEN '3' ELSE '6' END AS type,
   CASE WHEN l_returnflag = 'R' THEN 'Security Update' ELSE CAST(l_suppkey AS VARCHAR) END AS label,
   'https://example.com/' || l_suppkey AS url, 'P' || l_partkey AS product_id FROM lineitem""")
+
+
+_REASONS = [
+    ("missing-vendor-severity", "band = 'unknown'", "CASE WHEN third THEN cna_where ELSE 'No vendor severity and no CVSS score on the source record.' END"),
+    ("third-party-cna", "band <> 'unknown' AND third", "cna_where"),
+    ("severity-divergence", "div_kind IS NOT NULL", "'microsoft ' || sev_word || ' against ' || prog_assigner || ' ' || cna_band || CASE WHEN div_spread IS NOT NULL THEN ' (CVSS spread ' || CASE WHEN div_spread = floor(div_spread) THEN CAST(div_spread::BIGINT AS VARCHAR) ELSE CAST(div_spread AS VARCHAR) END || ')' ELSE '' END"),
+    ("missing-impact-judgement", "open_path AND NOT has_impact", "'base_score=' || CASE WHEN base_score = floor(base_score) THEN CAST(base_score::BIGINT AS VARCHAR) ELSE CAST(base_score AS VARCHAR) END || ' vector=network privileges_required=none user_interaction=none'"),
+    ("attack-path-unknown", "direction = 'unknown'", "'Path for ' || cve"),
+    ("source-assessment-uncertainty", "has_fw AND k % 10 = 3", "''"),
+    ("missing-assessment", "NOT has_fw", "''"),
+    ("superseded-assessment", "has_fw AND superseded", "'normalized_band=' || band || ' basis=' || nbasis"),
+    ("unusable-assessment", "has_fw AND NOT superseded AND NOT usable_fw", "'risk_model_version=' || model_version || ' baseline_model=' || saved_model"),
+    ("low-confidence", "use_fw AND confidence = 'low'", "doubt"),
+    ("guidance-discrepancy", "use_fw AND k % 5 IN (0, 3)", "doubt"),
+    ("no-update-available", "use_fw AND total > 0 AND available = 0", "'0 of ' || total || ' affected products have a listed update'"),
+    ("archetype-contradicts-severity", "mismatch", "'saved baseline_model=' || saved_model || ', severity band=' || band || ' selects ' || determined"),
+    ("changed-threat-evidence", "use_fw AND base_l > saved_l", "''"),
+    ("workload-priority", "use_fw AND base_a = 3 AND base_l < 2", "'Server role'"),
+    ("incomplete-prerequisites", "base_score IS NULL OR vector IS NULL", "''"),
+    ("stale-threat-data", "epss_status = 'stale'", "''"),
+    ("public-exploit-evidence", "ssvc_e IN ('poc', 'active') AND NOT kev AND NOT det", "'CISA-ADP SSVC Exploitation: ' || ssvc_e || '. Automatable: ' || ssvc_a || '. Technical Impact: ' || ssvc_t || '.'"),
+    ("automatable", "ssvc_a = 'yes'", "'CISA-ADP SSVC Automatable: yes'"),
+    ("ssvc-technical-impact", "band = 'unknown' AND ssvc_t IS NOT NULL", "'CISA-ADP SSVC Technical Impact: ' || ssvc_t"),
+    ("ssvc-absent", "ssvc_e IS NULL", "CASE WHEN found THEN 'the CVE Program record carries no CISA-ADP SSVC assessment' ELSE 'no CVE Program record was retrieved for this CVE' END"),
+]
+_INFO = ("third-party-cna", "automatable", "ssvc-technical-impact", "ssvc-absent")
+_RAW = "https://raw.githubusercontent.com/CVEProject/cvelistV5/main/cves/2026/"
+view("reasons", ["base"], f"""
+WITH b AS (SELECT *, k % 13 <> 0 AND assigner <> 'microsoft' AS third, k % 4 AS total,
+  (CASE WHEN k % 4 > 0 AND k % 3 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 4 > 1 AND (k + 1) % 3 <> 0 THEN 1 ELSE 0 END)
+   + (CASE WHEN k % 4 > 2 AND (k + 2) % 3 <> 0 THEN 1 ELSE 0 END) AS available,
+  {pick(B.UNCERTAINTIES, 'k % 5')} AS doubt,
+  'Issuing CNA: ' || assigner || '. Rating: {_RAW}' || substr(lpad(CAST(k AS VARCHAR), 7, '0'), 1, 4) || 'xxx/' || cve || '.json' AS cna_where
+  FROM base)
+""" + " UNION ALL ".join(
+    f"SELECT k, cve, {i} AS ord, '{code}' AS code, {str(code in _INFO).lower()} AS info, {evidence} AS evidence "
+    f"FROM b WHERE car IS DISTINCT FROM false AND ({cond})" for i, (code, cond, evidence) in enumerate(_REASONS)))
+view("review", ["reasons", "adv"], """
+SELECT a.k, a.cve, coalesce(bool_or(NOT info), false) AS required, coalesce(string_agg(code, '|' ORDER BY ord), '') AS codes
+FROM adv a LEFT JOIN reasons r ON r.k = a.k GROUP BY 1, 2""")
+view("fullrec", ["prof", "review"], "SELECT p.*, r.required, r.codes FROM prof p JOIN review r ON r.k = p.k")
