@@ -1,22 +1,27 @@
 """Small Column builders shared by the operators."""
+import functools
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def _literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
 
 
 def words(values) -> Column:
     """Array literal of strings; typed even when empty."""
-    values = list(values)
-    if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    # one parsed literal is far cheaper to build on the driver than a Column per item
+    return F.expr("cast(array(" + ", ".join(_literal(v) for v in values) + ") as array<string>)")
 
 
 def lookup(mapping: dict, key: Column, default=None) -> Column:
     """Literal map lookup; null or ``default`` where the key is absent."""
-    pairs = [F.lit(part) for item in mapping.items() for part in item]
-    # a null key is an error in ANSI map access, so it is replaced by a non-key
-    found = F.try_element_at(F.create_map(*pairs), F.coalesce(key, F.lit("\0")))
+    pairs = ", ".join(f"{_literal(k)}, {_literal(v)}" for k, v in mapping.items())
+    # a null key is an error in map access, so it is replaced by a non-key
+    found = F.try_element_at(F.expr(f"map({pairs})"), F.coalesce(key, F.lit("\0")))
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
@@ -49,7 +54,7 @@ def filled(text: Column) -> Column:
 
 
 def within(value: Column, options) -> Column:
-    return F.coalesce(value.isin(list(options)), F.lit(False))
+    return F.coalesce(F.array_contains(words(options), value), F.lit(False))
 
 
 def any_of(conditions) -> Column:
@@ -76,3 +81,42 @@ def let(value: Column, body) -> Column:
 
 def struct_of(**fields) -> Column:
     return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(n) for n, c in fields.items()])
+
+
+def attach(df: DataFrame, values: Column) -> DataFrame:
+    """Adds the fields of a struct as columns, computed exactly once per row.
+
+    A generator over a one-row array is a barrier: a later filter or field access
+    cannot copy the expression, as it would from a projection.
+    """
+    return df.select("*", F.inline(F.array(values)))
+
+
+def settle(df: DataFrame, keep, columns: dict) -> DataFrame:
+    """``keep`` plus the computed ``columns`` behind a barrier.
+
+    The values come from staged projections (compiled code, each computed once); the
+    barrier stops a later filter from being pushed through the stages, which would copy
+    the whole expression tree into the predicate.
+    """
+    return attach(df, struct_of(**columns)).select(*keep, *columns)
+
+
+def reusable(build):
+    """Keeps a built Column for later calls with the same arguments.
+
+    A Column is an unresolved expression, so it serves any DataFrame; building a large
+    one costs thousands of driver round trips.
+    """
+    kept: dict = {}
+
+    @functools.wraps(build)
+    def cached(*args):
+        from pyspark import SparkContext
+        context = SparkContext._active_spark_context
+        key = (id(context), getattr(context, "applicationId", None), args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return cached

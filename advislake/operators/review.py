@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from advislake.functions import vocab
-from advislake.functions.exprs import (filled, index_of, let, overlaps, struct_of, truthy, within,
+from advislake.functions.exprs import (filled, index_of, overlaps, reusable, settle, struct_of, truthy, within,
                                        words)
 from advislake.operators.parse import issuing_cna, record_url, ssvc
 from advislake.operators.risk import (exploited, framework_usable, fw, misses_impact_judgement,
@@ -131,15 +131,9 @@ def _reason(code: str, message: Column, evidence=None, informational: bool = Fal
     return struct_of(code=code, message=message, evidence=evidence, informational=informational)
 
 
-def review_reasons() -> Column:
-    """All review reasons of a record in their fixed order; needs ``base``."""
-    return let(struct_of(cna=issuing_cna(F.col("vendor_guidance.notes")), band=severity_band(),
-                         pt=ssvc(), stale=superseded(), usable=framework_usable(),
-                         updates=update_counts(), base=F.col("base")), _reasons)
-
-
-def _reasons(s: Column) -> Column:
-    cna, band, point, base = s["cna"], s["band"], s["pt"], s["base"]
+def _reasons(s: dict) -> Column:
+    """All review reasons of a record in their fixed order; needs the baseline columns."""
+    cna, band, point = s["cna"], s["band"], s["pt"]
     third_party = truthy(cna != "Microsoft")
     unknown = band == "unknown"
     where = F.concat(F.lit("Issuing CNA: "), cna, F.lit(". Rating: "),
@@ -197,15 +191,15 @@ def _reasons(s: Column) -> Column:
         F.when(judged & (total > 0) & (available == 0), _reason(
             "no-update-available", _text("no-update-available"), F.concat(
                 F.lit("0 of "), total.cast("string"), F.lit(" affected products have a listed update")))),
-        F.when(judged & base["saved"].isNotNull(), _reason(
+        F.when(judged & F.col("archetype_saved").isNotNull(), _reason(
             "archetype-contradicts-severity", F.when(
-                base["understates"], _text("archetype-contradicts-severity/understates"))
+                F.col("archetype_understates"), _text("archetype-contradicts-severity/understates"))
             .otherwise(_text("archetype-contradicts-severity")), F.concat(
-                F.lit("saved baseline_model="), base["saved"], F.lit(", severity band="), band,
-                F.lit(" selects "), base["determined"]))),
-        F.when(judged & (base["likelihood"] > index_of(vocab.LIKELIHOODS, fw("baseline_likelihood"))),
+                F.lit("saved baseline_model="), F.col("archetype_saved"), F.lit(", severity band="), band,
+                F.lit(" selects "), F.col("archetype_determined")))),
+        F.when(judged & (F.col("base_likelihood") > index_of(vocab.LIKELIHOODS, fw("baseline_likelihood"))),
                _reason("changed-threat-evidence", _text("changed-threat-evidence"))),
-        F.when(judged & (base["action"] == 3) & (base["likelihood"] < 2),
+        F.when(judged & (F.col("base_action") == 3) & (F.col("base_likelihood") < 2),
                _reason("workload-priority", _text("workload-priority"), workload)))
     unstated = F.col("cvss.base_score").isNull()
     for name in ("vector", "privileges_required", "user_interaction"):
@@ -235,9 +229,21 @@ def _reasons(s: Column) -> Column:
     return F.when(no_customer_action(), F.filter(everything, lambda r: F.lit(False))).otherwise(everything)
 
 
+@reusable
+def _review_stages() -> list:
+    facts = {"cna": issuing_cna(F.col("vendor_guidance.notes")), "band": severity_band(),
+             "pt": ssvc(), "stale": superseded(), "usable": framework_usable(),
+             "updates": update_counts()}
+    return [{f"_{n}": c for n, c in facts.items()},
+            {"_r": _reasons({n: F.col(f"_{n}") for n in facts})},
+            {"_review": struct_of(required=F.exists("_r", lambda x: ~x["informational"]),
+                                  reasons=F.col("_r"))}]
+
+
 def with_review(df: DataFrame) -> DataFrame:
     """Adds review: struct<required, reasons[code, message, evidence, informational]>."""
-    out = df if "base" in df.columns else with_baseline(df)
-    review = let(review_reasons(), lambda r: struct_of(
-        required=F.exists(r, lambda x: ~x["informational"]), reasons=r))
-    return out.withColumn("review", review)
+    based = (df if "base_action" in df.columns else with_baseline(df)).drop("review")
+    out = based
+    for stage in _review_stages():
+        out = out.withColumns(stage)
+    return settle(out.select(*based.columns, "_review"), based.columns, {"review": F.col("_review")})

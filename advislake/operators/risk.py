@@ -2,8 +2,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from advislake.functions import vocab
-from advislake.functions.exprs import (all_of, has, index_of, label_of, let, lookup, overlaps,
-                                       reasons, struct_of, truthy, within, words)
+from advislake.functions.exprs import (all_of, has, index_of, label_of, lookup, overlaps,
+                                       reasons, reusable, settle, struct_of, truthy, within, words)
 from advislake.functions.scalar import (format_priority, format_priority_text,
                                         format_vendor_assessment)
 from advislake.operators.severity import severity_band
@@ -83,10 +83,12 @@ def framework_usable() -> Column:
 
 def _fact_set(assessments: Column) -> Column:
     """Assessments as an order-free list of comparable facts."""
-    facts = F.transform(assessments,
-                        lambda a: F.to_json(F.struct(a.source, a.role, a.scale, a.value, a.basis,
-                                                     a.cvss), {"ignoreNullFields": "false"}))
-    return F.coalesce(F.array_sort(facts), F.array().cast("array<string>"))
+    facts = F.transform(assessments, lambda a: F.struct(
+        a.source, a.role, a.scale, a["value"], a.basis, a.cvss))
+    return F.coalesce(F.sort_array(facts), F.filter(facts, lambda a: F.lit(False)),
+                      F.array().cast("array<struct<source:string,role:string,scale:string,"
+                                     "value:string,basis:string,cvss:struct<version:string,"
+                                     "base_score:double,vector:string>>>"))
 
 
 def superseded() -> Column:
@@ -106,64 +108,55 @@ def superseded() -> Column:
     return F.when(basis.isNotNull(), changed).when(severity.isNull(), False).otherwise(legacy)
 
 
-def baseline() -> Column:
-    """Struct of the baseline profile: likelihood and action indexes, model, reasons and
-    the archetype the saved assessment should have named (null when it agrees)."""
-
-    def judged(s):
-        saved, determined = fw("baseline_model"), s["determined"]
-        mismatch = s["use"] & (determined != saved)
-        understates = mismatch & (archetype_action(determined) > s["saved_a"])
-        exceeds = s["use"] & (s["ev"] > s["saved_l"])
-        fallback_action = archetype_action(s["fallback"])
-        raised = F.greatest(
-            s["saved_a"], F.when(exceeds, fallback_action).otherwise(F.lit(-1)),
-            F.when(understates, archetype_action(determined)).otherwise(F.lit(-1)))
-        return struct_of(
-            use=s["use"], fallback=s["fallback"], exceeds=exceeds, hit=s["hit"], rce=s["rce"],
-            saved=F.when(mismatch, saved), determined=F.when(mismatch, determined),
-            understates=understates,
-            l=F.when(s["hit"], 3).when(s["use"], F.greatest(s["ev"], s["saved_l"])).otherwise(s["ev"]),
-            a=F.when(s["hit"], 3).when(s["use"], raised).otherwise(fallback_action),
-            m=F.when(s["hit"], "active-exploitation").when(s["use"] & ~exceeds, saved)
-            .otherwise(s["fallback"]))
-
-    def final(s):
-        nca = no_customer_action()
-        preauth = s["rce"] & (s["l"] >= 2) & (s["m"] != "active-exploitation")
-        return struct_of(
-            likelihood=F.when(nca, 0).otherwise(s["l"]),
-            action=F.when(nca, 0).otherwise(F.greatest(s["a"], F.when(s["rce"], 2).otherwise(1))),
-            model=F.when(nca, "no-customer-action").when(preauth, "critical-preauth-network-rce")
-            .otherwise(s["m"]),
-            reasons=F.when(nca, F.array(F.lit(vocab.ARCHETYPES["no-customer-action"][3])))
-            .otherwise(_baseline_reasons(s)),
-            saved=s["saved"], determined=s["determined"], understates=s["understates"])
-
-    facts = struct_of(
-        ev=evidence_likelihood(), use=framework_usable() & ~superseded(), hit=exploited(),
-        rce=is_preauth_rce(), saved_l=index_of(vocab.LIKELIHOODS, fw("baseline_likelihood")),
-        saved_a=index_of(vocab.ACTIONS, fw("baseline_action")))
-    return let(facts, lambda f: let(
-        f.withField("fallback", archetype(f["ev"]))
-        .withField("determined", archetype(F.greatest(f["saved_l"], F.lit(0)))),
-        lambda s: let(judged(s), final)))
-
-
-BASE_FIELDS = {"base_likelihood": "likelihood", "base_action": "action", "base_model": "model",
-               "base_reasons": "reasons", "archetype_saved": "saved",
-               "archetype_determined": "determined", "archetype_understates": "understates"}
+@reusable
+def _baseline_stages() -> list:
+    """Projections of the baseline, each reading the one before."""
+    ev, saved_l, saved_a = F.col("_ev"), F.col("_saved_l"), F.col("_saved_a")
+    use, hit, rce, nca = F.col("_use"), F.col("_hit"), F.col("_rce"), no_customer_action()
+    saved, determined, fallback = fw("baseline_model"), F.col("_determined"), F.col("_fallback")
+    mismatch, exceeds = use & (determined != saved), F.col("_exceeds")
+    understates = F.col("_understates")
+    raised = F.greatest(
+        saved_a, F.when(exceeds, archetype_action(fallback)).otherwise(F.lit(-1)),
+        F.when(understates, archetype_action(determined)).otherwise(F.lit(-1)))
+    like, action, model = F.col("_l"), F.col("_a"), F.col("_m")
+    return [
+        {"_ev": evidence_likelihood(), "_use": framework_usable() & ~superseded(),
+         "_hit": exploited(), "_rce": is_preauth_rce(),
+         "_saved_l": index_of(vocab.LIKELIHOODS, fw("baseline_likelihood")),
+         "_saved_a": index_of(vocab.ACTIONS, fw("baseline_action"))},
+        {"_fallback": archetype(ev), "_determined": archetype(F.greatest(saved_l, F.lit(0))),
+         "_exceeds": use & (ev > saved_l)},
+        {"_understates": mismatch & (archetype_action(determined) > saved_a)},
+        {"_l": F.when(hit, 3).when(use, F.greatest(ev, saved_l)).otherwise(ev),
+         "_a": F.when(hit, 3).when(use, raised).otherwise(archetype_action(fallback)),
+         "_m": F.when(hit, "active-exploitation").when(use & ~exceeds, saved).otherwise(fallback)},
+        {"base_likelihood": F.when(nca, 0).otherwise(like),
+         "base_action": F.when(nca, 0).otherwise(F.greatest(action, F.when(rce, 2).otherwise(1))),
+         "base_model": F.when(nca, "no-customer-action").when(
+             rce & (like >= 2) & (model != "active-exploitation"), "critical-preauth-network-rce")
+         .otherwise(model),
+         "base_reasons": F.when(nca, words([vocab.ARCHETYPES["no-customer-action"][3]]))
+         .otherwise(_baseline_reasons({"use": use, "fallback": fallback, "exceeds": exceeds,
+                                       "understates": understates, "saved": saved,
+                                       "determined": determined})),
+         "archetype_saved": F.when(mismatch, saved),
+         "archetype_determined": F.when(mismatch, determined),
+         "archetype_understates": understates},
+    ]
 
 
 def with_baseline(df: DataFrame) -> DataFrame:
-    """Adds the struct ``base`` and base_likelihood, base_action (indexes), base_model and
-    base_reasons from it.
+    """Adds base_likelihood, base_action (indexes), base_model and base_reasons.
 
-    Also keeps archetype_saved / archetype_determined / archetype_understates, which
+    Also adds archetype_saved / archetype_determined / archetype_understates, which
     the review rules read.
     """
-    return df.withColumn("base", baseline()).withColumns(
-        {name: F.col(f"base.{field}") for name, field in BASE_FIELDS.items()})
+    out, stages = df, _baseline_stages()
+    for stage in stages:
+        out = out.withColumns(stage)
+    return settle(out.select(*df.columns, *[F.col(c).alias(f"_{c}") for c in stages[-1]]),
+                  df.columns, {c: F.col(f"_{c}") for c in stages[-1]})
 
 
 def _baseline_reasons(s: Column) -> Column:
@@ -192,108 +185,116 @@ def _baseline_reasons(s: Column) -> Column:
     return F.concat(evidence, F.coalesce(adjustments, words([])), later)
 
 
-def _incompatible(c: Column) -> Column:
-    """Guardrails: credit a control cannot give on this exploit path."""
-    ls = F.coalesce(c.effect.likelihood_steps, F.lit(0))
-    cs = F.coalesce(c.effect.consequence_steps, F.lit(0))
-    block = truthy(c.effect.path_block)
-    claims = ls > 0
-    return ((~ls.isin(0, 1, 2)) | (~cs.isin(0, 1, 2))
-            | (claims & within(c.id, vocab.NETWORK_CONTROLS)
-               & ~within(F.col("attack.vector"), ["network", "adjacent"]))
-            | (claims & within(c.id, vocab.RESPONSE_CONTROLS))
-            | (claims & within(c.id, vocab.CONTENT_CONTROLS) & ~has(F.col("tags"), "user-content"))
-            | (claims & within(c.id, vocab.IDENTITY_CONTROLS)
-               & ~within(F.col("attack.privileges_required"), ["low", "high"]))
-            | (block & ~(truthy(c.confidence == "high")
-                         & within(c.id, vocab.PATH_BLOCK_CONTROLS)))
-            | ((ls == 2) & ~block))
+def _verdict(c: Column, cid: Column) -> Column:
+    """Why a selected candidate earns no credit; empty when it does.
 
-
-RESIDUAL_FIELDS = {"resid_likelihood": "likelihood", "resid_action": "action",
-                   "applied": "applied", "ignored": "ignored", "reasons": "reasons"}
+    With a literal control id the rules of other controls fold away.
+    """
+    ls = F.coalesce(c["effect"]["likelihood_steps"], F.lit(0))
+    cs = F.coalesce(c["effect"]["consequence_steps"], F.lit(0))
+    block, claims = truthy(c["effect"]["path_block"]), ls > 0
+    relevant = truthy(c["relevance"] == "relevant") & within(c["confidence"], ["medium", "high"])
+    incompatible = (
+        (~ls.isin(0, 1, 2)) | (~cs.isin(0, 1, 2))
+        | (claims & within(cid, vocab.NETWORK_CONTROLS)
+           & ~within(F.col("attack.vector"), ["network", "adjacent"]))
+        | (claims & within(cid, vocab.RESPONSE_CONTROLS))
+        | (claims & within(cid, vocab.CONTENT_CONTROLS) & ~has(F.col("tags"), "user-content"))
+        | (claims & within(cid, vocab.IDENTITY_CONTROLS)
+           & ~within(F.col("attack.privileges_required"), ["low", "high"]))
+        | (block & ~(truthy(c["confidence"] == "high") & within(cid, vocab.PATH_BLOCK_CONTROLS)))
+        | ((ls == 2) & ~block))
+    return F.when(~relevant, ": inference did not establish exploit-path relevance").when(
+        incompatible, ": effect is incompatible with source prerequisites or mitigation "
+        "guardrails").otherwise("")
+
+
+@reusable
+def _residual_stages(controls, chosen) -> list:
+    """Projections of the residual; at most one candidate per selected control counts,
+    so each selected control is one slot and nothing loops over the candidates."""
+    nca, cands = no_customer_action(), F.col("mitigation_candidates")
+    ids = F.col("mitigation_candidates.id")
+    slots = range(len(controls))
+    control = [F.expr(c) if chosen == "expr" else F.lit(c) for c in controls]
+    at = [F.coalesce(F.array_position(ids, c), F.lit(0)).cast("int") for c in control]
+    if chosen not in (None, "expr"):
+        at = [F.when(F.array_contains(F.col(chosen), c), a).otherwise(0) for c, a in zip(control, at)]
+    cand = [F.when(~nca & (F.col(f"_at{i}") > 0), F.get(cands, F.col(f"_at{i}") - 1)) for i in slots]
+    why = [F.when(F.col(f"_c{i}").isNotNull(), _verdict(F.col(f"_c{i}"), control[i])) for i in slots]
+    ok = [truthy(F.col(f"_why{i}") == "") for i in slots]
+
+    def total(field):
+        out = F.lit(0)
+        for i in slots:
+            out = out + F.when(ok[i], F.coalesce(F.col(f"_c{i}.effect.{field}").cast("int"), F.lit(0))).otherwise(0)
+        return out
+
+    def in_order(test, value):
+        """Values of the slots that pass, in candidate order."""
+        picked = F.array_compact(F.array(*[F.when(test(i), struct_of(
+            at=F.col(f"_at{i}"), v=value(i))) for i in slots]))
+        return F.sort_array(picked)["v"]
+
+    block = F.lit(False)
+    for i in slots:
+        block = block | (ok[i] & truthy(F.col(f"_c{i}.effect.path_block"))
+                         & truthy(F.col(f"_c{i}.confidence") == "high"))
+    if slots:
+        applied = in_order(lambda i: ok[i], lambda i: F.col(f"_c{i}"))
+        ignored = in_order(lambda i: truthy(F.col(f"_why{i}") != ""),
+                           lambda i: F.concat(F.col(f"_c{i}.id"), F.col(f"_why{i}")))
+    else:
+        applied, ignored = F.filter(cands, lambda c: F.lit(False)), words([])
+    cap = F.when(F.col("_block"), vocab.PATH_BLOCK_CREDIT_CAP).otherwise(vocab.ORDINARY_CREDIT_CAP)
+    steps = (F.when((F.col("_lc") >= 1) | (F.col("_cc") >= 1), 1).otherwise(0)
+             + F.when((F.col("_lc") >= 2) & (F.col("_cc") >= 1), 1).otherwise(0))
+    base_l, base_a = F.col("base_likelihood"), F.col("base_action")
+    n = F.size("_applied")
+    extra = reasons(
+        F.when(n > 0, F.concat(n.cast("string"), F.lit(" verified exploit-relevant mitigation"),
+                               F.when(n == 1, "").otherwise("s"), F.lit(" applied"))),
+        F.when((F.col("_floor") == 2) & (F.col("_action") == 2), F.concat(
+            archetype_reason(F.col("base_model")),
+            F.lit("; the model enforces an out-of-cycle remediation floor"))))
+    stages = [{f"_at{i}": at[i] for i in slots}, {f"_c{i}": cand[i] for i in slots},
+              {f"_why{i}": why[i] for i in slots}]
+    return [s for s in stages if s] + [
+        {"_lsum": total("likelihood_steps"), "_csum": total("consequence_steps"), "_block": block,
+         "_applied": applied, "_ignored": ignored},
+        {"_lc": F.least("_lsum", cap), "_cc": F.least("_csum", F.lit(vocab.CONSEQUENCE_CREDIT_CAP)),
+         "_floor": F.greatest(F.lit(1), archetype_floor(F.col("base_model"), F.col("_block")))},
+        {"_likelihood": F.when(nca, base_l).otherwise(F.greatest(F.lit(0), base_l - F.col("_lc"))),
+         "_action": F.when(nca, base_a).otherwise(F.greatest(F.col("_floor"), base_a - steps))},
+        {"_reasons": F.when(nca, F.col("base_reasons")).otherwise(
+            F.concat(F.col("base_reasons"), extra))},
+    ]
 
 
-def residual(chosen: Column) -> Column:
-    """Struct of the residual profile under the control ids in ``chosen``; needs ``base``.
+def with_profile(df: DataFrame, selection=()) -> DataFrame:
+    """Baseline plus residual under a control selection.
 
-    Purely row-local: candidates are one array per record. ``base`` is read once and
-    bound, so a filter on the result does not repeat the baseline.
+    ``selection`` is a list of control ids, or the name of an array<string> column with
+    catalogue ids for a per-row selection. Adds resid_likelihood, resid_action, applied, ignored, reasons.
     """
-    return let(F.col("base"), lambda base: _residual(chosen, base))
+    based = df if "base_action" in df.columns else with_baseline(df)
+    if isinstance(selection, str):
+        stages = _residual_stages(tuple(vocab.CONTROL_IDS), selection)
+    else:
+        stages = _residual_stages(tuple(dict.fromkeys(selection)), None)
+    return _with_residual(based, stages)
 
 
-def _residual(chosen: Column, base: Column) -> Column:
-    nca = no_customer_action()
-    cands = F.col("mitigation_candidates")
-    ids = F.transform(cands, lambda c: c.id)
-    picked = F.filter(cands, lambda c, i: ~nca & F.array_contains(chosen, c.id)
-                      & (F.array_position(ids, c.id) == i + 1))
-
-    def verdict(c):
-        relevant = truthy(c.relevance == "relevant") & within(c.confidence, ["medium", "high"])
-        return struct_of(c=c, why=F.when(
-            ~relevant, ": inference did not establish exploit-path relevance").when(
-            _incompatible(c), ": effect is incompatible with source prerequisites or mitigation "
-            "guardrails").otherwise(""))
-
-    def credits(v):
-        applied = F.transform(F.filter(v, lambda x: x["why"] == ""), lambda x: x["c"])
-        ignored = F.transform(F.filter(v, lambda x: x["why"] != ""),
-                              lambda x: F.concat(x["c"]["id"], x["why"]))
-
-        def total(field):
-            return F.aggregate(v, F.lit(0), lambda acc, x: acc + F.when(
-                x["why"] == "", F.greatest(F.lit(0), F.coalesce(
-                    x["c"]["effect"][field].cast("int"), F.lit(0)))).otherwise(0))
-
-        return struct_of(
-            applied=applied, ignored=ignored, lc=total("likelihood_steps"),
-            cc=total("consequence_steps"),
-            block=F.exists(v, lambda x: (x["why"] == "") & truthy(x["c"]["effect"]["path_block"])
-                           & truthy(x["c"]["confidence"] == "high")))
-
-    def capped(s):
-        cap = F.when(s["block"], vocab.PATH_BLOCK_CREDIT_CAP).otherwise(vocab.ORDINARY_CREDIT_CAP)
-        return struct_of(
-            applied=s["applied"], ignored=s["ignored"], lc=F.least(s["lc"], cap),
-            cc=F.least(s["cc"], F.lit(vocab.CONSEQUENCE_CREDIT_CAP)),
-            floor=F.greatest(F.lit(1), archetype_floor(base["model"], s["block"])))
-
-    def final(s):
-        steps = (F.when((s["lc"] >= 1) | (s["cc"] >= 1), 1).otherwise(0)
-                 + F.when((s["lc"] >= 2) & (s["cc"] >= 1), 1).otherwise(0))
-        action = F.when(nca, base["action"]).otherwise(
-            F.greatest(s["floor"], base["action"] - steps))
-        n = F.size(s["applied"])
-        extra = reasons(
-            F.when(n > 0, F.concat(n.cast("string"),
-                                   F.lit(" verified exploit-relevant mitigation"),
-                                   F.when(n == 1, "").otherwise("s"), F.lit(" applied"))),
-            F.when((s["floor"] == 2) & (action == 2), F.concat(
-                archetype_reason(base["model"]),
-                F.lit("; the model enforces an out-of-cycle remediation floor"))))
-        return struct_of(
-            likelihood=F.when(nca, base["likelihood"]).otherwise(
-                F.greatest(F.lit(0), base["likelihood"] - s["lc"])),
-            action=action, applied=s["applied"], ignored=s["ignored"],
-            reasons=F.when(nca, base["reasons"]).otherwise(
-                F.concat(base["reasons"], extra)))
-
-    verdicts = F.transform(F.coalesce(picked, F.filter(cands, lambda c: F.lit(False))), verdict)
-    return let(verdicts, lambda v: let(credits(v), lambda s: let(capped(s), final)))
+RESIDUAL = {"resid_likelihood": "_likelihood", "resid_action": "_action", "applied": "_applied",
+            "ignored": "_ignored", "reasons": "_reasons"}
 
 
-def with_profile(df: DataFrame, selection=()) -> DataFrame:
-    """Baseline plus residual under a control selection.
-
-    ``selection`` is a list of control ids, or a Column of array<string> for a
-    per-row selection. Adds resid_likelihood, resid_action, applied, ignored, reasons.
-    """
-    chosen = selection if isinstance(selection, Column) else words(selection)
-    out = df if "base" in df.columns else with_baseline(df)
-    return out.withColumn("_resid", residual(chosen)).withColumns(
-        {name: F.col(f"_resid.{field}") for name, field in RESIDUAL_FIELDS.items()}).drop("_resid")
+def _with_residual(based: DataFrame, stages) -> DataFrame:
+    out = based
+    for stage in stages:
+        out = out.withColumns(stage)
+    return settle(out.select(*based.columns, *RESIDUAL.values()), based.columns,
+                  {name: F.col(held) for name, held in RESIDUAL.items()})
 
 
 def profile_struct(public: bool = False) -> Column:
@@ -325,7 +326,7 @@ def control_sweep(df: DataFrame, controls=None) -> DataFrame:
     controls = list(controls or vocab.CONTROL_IDS)
     based = with_baseline(df)
     swept = based.withColumn("control", F.explode(words(controls)))
-    return with_profile(swept, F.array(F.col("control")))
+    return _with_residual(swept, _residual_stages(("control",), "expr"))
 
 
 def subset_sweep(df: DataFrame) -> DataFrame:
@@ -343,7 +344,7 @@ def subset_sweep(df: DataFrame) -> DataFrame:
     top = F.expr("cast(shiftleft(1L, size(_ids)) - 1 as bigint)")
     masked = based.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), top)))
     chosen = F.filter("_ids", lambda x, i: F.getbit(F.col("mask"), i) == 1)
-    return with_profile(masked.withColumn("selection", chosen).drop("_ids"), F.col("selection"))
+    return with_profile(masked.withColumn("selection", chosen).drop("_ids"), "selection")
 
 
 def credit_violations(df: DataFrame) -> DataFrame:

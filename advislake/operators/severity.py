@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from advislake.functions import vocab
-from advislake.functions.exprs import filled, let, lookup, struct_of, within
+from advislake.functions.exprs import attach, filled, let, lookup, struct_of, within
 
 CVSS_FACTS = "struct<version:string,base_score:double,vector:string>"
 ASSESSMENT = (f"struct<source:string,role:string,scale:string,value:string,basis:string,"
@@ -127,7 +127,8 @@ def build_severity(value: Column, basis: Column, cvss: str, program: str,
 def with_severity(df: DataFrame, value="severity_text_band", basis="severity_basis",
                   cvss="cvss", program="cve_program", into="severity",
                   strict: bool = True) -> DataFrame:
-    return df.withColumn(into, build_severity(F.col(value), F.col(basis), cvss, program, strict))
+    severity = build_severity(F.col(value), F.col(basis), cvss, program, strict)
+    return attach(df.drop(into), struct_of(**{into: severity}))
 
 
 def renormalise(df: DataFrame) -> DataFrame:
