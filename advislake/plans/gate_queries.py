@@ -1 +1,246 @@
-"""Registered queries."""
+"""Validation gate and overlay merge queries."""
+from pyspark.sql import functions as F
+
+from advislake.functions import vocab
+from advislake.functions.exprs import struct_of, words
+from advislake.operators import gates, joins
+from advislake.plans import bridge as B
+from advislake.plans.registry import register
+from advislake.plans.sql_views import inlist, pick, values, view
+
+flat = lambda c, sep="|": F.array_join(c, sep)
+_DIRS = [(cid, d) for cid, _, _, ds in vocab.CONTROLS for d in ds]
+view("ctrldir", [], f"SELECT * FROM (VALUES {values(_DIRS)}) AS t(id, direction)")
+
+
+def codes(name, rows, needs, extra=""):
+    """Oracle of (cve, violation) rows from (code, condition) pairs over ``rows``."""
+    def wrap(pairs):
+        return " UNION ALL ".join(f"SELECT cve{extra}, '{c}' AS violation FROM {rows} WHERE {w}" for c, w in pairs)
+    return lambda pairs: register(name, wrap(pairs), needs)
+
+
+def exploded(df, array):
+    return df.select("cve", F.explode(array).alias("violation"))
+
+
+@codes("v1_cvss_basis", "facts", ["facts"])([
+    ("basis-missing", "k % 50 = 3"), ("basis-base_score", "k % 50 <> 3 AND k % 37 = 1 AND base_score IS NOT NULL"),
+    ("basis-vector", "k % 50 <> 3 AND k % 41 = 2")])
+def cvss_basis(spark, sf):
+    k = F.col("k")
+    basis = struct_of(
+        base_score=F.when(k % 37 != 1, F.col("cvss.base_score")),
+        vector=F.when(k % 41 == 2, "none").otherwise(F.col("cvss.vector")), attack_vector=F.col("attack.vector"),
+        privileges_required=F.col("attack.privileges_required"), user_interaction=F.col("attack.user_interaction"))
+    return exploded(B.records(spark, sf).withColumn("cvss_basis", F.when(k % 50 != 3, basis)), gates.cvss_basis_errors())
+
+
+@codes("v2_framework_vocabulary", "rec", ["rec"])([
+    ("framework-missing", "NOT has_fw"), ("model-version", f"has_fw AND model_version <> '{vocab.RISK_MODEL_VERSION}'"),
+    ("factors", "has_fw AND (k % 37 = 0 OR k % 5 = 2)"), ("communication", "has_fw AND (k % 4 = 1 OR k % 6 = 5)")])
+def framework_vocabulary(spark, sf):
+    return exploded(B.records(spark, sf), gates.framework_errors())
+
+
+@codes("v3_framework_floors", "(SELECT *, car IS DISTINCT FROM false AS act FROM ev2 WHERE has_fw)", ["ev2"])([
+    ("no-action-model", "NOT act AND (saved_model <> 'no-customer-action' OR saved_a <> 0)"),
+    ("confirmed-exploitation", "act AND (kev OR det) AND (saved_model <> 'active-exploitation' OR saved_a <> 3 OR saved_l <> 3)"),
+    ("preauth-rce-action", "act AND NOT kev AND NOT det AND rce AND saved_a < 2"),
+    ("preauth-rce-archetype", "act AND NOT kev AND NOT det AND rce AND ev_l >= 2 AND saved_model <> 'critical-preauth-network-rce'"),
+    ("more-likely-floor", "act AND exa = 'more-likely' AND saved_l < 2"),
+    ("below-public-evidence", "act AND saved_l < ev_l")])
+def framework_floors(spark, sf):
+    return exploded(B.records(spark, sf), gates.floor_errors())
+
+
+@codes("v4_archetype", "ev2", ["ev2"])([("archetype", "has_fw AND saved_model <> determined")])
+def archetype_gate(spark, sf):
+    return exploded(B.records(spark, sf), gates.archetype_error())
+
+
+@codes("v5_candidate_rules", "cand", ["cand"], ", id AS control")([
+    ("credit-without-relevance", "relevance <> 'relevant' AND (ls <> 0 OR cs <> 0 OR block)"),
+    ("path-block", f"block AND NOT (confidence = 'high' AND id IN {inlist(vocab.PATH_BLOCK_CONTROLS)})"),
+    ("two-steps", "ls = 2 AND NOT block"), ("evidence", "evidence = ''")])
+def candidate_rules(spark, sf):
+    return gates.candidate_violations(B.records(spark, sf))
+
+
+@codes("v6_path_compatibility", "(SELECT c.*, av, pr, has_uc FROM cand c JOIN rec USING (k)) x", ["cand", "rec"], ", id AS control")([
+    ("network-control", f"ls <> 0 AND id IN {inlist(vocab.NETWORK_CONTROLS)} AND av NOT IN ('network', 'adjacent')"),
+    ("content-control", f"ls <> 0 AND id IN {inlist(vocab.CONTENT_CONTROLS)} AND NOT has_uc"),
+    ("identity-control", f"ls <> 0 AND id IN {inlist(vocab.IDENTITY_CONTROLS)} AND pr NOT IN ('low', 'high')"),
+    ("response-control", f"ls <> 0 AND id IN {inlist(vocab.RESPONSE_CONTROLS)}")])
+def path_compatibility(spark, sf):
+    return gates.candidate_violations(B.records(spark, sf), gates.path_errors)
+
+
+@register("v7_tag_vocabulary", "SELECT cve, 'made-up' AS tag FROM adv WHERE k % 9 = 2", ["adv"])
+def tag_vocabulary(spark, sf):
+    odd = B.records(spark, sf).withColumn("tags", F.when(F.col("k") % 9 == 2, F.array_union(
+        "tags", words(["made-up"]))).otherwise(F.col("tags")))
+    return gates.unknown_tags(odd)
+
+
+view("dirgate", ["cand", "rec", "ctrldir"], """
+SELECT c.k, c.cve, c.pos, c.id, r.direction, direction IS NOT NULL AND (ls > 0 OR block OR (direction = 'unknown' AND cs > 0))
+  AND (direction = 'unknown' OR NOT EXISTS (SELECT 1 FROM ctrldir d WHERE d.id = c.id AND d.direction = r.direction)) AS bad,
+  ls, cs, block FROM cand c JOIN rec r USING (k)""")
+
+
+@register("v8_direction_gate", """SELECT r.cve, CASE WHEN r.direction IS NULL THEN 'unchecked' WHEN r.direction = 'unknown' THEN 'unknown'
+   WHEN coalesce(bool_or(bad), false) THEN 'violations-found' ELSE 'clean' END AS status, coalesce(string_agg(id, '|' ORDER BY pos) FILTER (bad), '') AS controls
+  FROM rec r LEFT JOIN dirgate g ON g.k = r.k GROUP BY r.cve, r.direction""", ["rec", "dirgate"])
+def direction_gate(spark, sf):
+    out = gates.with_direction_gate(B.records(spark, sf))
+    return out.select("cve", "direction_gate.status", flat(F.transform(
+        "direction_gate.violations", lambda v: v["control"])).alias("controls"))
+
+
+@register("v8_direction_credit_left", """SELECT cve, sum(CASE WHEN bad THEN 0 ELSE ls END)::BIGINT AS likelihood,
+  sum(CASE WHEN bad AND direction = 'unknown' THEN 0 ELSE cs END)::BIGINT AS consequence FROM dirgate GROUP BY 1""", ["dirgate"])
+def direction_credit(spark, sf):
+    out = gates.with_direction_gate(B.records(spark, sf))
+    total = lambda f: F.aggregate("mitigation_candidates", F.lit(0).cast("bigint"), lambda a, c: a + c["effect"][f])
+    return out.where(F.size("mitigation_candidates") > 0).select(
+        "cve", total("likelihood_steps").alias("likelihood"), total("consequence_steps").alias("consequence"))
+
+
+@register("a12_direction_summary", """SELECT (SELECT count(*) FROM rec) AS overlays, (SELECT count(direction) FROM rec) AS checked,
+  count(DISTINCT cve) FILTER (bad) AS contradicting, count(*) FILTER (bad) AS credits_removed,
+  (SELECT count(*) FROM rec WHERE direction IS NULL) AS unchecked FROM dirgate""", ["rec", "dirgate"])
+def direction_summary(spark, sf):
+    return gates.direction_summary(gates.with_direction_gate(B.records(spark, sf)))
+
+
+@register("j13_candidate_directions", """SELECT c.cve, c.id AS control, r.direction, r.direction IS NOT NULL AND EXISTS (
+  SELECT 1 FROM ctrldir d WHERE d.id = c.id AND d.direction = r.direction) AS acts FROM cand c JOIN rec r USING (k)""", ["cand", "rec", "ctrldir"])
+def candidate_directions(spark, sf):
+    return joins.candidate_directions(B.records(spark, sf))
+
+
+@register("v9_severity_basis_pin", """SELECT cve, band, nbasis, nbasis = 'cvss-derived' AS derived FROM rec WHERE k % 3 <> 0 AND k % 5 <> 0""", ["rec"])
+def severity_pin(spark, sf):
+    k = F.col("k")
+    staged = B.records(spark, sf).withColumns({
+        "assessment_status": F.when(k % 3 != 0, "model-assessed"),
+        "guidance_version": F.when(k % 5 != 0, "monthly-1").otherwise("2026"),
+        "validation_type": F.lit("automated-source-and-schema"), "schema_enforced": F.lit(True)})
+    return gates.with_severity_basis(staged).where("pinned_basis is not null").select(
+        "cve", F.col("pinned_basis.normalized_band").alias("band"), F.col("pinned_basis.normalized_basis").alias("nbasis"),
+        F.col("pinned_basis.derived_cvss").isNotNull().alias("derived"))
+
+
+_MONTHLY = "(SELECT r.*, (SELECT count(*) FROM cand c WHERE c.k = r.k AND (ls <> 0 OR cs <> 0 OR block)) AS credits FROM rec r) x"
+
+
+@codes("v10_monthly_overlay", _MONTHLY, ["rec", "cand"])([
+    ("controls-once", "true"), ("tag-evidence", "NOT has_fw OR k % 4 = 0"),
+    ("direction", "direction IS NULL"), ("unknown-direction-review", "direction = 'unknown' AND NOT (has_fw AND k % 10 = 3)"),
+    ("unknown-direction-credit", "direction = 'unknown' AND credits > 0")])
+def monthly_overlay(spark, sf):
+    return exploded(B.records(spark, sf), gates.monthly_errors())
+
+
+@register("v11_evidence_floor", f"""SELECT cve, {pick(vocab.LIKELIHOODS, "greatest(saved_l, CASE WHEN car = false THEN 0 ELSE ev_l END)")} AS likelihood,
+  CASE WHEN saved_l < CASE WHEN car = false THEN 0 ELSE ev_l END THEN 1 ELSE 0 END AS adjustments FROM ev WHERE has_fw""", ["ev"])
+def evidence_floor(spark, sf):
+    return gates.with_evidence_floor(B.records(spark, sf)).where("floored_likelihood is not null").select(
+        "cve", F.col("floored_likelihood").alias("likelihood"), F.size("floor_adjustments").alias("adjustments"))
+
+
+_BADC = f"""((relevance <> 'relevant' AND (ls <> 0 OR cs <> 0 OR block)) OR (block AND NOT (confidence = 'high' AND id IN {inlist(vocab.PATH_BLOCK_CONTROLS)}))
+  OR (ls = 2 AND NOT block) OR evidence = '' OR (ls <> 0 AND id IN {inlist(vocab.NETWORK_CONTROLS)} AND av NOT IN ('network', 'adjacent'))
+  OR (ls <> 0 AND id IN {inlist(vocab.CONTENT_CONTROLS)} AND NOT has_uc) OR (ls <> 0 AND id IN {inlist(vocab.IDENTITY_CONTROLS)} AND pr NOT IN ('low', 'high'))
+  OR (ls <> 0 AND id IN {inlist(vocab.RESPONSE_CONTROLS)}))"""
+
+
+@register("v12_fail_closed", f"""SELECT c.cve, c.pos, c.id, CASE WHEN {_BADC} THEN 0 ELSE ls END AS ls, CASE WHEN {_BADC} THEN 'low' ELSE confidence END AS confidence
+  FROM (SELECT c.* EXCLUDE (pos), row_number() OVER (PARTITION BY c.k ORDER BY c.pos) - 1 AS pos, av, pr, has_uc
+    FROM cand c JOIN (SELECT k, av, pr, has_uc FROM rec) r USING (k)) c""", ["cand", "rec"])
+def fail_closed(spark, sf):
+    out = gates.fail_closed(B.records(spark, sf)).select("cve", F.posexplode("mitigation_candidates").alias("pos", "c"))
+    return out.select("cve", "pos", "c.id", F.col("c.effect.likelihood_steps").alias("ls"), "c.confidence")
+
+
+@register("v13_taxonomy_closure", f"""SELECT a.cve, NOT a.has_uc AND EXISTS (SELECT 1 FROM cand c WHERE c.k = a.k AND c.id IN {inlist(vocab.CONTENT_CONTROLS)}
+  AND relevance = 'relevant' AND ls > 0) AS added FROM rec a""", ["rec", "cand"])
+def taxonomy_closure(spark, sf):
+    return gates.with_taxonomy_closure(B.records(spark, sf)).select("cve", F.col("closure_added").alias("added"))
+
+
+@register("v14_provenance", """SELECT cve, 'assessor-' || ((k // 10) % 3) AS model, sha256('r' || (k // 10)) AS response, k // 10 AS batch FROM adv""", ["adv"])
+def provenance(spark, sf):
+    overlay = B.advisories(spark, sf).select("cve", F.floor(F.col("k") / 10).alias("batch"))
+    b = F.col("batch")
+    calls = overlay.select("batch").distinct().select(
+        "batch", F.concat(F.lit("assessor-"), (b % 3).cast("string")).alias("model"), F.lit("a").alias("arm"),
+        F.lit("served").alias("model_served"), F.lit("2026-09-10").alias("finished_at"),
+        F.sha2(F.concat(F.lit("p"), b.cast("string")), 256).alias("prompt_sha256"),
+        F.sha2(F.concat(F.lit("r"), b.cast("string")), 256).alias("response_sha256"),
+        F.lit(True).alias("schema_enforced"), F.sha2(F.lit("s"), 256).alias("source_sha256"))
+    return gates.with_provenance(overlay, calls, "2026-09-11").select(
+        "cve", "provenance.model", F.col("provenance.invocation.response_sha256").alias("response"),
+        F.col("provenance.invocation.batch").alias("batch"))
+
+
+@register("v15_qa_flags", """SELECT cve, issue, control FROM (
+  SELECT cve, 'likelihood-above-evidence' AS issue, NULL AS control FROM ev WHERE has_fw AND car IS DISTINCT FROM false AND saved_l > ev_l
+  UNION ALL SELECT cve, 'archetype-without-evidence', NULL FROM ev WHERE has_fw AND car IS DISTINCT FROM false AND saved_model = 'critical-preauth-network-rce' AND saved_l < 2
+  UNION ALL SELECT c.cve, 'generic-control', id FROM cand c JOIN ev USING (k) WHERE has_fw AND relevance = 'relevant' AND c.confidence IN ('high', 'medium') AND (ls <> 0 OR cs <> 0) AND id IN ('edr_detection_response', 'attack_surface_reduction')
+  UNION ALL SELECT c.cve, 'strong-effect', id FROM cand c JOIN ev USING (k) WHERE has_fw AND relevance = 'relevant' AND c.confidence IN ('high', 'medium') AND (ls <> 0 OR cs <> 0) AND (cs <> 0 OR block))""", ["ev", "cand"])
+def qa_flags(spark, sf):
+    return gates.qa_flags(B.records(spark, sf))
+
+
+# --- overlay merge -----------------------------------------------------------------------
+def overlays(spark, sf):
+    """Overlays of the assessed records, as an assessor would hand them in."""
+    return B.records(spark, sf).where("k % 8 <> 0").select(
+        "cve", words(["web"]).alias("o_tags"), F.col("mitigation_candidates").alias("o_candidates"),
+        F.col("inference").alias("o_inference"))
+
+
+@register("j8_merge_overlay", """SELECT a.cve, string_agg(DISTINCT tag, '|' ORDER BY tag) AS tags, 'reviewed' AS status
+  FROM adv a JOIN (SELECT k, tag FROM advtag UNION ALL SELECT k, 'web' FROM adv) t ON t.k = a.k WHERE a.k % 8 <> 0 GROUP BY 1""", ["adv", "advtag"])
+def merge_overlay(spark, sf):
+    return joins.merge_overlay(B.records(spark, sf), overlays(spark, sf)).select(
+        "cve", flat(F.col("tags")).alias("tags"), F.col("inference.review_status").alias("status"))
+
+
+@register("j9_with_unreviewed", """SELECT cve, CASE WHEN k % 8 = 0 THEN 'unreviewed' ELSE 'reviewed' END AS status, CASE WHEN k % 8 = 0 THEN 'not-applicable'
+  WHEN direction = 'unknown' THEN 'unknown' ELSE 'clean' END AS gate FROM rec""", ["rec"])
+def with_unreviewed(spark, sf):
+    records = B.records(spark, sf)
+    merged = joins.merge_overlay(records, overlays(spark, sf))
+    return joins.with_unreviewed(merged, records).select(
+        "cve", F.col("inference.review_status").alias("status"), F.col("inference.direction_gate.status").alias("gate"))
+
+
+def corrections(spark, sf):
+    return B.advisories(spark, sf).where("k % 25 = 1 and k % 8 <> 0").select(
+        "cve", F.lit("typo").alias("reason"), F.create_map(F.lit("baseline_action"), F.lit("Immediate")).alias("fields"),
+        F.create_map(F.lit("waf_virtual_patch"), F.struct(
+            F.lit("not-relevant").alias("relevance"), F.lit(None).cast("string").alias("confidence"),
+            F.lit("amended").alias("evidence"))).alias("controls"))
+
+
+@register("j17_apply_corrections", f"""SELECT r.cve, CASE WHEN r.k % 25 = 1 THEN 'Immediate' ELSE {pick(vocab.ACTIONS, 'saved_a')} END AS action, r.k % 25 = 1 AS corrected,
+  (SELECT string_agg(CASE WHEN r.k % 25 = 1 AND id = 'waf_virtual_patch' THEN 'not-relevant:amended' ELSE relevance || ':' || evidence END, '|' ORDER BY pos) FROM cand c WHERE c.k = r.k) AS controls
+  FROM rec r WHERE has_fw""", ["rec", "cand"])
+def apply_corrections(spark, sf):
+    out = joins.apply_corrections(B.records(spark, sf).where("k % 8 <> 0"), corrections(spark, sf), "0" * 64, "qa")
+    return out.select("cve", F.col("inference.framework_assessment.baseline_action").alias("action"),
+                      F.col("inference.verification").isNotNull().alias("corrected"),
+                      flat(F.transform("mitigation_candidates", lambda c: F.concat(
+                          c["relevance"], F.lit(":"), c["evidence"]))).alias("controls"))
+
+
+@register("j17_unknown_corrections", "SELECT cve || '-X' AS cve FROM adv WHERE k % 200 = 1", ["adv"])
+def unknown_corrections(spark, sf):
+    asked = corrections(spark, sf).unionByName(B.advisories(spark, sf).where("k % 200 = 1").select(
+        F.concat("cve", F.lit("-X")).alias("cve"), F.lit("").alias("reason"),
+        F.lit(None).cast("map<string,string>").alias("fields"),
+        F.lit(None).cast("map<string,struct<relevance:string,confidence:string,evidence:string>>").alias("controls")))
+    return joins.unknown_corrections(B.advisories(spark, sf), asked)
