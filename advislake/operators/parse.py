@@ -209,12 +209,9 @@ def product_names(trees: DataFrame, depth: int = 8) -> DataFrame:
         writes = own.unionByName(full).where("product_id is not null and name is not null")
         found = writes if found is None else found.unionByName(writes)
         if step == depth:
-            deeper = level.where(F.rlike(F.schema_of_variant("node"), F.lit(
-                "^(OBJECT|ARRAY)<.*(OBJECT|ARRAY)<")))
-            found = found.unionByName(deeper.select(
-                "doc_id", "path", F.lit(0).alias("sub"), F.lit(None).cast("string").alias("product_id"),
-                F.raise_error(F.lit("product tree is deeper than the unrolled levels"))
-                .cast("string").alias("name")))
+            deep = F.rlike(F.schema_of_variant("node"), F.lit("^(OBJECT|ARRAY)<.*(OBJECT|ARRAY)<"))
+            found = found.unionByName(_too_deep(level, deep, "name").select(
+                "doc_id", "path", F.lit(0).alias("sub"), F.lit(None).cast("string").alias("product_id"), "name"))
             break
         kids = level.lateralJoin(_tvf(level).variant_explode(F.col("node").outer()))
         # zero-padded positions keep document order under plain string order
@@ -225,6 +222,15 @@ def product_names(trees: DataFrame, depth: int = 8) -> DataFrame:
     return found.groupBy("doc_id", "product_id").agg(last.alias("name"))
 
 
+def _too_deep(level: DataFrame, deep: Column, into: str) -> DataFrame:
+    """No rows, or a failed job where a node lies below the unrolled levels.
+
+    The test guards the error inside one expression, as filters may be reordered.
+    """
+    fail = F.raise_error(F.lit("a document is nested deeper than the unrolled levels")).cast("string")
+    return level.withColumn(into, F.when(deep, fail)).where(F.col(into).isNotNull())
+
+
 def _tvf(df: DataFrame):
     return df.sparkSession.tvf
 
@@ -421,9 +427,8 @@ def string_leaves(df: DataFrame, value: str = "doc", depth: int = 12) -> DataFra
             *keys, "pointer", F.try_variant_get("node", "$", "string").alias("text"))
         found = here if found is None else found.unionByName(here)
         if step == depth:
-            deeper = level.where(F.rlike(kind(), F.lit("^(OBJECT|ARRAY)<.+>")))
-            found = found.unionByName(deeper.select(*keys, "pointer", F.raise_error(
-                F.lit("document is deeper than the unrolled levels")).cast("string").alias("text")))
+            deep = F.rlike(kind(), F.lit("^(OBJECT|ARRAY)<.+>"))
+            found = found.unionByName(_too_deep(level, deep, "text").select(*keys, "pointer", "text"))
             break
         inner = level.where(F.rlike(kind(), F.lit("^(OBJECT|ARRAY)")))
         kids = inner.lateralJoin(_tvf(df).variant_explode(F.col("node").outer()))

@@ -19,9 +19,12 @@ def _search(name, text, where, needs, with_=""):
         return search.search(B.records(spark, sf), text, SELECTION).select("cve")
 
 
-_search("f1_search_tokens", 'kernel -faq dns', "false", [])
-_search("f1_search_language", 'severity:high -vector:network tag:dns cvss:>=5 colour:red',
-        "f.band = 'high' AND f.av <> 'network' AND f.base_score >= 5 AND false", [])
+_search("f1_search_tokens", '"windows" dns -exchange',
+        "f.k IN (SELECT k FROM hay WHERE contains(h, 'windows') AND contains(h, 'dns') AND NOT contains(h, 'exchange'))",
+        ["rec", "advtag", "ptag", "recprod", "cand"], "WITH " + _HAY)
+_search("f1_search_language", 'severity:high -vector:network tag:dns cvss:>=5 -colour:red',
+        "f.band = 'high' AND f.av <> 'network' AND f.base_score >= 5 AND f.k IN (SELECT k FROM advtag WHERE tag = 'dns' UNION SELECT k FROM ptag WHERE tag = 'dns')",
+        ["advtag", "ptag"])
 _search("f1_search_profile", 'action:expedited likelihood:elevated -kev:yes review:required',
         "f.res_a = 2 AND f.res_l = 2 AND NOT f.kev AND f.required", [])
 _search("f1_search_quoted", '"remote desktop client" -severity:low',
@@ -67,9 +70,9 @@ def facet_or(spark, sf):
     return B.records(spark, sf).where(search.product_facet(["dns", "office", "no-such-tag"], "or")).select("cve")
 
 
-@register("f7_product_facet_and", "SELECT cve FROM ptag WHERE tag IN ('windows-11', 'dns') GROUP BY 1 HAVING count(*) = 2", ["ptag"])
+@register("f7_product_facet_and", "SELECT cve FROM ptag WHERE tag IN ('server-2022', 'sql-server') GROUP BY 1 HAVING count(*) = 2", ["ptag"])
 def facet_and(spark, sf):
-    return B.records(spark, sf).where(search.product_facet(["windows-11", "dns"], "and")).select("cve")
+    return B.records(spark, sf).where(search.product_facet(["server-2022", "sql-server"], "and")).select("cve")
 
 
 @register("f8_preauth_network_rce", "SELECT cve FROM ev WHERE rce", ["ev"])

@@ -1 +1,332 @@
-"""Registered queries."""
+"""Citation, tag check and privacy queries."""
+from pyspark.sql import functions as F
+
+from advislake.functions import vocab
+from advislake.functions.exprs import struct_of
+from advislake.operators import citation, joins, parse, privacy, tagcheck
+from advislake.plans import bridge as B
+from advislake.plans.registry import register
+from advislake.plans.sql_views import inlist, pick, values, view
+from advislake.sources import sinks
+
+flat = lambda c, sep="|": F.array_join(c, sep)
+_TOK = "regexp_extract_all(lower(replace(replace(replace(regexp_replace({t}, '<[^>]+>', ' ', 'g'), '&quot;', ' '), '&amp;', ' '), '&#8217;', chr(39))), '[a-z0-9]+')"
+view("doctok", [], f"SELECT doc_id, {_TOK.format(t='text')} AS t FROM documents")
+
+
+# --- citations ---------------------------------------------------------------------------
+@register("t1_tokenise", "SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM doctok", ["doctok"])
+def tokenise(spark, sf):
+    t = citation.tokens(F.col("text"))
+    return B.table(spark, sf, "documents").select("doc_id", t.alias("t")).select(
+        "doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+def spans(spark, sf):
+    """Composite citations made of two words-of-six pieces of a benchmark item."""
+    words = F.split(F.regexp_replace("text", "[^A-Za-z ]+", " "), " +")
+    piece = lambda a, n: F.array_join(F.slice(words, a, n), " ")
+    return B.table(spark, sf, "benchmark").select("item_id", F.concat(
+        F.lit('"Title: '), piece(2, 7), F.lit('" ; "'), piece(12, 6), F.lit('" ... '), piece(3, 2), F.lit(" | faq - "), piece(20, 4)).alias("span"))
+
+
+_W = "list_filter(regexp_split_to_array(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g'), ' +'), lambda x: true)"
+_PIECE = "trim(array_to_string(list_slice(w, {a}, {b}), ' '))"
+view("spans", [], f"""SELECT item_id, {_PIECE.format(a=2, b=8)} AS p1, {_PIECE.format(a=12, b=17)} AS p2, {_PIECE.format(a=3, b=4)} AS p3, {_PIECE.format(a=20, b=23)} AS p4
+  FROM (SELECT item_id, {_W} AS w FROM benchmark)""")
+
+
+@register("t2_components", f"""SELECT item_id, concat_ws('|', p1, CASE WHEN len({_TOK.format(t='p2')}) >= 3 THEN p2 END,
+  CASE WHEN len({_TOK.format(t='p4')}) >= 3 THEN p4 END) AS parts FROM spans""", ["spans"])
+def components(spark, sf):
+    return spans(spark, sf).select("item_id", flat(citation.components(F.col("span"))).alias("parts"))
+
+
+view("pairs", ["doctok"], f"""SELECT d.doc_id, b.item_id, b.text AS span, ' ' || array_to_string(d.t, ' ') || ' ' AS line, {_TOK.format(t='b.text')} AS need
+  FROM doctok d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+
+
+def pairs(spark, sf):
+    docs = B.table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % 40)
+    items = B.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("span"))
+    return docs.join(items, "item_id")
+
+
+@register("t3_contains_run", """SELECT doc_id, len(list_filter(range(1, greatest(len(need) - 4, 1)::BIGINT), lambda i:
+   contains(line, ' ' || array_to_string(list_slice(need, i, i + 5), ' ') || ' '))) > 0 AS hit FROM pairs""", ["pairs"])
+def contains_run(spark, sf):
+    return pairs(spark, sf).select("doc_id", F.coalesce(citation.contains_run(
+        citation.token_line(F.col("text")), citation.tokens(F.col("span")), F.lit(6)), F.lit(False)).alias("hit"))
+
+
+def _runs(need, run):
+    return (f"len(list_filter(range(1, greatest(len({need}) - {run} + 2, 1)::BIGINT), lambda i: contains(line, ' ' || "
+            f"array_to_string(list_slice({need}, i, i + {run} - 1), ' ') || ' '))) > 0")
+
+
+@register("t4_verify", f"""WITH d AS (SELECT doc_id, ' ' || array_to_string(t, ' ') || ' ' AS line FROM doctok),
+  p AS (SELECT d.doc_id, s.part, d.line, {_TOK.format(t='s.body')} AS need FROM d JOIN (SELECT item_id, 1 AS part, p1 AS body FROM spans UNION ALL SELECT item_id, 2, p2 FROM spans
+    UNION ALL SELECT item_id, 3, p4 FROM spans) s ON s.item_id = d.doc_id % 40),
+  h AS (SELECT doc_id, part, CASE WHEN len(need) >= 6 THEN {_runs('need', 6)} ELSE {_runs('need', 3)} END AS hit FROM p WHERE len(need) >= 3)
+  SELECT doc_id, bool_or(hit) AS verified, bool_and(hit) AS fully, count(*) AS components, count(*) FILTER (hit) AS matched FROM h GROUP BY 1""", ["doctok", "spans"])
+def verify(spark, sf):
+    docs = B.table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % 40)
+    out = citation.verify_pairs(docs.join(spans(spark, sf), "item_id"), "span", "text")
+    return out.select("doc_id", "citation.verified", F.col("citation.fully_verified").alias("fully"),
+                      "citation.components", "citation.matched")
+
+
+@register("t4_verify_in_corpus", f"""WITH parts AS (SELECT item_id, 1 AS part, p1 AS body FROM spans UNION ALL SELECT item_id, 2, p2 FROM spans UNION ALL SELECT item_id, 3, p4 FROM spans),
+  n AS (SELECT item_id, part, {_TOK.format(t='body')} AS need FROM parts),
+  g AS (SELECT item_id, part, unnest(list_transform(range(1, (len(need) - run + 2)::BIGINT), lambda i: ' ' || array_to_string(list_slice(need, i, i + run - 1), ' ') || ' ')) AS gram
+    FROM (SELECT *, CASE WHEN len(need) >= 6 THEN 6 ELSE 3 END AS run FROM n)),
+  h AS (SELECT g.item_id, g.part, bool_or(d.doc_id IS NOT NULL) AS hit FROM g LEFT JOIN (SELECT doc_id, ' ' || array_to_string(t, ' ') || ' ' AS line FROM doctok) d ON contains(d.line, g.gram) GROUP BY 1, 2)
+  SELECT item_id, count(*) AS components, count(*) FILTER (hit) AS matched FROM h GROUP BY 1""", ["doctok", "spans"])
+def verify_in_corpus(spark, sf):
+    return citation.verify_in_corpus(spans(spark, sf), B.table(spark, sf, "documents"), "item_id", "span", "text")
+
+
+# --- tag checks --------------------------------------------------------------------------
+def checkable(spark, sf):
+    """Records with asserted tags in every state the checks know."""
+    k = F.col("k")
+    said = F.when(k % 4 == 0, "").when(k % 9 == 0, "totally unrelated prose quoted").otherwise(F.col("title"))
+    tags = F.transform("tags", lambda t: struct_of(tag=t, evidence=F.when(k % 8 == 0, "").otherwise(said)))
+    return B.records(spark, sf).withColumns({
+        "asserted": F.when(k % 19 != 0, tags),
+        "shape": F.when(F.size("tags") < 1, "empty").when(k % 8 == 0, "bare").otherwise("structured")})
+
+
+_TERMS = [(t, term, i) for t, ts in vocab.WORKLOAD_TERMS.items() for i, term in enumerate(ts)]
+view("terms", [], f"SELECT * FROM (VALUES {values(_TERMS)}) AS t(tag, term, ord)")
+view("srctext", ["adv", "recprod"], """SELECT a.k, lower(title || ' ' || coalesce((SELECT string_agg(name, ' ') FROM recprod p WHERE p.k = a.k), '')) AS text FROM adv a""")
+view("named", ["srctext", "terms"], """SELECT k, tag, min_by(term, ord) AS term FROM srctext JOIN terms ON regexp_matches(text, '\\b' || replace(term, '.', '\\.')) GROUP BY 1, 2""")
+view("asserted", ["advtag", "rec"], """SELECT t.k, t.cve, t.tag, CASE WHEN r.k % 4 = 0 OR r.k % 8 = 0 THEN '' WHEN r.k % 9 = 0 THEN 'totally unrelated prose quoted' ELSE r.title END AS evidence
+  FROM advtag t JOIN rec r ON r.k = t.k WHERE r.k % 19 <> 0""")
+_WL, _JT = inlist(vocab.NAMESPACES["workload"]), inlist(vocab.JUDGEMENT_TAGS)
+view("tagfind", ["asserted", "named", "rec"], f"""
+SELECT n.k, r.cve, 'workload_recall' AS "check", 'workload-recall-miss' AS code, n.tag FROM named n JOIN rec r ON r.k = n.k
+  WHERE r.k % 19 <> 0 AND NOT EXISTS (SELECT 1 FROM asserted a WHERE a.k = n.k AND a.tag = n.tag)
+UNION ALL SELECT a.k, a.cve, 'workload_precision', 'workload-uncorroborated', a.tag FROM asserted a WHERE a.tag IN {_WL} AND NOT EXISTS (SELECT 1 FROM named n WHERE n.k = a.k AND n.tag = a.tag)
+UNION ALL SELECT a.k, a.cve, 'delivery_consistency', 'delivery-contradicts-cvss', a.tag FROM asserted a JOIN rec r ON r.k = a.k WHERE a.tag = 'user-content' AND r.ui = 'none'
+UNION ALL SELECT a.k, a.cve, 'evidence_present', 'evidence-missing', a.tag FROM asserted a WHERE a.tag IN {_JT} AND a.evidence = '' AND a.k % 8 <> 0
+UNION ALL SELECT a.k, a.cve, 'evidence_grounded', 'evidence-ungrounded', a.tag FROM asserted a WHERE a.tag IN {_JT} AND a.evidence LIKE 'totally%'
+UNION ALL SELECT a.k, a.cve, 'citation_verification', 'citation-unverified', a.tag FROM asserted a WHERE a.tag IN {_JT} AND a.evidence LIKE 'totally%'""")
+
+
+@register("t5_source_text", "SELECT r.cve, lower(title) AS title FROM rec r", ["rec"])
+def source_text(spark, sf):
+    text = tagcheck.source_text()
+    return B.records(spark, sf).where(text.startswith(F.lower("title"))).select("cve", F.lower("title").alias("title"))
+
+
+def _check_query(name, check):
+    @register(name, f'SELECT cve, code, tag FROM tagfind WHERE "check" = \'{check}\'', ["tagfind"])
+    def run(spark, sf):
+        rows = tagcheck.finding_rows(tagcheck.with_checks(checkable(spark, sf)))
+        return rows.where(F.col("check") == check).select("cve", "code", "tag")
+
+
+_check_query("t6_workload_recall", "workload_recall")
+_check_query("t7_workload_precision", "workload_precision")
+_check_query("t8_delivery_consistency", "delivery_consistency")
+_check_query("t9_evidence_present", "evidence_present")
+_check_query("t10_evidence_grounded", "evidence_grounded")
+
+
+@register("t11_review_record", 'SELECT cve, "check", code, tag FROM tagfind', ["tagfind"])
+def review_record(spark, sf):
+    return tagcheck.finding_rows(tagcheck.with_checks(checkable(spark, sf))).select("cve", "check", "code", "tag")
+
+
+view("checkstate", ["asserted", "rec"], f"""
+WITH r AS (SELECT k, cve, k % 19 <> 0 AS has_tags, k % 8 = 0 AS bare, has_uc, (k % 4 = 0 OR k % 8 = 0) AS silent FROM rec)
+SELECT k, cve, c AS "check", CASE WHEN NOT has_tags THEN 'unchecked' WHEN c IN ('workload_recall', 'workload_precision') THEN 'checked'
+  WHEN c = 'delivery_consistency' THEN CASE WHEN has_uc THEN 'checked' ELSE 'not-applicable' END
+  WHEN bare THEN 'unchecked' WHEN c = 'citation_verification' AND silent THEN 'unchecked' ELSE 'checked' END AS state FROM r, (SELECT unnest({tagcheck.CHECKS}) AS c)""")
+
+
+@register("t12_check_states", 'SELECT "check", state, count(*) AS records FROM checkstate GROUP BY 1, 2', ["checkstate"])
+def check_states(spark, sf):
+    rows = tagcheck.with_checks(checkable(spark, sf)).select(F.explode("states").alias("s"))
+    return rows.groupBy("s.check", "s.state").agg(F.count("*").alias("records"))
+
+
+@register("a7_check_summary", """WITH n AS (SELECT "check", count(*) AS findings, count(DISTINCT k) AS offenders FROM tagfind GROUP BY 1),
+  s AS (SELECT "check", count(*) FILTER (state = 'checked') AS records_checked, count(*) FILTER (state = 'unchecked') AS records_unchecked,
+    count(*) FILTER (state = 'not-applicable') AS records_not_applicable FROM checkstate GROUP BY 1)
+  SELECT s."check", records_checked, records_unchecked, records_not_applicable, coalesce(offenders, 0) AS records_with_findings, coalesce(findings, 0) AS findings,
+   round(coalesce(offenders, 0) / records_checked, 6) AS record_finding_rate, round(coalesce(findings, 0) / records_checked, 6) AS findings_per_checked_record
+  FROM s LEFT JOIN n USING ("check")""", ["tagfind", "checkstate"])
+def check_summary(spark, sf):
+    return tagcheck.check_summary(tagcheck.with_checks(checkable(spark, sf)))
+
+
+@register("a7_code_histogram", 'SELECT "check", code, count(*) AS findings FROM tagfind GROUP BY 1, 2', ["tagfind"])
+def code_histogram(spark, sf):
+    return tagcheck.code_histogram(tagcheck.with_checks(checkable(spark, sf)))
+
+
+@register("a7_reason_histogram", f"""SELECT "check", state, CASE WHEN k % 19 = 0 THEN {"'" + tagcheck.NO_TAG_SET + "'"} WHEN state = 'not-applicable' THEN '{tagcheck.NO_DELIVERY_TAG}'
+   WHEN k % 8 = 0 THEN '{tagcheck.NO_EVIDENCE_FIELD}' ELSE '{tagcheck.NO_CITATION}' END AS reason, count(*) AS records FROM checkstate WHERE state <> 'checked' GROUP BY 1, 2, 3""", ["checkstate"])
+def reason_histogram(spark, sf):
+    return tagcheck.reason_histogram(tagcheck.with_checks(checkable(spark, sf)))
+
+
+@register("a8_month_report", """SELECT count(*) AS records_total, (SELECT count(DISTINCT k) FROM tagfind) AS records_flagged,
+  count(*) - (SELECT count(DISTINCT k) FROM tagfind) AS records_without_findings, (SELECT count(*) FROM tagfind) AS findings_total FROM rec""", ["rec", "tagfind"])
+def month_report(spark, sf):
+    return tagcheck.month_report(tagcheck.with_checks(checkable(spark, sf)))
+
+
+@register("t12_citation_counts", f"""SELECT count(*) AS citations, count(*) FILTER (evidence LIKE 'totally%') AS unverified, 0 AS partially,
+  count(*) FILTER (evidence NOT LIKE 'totally%') AS fully FROM asserted WHERE tag IN {_JT} AND evidence <> ''""", ["asserted"])
+def citation_counts(spark, sf):
+    return tagcheck.citation_counts(tagcheck.with_checks(checkable(spark, sf)))
+
+
+@register("k6_tier1_annotation", """SELECT r.cve, string_agg(DISTINCT "check", '|' ORDER BY "check") AS failed FROM rec r LEFT JOIN tagfind f ON f.k = r.k GROUP BY 1""", ["rec", "tagfind"])
+def tier1_annotation(spark, sf):
+    records = B.records(spark, sf)
+    findings = tagcheck.finding_rows(tagcheck.with_checks(checkable(spark, sf)))
+    return sinks.annotate_tier1(records, findings).select("cve", flat(F.col("tier1_review.failed_checks")).alias("failed"))
+
+
+@register("j18_scoring_jobs", f"SELECT cve, tag FROM advtag WHERE k % 6 <> 1 AND tag IN {_JT}", ["advtag"])
+def scoring_jobs(spark, sf):
+    tags = B.records(spark, sf).select("cve", F.explode("tags").alias("tag"))
+    return joins.scoring_jobs(tags, B.advisories(spark, sf).where("k % 6 <> 1"), vocab.JUDGEMENT_TAGS)
+
+
+def verdicts(spark, sf):
+    k = F.col("k")
+    rows = B.records(spark, sf).select("k", "cve", "title", F.explode("tags").alias("tag"))
+    return citation.scorer_failures(rows.select(
+        "k", "cve", "tag", F.when(k % 5 == 0, "source-ambiguous").when(k % 3 == 0, "unsupported").otherwise("supported").alias("verdict"),
+        F.when(k % 7 == 0, "").when(k % 11 == 0, "not in the text").otherwise(F.upper(F.replace(F.col("title"), F.lit(" "), F.lit("  ")))).alias("span"),
+        F.concat(F.lit("view of "), "title").alias("view")))
+
+
+view("verdict", ["advtag"], """SELECT k, cve, tag, CASE WHEN k % 5 = 0 THEN 'source-ambiguous' WHEN k % 3 = 0 THEN 'unsupported' ELSE 'supported' END AS verdict,
+  CASE WHEN k % 7 = 0 AND k % 5 <> 0 THEN 'verdict asserted without a source span' WHEN k % 7 <> 0 AND k % 11 = 0 THEN 'source_span not found in the supplied record' END AS failure FROM advtag""")
+
+
+@register("t13_scorer_failures", "SELECT cve, tag, failure FROM verdict WHERE failure IS NOT NULL", ["verdict"])
+def scorer_failures(spark, sf):
+    return verdicts(spark, sf).where("failure is not null").select("cve", "tag", "failure")
+
+
+@register("a9_scorer_summary", "SELECT verdict, count(*) AS scored, count(failure) AS failures, count(*) FILTER (k % 7 = 0) AS unspanned FROM verdict GROUP BY 1", ["verdict"])
+def scorer_summary(spark, sf):
+    return citation.scorer_summary(verdicts(spark, sf))
+
+
+@register("a9_rejection_rates", f"""SELECT CASE WHEN tag IN {inlist(vocab.IMPACT_TAGS)} THEN 'impact' WHEN tag IN {_WL} THEN 'workload' ELSE 'delivery' END AS namespace, count(*) AS scored,
+  count(*) FILTER (verdict = 'unsupported') AS rejected, round(count(*) FILTER (verdict = 'unsupported') / count(*), 6) AS rate FROM verdict WHERE failure IS NULL GROUP BY 1""", ["verdict"])
+def rejection_rates(spark, sf):
+    return citation.rejection_rates(verdicts(spark, sf), vocab.NAMESPACES)
+
+
+# --- privacy -----------------------------------------------------------------------------
+view("priv", [], f"SELECT doc_id, text || chr(10) || {pick(B.PLANTED, 'doc_id % 14')} AS text FROM documents")
+
+
+def _detector(name, build, sql, where="true"):
+    @register(name, sql, ["priv"])
+    def run(spark, sf):
+        found = B.priv_text(spark, sf).select("doc_id", F.explode(build(F.col("text"))).alias("f"))
+        return found.select("doc_id", "f.*").where(where).select("doc_id").distinct()
+
+
+_any = "SELECT doc_id FROM priv WHERE regexp_matches(text, '{}')".format
+_detector("d1_ipv4_reserved", privacy.ipv4, _any(
+    r"(^|[^0-9.])(10\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])|192\.168|127\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])|169\.254|172\.(1[6-9]|2[0-9]|3[01]))(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){2}($|[^0-9.])"),
+    "detail like 'RFC1918%' and (span rlike '^(10|127)[.]' or span rlike '^(192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]')")
+_detector("d2_ipv6", privacy.ipv6, "SELECT doc_id FROM priv WHERE text LIKE '%fe80::1ff:fe23:4567:890a here%'", "span like 'fe80%'")
+_detector("d3_email", privacy.email, r"""SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS e FROM priv)
+  WHERE NOT (split_part(e, '@', 1) IN ('secure', 'security', 'info', 'support', 'contact', 'abuse', 'cert') AND (split_part(e, '@', 2) IN ('microsoft.com', 'example.com', 'example.org', 'example.net')))""")
+_detector("d4_guid", lambda t: privacy.guid(t, privacy.allowed_url_spans(t)), "SELECT doc_id FROM priv WHERE text LIKE '%Object 3f2504e0-%'", "category = 'guid'")
+_detector("d5_tenant", lambda t: privacy.guid(t, privacy.allowed_url_spans(t)), "SELECT doc_id FROM priv WHERE text LIKE '%Tenant ID: 3f2504e0-%'", "category = 'tenant_identifier'")
+_detector("d6_hostname", lambda t: privacy.hostname(t, privacy.allowed_url_spans(t)), "SELECT doc_id FROM priv WHERE text LIKE '%contoso-corp.com/a/b%'", "span = 'portal.contoso-corp.com'")
+_detector("d7_unc_path", privacy.paths, r"SELECT doc_id FROM priv WHERE contains(text, '\\fileserver01\share')", "category = 'unc_path'")
+_detector("d8_filesystem_path", privacy.paths, r"SELECT doc_id FROM priv WHERE contains(text, 'C:\Users\jdoe')", "category = 'filesystem_path'")
+_detector("d9_security_identifier", privacy.sid_and_mac, "SELECT doc_id FROM priv WHERE text LIKE '%S-1-5-21-%'", "category = 'security_identifier'")
+_detector("d10_mac_address", privacy.sid_and_mac, "SELECT doc_id FROM priv WHERE text LIKE '%00:1A:2B:3C:4D:5E%'", "category = 'mac_address'")
+_detector("d11_asset_inventory", privacy.inventory, "SELECT doc_id FROM priv WHERE text LIKE '%SYD-DC-01 MEL-FS-02%'", "span like 'Assets%'")
+
+
+@register("d12_scan_text")
+def scan_text(spark, sf):
+    return privacy.scan_text(B.priv_text(spark, sf), "text", ["doc_id"]).select(
+        "doc_id", "category", "span", "start", "end")
+
+
+@register("d12_offsets_hold", "SELECT true AS holds FROM documents LIMIT 1")
+def offsets(spark, sf):
+    docs = B.priv_text(spark, sf)
+    rows = privacy.scan_text(docs, "text", ["doc_id", "text"]).where("category <> 'asset_inventory'")
+    return rows.agg(F.bool_and(F.expr("substr(text, start + 1, end - start) = span")).alias("holds"))
+
+
+def planted_documents(spark, sf):
+    doc = F.struct(F.col("event_type").alias("kind"), F.struct(F.when(
+        F.col("event_id") % 5 == 0, "mail to jane.doe@contoso-corp.com").otherwise("fine").alias("portal.contoso-corp.com")).alias("inner"))
+    return B.table(spark, sf, "events").select("event_id", F.parse_json(F.to_json(doc)).alias("doc"))
+
+
+@register("d12_scan_documents", """SELECT event_id, '/inner/portal.contoso-corp.com' AS field, 'email_address' AS category FROM events WHERE event_id % 5 = 0
+  UNION ALL SELECT event_id, '/inner/portal.contoso-corp.com', 'hostname' FROM events WHERE event_id % 5 = 0 AND false
+  UNION ALL SELECT event_id, '/inner/portal.contoso-corp.com<key>', 'hostname' FROM events""")
+def scan_documents(spark, sf):
+    return privacy.scan_documents(planted_documents(spark, sf), ["event_id"], "doc", depth=4).select("event_id", "field", "category")
+
+
+@register("d13_clean_rows", "SELECT event_id FROM events WHERE event_id % 5 <> 0")
+def clean_rows(spark, sf):
+    rows = B.table(spark, sf, "events").select("event_id", F.when(
+        F.col("event_id") % 5 == 0, F.concat("event_type", F.lit(" by jane.doe@contoso-corp.com"))).otherwise(F.col("event_type")).alias("note"))
+    return privacy.clean_rows(rows, "note").select("event_id")
+
+
+@register("d14_packet_strings", """SELECT cve, 2 + 2 * (2 + (k % 4 <> 0)::INT + (k % 6 = 0)::INT + (customer_action_note IS NOT NULL)::INT + 1) - 0 + k % 4
+   + 3 * (k % 4 + (CASE WHEN k % 4 > 0 AND k % 3 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 4 > 1 AND (k + 1) % 3 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 4 > 2 AND (k + 2) % 3 <> 0 THEN 1 ELSE 0 END))
+   + (SELECT count(*) FROM advtag t WHERE t.k = adv.k) AS fields FROM adv""", ["adv", "advtag"])
+def packet_strings(spark, sf):
+    return privacy.packet_strings(B.records(spark, sf)).groupBy("cve").agg(F.count("*").alias("fields"))
+
+
+@register("c7_version_and_identifier", """SELECT doc_id, doc_id % 3 = 0 AS versioned, doc_id % 2 = 0 AS public FROM documents""")
+def version_context(spark, sf):
+    from advislake.functions import scalar
+    i = F.col("doc_id")
+    before = F.when(i % 3 == 0, "fixed in version ").otherwise("host at ")
+    token = F.when(i % 2 == 0, "CVE-2026-1").otherwise("SYD-DC-01")
+    return B.table(spark, sf, "documents").select(
+        "doc_id", scalar.looks_like_version(before, F.lit(" here")).alias("versioned"),
+        scalar.is_public_identifier(token).alias("public"))
+
+
+@register("a11_scan_report", "SELECT 'record' AS scope, 'hostname' AS category, count(*) AS findings FROM adv WHERE k % 7 = 3", ["adv"])
+def scan_report(spark, sf):
+    records = B.records(spark, sf)
+    packet = privacy.scan_text(privacy.packet_strings(records), "text", ["cve", "field"])
+    whole = privacy.scan_text(records.select("cve", F.to_json(
+        F.struct("vendor_guidance", "source")).alias("text")), "text", ["cve"])
+    return privacy.scan_report(packet, whole)
+
+
+@register("j15_proof_of_findings", """SELECT doc_id AS cve, category, doc_id % 4 <> 3 AS proved FROM (SELECT doc_id, 'email_address' AS category FROM priv WHERE text LIKE '%Write to jane.doe@contoso-corp.com please.')""", ["priv"])
+def proof(spark, sf):
+    lines = B.priv_text(spark, sf).select(F.col("doc_id").alias("cve"), F.element_at(F.split("text", "\n"), -1).alias("value"))
+    lines = lines.where(F.col("value").startswith("Write to jane"))
+    found = privacy.scan_text(lines, "value", ["cve", "value"]).where("category = 'email_address'").select(
+        "cve", "category", F.lit("/note").alias("field"), "value")
+    sources = lines.select("cve", F.when(F.col("cve") % 4 != 3, F.col("value")).otherwise("other").alias("value"),
+                           F.lit("file").alias("location"), F.lit("/Notes/0").alias("pointer"))
+    twice = sources.unionByName(sources.withColumn("pointer", F.lit("/Notes/1")))
+    return joins.proof_of_findings(found, twice).select("cve", "category", "proved")
+
+
+@register("j15_unproved", """SELECT doc_id AS cve FROM priv WHERE text LIKE '%Write to jane.doe@contoso-corp.com please.' AND doc_id % 4 = 3""", ["priv"])
+def unproved(spark, sf):
+    return proof(spark, sf).where("not proved").select("cve")
