@@ -149,18 +149,22 @@ def strip_markup(value: Column) -> Column:
 def text_value(value: Column) -> Column:
     """A VARIANT scalar, or its Value/value member, as text; absent is empty."""
     member = lambda path: F.try_variant_get(value, path, "string")
-    is_object = F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
-    picked = F.when(is_object, F.coalesce(F.when(member("$.Value") != "", member("$.Value")),
-                                          member("$.value"))).otherwise(member("$"))
-    return F.coalesce(picked, F.lit(""))
+    whole = member("$")
+    # only a text that looks like an object needs the costly type test
+    nameless = F.startswith(whole, F.lit("{")) & F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+    return F.coalesce(F.nullif(member("$.Value"), F.lit("")), member("$.value"),
+                      F.when(nameless, F.lit("")).otherwise(whole), F.lit(""))
 
 
 def as_list(value: Column) -> Column:
     """A VARIANT scalar or array as array<variant>; absent is empty."""
-    listed = F.try_variant_get(value, "$", "array<variant>")
     absent = value.isNull() | F.is_variant_null(value)
-    return (F.when(absent, F.array().cast("array<variant>"))
-            .when(listed.isNotNull(), listed).otherwise(F.array(value)))
+    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"),
+                      F.when(absent, F.array().cast("array<variant>")).otherwise(F.array(value)))
+
+
+def is_variant_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def canonical_json(fields: dict) -> Column:

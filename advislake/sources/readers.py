@@ -3,8 +3,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from advislake import schema
 from advislake.functions import vocab
-from advislake.functions.exprs import truthy, words
-from advislake.functions.scalar import as_list, text_value
+from advislake.functions.exprs import attach, words
+from advislake.functions.scalar import as_list, is_variant_object, text_value
 from advislake.operators.search import is_synthetic
 
 BAD = "_bad_line"
@@ -74,15 +74,14 @@ def vulnerability_rows(documents: DataFrame) -> DataFrame:
     """One row per vulnerability with typed notes, threats, score sets and remediations."""
     rows = documents.select("doc_id", "revision", F.explode("vulnerabilities").alias("v"))
     get = lambda p, kind="variant": F.try_variant_get("v", f"$.{p}", kind)
-    is_object = lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT"))
     of = lambda x, p, kind="string": F.try_variant_get(x, f"$.{p}", kind)
-    objects = lambda p: F.filter(as_list(get(p)), is_object)
+    objects = lambda p: F.filter(as_list(get(p)), is_variant_object)
     strings = lambda x: F.transform(as_list(x), lambda e: F.try_variant_get(e, "$", "string"))
     cve = F.coalesce(get("CVE", "string"), get("cve", "string"), F.lit("UNKNOWN"))
     ids = F.flatten(F.transform(objects("ProductStatuses"), lambda s: F.concat(
         strings(of(s, "ProductID", "variant")), strings(of(s, "product_id", "variant")))))
-    return rows.select(
-        "doc_id", "revision", cve.alias("cve"),
+    facts = F.struct(
+        cve.alias("cve"),
         F.coalesce(F.nullif(text_value(get("Title")), F.lit("")), cve).alias("title"),
         F.transform(objects("Notes"), lambda n: F.struct(
             of(n, "Title").alias("Title"), of(n, "Type", "int").alias("Type"),
@@ -98,7 +97,9 @@ def vulnerability_rows(documents: DataFrame) -> DataFrame:
             of(r, "Type").alias("Type"), of(r, "SubType").alias("SubType"), of(r, "URL").alias("URL"),
             text_value(of(r, "Description", "variant")).alias("Description"),
             strings(of(r, "ProductID", "variant")).alias("ProductID"))).alias("remediations"),
-        F.array_sort(F.array_distinct(ids)).alias("product_ids"), F.col("v").alias("raw"))
+        F.array_sort(F.array_distinct(ids)).alias("product_ids"))
+    # parsed once here, however often the columns are used or filtered later
+    return attach(rows, facts).withColumnRenamed("v", "raw")
 
 
 def read_kev(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
