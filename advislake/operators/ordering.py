@@ -64,17 +64,16 @@ def worst_first(df: DataFrame, minimum: int = 8, max_top_up: int = 8) -> DataFra
     return emergency.unionByName(top_up).orderBy(*keys).drop("_score")
 
 
-def global_rank(df: DataFrame, keys, into: str = "rank") -> DataFrame:
-    """0-based position in the total order of ``keys`` without one global window.
+def number_rows(ordered: DataFrame, into: str = "rank") -> DataFrame:
+    """0-based position of each row of a sorted frame without one global window.
 
-    Rows are range-partitioned and sorted, numbered inside each partition, and shifted
-    by the sizes of the partitions before. The numbered table is written first: range
-    bounds are sampled, so they must not be drawn twice.
+    Rows are numbered inside each sorted partition and shifted by the sizes of the
+    partitions before. The numbered table is written first: range bounds are sampled, so
+    they must not be drawn twice.
     """
-    spark = df.sparkSession
+    spark = ordered.sparkSession
     path = fresh_path(spark, "rank")
-    (df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
-     .withColumn("_id", F.monotonically_increasing_id()).write.parquet(path))
+    ordered.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
     # partition number in the high bits, row number in the low 33
     numbered = spark.read.parquet(path).withColumns({
         "_part": F.shiftright("_id", 33), "_row": F.col("_id").bitwiseAND((1 << 33) - 1)})
@@ -86,6 +85,11 @@ def global_rank(df: DataFrame, keys, into: str = "rank") -> DataFrame:
         into, F.col("_off") + F.col("_row")).drop("_id", "_part", "_row", "_off")
 
 
+def global_rank(df: DataFrame, keys, into: str = "rank") -> DataFrame:
+    """0-based position of each row in the total order of ``keys``."""
+    return number_rows(df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys), into)
+
+
 def shards(df: DataFrame, count: int, batch: int) -> DataFrame:
     """Round-robin shard of each row by cve order, then batches of ``batch`` in a shard."""
     ranked = global_rank(df, ["cve"])

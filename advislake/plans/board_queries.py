@@ -123,22 +123,19 @@ def exploitation_histogram(spark, sf):
 
 # --- orderings -----------------------------------------------------------------------
 def placed(df, columns):
-    """Rows with their 1-based place in the frame's order, kept to a report of 500.
-
-    The ordering is the feature under test, so the place of each row is its result.
-    """
-    return df.select(*columns).limit(500).withColumn("place", F.monotonically_increasing_id() + 1)
+    """Every row with its 1-based place in the frame's order."""
+    return ordering.number_rows(df.select(*columns), "place").withColumn("place", F.col("place") + 1)
 
 
 @register("w1_publication_order", f"""SELECT cve, row_number() OVER (ORDER BY NOT (kev OR det),
    CASE band WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, av <> 'network', cve) AS place
-   FROM rec QUALIFY place <= 500""", ["rec"])
+   FROM rec""", ["rec"])
 def publication_order(spark, sf):
     return placed(B.records(spark, sf).orderBy(*ordering.publication_order()), ["cve"])
 
 
 def _sort_query(name, key, direction, order):
-    @register(name, f"SELECT cve, row_number() OVER (ORDER BY {order}, k) AS place FROM prof QUALIFY place <= 500", ["prof"])
+    @register(name, f"SELECT cve, row_number() OVER (ORDER BY {order}, k) AS place FROM prof", ["prof"])
     def run(spark, sf):
         df = B.records(spark, sf)
         df = df if key == "cve" else risk.with_profile(df, SELECTION)
@@ -178,13 +175,11 @@ def worst_first(spark, sf):
         "cve", F.col("resid_action").alias("res_a"), F.col("resid_likelihood").alias("res_l"))
 
 
-@register("w4_worst_first_top_up", _WORST.format(src="(SELECT * FROM prof WHERE NOT kev AND NOT det AND band = 'low' AND base_m = 'standard-remediation' AND k % 500 < 100 AND (res_a < 3 OR k % 7 = 3 AND k % 10 = 1))"), ["prof"])
+@register("w4_worst_first_top_up", _WORST.format(src="(SELECT * FROM prof WHERE month = '1995-Jan' AND band = 'unknown')"), ["prof"])
 def worst_first_top_up(spark, sf):
-    df = risk.with_profile(B.records(spark, sf), SELECTION)
-    quiet = df.where(~risk.exploited() & (F.col("severity.normalized_band") == "low")
-                     & (F.col("base_model") == "standard-remediation") & (F.col("k") % 500 < 100)
-                     & ((F.col("resid_action") < 3) | ((F.col("k") % 7 == 3) & (F.col("k") % 10 == 1))))
-    return ordering.worst_first(quiet).select(
+    """One month's unrated records: few emergencies, so the list is topped up."""
+    quiet = B.records(spark, sf).where("month = '1995-Jan' and severity.normalized_band = 'unknown'")
+    return ordering.worst_first(risk.with_profile(quiet, SELECTION)).select(
         "cve", F.col("resid_action").alias("res_a"), F.col("resid_likelihood").alias("res_l"))
 
 
@@ -204,8 +199,7 @@ _MANIFEST = """m0 AS (SELECT month, count(*) AS record_count FROM adv GROUP BY 1
 
 @register("w5_release_order", f"WITH {_MANIFEST} SELECT month, place FROM o", ["adv"])
 def release_order(spark, sf):
-    return ordering.release_order(manifest(spark, sf)).select("month").coalesce(1).withColumn(
-        "place", F.monotonically_increasing_id() + 1)
+    return placed(ordering.release_order(manifest(spark, sf)), ["month"])
 
 
 @register("w6_default_release", f"WITH {_MANIFEST} SELECT month, record_count FROM o WHERE month NOT LIKE '%-demo' ORDER BY place LIMIT 1", ["adv"])

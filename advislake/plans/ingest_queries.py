@@ -213,11 +213,9 @@ def product_tree(spark, sf):
     return parse.product_names(docs, depth=6)
 
 
-@register("p2_product_ids", """SELECT cve, k % 3 + 1 AS n, 'P' || least((k * 3) % 200, 999) AS one FROM adv WHERE k % 3 = 0""", ["adv"])
+@register("p2_product_ids", """SELECT cve, (SELECT string_agg(id, '|' ORDER BY id) FROM (SELECT DISTINCT 'P' || ((k * 3 + i * 7) % 200) AS id FROM (SELECT range AS i FROM range(3)) WHERE i <= k % 3)) AS ids FROM adv""", ["adv"])
 def product_ids(spark, sf):
-    v = vulnerabilities(spark, sf)
-    return v.where(F.size("product_ids") == 1).select("cve", F.size("product_ids").alias("n"),
-                                                      F.col("product_ids")[0].alias("one"))
+    return vulnerabilities(spark, sf).select("cve", flat(F.col("product_ids")).alias("ids"))
 
 
 @register("p3_threat_description", "SELECT cve, coalesce(severity_text, '') AS severity, exploit_text FROM adv", ["adv"])
@@ -291,15 +289,15 @@ def workload_tags(spark, sf):
         parse.workload_tags(F.col("title")), words([]))).alias("tags"))
 
 
-@register("p14_assemble_records", """SELECT f.cve, f.title, sev_word AS severity, sev_basis AS basis, base_score AS score, CASE WHEN base_score IS NULL THEN 'unknown' ELSE av END AS av, kev, det, exa, round(epss, 6) AS epss,
-  car AS action_required, k % 3 + 1 AS n_products FROM sev f WHERE base_score IS NULL OR base_score > 0""", ["sev"])
+@register("p14_assemble_records", """SELECT f.cve, f.title, sev_word AS severity, sev_basis AS basis, base_score AS score, CASE WHEN base_score IS NULL THEN 'unknown' WHEN base_score = 0 THEN 'physical' ELSE av END AS av, kev, det, exa, round(epss, 6) AS epss,
+  car AS action_required, k % 3 + 1 AS n_products FROM sev f""", ["sev"])
 def assemble(spark, sf):
     from advislake.plans.assemble import build_records
     names = B.table(spark, sf, "part").select(
         F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("product_id"),
         B._at(B.PRODUCT_NAMES, F.col("p_partkey") % 16).alias("name"))
     out = build_records(vulnerabilities(spark, sf), names, B.kev(spark, sf), B.epss(spark, sf), "2026-Sep")
-    return out.where("cvss.base_score is null or cvss.base_score > 0").select(
+    return out.select(
         "cve", "title", F.col("severity_word").alias("severity"), F.col("severity_basis").alias("basis"),
         F.col("cvss.base_score").alias("score"), F.col("attack.vector").alias("av"), "threat.kev",
         F.col("threat.exploitation_detected").alias("det"), F.col("threat.exploitation_assessment").alias("exa"),
@@ -386,16 +384,17 @@ def record_url(spark, sf):
     return ids.select("id", parse.record_url(F.col("id")).alias("url"))
 
 
-@register("p20_evidence_facts", """SELECT cve, 'CVE|CVSSScoreSets|Notes|ProductStatuses|Remediations|Threats|Title' AS members FROM adv WHERE base_score IS NOT NULL""", ["adv"])
+@register("p20_evidence_facts", """SELECT cve, CASE WHEN base_score IS NULL THEN 'CVE|Notes|ProductStatuses|Remediations|Threats|Title'
+  ELSE 'CVE|CVSSScoreSets|Notes|ProductStatuses|Remediations|Threats|Title' END AS members FROM adv""", ["adv"])
 def evidence_facts(spark, sf):
-    rows = vulnerabilities(spark, sf).where(F.size("score_sets") > 0)
     facts = parse.evidence_facts(F.col("raw"), "vendor")
-    return rows.select("cve", flat(F.array_sort(F.map_keys(facts))).alias("members"))
+    return vulnerabilities(spark, sf).select("cve", flat(F.array_sort(F.map_keys(facts))).alias("members"))
 
 
-@register("p20_cna_evidence", "SELECT cve, 'affected|descriptions|metrics|problemTypes|references' AS members FROM adv WHERE k % 7 = 0", ["adv"])
+@register("p20_cna_evidence", """SELECT cve, CASE WHEN k % 7 = 0 THEN 'affected|descriptions|metrics|problemTypes|references'
+  ELSE 'affected|descriptions|problemTypes|references' END AS members FROM adv""", ["adv"])
 def cna_evidence(spark, sf):
-    docs = program_documents(spark, sf).where("k % 7 = 0").select("cve", F.try_variant_get(
+    docs = program_documents(spark, sf).select("cve", F.try_variant_get(
         F.parse_json("text"), "$.containers.cna", "variant").alias("cna"))
     return docs.select("cve", flat(F.array_sort(F.map_keys(parse.evidence_facts(F.col("cna"), "cna")))).alias("members"))
 

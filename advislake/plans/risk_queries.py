@@ -79,14 +79,13 @@ def scale_gate(spark, sf):
         "cve", F.col("severity_text").alias("band"))
 
 
-@register("j11_score_band", """SELECT CASE WHEN s IS NULL THEN 'unknown' WHEN s >= 9.0 THEN 'critical'
+@register("j11_score_band", """SELECT CASE WHEN s IS NULL THEN 'unknown' WHEN s >= 9.0 AND s <= 10.0 THEN 'critical'
    WHEN s >= 7.0 AND s <= 8.9 THEN 'high' WHEN s >= 4.0 AND s <= 6.9 THEN 'medium'
    WHEN s >= 0.1 AND s <= 3.9 THEN 'low' ELSE 'unknown' END AS band, count(*) AS records
-  FROM (SELECT base_score + (CASE WHEN k % 2 = 0 THEN 0.05 ELSE 0 END)::DOUBLE AS s FROM adv WHERE base_score < 9.9
-        OR base_score IS NULL) GROUP BY 1""", ["adv"])
+  FROM (SELECT base_score + (CASE WHEN k % 2 = 0 THEN 0.05 ELSE 0 END)::DOUBLE AS s FROM adv) GROUP BY 1""", ["adv"])
 def score_band(spark, sf):
     s = F.col("base_score") + F.when(F.col("k") % 2 == 0, 0.05).otherwise(0.0)
-    return (B.advisories(spark, sf).where("base_score < 9.9 or base_score is null")
+    return (B.advisories(spark, sf)
             .groupBy(severity.band_from_score(s).alias("band")).agg(F.count("*").alias("records")))
 
 
