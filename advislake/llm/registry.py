@@ -6,7 +6,7 @@ import os
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ["quality_rules", "source_mix"]
+MODULES = ["quality_rules", "url_filters", "substring_dedup", "minmax_dedup", "source_mix"]
 
 
 def findable(spark) -> None:
