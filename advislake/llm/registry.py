@@ -6,7 +6,8 @@ import os
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ["quality_rules", "url_filters", "substring_dedup", "minmax_dedup", "source_mix"]
+MODULES = ["quality_rules", "url_filters", "substring_dedup", "recurrent_lm", "language_crf", "minmax_dedup",
+           "kneser_ney", "embedding_dedup", "source_mix", "sentence_pieces"]
 
 
 def findable(spark) -> None:
