@@ -58,8 +58,9 @@ def signatures(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _signed(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """doc_id, n_shingles, class and bands of every row; class and bands are null for an empty set."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()),
+    """doc_id, text_key, n_shingles, class and bands of every row; class and bands are null for an empty set."""
+    docs = docs.select("doc_id", text, F.xxhash64(text).alias("text_key"))
+    schema = T.StructType([docs.schema["doc_id"], docs.schema["text_key"], T.StructField("n_shingles", T.LongType()),
                            T.StructField("class", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
@@ -75,15 +76,15 @@ def _signed(docs: DataFrame, text: str, size: int) -> DataFrame:
                 flat = pa.array(bands.view(np.int64).ravel())
                 offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(n.astype(np.int64)),
-                     pa.array(classes.view(np.int64), mask=~full),
+                    [batch.column("doc_id").slice(low, high - low), batch.column("text_key").slice(low, high - low),
+                     pa.array(n.astype(np.int64)), pa.array(classes.view(np.int64), mask=~full),
                      pa.ListArray.from_arrays(pa.array(offsets), flat)], names=schema.names)
 
-    return docs.select("doc_id", text).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the similarity.
+def _held(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes with the Jaccard distance of their full sets, and whether they are linked.
 
     Every pair takes the text of its a by one join and meets the text of its b by another, so a class
     that many others are held against is moved once.
@@ -97,7 +98,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
             for name in ("a_text", "b_text"):
                 data, at = W.text_bytes(W.column(batch, name))
                 sides.append((data, at))
-            keep = np.zeros(batch.num_rows, bool)
+            linked, far = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)
             last, known = None, None
             b_data, b_at = sides[1]
             for low, high in W.blocks(sides[0][1]):
@@ -108,10 +109,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
                         last, known = raw, shingle_sets(b_data, b_at, i, i + 1, size)[0]
                     own = values[first[i - low]:first[i - low + 1]]
                     common = _common(own, known)
-                    keep[i] = 100 * common >= percent * (len(own) + len(known) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(keep)) for n in ("a", "b")], names=["a", "b"])
+                    union = len(own) + len(known) - common
+                    linked[i], far[i] = 100 * common >= percent * union, 1 - common / max(union, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far), pa.array(linked)],
+                                             names=["a", "b", "far", "linked"])
 
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, far double, linked boolean")
 
 
 def _common(own: np.ndarray, known: np.ndarray) -> int:
@@ -121,14 +124,16 @@ def _common(own: np.ndarray, known: np.ndarray) -> int:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, text_key (hash of the text) and root (the component) of every row.
 
     Rows of equal shingle sets form a class, and classes are compared, so copies cost nothing more. Each
-    bucket of a band first holds its members against the smallest class in it; confirmed links give
-    components. A bucket whose other members still fall into several components goes on: members outside
-    its largest component are held against those of other components, 16 a bucket in the first such
-    round, four times as many in each further round, until every pair of a bucket is either compared or
-    inside one component. So no link that a band proposes is lost and large groups never form all pairs.
+    bucket of a band first holds its members against its hub, the member that meets the most others over
+    all bands; confirmed links give components. A bucket whose other members still fall into several
+    components goes on: members outside its largest component are held against those of other components,
+    16 a bucket in the first such round, four times as many in each further round, until every pair of a
+    bucket is compared, inside one component, or ruled out: Jaccard distance is a metric, so two members
+    whose distances to the hub differ by more than the limit cannot be linked. No link that a band proposes
+    is lost, and large groups never form all pairs.
 
     Texts of fewer words than ``size`` are one shingle; null, empty and blank texts are empty sets, linked
     with nothing, and kept. Repeated doc_ids are told apart by their sets. A null doc_id takes part and is
@@ -139,47 +144,55 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"))
     spread = signed.where("class is not null").select(F.explode("bands").alias("key"), "class")
     buckets = spread.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    members = written(spread.join(buckets.select("key", "low"), "key").distinct(), "minmax-buckets")
-    pairs = written(members.where("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(),
+    members = written(spread.join(buckets.select("key"), "key").distinct(), "minmax-buckets")
+    met = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weight = members.join(met, "key").groupBy("class").agg(F.sum("n").alias("weight"))
+    weighed = members.join(weight, "class")
+    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "class"))["class"].alias("hub"))
+    members = written(members.join(hubs, "key"), "minmax-members")
+    pairs = written(members.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(),
                     "minmax-pairs")
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "class")
     named = signed.select("class", F.col("doc_id").alias("id")).join(wanted, "class").groupBy("class").agg(F.min("id").alias("id"))
     texts = written(_texts_of(docs, named, size), "minmax-texts")
-    links = written(_verified(pairs, texts, size, percent), "minmax-links")
+    held = written(_held(pairs, texts, size, percent), "minmax-held")
+    links = held.where("linked").select("a", "b")
     roots = connected(links)
-    done = members.select("key", F.col("low").alias("class")).distinct()
-    most = 16
+    far = members.join(held.select(F.col("a").alias("class"), F.col("b").alias("hub"), "far"), ["class", "hub"], "left") \
+        .select("key", "class", F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("class") == F.col("hub")).alias("done"))
+    done, tried, most = far.where("done").select("key", "class"), pairs, 16
     while True:
-        open_ = members.select("key", "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left") \
+        open_ = far.select("key", "class", "far").join(roots.select(F.col("node").alias("class"), "root"), "class", "left") \
             .withColumn("root", F.coalesce("root", "class"))
         rest = open_.join(done, ["key", "class"], "left_anti")
         sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        split = written(sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"),
-                                                 F.count(F.lit(1)).alias("parts")).where("parts > 1"), "minmax-open")
-        if split.isEmpty():
-            break
-        hubs = rest.join(split, "key").where("root <> largest")
+        split = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"),
+                                         F.count(F.lit(1)).alias("parts")).where("parts > 1")
         rank = F.row_number().over(Win.partitionBy("key").orderBy("class"))
-        hubs = written(hubs.withColumn("rank", rank).where(F.col("rank") <= most).select(
-            "key", F.col("class").alias("hub"), F.col("root").alias("hub_root")), "minmax-hubs")
-        more = open_.join(hubs, "key").where("root <> hub_root") \
+        asking = written(rest.join(split, "key").where("root <> largest").withColumn("rank", rank).where(F.col("rank") <= most)
+                         .select("key", F.col("class").alias("hub"), F.col("root").alias("hub_root"), F.col("far").alias("hub_far")),
+                         "minmax-asking")
+        if asking.isEmpty():
+            break
+        limit = 1 - percent / 100 + 1e-9
+        more = open_.join(asking, "key").where((F.col("root") != F.col("hub_root")) & (F.abs(F.col("far") - F.col("hub_far")) <= limit)) \
             .select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
-        more = more.join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-        more = written(more, "minmax-pairs")
-        found = _verified(more, texts, size, percent)
-        links = written(links.union(found), "minmax-links")
-        roots = connected(links)
-        pairs = pairs.union(more)
-        done = done.union(hubs.select("key", F.col("hub").alias("class")))
+        more = written(more.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"),
+                       "minmax-pairs")
+        found = written(_held(more, texts, size, percent), "minmax-held").where("linked").select("a", "b")
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = connected(links)
+        tried, done = tried.union(more), done.union(asking.select("key", F.col("hub").alias("class")))
         most *= 4
     labelled = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left") \
         .withColumn("root", F.coalesce("root", "class"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = labelled.join(least, "root").select(F.col("class").alias("of"), "component_id")
-    out = signed.select("doc_id", "n_shingles", "class").join(of_class, F.col("class") == F.col("of"), "left")
+    of_class = labelled.join(least, "root").select(F.col("class").alias("of"), "component_id", "root")
+    out = signed.select("doc_id", "text_key", "n_shingles", "class").join(of_class, F.col("class") == F.col("of"), "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+                      F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key", "root")
 
 
 def _texts_of(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
@@ -222,4 +235,4 @@ select n.doc_id, n.n as n_shingles, m.component_id, m.component_id = n.doc_id as
 @register("op6_minmax_dedup", SQL)
 def op6_minmax_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs, size=2, percent=80)
+    return near_duplicates(docs, size=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
