@@ -132,7 +132,8 @@ def repeated_marks(docs: DataFrame, window: int) -> DataFrame:
     """
     seeds = _seeds(docs, window)
     groups = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("low"), F.max("stretch").alias("high"))
-    groups = groups.where("n > 1").select("seed", (F.col("low") == F.col("high")).alias("whole"))
+    # written, so that the join's own shuffle can split a seed that many documents share
+    groups = written(groups.where("n > 1").select("seed", (F.col("low") == F.col("high")).alias("whole")), "repeat-groups")
     found = written(seeds.join(groups, "seed"), "repeat-seeds")
     split = found.where("not whole").groupBy("seed", "stretch").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "tkey", "pos")).alias("one"))
