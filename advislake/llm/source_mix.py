@@ -9,7 +9,7 @@ from advislake.llm.registry import register
 from advislake.sources.scratch import fresh_path
 
 WORD = r"[^\x20\x09-\x0D]+"
-ROWS_PER_RANGE = 50_000
+ROWS_PER_RANGE = 5_000
 MOST_EPOCHS = 3
 
 
@@ -45,20 +45,22 @@ def targets(sizes: DataFrame, weights: Column | None = None) -> DataFrame:
         .otherwise(F.least(F.col("full").cast("double"), F.col("weight") * F.col("final"))).alias("target"))
 
 
-def mix(docs: DataFrame, size: Column, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, size: Column, seed: int = 17, also: tuple = ()) -> DataFrame:
     """(doc_id, source, size) of each row with source_size, target and the ``taken`` words.
 
+    ``also`` names further columns that tell rows apart; they are returned too.
+
     Rows are put in a random but fixed order by a hash of (seed, source, doc_id). An epoch takes a whole
     source; the budget left after whole epochs goes to the first rows in that order, and the row at the
     cut gives the words that are missing. Prefix sums are made in ranges of the hash of about
     ROWS_PER_RANGE rows, so that one large source is spread over many tasks; range totals are summed per
-    source. Equal rows (doc_id, source, size) are counted first and share one place, copy after copy.
+    source. Equal rows (doc_id, source, size and ``also``) are counted first and share one place, copy after copy.
     Null text has size 0; a null source is a source of its own; empty input gives no rows.
     """
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source", "doc_id", "size")]
     key = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), *named)), 1, 15), 16, 10).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size")) \
-        .groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", key)
+    rows = docs.select("doc_id", "source", size.alias("size"), *also) \
+        .groupBy("doc_id", "source", "size", *also).agg(F.count(F.lit(1)).alias("copies")).withColumn("key", key)
     path = fresh_path(docs.sparkSession, "mix-rows")
     rows.write.parquet(path)
     rows = docs.sparkSession.read.parquet(path)
@@ -71,7 +73,7 @@ def mix(docs: DataFrame, size: Column, seed: int = 17) -> DataFrame:
     # the top 30 of the key's 60 bits as a fraction of all keys give its range
     place = F.floor(F.shiftright("key", 30) * F.col("ranges") / (1 << 30))
     rows = rows.withColumn("range", place).withColumn("words", F.col("size") * F.col("copies"))
-    within = Win.partitionBy("of", "range").orderBy("key", "doc_id", "size").rowsBetween(Win.unboundedPreceding, -1)
+    within = Win.partitionBy("of", "range").orderBy("key", "doc_id", "size", *also).rowsBetween(Win.unboundedPreceding, -1)
     totals = rows.groupBy("of", "range").agg(F.sum("words").alias("total"))
     offset = Win.partitionBy("of").orderBy("range").rowsBetween(Win.unboundedPreceding, -1)
     totals = totals.select(F.col("of").alias("t_of"), F.col("range").alias("t_range"),
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, size: Column, seed: int = 17) -> DataFrame:
     rows = rows.withColumn("epochs", epochs).withColumn("rest", rest).withColumn("copy", copy)
     part = F.least(F.col("size"), F.greatest(
         F.lit(0), F.col("rest") - F.col("offset") - F.col("prefix") - F.col("copy") * F.col("size")))
-    return rows.select("doc_id", "source", "size", "source_size", "target",
+    return rows.select("doc_id", "source", "size", *also, "source_size", "target",
                        (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
