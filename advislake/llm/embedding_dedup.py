@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from advislake.llm.components import connected, written
+from advislake.llm.components import connected, forest, written
 from advislake.llm.registry import register
 
 TILE_ROWS = 2048
@@ -79,19 +79,6 @@ def _close(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float):
     return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
 
 
-def _forest(nodes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Smallest node that each place reaches by the links (p, q)."""
-    label = nodes.copy()
-    while True:
-        low = np.minimum(label[p], label[q])
-        new = label.copy()
-        np.minimum.at(new, p, low)
-        np.minimum.at(new, q, low)
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _tile_links(left: pa.Table, right: pa.Table, size: int, axes: np.ndarray, threshold: float) -> pa.Table:
     """For the vectors of a pair of tiles: links counted with the copies of the other end, and a reached root."""
     out = {"cid": pa.int64(), "links": pa.int64(), "root": pa.int64()}
@@ -111,7 +98,7 @@ def _tile_links(left: pa.Table, right: pa.Table, size: int, axes: np.ndarray, th
         nodes = np.concatenate([a_id, b_id])
         links = np.concatenate([np.bincount(p, b_n[q], len(a_id)), np.bincount(q, a_n[p], len(b_id))])
         q = q + len(a_id)
-    label = _forest(nodes, p, q)
+    label = forest(nodes, p, q)
     linked = links > 0
     return pa.table({"cid": nodes[linked].astype(np.int64), "links": links[linked].astype(np.int64), "root": label[linked].astype(np.int64)})
 

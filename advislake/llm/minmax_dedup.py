@@ -4,16 +4,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from advislake.llm import words as W
-from advislake.llm.components import connected, written
+from advislake.llm.components import connected, forest, written
 from advislake.llm.registry import register
 
 BANDS = 48
 PERMUTATIONS_A_BAND = 3  # 6 values a band: a pair of similarity s is missed with (1 - s**6)**48, 5e-7 at 0.8
+TILE_ROWS = 256
+COLUMNS = 4096
 _RANDOM = np.random.RandomState(60606)
 FLIPS, FACTORS = (_RANDOM.randint(0, 1 << 62, (BANDS, PERMUTATIONS_A_BAND)).astype(np.uint64) * np.uint64(4)
                   + np.uint64(k) for k in (3, 1))
@@ -83,8 +84,8 @@ def _signed(docs: DataFrame, text: str, size: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _held(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes with the Jaccard distance of their full sets, and whether they are linked.
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets reach the similarity.
 
     Every pair takes the text of its a by one join and meets the text of its b by another, so a class
     that many others are held against is moved once.
@@ -94,33 +95,65 @@ def _held(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFr
 
     def run(batches):
         for batch in batches:
-            sides = []
-            for name in ("a_text", "b_text"):
-                data, at = W.text_bytes(W.column(batch, name))
-                sides.append((data, at))
-            linked, far = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)
-            last, known = None, None
-            b_data, b_at = sides[1]
-            for low, high in W.blocks(sides[0][1]):
-                values, first = shingle_sets(*sides[0], low, high, size)
+            a_side, (b_data, b_at) = (W.text_bytes(W.column(batch, n)) for n in ("a_text", "b_text"))
+            linked, last, known = np.zeros(batch.num_rows, bool), None, None
+            for low, high in W.blocks(a_side[1]):
+                values, first = shingle_sets(*a_side, low, high, size)
                 for i in range(low, high):
                     raw = b_data[b_at[i]:b_at[i + 1]].tobytes()
                     if raw != last:  # rows of one b come together
                         last, known = raw, shingle_sets(b_data, b_at, i, i + 1, size)[0]
                     own = values[first[i - low]:first[i - low + 1]]
-                    common = _common(own, known)
-                    union = len(own) + len(known) - common
-                    linked[i], far[i] = 100 * common >= percent * union, 1 - common / max(union, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(far), pa.array(linked)],
-                                             names=["a", "b", "far", "linked"])
+                    both = np.sort(np.concatenate([own, known]))
+                    common = int(np.count_nonzero(both[1:] == both[:-1]))
+                    linked[i] = 100 * common >= percent * (len(own) + len(known) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(n).filter(pa.array(linked)) for n in ("a", "b")], names=["a", "b"])
 
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, far double, linked boolean")
+    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
-def _common(own: np.ndarray, known: np.ndarray) -> int:
-    """Size of the intersection of two sets of distinct hashes."""
-    both = np.sort(np.concatenate([own, known]))
-    return int(np.count_nonzero(both[1:] == both[:-1]))
+def _common_counts(a: list, b: list) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, by products of COLUMNS shingles at a time."""
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for sets in (a, b):
+        row, value = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets)
+        at = np.minimum(np.searchsorted(shared, value), max(len(shared) - 1, 0))
+        hit = shared[at] == value if len(shared) else np.zeros(len(value), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((row[hit][order], at[hit][order]))
+    for low in range(0, len(shared), COLUMNS):
+        parts = []
+        for sets, (row, at) in zip((a, b), sides, strict=True):
+            span = slice(*np.searchsorted(at, [low, low + COLUMNS]))
+            dense = np.zeros((len(sets), COLUMNS), np.float32)
+            dense[row[span], at[span] - low] = 1
+            parts.append(dense)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _between_tiles(asking: pa.Table, others: pa.Table, size: int, percent: int) -> pa.Table:
+    """A spanning forest of the links between two tiles of one hub's classes."""
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    if not asking.num_rows or not others.num_rows:
+        return kind.empty_table()
+    sides = []
+    for table in (asking, others):
+        table = table.combine_chunks()
+        text = table.column("text").combine_chunks()
+        data, at = W.text_bytes(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
+        values, first = shingle_sets(data, at, 0, table.num_rows, size)
+        sides.append((table.column("class").to_numpy(), [values[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]))
+    (a_class, a), (b_class, b) = sides
+    common = _common_counts(a, b)
+    union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - common
+    p, q = np.nonzero((100 * common >= percent * union) & (a_class[:, None] != b_class))
+    nodes = np.concatenate([a_class, b_class])
+    label = forest(nodes, p, q + len(a_class))
+    moved = label != nodes
+    return pa.table([nodes[moved], label[moved]], schema=kind)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -128,12 +161,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
 
     Rows of equal shingle sets form a class, and classes are compared, so copies cost nothing more. Each
     bucket of a band first holds its members against its hub, the member that meets the most others over
-    all bands; confirmed links give components. A bucket whose other members still fall into several
-    components goes on: members outside its largest component are held against those of other components,
-    16 a bucket in the first such round, four times as many in each further round, until every pair of a
-    bucket is compared, inside one component, or ruled out: Jaccard distance is a metric, so two members
-    whose distances to the hub differ by more than the limit cannot be linked. No link that a band proposes
-    is lost, and large groups never form all pairs.
+    all bands; confirmed links give components. Two members of a bucket share its hub. So where a hub's
+    classes fall into several components, those outside the largest one are compared with all classes of
+    the hub, in tiles of about TILE_ROWS that give a spanning forest and never their pairs. Then every
+    pair that a band proposes is compared or inside one component.
 
     Texts of fewer words than ``size`` are one shingle; null, empty and blank texts are empty sets, linked
     with nothing, and kept. Repeated doc_ids are told apart by their sets. A null doc_id takes part and is
@@ -143,48 +174,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     signed = written(_signed(docs, "text", size), "minmax-signatures")
     classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"))
     spread = signed.where("class is not null").select(F.explode("bands").alias("key"), "class")
-    buckets = spread.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
-    members = written(spread.join(buckets.select("key"), "key").distinct(), "minmax-buckets")
-    met = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    weight = members.join(met, "key").groupBy("class").agg(F.sum("n").alias("weight"))
-    weighed = members.join(weight, "class")
-    hubs = weighed.groupBy("key").agg(F.max(F.struct("weight", "class"))["class"].alias("hub"))
-    members = written(members.join(hubs, "key"), "minmax-members")
-    pairs = written(members.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct(),
-                    "minmax-pairs")
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "class")
-    named = signed.select("class", F.col("doc_id").alias("id")).join(wanted, "class").groupBy("class").agg(F.min("id").alias("id"))
+    buckets = spread.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
+    members = written(spread.join(buckets.where("low < high").select("key", "n"), "key").distinct(), "minmax-buckets")
+    weight = members.groupBy("class").agg(F.sum("n").alias("weight"))
+    hubs = members.join(weight, "class").groupBy("key").agg(F.max(F.struct("weight", "class"))["class"].alias("hub"))
+    pairs = written(members.join(hubs, "key").where("class <> hub").select(
+        F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), "minmax-pairs")
+    named = members.select("class").distinct().join(classes, "class").select("class", F.col("first_id").alias("id"))
     texts = written(_texts_of(docs, named, size), "minmax-texts")
-    held = written(_held(pairs, texts, size, percent), "minmax-held")
-    links = held.where("linked").select("a", "b")
+    links = written(_verified(pairs, texts, size, percent), "minmax-links")
     roots = connected(links)
-    far = members.join(held.select(F.col("a").alias("class"), F.col("b").alias("hub"), "far"), ["class", "hub"], "left") \
-        .select("key", "class", F.coalesce("far", F.lit(0.0)).alias("far"), (F.col("class") == F.col("hub")).alias("done"))
-    done, tried, most = far.where("done").select("key", "class"), pairs, 16
-    while True:
-        open_ = far.select("key", "class", "far").join(roots.select(F.col("node").alias("class"), "root"), "class", "left") \
-            .withColumn("root", F.coalesce("root", "class"))
-        rest = open_.join(done, ["key", "class"], "left_anti")
-        sizes = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-        split = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"),
-                                         F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        rank = F.row_number().over(Win.partitionBy("key").orderBy("class"))
-        asking = written(rest.join(split, "key").where("root <> largest").withColumn("rank", rank).where(F.col("rank") <= most)
-                         .select("key", F.col("class").alias("hub"), F.col("root").alias("hub_root"), F.col("far").alias("hub_far")),
-                         "minmax-asking")
-        if asking.isEmpty():
-            break
-        limit = 1 - percent / 100 + 1e-9
-        more = open_.join(asking, "key").where((F.col("root") != F.col("hub_root")) & (F.abs(F.col("far") - F.col("hub_far")) <= limit)) \
-            .select(F.greatest("class", "hub").alias("a"), F.least("class", "hub").alias("b")).distinct()
-        more = written(more.join(tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"),
-                       "minmax-pairs")
-        found = written(_held(more, texts, size, percent), "minmax-held").where("linked").select("a", "b")
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = connected(links)
-        tried, done = tried.union(more), done.union(asking.select("key", F.col("hub").alias("class")))
-        most *= 4
+    found = written(_open_links(pairs, roots, texts, size, percent), "minmax-open")
+    if not found.isEmpty():
+        roots = connected(links.union(found))
     labelled = classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left") \
         .withColumn("root", F.coalesce("root", "class"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -195,6 +197,31 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
                       F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key", "root")
 
 
+def _open_links(pairs: DataFrame, roots: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among the classes of hubs whose classes are in several components so far."""
+    group = pairs.select(F.col("b").alias("hub"), F.col("a").alias("class")) \
+        .join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    parts = group.groupBy("hub", "root").agg(F.count(F.lit(1)).alias("n"))
+    tiles = lambda n: F.ceil(n / TILE_ROWS).cast("int")
+    largest = F.max(F.struct("n", "root"))
+    split = parts.groupBy("hub").agg(largest.alias("s"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    split = split.select("hub", F.col("s.root").alias("largest"), tiles(F.col("all") - F.col("s.n")).alias("rows"),
+                         tiles(F.col("all")).alias("columns"))
+    open_ = written(group.join(split, "hub").select("hub", "class", (F.col("root") != F.col("largest")).alias("asks"), "rows", "columns"),
+                    "minmax-open-classes")
+    full = open_.join(texts, "class")
+    deal = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = full.where("asks").select("hub", deal("rows").alias("i"), every("columns").alias("j"), "class", "text")
+    others = full.select("hub", every("rows").alias("i"), deal("columns").alias("j"), "class", "text")
+    asking, others = asking.toDF("hub", "i", "j", "class", "text"), others.toDF("hub2", "i2", "j2", "class", "text")
+
+    def compare(one: pa.Table, other: pa.Table) -> pa.Table:
+        return _between_tiles(one, other, size, percent)
+
+    return asking.groupBy("hub", "i", "j").cogroup(others.groupBy("hub2", "i2", "j2")).applyInArrow(compare, "a long, b long")
+
+
 def _texts_of(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
     """(class, text) of each named class, from the document of its smallest doc_id.
 
