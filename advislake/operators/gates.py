@@ -125,8 +125,9 @@ def with_direction_gate(df: DataFrame, allow_missing: bool = True) -> DataFrame:
     """Zero credit that contradicts the asserted attack direction.
 
     Rewrites mitigation_candidates and adds direction_gate: struct<status, reason,
-    violations[control, direction, evidence]>. A missing direction is ``unchecked``, or
-    fails the job when not allowed.
+    violations>, the type of a saved gate. A violation tells the control, the directions it
+    acts on, the credit claimed and a message. A missing direction is ``unchecked``, or fails
+    the job when not allowed.
     """
     direction = F.col("inference.attack_path.direction")
     known = within(direction, vocab.DIRECTIONS)
@@ -145,8 +146,18 @@ def with_direction_gate(df: DataFrame, allow_missing: bool = True) -> DataFrame:
             effect=struct_of(likelihood_steps=F.lit(0), consequence_steps=F.when(unknown, 0).otherwise(cs),
                              path_block=F.lit(False)))
 
-    found = F.transform(F.filter("mitigation_candidates", contradicts), lambda c: struct_of(
-        control=c["id"], direction=direction, evidence=F.coalesce(c["evidence"], F.lit(""))))
+    def violation(c):
+        allowed = control_directions(c["id"])
+        # fixed sentence: tools read it
+        message = F.concat(c["id"], F.lit(" was credited against an "), direction, F.lit(
+            " attack path but only acts on ['"), F.array_join(allowed, "', '"), F.lit(
+            "']. Credit removed; assessment retained."))
+        return struct_of(
+            code="direction-contradiction", control=c["id"], direction=direction, applies_to_direction=allowed,
+            claimed=struct_of(likelihood_steps=c["effect"]["likelihood_steps"], path_block=c["effect"]["path_block"]),
+            evidence=F.coalesce(c["evidence"], F.lit("")), message=message)
+
+    found = F.transform(F.filter("mitigation_candidates", contradicts), violation)
     status = (F.when(~known, "unchecked").when(unknown, "unknown")
               .when(F.size("_found") > 0, "violations-found").otherwise("clean"))
     reason = F.when(~known, "attack_path.direction is missing or invalid").when(
@@ -220,23 +231,31 @@ def monthly_errors() -> Column:
 
 
 def with_evidence_floor(df: DataFrame) -> DataFrame:
-    """Lift a saved likelihood to the public minimum and say so."""
+    """Lift a saved likelihood to the public minimum, in the assessment, and say so there."""
     saved = index_of(vocab.LIKELIHOODS, fw("baseline_likelihood"))
     minimum = F.when(no_customer_action(), 0).otherwise(evidence_likelihood())
     lift = (saved >= 0) & (saved < minimum)
     raised = label_of(vocab.LIKELIHOODS, F.greatest(saved, minimum))
     text = F.concat(F.lit("Public-evidence policy floor raises "), fw("baseline_likelihood"),
                     F.lit(" to "), raised, F.lit("; original model response retained."))
+    path = "inference.framework_assessment"
+    lifted = F.col(path).withField("baseline_likelihood", raised).withField(
+        "policy_adjustments", F.concat(F.coalesce(fw("policy_adjustments"), words([])), F.array(text)))
     return df.withColumns({
         "floored_likelihood": F.when(saved >= 0, raised),
-        "floor_adjustments": F.when(lift, F.array(text)).otherwise(words([]))})
+        "floor_adjustments": F.when(lift, F.array(text)).otherwise(words([])),
+        "inference": F.col("inference").withField("framework_assessment", F.when(lift, lifted).otherwise(F.col(path)))})
 
 
 def fail_closed(df: DataFrame) -> DataFrame:
-    """Zero the credit of every candidate a control gate rejects, keeping its rationale."""
+    """Zero the credit of every candidate a control gate rejects, keeping its rationale.
+
+    Each rejected candidate is named in the assessment's policy adjustments.
+    """
+    verdict = lambda c: F.concat(candidate_errors(c), path_errors(c))
 
     def settle(c):
-        found = F.concat(candidate_errors(c), path_errors(c))
+        found = verdict(c)
         blank = struct_of(
             id=c["id"], relevance="unknown", confidence="low",
             evidence=F.concat(F.lit("No assessment credit: "), F.array_join(found, ", "), F.lit(
@@ -245,7 +264,15 @@ def fail_closed(df: DataFrame) -> DataFrame:
             effect=struct_of(likelihood_steps=F.lit(0), consequence_steps=F.lit(0), path_block=F.lit(False)))
         return F.when(F.size(found) > 0, blank).otherwise(c)
 
-    return df.withColumn("mitigation_candidates", F.transform("mitigation_candidates", settle))
+    rejected = F.filter("mitigation_candidates", lambda c: F.size(verdict(c)) > 0)
+    notes = F.transform(rejected, lambda c: F.concat(
+        F.lit("Credit withheld from "), c["id"], F.lit(": "), F.array_join(verdict(c), ", ")))
+    path = "inference.framework_assessment"
+    noted = F.col(path).withField("policy_adjustments", F.concat(F.coalesce(fw("policy_adjustments"), words([])), notes))
+    return df.withColumns({
+        "mitigation_candidates": F.transform("mitigation_candidates", settle),
+        "inference": F.col("inference").withField("framework_assessment", F.when(
+            F.col(path).isNotNull() & (F.size(notes) > 0), noted).otherwise(F.col(path)))})
 
 
 def with_taxonomy_closure(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ All are equi-joins on ``cve`` (or a small rule key). Sides are never hinted to
 broadcast: feeds and overlays grow with the releases, so Catalyst and AQE decide from
 their measured size.
 """
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from advislake.functions import vocab
 from advislake.functions.exprs import has, index_of, lookup, truthy, within, words
@@ -49,9 +49,13 @@ def resolve_products(listed: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def apply_program(df: DataFrame, sidecar: DataFrame) -> DataFrame:
-    """Attach the CVE program block; a missing or failed entry keeps only its status."""
-    facts = ["assigner", "url", "ssvc", "vendor_severity"]
-    side = sidecar.select("cve", F.col("status").alias("_st"), *[F.col(c).alias(f"_{c}") for c in facts])
+    """Attach the CVE program block; a missing or failed entry keeps only its status.
+
+    Every fact of the sidecar is carried; one that it does not have is null.
+    """
+    facts = ["assigner", "url", "sha256", "date_updated", "ssvc", "ssvc_provider", "vendor_severity", "cna"]
+    given = lambda c: F.col(c) if c in sidecar.columns else F.lit(None).cast("string")
+    side = sidecar.select("cve", F.col("status").alias("_st"), *[given(c).alias(f"_{c}") for c in facts])
     out = df.drop("cve_program").join(side, "cve", "left")
     found = truthy(F.col("_st") == "found")
     keep = lambda c: F.when(found, F.col(f"_{c}")).alias(c)
@@ -125,21 +129,34 @@ def merge_overlay(baseline: DataFrame, overlay: DataFrame) -> DataFrame:
     }).drop("o_tags", "o_candidates", "o_inference")
 
 
+def _blank_inference(kind) -> Column:
+    """An unreviewed judgement of the given struct type, with an explicit gate that did not apply."""
+    gate = {"status": "not-applicable", "reason": "record carries no inference overlay"}
+    said = {"model": "none", "taxonomy_version": "1.0", "review_status": "unreviewed"}
+    null = lambda f, values: F.lit(values.get(f.name)).cast(f.dataType).alias(f.name)
+    return F.struct(*[
+        F.struct(*[null(g, gate) for g in f.dataType.fields]).alias(f.name) if f.name == "direction_gate"
+        else null(f, said) for f in kind.fields])
+
+
 def with_unreviewed(merged: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Add baseline rows without an overlay, with an explicit not-applicable gate."""
+    """Add baseline rows without an overlay, with an explicit not-applicable gate.
+
+    Merged rows stay as they are; where their judgement lacks a field that an unreviewed
+    one states, the field is added as null.
+    """
+    for path, kind in [("model", "string"), ("taxonomy_version", "string"), ("review_status", "string"),
+                       ("direction_gate", "struct<status:string,reason:string>"), ("direction_gate.reason", "string")]:
+        held = merged.schema["inference"].dataType
+        for part in path.split(".")[:-1]:
+            held = held[part].dataType
+        if path.split(".")[-1] not in held.fieldNames():
+            merged = merged.withColumn("inference", F.col("inference").withField(path, F.lit(None).cast(kind)))
     left = baseline.join(merged.select("cve"), "cve", "left_anti").drop("mitigation_candidates", "inference")
     blank = left.withColumns({
         "mitigation_candidates": F.array().cast(merged.schema["mitigation_candidates"].dataType),
-        "inference": F.struct(
-            F.lit("none").alias("model"), F.lit("unreviewed").alias("review_status"),
-            F.struct(F.lit("not-applicable").alias("status"),
-                     F.lit("record carries no inference overlay").alias("reason")).alias("direction_gate")),
-    })
-    slim = merged.withColumn("inference", F.struct(
-        F.col("inference.model").alias("model"), F.col("inference.review_status").alias("review_status"),
-        F.struct(F.col("inference.direction_gate.status").alias("status"),
-                 F.lit(None).cast("string").alias("reason")).alias("direction_gate")))
-    return slim.unionByName(blank.select(*slim.columns))
+        "inference": _blank_inference(merged.schema["inference"].dataType)})
+    return merged.unionByName(blank.select(*merged.columns))
 
 
 def control_directions(control: Column) -> Column:
@@ -189,56 +206,70 @@ def proof_of_findings(findings: DataFrame, values: DataFrame, public: Column = N
             *keys, "digest", "at.location", "at.pointer", F.col("at").isNotNull().alias("proved"))
 
 
-def unproved(findings: DataFrame, values: DataFrame, public: Column = None) -> DataFrame:
-    return proof_of_findings(findings, values, public).where(~F.col("proved"))
-
-
 def reconcile_sources(published: DataFrame, raw: DataFrame) -> DataFrame:
     """Published rows beside their raw source rows."""
     return published.join(raw, "cve", "inner")
 
 
+def _amended(old: Column, held, fix: Column, stated) -> Column:
+    """``old`` with every leaf that ``fix`` states, field by field; maps entry by entry."""
+    if isinstance(held, T.StructType) and isinstance(stated, T.StructType):
+        unknown = set(stated.fieldNames()) - set(held.fieldNames())
+        if unknown:
+            raise ValueError(f"a correction names fields that the record does not have: {sorted(unknown)}")
+        parts = [(_amended(old[f.name], f.dataType, fix[f.name], stated[f.name].dataType)
+                  if f.name in stated.fieldNames() else old[f.name]).alias(f.name) for f in held.fields]
+        return F.when(fix.isNull(), old).otherwise(F.struct(*parts))
+    if isinstance(held, T.MapType):
+        return F.when(old.isNull() | fix.isNull(), F.coalesce(fix, old)).otherwise(
+            F.map_zip_with(old, fix, lambda k, a, b: F.coalesce(b, a)))
+    return F.coalesce(fix, old)
+
+
 def apply_corrections(df: DataFrame, corrections: DataFrame, digest: str, reviewer: str) -> DataFrame:
     """Deep override of saved assessments.
 
-    ``corrections``: cve, reason, fields map<string,string> of assessment leaves,
-    controls map<string, struct<relevance, confidence, evidence>>.
+    ``corrections``: cve, reason, fields (a struct of any assessment leaves, null where
+    nothing changes) and controls (map of control id to a struct of candidate leaves). A
+    field that the record's own type lacks is refused when the plan is built.
     """
     fixes = corrections.select("cve", F.col("reason").alias("_why"), F.col("fields").alias("_f"),
                                F.col("controls").alias("_c"))
     out = df.join(fixes, "cve", "left")
     path = "inference.framework_assessment"
     original = F.sha2(F.to_json(F.col(path), {"ignoreNullFields": "false"}), 256)
-    framework = F.col(path)
-    for leaf in ["baseline_model", "baseline_likelihood", "baseline_action", "confidence"]:
-        framework = framework.withField(leaf, F.coalesce(
-            F.try_element_at("_f", F.lit(leaf)), F.col(f"{path}.{leaf}")))
+    inference = df.schema["inference"].dataType
+    framework = _amended(F.col(path), inference["framework_assessment"].dataType, F.col("_f"),
+                         corrections.schema["fields"].dataType)
     framework = framework.withField("policy_adjustments", F.concat(
-        F.coalesce(F.col(f"{path}.policy_adjustments"), words([])),
+        F.coalesce(framework["policy_adjustments"], words([])),
         F.array(F.concat(F.lit("Source review: "), F.col("_why")))))
+    candidate = df.schema["mitigation_candidates"].dataType.elementType
+    stated = corrections.schema["controls"].dataType.valueType
 
     def amended(c):
         fix = F.try_element_at(F.col("_c"), c.id)
-        out_c = c
-        for leaf in ["relevance", "confidence", "evidence"]:
-            out_c = out_c.withField(leaf, F.coalesce(fix[leaf], c[leaf]))
-        return F.when(fix.isNotNull(), out_c).otherwise(c)
+        return F.when(fix.isNotNull(), _amended(c, candidate, fix, stated)).otherwise(c)
 
     hit = F.col("_why").isNotNull()
-    inference = F.col("inference").withField("framework_assessment", framework).withField(
-        "verification", F.struct(F.lit(reviewer).alias("reviewer"), F.col("_why").alias("reason"),
-                                 original.alias("original_assessment_sha256"),
-                                 F.lit(digest).alias("corrections_file_sha256")))
-    plain = F.col("inference").withField("verification", F.lit(None).cast(
-        "struct<reviewer:string,reason:string,original_assessment_sha256:string,corrections_file_sha256:string>"))
+    proof = F.struct(F.lit(reviewer).alias("reviewer"), F.col("_why").alias("reason"),
+                     original.alias("original_assessment_sha256"), F.lit(digest).alias("corrections_file_sha256"))
+    held = inference["verification"].dataType if "verification" in inference.fieldNames() else None
+    if isinstance(held, T.VariantType):
+        proof = F.to_variant_object(proof)
+    before = F.col("inference.verification") if held else F.lit(None)
+    kind = "variant" if isinstance(held, T.VariantType) else (
+        "struct<reviewer:string,reason:string,original_assessment_sha256:string,corrections_file_sha256:string>")
     return out.withColumns({
-        "_i": F.when(hit, inference).otherwise(plain),
+        "_i": F.col("inference").withField("framework_assessment", F.when(hit, framework).otherwise(F.col(path)))
+        .withField("verification", F.when(hit, proof).otherwise(before.cast(kind))),
         "mitigation_candidates": F.when(hit & F.col("_c").isNotNull(), F.transform(
             "mitigation_candidates", amended)).otherwise(F.col("mitigation_candidates")),
     }).drop("inference", "_why", "_f", "_c").withColumnRenamed("_i", "inference")
 
 
 def unknown_corrections(df: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Ids that a correction names and no record has; a release with any is refused."""
     return corrections.join(df.select("cve"), "cve", "left_anti").select("cve")
 
 

@@ -16,10 +16,14 @@ def publication_order() -> list:
 
 
 def natural_key(text: Column) -> Column:
-    """Sort key in which digit runs compare as numbers and letters ignore case."""
+    """Sort key in which digit runs compare as numbers and letters ignore case.
+
+    A run is led by its own length, so runs of any length compare.
+    """
     pieces = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\d+|\D+"), 0)
-    return F.array_join(F.transform(pieces, lambda p: F.when(
-        F.rlike(p, F.lit(r"^\d")), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 24, "0")).otherwise(p)), "")
+    bare = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(pieces, lambda p: F.when(F.rlike(p, F.lit(r"^\d")), F.concat(
+        F.lpad(F.length(bare(p)).cast("string"), 10, "0"), bare(p))).otherwise(p)), "")
 
 
 def advisory_sort(df: DataFrame, key: str, direction: str = "desc", position: str = None) -> DataFrame:

@@ -254,6 +254,8 @@ def ssvc() -> Column:
 CVSS_KEYS = ["cvssV4_0", "cvssV3_1", "cvssV3_0", "cvssV2_0"]
 _CVSS = "struct<baseSeverity:string,baseScore:double,vectorString:string>"
 _VERSIONS = "array<struct<version:string,status:string,lessThan:string>>"
+ADP_METRICS = ("array<struct<other:struct<type:string,content:struct<timestamp:string,"
+                "options:array<map<string,string>>>>>>")
 PROGRAM_SCHEMA = (
     "cveMetadata struct<cveId:string,state:string,assignerShortName:string,"
     "datePublished:string,dateUpdated:string>, "
@@ -263,9 +265,7 @@ PROGRAM_SCHEMA = (
     "references:array<struct<url:string,tags:array<string>>>,"
     f"affected:array<struct<vendor:string,product:string,versions:{_VERSIONS}>>,"
     f"metrics:array<struct<{','.join(f'{k}:{_CVSS}' for k in CVSS_KEYS)}>>>,"
-    "adp:array<struct<providerMetadata:struct<shortName:string>,"
-    "metrics:array<struct<other:struct<type:string,content:struct<timestamp:string,"
-    "options:array<map<string,string>>>>>>>>>")
+    f"adp:array<struct<providerMetadata:struct<shortName:string>,metrics:{ADP_METRICS}>>>")
 
 
 def program_facts(document: str = "doc") -> dict:
@@ -320,10 +320,9 @@ def cna_severity(cna: Column) -> Column:
 
 
 def ssvc_facts(adp: Column) -> dict:
-    """Decision points of the last ADP metric that states any."""
+    """Decision points of the last ADP metric that states any; containers without metrics are passed over."""
     blocks = F.flatten(F.transform(adp, lambda c: F.transform(
-        F.filter(F.coalesce(c.metrics, F.filter(c.metrics, lambda m: F.lit(True))),
-                 lambda m: truthy(m.other.type == "ssvc")),
+        F.filter(F.coalesce(c.metrics, F.array().cast(ADP_METRICS)), lambda m: truthy(m.other.type == "ssvc")),
         lambda m: F.struct(c.providerMetadata.shortName.alias("provider"),
                            m.other.content.timestamp.alias("timestamp"),
                            m.other.content.options.alias("options")))))

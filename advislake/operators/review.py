@@ -59,7 +59,7 @@ def pending_first(status: DataFrame) -> DataFrame:
 def fixed_products() -> Column:
     """Product ids with a listed fix, from the record's own remediation array."""
     fixes = F.filter("vendor_guidance.remediations", lambda r: r["type"].cast("string") == "2")
-    return F.coalesce(F.flatten(F.transform(fixes, lambda r: r.product_ids)), words([]))
+    return F.coalesce(F.flatten(F.transform(fixes, lambda r: F.coalesce(r.product_ids, words([])))), words([]))
 
 
 def update_counts() -> Column:

@@ -2,8 +2,8 @@
 from pyspark.sql import functions as F
 
 from advislake.functions import vocab
-from advislake.functions.exprs import struct_of, words
-from advislake.operators import gates, joins
+from advislake.functions.exprs import attach, struct_of, words
+from advislake.operators import gates, joins, merge
 from advislake.plans import bridge as B
 from advislake.plans.registry import register
 from advislake.plans.sql_views import inlist, pick, values, view
@@ -37,10 +37,20 @@ def cvss_basis(spark, sf):
 
 
 @codes("v2_framework_vocabulary", "rec", ["rec"])([
+    ("unknown-archetype", "has_fw AND k % 71 = 3"), ("likelihood", "has_fw AND k % 73 = 4"),
+    ("action", "has_fw AND k % 79 = 5"), ("confidence", "has_fw AND k % 83 = 6"),
     ("framework-missing", "NOT has_fw"), ("model-version", f"has_fw AND model_version <> '{vocab.RISK_MODEL_VERSION}'"),
     ("factors", "has_fw AND (k % 37 = 0 OR k % 5 = 2)"), ("communication", "has_fw AND (k % 4 = 1 OR k % 6 = 5)")])
 def framework_vocabulary(spark, sf):
-    return exploded(B.records(spark, sf), gates.framework_errors())
+    k, path = F.col("k"), "inference.framework_assessment"
+    inference = F.col("inference")
+    for leaf, odd in (("baseline_model", k % 71 == 3), ("baseline_likelihood", k % 73 == 4),
+                      ("baseline_action", k % 79 == 5), ("confidence", k % 83 == 6)):
+        inference = inference.withField(f"framework_assessment.{leaf}", F.when(odd, "odd").otherwise(F.col(f"{path}.{leaf}")))
+    planted = F.when(F.col(path).isNotNull(), inference).otherwise(F.col("inference"))
+    # behind a barrier, or every rule would copy the planting
+    rows = attach(B.records(spark, sf), struct_of(planted=planted))
+    return exploded(rows.drop("inference").withColumnRenamed("planted", "inference"), gates.framework_errors())
 
 
 @codes("v3_framework_floors", "(SELECT *, car IS DISTINCT FROM false AS act FROM ev2 WHERE has_fw)", ["ev2"])([
@@ -144,10 +154,12 @@ def monthly_overlay(spark, sf):
 
 
 @register("v11_evidence_floor", f"""SELECT cve, {pick(vocab.LIKELIHOODS, "greatest(saved_l, CASE WHEN car = false THEN 0 ELSE ev_l END)")} AS likelihood,
-  CASE WHEN saved_l < CASE WHEN car = false THEN 0 ELSE ev_l END THEN 1 ELSE 0 END AS adjustments FROM ev WHERE has_fw""", ["ev"])
+  CASE WHEN saved_l < CASE WHEN car = false THEN 0 ELSE ev_l END THEN 1 ELSE 0 END AS adjustments,
+  CASE WHEN saved_l < CASE WHEN car = false THEN 0 ELSE ev_l END THEN 1 ELSE 0 END + CASE WHEN k % 12 = 5 THEN 1 ELSE 0 END AS noted FROM ev WHERE has_fw""", ["ev"])
 def evidence_floor(spark, sf):
     return gates.with_evidence_floor(B.records(spark, sf)).where("floored_likelihood is not null").select(
-        "cve", F.col("floored_likelihood").alias("likelihood"), F.size("floor_adjustments").alias("adjustments"))
+        "cve", F.col("inference.framework_assessment.baseline_likelihood").alias("likelihood"), F.size("floor_adjustments").alias("adjustments"),
+        F.coalesce(F.size("inference.framework_assessment.policy_adjustments"), F.lit(0)).alias("noted"))
 
 
 _BADC = f"""((relevance <> 'relevant' AND (ls <> 0 OR cs <> 0 OR block)) OR (block AND NOT (confidence = 'high' AND id IN {inlist(vocab.PATH_BLOCK_CONTROLS)}))
@@ -209,38 +221,105 @@ def merge_overlay(spark, sf):
         "cve", flat(F.col("tags")).alias("tags"), F.col("inference.review_status").alias("status"))
 
 
-@register("j9_with_unreviewed", """SELECT cve, CASE WHEN k % 8 = 0 THEN 'unreviewed' ELSE 'reviewed' END AS status, CASE WHEN k % 8 = 0 THEN 'not-applicable'
-  WHEN direction = 'unknown' THEN 'unknown' ELSE 'clean' END AS gate FROM rec""", ["rec"])
+@register("j9_with_unreviewed", f"""SELECT cve, CASE WHEN k % 8 = 0 THEN 'unreviewed' ELSE 'reviewed' END AS status, CASE WHEN k % 8 = 0 THEN 'not-applicable'
+  WHEN direction = 'unknown' THEN 'unknown' ELSE 'clean' END AS gate, CASE WHEN k % 8 = 0 THEN 'record carries no inference overlay' END AS reason,
+  CASE WHEN k % 8 = 0 THEN 'none' ELSE 'assessor-1' END AS model, '1.0' AS taxonomy, CASE WHEN k % 8 <> 0 THEN direction END AS direction,
+  CASE WHEN k % 8 <> 0 THEN {pick(vocab.ACTIONS, 'saved_a')} END AS action, CASE WHEN k % 8 <> 0 THEN model_version END AS model_version,
+  CASE WHEN k % 8 <> 0 AND k % 3 = 0 THEN nbasis END AS basis FROM rec""", ["rec"])
 def with_unreviewed(spark, sf):
     records = B.records(spark, sf)
     merged = joins.merge_overlay(records, overlays(spark, sf))
+    at = lambda path, name: F.col(f"inference.{path}").alias(name)
     return joins.with_unreviewed(merged, records).select(
-        "cve", F.col("inference.review_status").alias("status"), F.col("inference.direction_gate.status").alias("gate"))
+        "cve", at("review_status", "status"), at("direction_gate.status", "gate"), at("direction_gate.reason", "reason"),
+        at("model", "model"), at("taxonomy_version", "taxonomy"), at("attack_path.direction", "direction"),
+        at("framework_assessment.baseline_action", "action"), at("framework_assessment.risk_model_version", "model_version"),
+        at("severity_basis.normalized_basis", "basis"))
+
+
+def authored(spark, sf):
+    """Overlays as an assessor hands them in; some repeated, some without a record."""
+    k = F.col("k")
+    call = {"assessment_status": F.when(k % 3 != 0, "model-assessed"), "guidance_version": F.when(k % 5 != 0, "monthly-1"),
+            "pipeline_validation": F.parse_json(F.lit('{"type": "automated-source-and-schema"}')),
+            "invocation": F.parse_json(F.lit('{"schema_enforced": true}'))}
+    inference = F.col("inference")
+    for name, value in call.items():
+        inference = inference.withField(name, value)
+    return B.records(spark, sf).where("k % 8 <> 0").select(
+        "k", "cve", words(["web"]).alias("tags"), "mitigation_candidates", inference.alias("inference"),
+        struct_of(base_score=F.col("cvss.base_score"), vector=F.col("cvss.vector"), attack_vector=F.col("attack.vector"),
+                  privileges_required=F.col("attack.privileges_required"), user_interaction=F.col("attack.user_interaction")
+                  ).alias("cvss_basis"))
+
+
+@register("j8_merge_refusals", """SELECT cve || '-X' AS cve, 'overlay-id' AS gate, 'absent-from-baseline' AS violation FROM rec WHERE k % 8 <> 0 AND k % 40 = 7
+  UNION ALL SELECT cve, 'overlay-id', 'repeated-overlay' FROM rec WHERE k % 8 <> 0 AND k % 60 = 9
+  UNION ALL SELECT cve, 'tags', 'made-up' FROM rec WHERE k % 8 <> 0 AND k % 50 = 11
+  UNION ALL SELECT cve, 'completeness', 'not-reviewed' FROM rec WHERE k % 8 = 0""", ["rec"])
+def merge_refusals(spark, sf):
+    given = authored(spark, sf).withColumn("tags", F.when(F.col("k") % 50 == 11, words(["made-up"])).otherwise(F.col("tags")))
+    absent = given.where("k % 40 = 7").withColumn("cve", F.concat("cve", F.lit("-X")))
+    handed = given.unionByName(absent).unionByName(given.where("k % 60 = 9 and k % 50 <> 11"))
+    return merge.merge_violations(B.records(spark, sf), handed.drop("k"), complete=True).where(
+        "gate in ('overlay-id', 'tags', 'completeness')")
+
+
+@register("j8_merge_flow", """SELECT r.cve, CASE WHEN r.k % 8 = 0 THEN 'unreviewed' ELSE 'reviewed' END AS status, CASE WHEN r.k % 8 = 0 THEN 'not-applicable'
+   WHEN r.direction IS NULL THEN 'unchecked' WHEN r.direction = 'unknown' THEN 'unknown' WHEN coalesce(bool_or(bad), false) THEN 'violations-found' ELSE 'clean' END AS gate,
+  CASE WHEN r.k % 8 <> 0 THEN coalesce(string_agg(id, '|' ORDER BY pos) FILTER (bad), '') END AS controls,
+  CASE WHEN r.k % 8 <> 0 AND r.k % 3 <> 0 AND r.k % 5 <> 0 THEN r.nbasis WHEN r.k % 8 <> 0 AND r.k % 3 = 0 THEN r.nbasis END AS pinned
+  FROM rec r LEFT JOIN dirgate g ON g.k = r.k GROUP BY r.cve, r.k, r.direction, r.nbasis""", ["rec", "dirgate"])
+def merge_flow(spark, sf):
+    out = merge.merge_release(B.records(spark, sf), authored(spark, sf).drop("k", "cvss_basis"), complete=True,
+                              include_unreviewed=True, allow_missing_direction=True)
+    gate = F.col("inference.direction_gate")
+    return out.select("cve", F.col("inference.review_status").alias("status"), gate["status"].alias("gate"),
+                      flat(F.transform(gate["violations"], lambda v: v["control"])).alias("controls"),
+                      F.col("inference.severity_basis.normalized_basis").alias("pinned"))
+
+
+@register("v5_closed_values", """SELECT cve, CASE WHEN k % 5 = 0 THEN 'made-up' ELSE 'waf_virtual_patch' END AS control,
+  CASE k % 5 WHEN 0 THEN 'unknown-control' WHEN 1 THEN 'relevance' WHEN 2 THEN 'confidence' ELSE 'steps' END AS violation FROM adv WHERE k % 5 <> 4""", ["adv"])
+def closed_values(spark, sf):
+    k = F.col("k") % 5
+    planted = struct_of(
+        id=F.when(k == 0, "made-up").otherwise("waf_virtual_patch"), relevance=F.when(k == 1, "odd").otherwise("relevant"),
+        confidence=F.when(k == 2, "odd").otherwise("high"), evidence="stated", direction_override=F.lit(None).cast("boolean"),
+        effect=struct_of(likelihood_steps=F.lit(0), consequence_steps=F.when(k == 3, 5).otherwise(0), path_block=F.lit(False)))
+    return gates.candidate_violations(B.advisories(spark, sf).select("k", "cve", F.array(planted).alias("mitigation_candidates")))
 
 
 def corrections(spark, sf):
+    field = struct_of(baseline_action=F.lit("Immediate"), factors=F.create_map(F.lit("uncertainty"), F.lit("None")),
+                      risk_communication=struct_of(summary=F.lit("Corrected summary")))
+    control = struct_of(relevance="not-relevant", evidence="amended", effect=struct_of(likelihood_steps=F.lit(0)))
     return B.advisories(spark, sf).where("k % 25 = 1 and k % 8 <> 0").select(
-        "cve", F.lit("typo").alias("reason"), F.create_map(F.lit("baseline_action"), F.lit("Immediate")).alias("fields"),
-        F.create_map(F.lit("waf_virtual_patch"), F.struct(
-            F.lit("not-relevant").alias("relevance"), F.lit(None).cast("string").alias("confidence"),
-            F.lit("amended").alias("evidence"))).alias("controls"))
+        "cve", F.lit("typo").alias("reason"), field.alias("fields"),
+        F.create_map(F.lit("waf_virtual_patch"), control).alias("controls"))
+
+
+_FIXED = "(CASE WHEN r.k % 25 = 1 THEN {} ELSE {} END)"
 
 
 @register("j17_apply_corrections", f"""SELECT r.cve, CASE WHEN r.k % 25 = 1 THEN 'Immediate' ELSE {pick(vocab.ACTIONS, 'saved_a')} END AS action, r.k % 25 = 1 AS corrected,
-  (SELECT string_agg(CASE WHEN r.k % 25 = 1 AND id = 'waf_virtual_patch' THEN 'not-relevant:amended' ELSE relevance || ':' || evidence END, '|' ORDER BY pos) FROM cand c WHERE c.k = r.k) AS controls
+  CASE WHEN r.k % 25 = 1 THEN 'Corrected summary' WHEN r.k % 4 <> 1 THEN 'Assessed ' || r.cve END AS summary,
+  CASE WHEN r.k % 25 = 1 THEN 'None' ELSE {pick(B.UNCERTAINTIES, 'k % 5')} END AS uncertainty, CASE WHEN r.k % 37 = 0 THEN '' ELSE 'stated' END AS impact,
+  model_version, (SELECT string_agg(CASE WHEN r.k % 25 = 1 AND id = 'waf_virtual_patch' THEN 'not-relevant:amended:0:' || cs ELSE relevance || ':' || evidence || ':' || ls || ':' || cs END, '|' ORDER BY pos) FROM cand c WHERE c.k = r.k) AS controls
   FROM rec r WHERE has_fw""", ["rec", "cand"])
 def apply_corrections(spark, sf):
     out = joins.apply_corrections(B.records(spark, sf).where("k % 8 <> 0"), corrections(spark, sf), "0" * 64, "qa")
-    return out.select("cve", F.col("inference.framework_assessment.baseline_action").alias("action"),
-                      F.col("inference.verification").isNotNull().alias("corrected"),
-                      flat(F.transform("mitigation_candidates", lambda c: F.concat(
-                          c["relevance"], F.lit(":"), c["evidence"]))).alias("controls"))
+    at = lambda path, name: F.col(f"inference.framework_assessment.{path}").alias(name)
+    steps = lambda c, f: c["effect"][f].cast("string")
+    return out.select("cve", at("baseline_action", "action"), F.col("inference.verification").isNotNull().alias("corrected"),
+                      at("risk_communication.summary", "summary"), at("factors.uncertainty", "uncertainty"),
+                      at("factors.technical_impact", "impact"), at("risk_model_version", "model_version"),
+                      flat(F.transform("mitigation_candidates", lambda c: F.concat_ws(
+                          ":", c["relevance"], c["evidence"], steps(c, "likelihood_steps"), steps(c, "consequence_steps")))).alias("controls"))
 
 
 @register("j17_unknown_corrections", "SELECT cve || '-X' AS cve FROM adv WHERE k % 200 = 1", ["adv"])
 def unknown_corrections(spark, sf):
-    asked = corrections(spark, sf).unionByName(B.advisories(spark, sf).where("k % 200 = 1").select(
-        F.concat("cve", F.lit("-X")).alias("cve"), F.lit("").alias("reason"),
-        F.lit(None).cast("map<string,string>").alias("fields"),
-        F.lit(None).cast("map<string,struct<relevance:string,confidence:string,evidence:string>>").alias("controls")))
+    asked = corrections(spark, sf).select("cve").unionByName(B.advisories(spark, sf).where("k % 200 = 1").select(
+        F.concat("cve", F.lit("-X")).alias("cve")))
     return joins.unknown_corrections(B.advisories(spark, sf), asked)

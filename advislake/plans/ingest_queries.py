@@ -1,6 +1,7 @@
 """Source, sink, parsing and feed-join queries."""
 from pyspark.sql import functions as F
 
+from advislake import schema
 from advislake.functions import scalar, vocab
 from advislake.functions.exprs import struct_of, words
 from advislake.operators import joins, parse, review, risk, search
@@ -95,22 +96,32 @@ def read_kev(spark, sf):
     return readers.read_kev(spark, landed(spark, "kev", twice), multi_line=False)
 
 
+_LATE = "CAST(right(cve, 7) AS INTEGER) % 10 <> 3"
+
+
 def epss_files(spark, sf):
-    rows = B.epss(spark, sf).select(F.explode(F.array(
-        F.struct("cve", (F.col("epss") / 2).alias("epss"), "percentile"),
-        F.struct("cve", "epss", "percentile"))).alias("r")).select("r.*")
-    path = landed(spark, "scores", rows, "csv", header=True)
-    remark = spark.range(1).select(F.lit("#model_version:v1,score_date:2026-09-10T00:00:00+0000\ncve,epss,percentile").alias("value"))
-    remark.coalesce(1).write.mode("append").text(path)
+    """Two files with a date each: half scores of all ids, then the scores of most ids again."""
+    rows = B.epss(spark, sf)
+    late = F.substring("cve", -7, 7).cast("int") % 10 != 3
+    line = lambda score: F.concat_ws(",", "cve", score.cast("string"), F.col("percentile").cast("string"))
+    lines = rows.select(F.explode(F.array(
+        F.struct(F.lit(1).alias("day"), line(F.col("epss") / 2).alias("value")),
+        F.struct(F.lit(2).alias("day"), F.when(late, line(F.col("epss"))).alias("value")))).alias("r")).select("r.*")
+    heads = spark.createDataFrame([(d, at, text) for d in (1, 2) for at, text in enumerate(
+        [f"#model_version:v1,score_date:2026-09-{9 + d:02d}T00:00:00+0000", "cve,epss,percentile"])], "day int, at int, value string")
+    both = heads.unionByName(lines.where("value is not null").withColumn("at", F.lit(2)))
+    path = fresh_path(spark, "scores")
+    both.repartition("day").sortWithinPartitions("day", "at").drop("at").write.partitionBy("day").text(path)
     return path
 
 
-@register("s4_read_epss_last_wins", "SELECT cve, round(epss, 6) AS epss FROM epss", ["epss"])
+@register("s4_read_epss_last_wins", f"SELECT cve, round(CASE WHEN {_LATE} THEN epss ELSE epss / 2 END, 6) AS epss FROM epss", ["epss"])
 def read_epss(spark, sf):
     return readers.read_epss(spark, epss_files(spark, sf)).select("cve", F.round("epss", 6).alias("epss"))
 
 
-@register("s5_read_epss_dated", "SELECT '2026-09-10' AS score_date, count(*) AS records, round(sum(percentile), 4) AS total FROM epss", ["epss"])
+@register("s5_read_epss_dated", f"""SELECT CASE WHEN {_LATE} THEN '2026-09-11' ELSE '2026-09-10' END AS score_date, count(*) AS records,
+round(sum(percentile), 4) AS total FROM epss GROUP BY 1""", ["epss"])
 def read_epss_dated(spark, sf):
     return readers.read_epss(spark, epss_files(spark, sf)).groupBy("score_date").agg(
         F.count("*").alias("records"), F.round(F.sum("percentile"), 4).alias("total"))
@@ -154,12 +165,36 @@ def published_datasets(spark, sf):
 
 
 # --- sinks -----------------------------------------------------------------------------
-@register("k1_export_jsonl", "SELECT count(*) AS records, count(DISTINCT cve) AS ids FROM adv", ["adv"])
+def whole_records(spark, sf):
+    """The release with every field that a stored record can carry."""
+    k = F.col("k")
+    variant = lambda **parts: F.parse_json(F.to_json(struct_of(**parts)))
+    program = F.col("cve_program").withField("sha256", F.sha2("cve", 256)).withField("date_updated", F.lit("2026-02-01")) \
+        .withField("ssvc_provider", F.lit("CISA-ADP")).withField("cna", variant(title=F.col("title"), weaknesses=F.array(F.lit("CWE-79"))))
+    violation = F.from_json(F.lit('[{"code": "direction-contradiction", "control": "waf_virtual_patch", "direction": "local", '
+                                  '"applies_to_direction": ["inbound"], "claimed": {"likelihood_steps": 1}, "evidence": "e", "message": "m"}]'),
+                            schema.VIOLATIONS)
+    judged = F.col("inference").withField("assessment_status", F.lit("model-assessed")).withField("guidance_version", F.lit("monthly-1")) \
+        .withField("direction_gate.reason", F.when(k % 2 == 0, "stated")).withField("direction_gate.violations", violation) \
+        .withField("verification", variant(reviewer=F.lit("qa"), n=k)).withField("pipeline_validation", variant(type=F.lit("t"))) \
+        .withField("invocation", variant(batch=k, schema_enforced=F.lit(True)))
+    return B.records(spark, sf).withColumns({
+        "cve_program": program, "inference": judged, "dataset_provenance": variant(epss_source=struct_of(url=F.lit("u"), n=k)),
+        "review": variant(required=k % 2 == 0, reasons=F.array(F.lit("r"))), "priority": F.parse_json(F.lit('"Immediate"')),
+        "assessment": variant(profile=struct_of(a=k / 4)), "tier1_review": variant(status=F.lit("flagged"))}).drop("k")
+
+
+@register("k1_export_jsonl", "SELECT cve, true AS whole FROM adv", ["adv"])
 def export_jsonl(spark, sf):
+    """Exported and read again: one canonical digest of all leaves before and after."""
     path = fresh_path(spark, "export")
-    sinks.export_jsonl(B.records(spark, sf).drop("k"), path)
-    return readers.read_advisories(spark, path).agg(
-        F.count("*").alias("records"), F.count_distinct("cve").alias("ids"))
+    given = whole_records(spark, sf)
+    sinks.export_jsonl(given, path)
+    # a VARIANT orders its keys, so field order does not matter
+    digest = lambda df, name: df.select("cve", F.sha2(F.to_json(F.parse_json(F.to_json(F.struct(
+        *sorted(df.columns))))), 256).alias(name))
+    return digest(given, "a").join(digest(readers.read_advisories(spark, path), "b"), "cve").select(
+        "cve", (F.col("a") == F.col("b")).alias("whole"))
 
 
 @register("k2_assessed_export", f"""SELECT cve, {pick([vocab.PRIORITY_LABELS[a] for a in vocab.ACTIONS], 'res_a')} AS residual, required,
@@ -328,7 +363,9 @@ def program_documents(spark, sf):
         option("Exploitation", e), option("Automatable", F.when(k % 4 == 0, "yes").otherwise("no")),
         option("Technical Impact", F.lit("total"))).alias("options")).alias("content")).alias("other"))
     from advislake.functions.exprs import label_of
-    adp = F.array(F.struct(F.struct(F.lit("OTHER").alias("shortName")).alias("providerMetadata"),
+    bare = F.struct(F.struct(F.lit("BARE").alias("shortName")).alias("providerMetadata"),
+                    F.lit(None).cast(parse.ADP_METRICS).alias("metrics"))
+    adp = F.array(bare, F.struct(F.struct(F.lit("OTHER").alias("shortName")).alias("providerMetadata"),
                            F.array(ssvc(F.lit("none"), "t0")).alias("metrics")),
                   F.struct(F.struct(F.lit("CISA-ADP").alias("shortName")).alias("providerMetadata"),
                            F.array(ssvc(label_of(["none", "poc", "active"], k % 3), "t1")).alias("metrics")))
@@ -519,15 +556,20 @@ def sidecar(spark, sf):
     facts = parsed_programs(spark, sf)
     return facts.where("k % 10 <> 1").select(
         "cve", F.when(F.col("k") % 10 == 0, "not-published").otherwise("found").alias("status"),
-        "assigner", parse.record_url(F.col("cve")).alias("url"), "ssvc", "vendor_severity")
+        "assigner", parse.record_url(F.col("cve")).alias("url"), F.sha2("cve", 256).alias("sha256"), "date_updated", "ssvc",
+        "ssvc_provider", "vendor_severity", F.struct(F.concat(F.lit("Text of "), "cve").alias("description")).alias("cna"))
 
 
 @register("j5_apply_program", """SELECT cve, CASE WHEN k % 10 = 1 THEN 'not-fetched' WHEN k % 10 = 0 THEN 'not-published' ELSE 'found' END AS status,
   CASE WHEN k % 10 > 1 THEN assigner END AS assigner, CASE WHEN k % 10 < 2 THEN 'no CVE Program record was retrieved for this CVE'
-  WHEN k % 10 = 5 THEN 'the CVE Program record carries no CISA-ADP SSVC assessment' END AS reason FROM adv""", ["adv"])
+  WHEN k % 10 = 5 THEN 'the CVE Program record carries no CISA-ADP SSVC assessment' END AS reason, CASE WHEN k % 10 > 1 THEN sha256(cve) END AS sha256,
+  CASE WHEN k % 10 > 1 THEN '2026-02-01' END AS date_updated, CASE WHEN k % 10 > 1 AND k % 10 <> 5 THEN 'CISA-ADP' END AS provider,
+  CASE WHEN k % 10 > 1 THEN 'Text of ' || cve END AS cna FROM adv""", ["adv"])
 def apply_program(spark, sf):
     return joins.apply_program(B.advisories(spark, sf).select("cve", F.lit(1).alias("cve_program")), sidecar(spark, sf)).select(
-        "cve", "cve_program.status", "cve_program.assigner", F.col("cve_program.ssvc_absent_reason").alias("reason"))
+        "cve", "cve_program.status", "cve_program.assigner", F.col("cve_program.ssvc_absent_reason").alias("reason"),
+        "cve_program.sha256", "cve_program.date_updated", F.col("cve_program.ssvc_provider").alias("provider"),
+        F.col("cve_program.cna.description").alias("cna"))
 
 
 @register("j5_program_counts", """SELECT count(*) FILTER (k % 10 > 1 AND k % 10 <> 5) AS applied, count(*) FILTER (k % 10 = 5) AS without_ssvc,

@@ -21,14 +21,26 @@ def _refuse(test: Column, message: str, shown: Column, value: Column) -> Column:
     return F.when(test, kind).otherwise(value)
 
 
+def _refuse_rows(df: DataFrame, test: Column, message: str, shown: Column) -> DataFrame:
+    """``df``, or a failed job where ``test`` holds, whatever columns the plan reads.
+
+    The test decides how often a row is generated, so pruning cannot leave it out.
+    """
+    fail = F.raise_error(F.concat(F.lit(message + ": "), F.coalesce(shown, F.lit("")))).cast("array<int>")
+    return df.select("*", F.explode(F.when(test, fail).otherwise(F.array(F.lit(1)))).alias("_sound")).drop("_sound")
+
+
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:
     """Advisory JSONL with per-field defaults; a broken line fails the job and shows itself."""
     raw = _json_lines(spark, path, schema.RECORD_SCHEMA)
+    # the reader fills the broken line only where another column is read with it
+    broken = F.col(BAD).isNotNull() | F.col("cve").eqNullSafe("\u0000")
+    raw = _refuse_rows(raw, broken, "invalid JSON line", F.col(BAD))
     text = lambda n, default: F.coalesce(F.nullif(n, F.lit("")), F.lit(default))
     none = lambda n: F.coalesce(n, F.array().cast(schema.RECORD_FIELDS[n]))
     unknown = F.lit("unknown")
     return raw.withColumns({
-        "cve": _refuse(F.col(BAD).isNotNull(), "invalid JSON line", F.col(BAD), text("cve", "UNKNOWN")),
+        "cve": text("cve", "UNKNOWN"),
         "schema_version": text("schema_version", "1.0"), "month": text("month", "unknown"),
         "title": text("title", "Untitled vulnerability"),
         "severity": F.when(F.col("severity").startswith("{"), F.from_json("severity", schema.SEVERITY)),
@@ -112,23 +124,24 @@ def read_kev(spark: SparkSession, path: str, multi_line: bool = True) -> DataFra
 
 def _file_order() -> Column:
     """Reading order: file, block inside the file, row inside the block."""
-    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id())
 
 
 def read_epss(spark: SparkSession, path: str) -> DataFrame:
-    """Score CSV (cve, epss, percentile, score_date); the last line of an id wins."""
+    """Score CSV (cve, epss, percentile, score_date); the last line of an id wins, with its file's date."""
     raw = (spark.read.option("header", True).option("comment", "#").csv(path)
            .withColumn("_at", _file_order()))
     percentile = (F.col("percentile").try_cast("double") if "percentile" in raw.columns
                   else F.lit(None).cast("double"))
     rows = raw.where("cve <> '' and epss <> ''")
     last = rows.groupBy("cve").agg(F.max_by(F.struct(
-        F.col("epss").cast("double").alias("epss"), percentile.alias("percentile")), "_at").alias("s"))
-    dates = spark.read.text(path).where("value like '#%'").select(F.nullif(F.substring(
-        F.regexp_extract("value", r"score_date:([^,\s]+)", 1), 1, 10), F.lit("")).alias("d"))
-    stamp = dates.agg(F.max("d")).scalar()
-    return last.select("cve", "s.epss", "s.percentile", stamp.alias("score_date"))
+        F.col("epss").cast("double").alias("epss"), percentile.alias("percentile"),
+        F.col("_at.file").alias("file")), "_at").alias("s"))
+    dates = spark.read.text(path).where("value like '#%'").select(F.col("_metadata.file_path").alias("file"), F.nullif(
+        F.substring(F.regexp_extract("value", r"score_date:([^,\s]+)", 1), 1, 10), F.lit("")).alias("d"))
+    stamps = dates.groupBy("file").agg(F.max("d").alias("score_date"))
+    return last.select("cve", "s.*").join(stamps, "file", "left").select("cve", "epss", "percentile", "score_date")
 
 
 def read_overlay(spark: SparkSession, path: str, fields: str) -> DataFrame:
