@@ -299,6 +299,22 @@ def _averaged(docs: DataFrame, model: Recurrent, rate: float, part_floats: int =
     return {n: x.reshape(s).astype(np.float32) for n, s, x in zip(names, shapes, np.split(flat, ends[:-1]), strict=True)}
 
 
+def _commonest(counts: DataFrame) -> list:
+    """At most NAMED rows of the highest counts, falling.
+
+    A histogram of the counts' logarithms (a few thousand rows at most) tells from which count on all rows
+    fit; a sort with a limit would send that many rows from every task.
+    """
+    step = F.floor(F.log2("c") * 64).cast("int")
+    room, least = NAMED, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["step"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    return [] if least is None else sorted(counts.where(step >= least).collect(), key=lambda r: (-r["c"], r["h"]))
+
+
 def score_texts(docs: DataFrame, text: str = "text", train: Column | None = None, rounds: int = ROUNDS,
                 slices: int = SLICES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
@@ -318,7 +334,7 @@ def score_texts(docs: DataFrame, text: str = "text", train: Column | None = None
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     tails = {r["tail"]: r for r in counts.where("tail >= 0").groupBy("tail").agg(
         F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
-    named = counts.orderBy(F.desc("c"), "h").limit(NAMED).collect()
+    named = _commonest(counts)
     column = lambda k, kind: np.array([r[k] for r in named], kind)
     per_tail = lambda k: np.array([tails[t][k] if t in tails else 0 for t in range(TAILS)], np.int64)
     vocabulary = Vocabulary(column("h", np.int64).view(np.uint64), column("tail", np.int64), column("c", np.int64),
