@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by batched numpy Viterbi over the words of a block.
 
-The text is cut where no piece can reach across: before a word's space mark and around characters that
-occur in no longer piece. Each distinct part is segmented once; parts of equal length advance together,
+The text is cut between any two characters that follow each other in no piece, as no piece can reach
+across; so words come apart at their space marks and from most of their punctuation. Each distinct part is segmented once; parts of equal length advance together,
 their substring hashes probe the sorted piece keys, and the best piece ending at each place is kept as a
 backpointer. For a unigram model the best has the largest sum of scores. For a BPE model it is the piece
 that byte-pair merging leaves there: a row of pieces is the merge result exactly if every two neighbours
@@ -60,7 +60,6 @@ class Pieces:
                 self.bytes[int(p.piece[3:5], 16)] = i
         singles = {t: i for i, t in texts.items() if len(t) == 1}
         inner = sorted({c for t in texts.values() if len(t) > 1 for c in t})
-        self.cut_at_marks = not any(chr(SPACE_MARK) in t.lstrip(chr(SPACE_MARK)) for t in texts.values())
         # characters of longer pieces that are no piece themselves get ids past the end
         lone = [c for c in inner if c not in singles]
         low = min(scores.values(), default=0.0) if self.kind == UNIGRAM else 0.0
@@ -69,7 +68,13 @@ class Pieces:
             texts[self.size + k] = c
             scores[self.size + k] = low - UNKNOWN_PENALTY
         self.lone = lone
-        self.inner = np.array([ord(c) for c in inner], np.uint32)
+        # characters of longer pieces by number, 0 for all others, and which may follow each other in a piece
+        self.number = np.zeros(max(map(ord, inner), default=0) + 2, np.uint16)
+        self.number[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        self.follow = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for t in texts.values():
+            at = self.number[[ord(c) for c in t]] if len(t) > 1 else np.zeros(0, np.int64)
+            self.follow[at[:-1], at[1:]] = True
         self.single_codes = np.array(sorted(ord(t) for t in singles), np.uint32)
         self.single_ids = np.array([singles[chr(c)] for c in self.single_codes], np.int64)
         n = self.size + len(lone)
@@ -210,6 +215,16 @@ class Pieces:
             rows = rows[place[rows] > 0]
         return count, out[out >= 0]
 
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """Bytes of each row of ids; ``ends`` are the n + 1 first places of the rows."""
+        known = (ids >= 0) & (ids < self.size)
+        at = np.where(known, ids, 0)
+        n = np.where(known, self.raw_count[at], 0)
+        raw = self.raw[_ragged(self.raw_start[at], n)].tobytes()
+        cut = np.concatenate([[0], np.cumsum(n)])[ends].tolist()
+        rows = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return [r[1:] if r[:1] == b" " else r for r in rows] if self.prefix else rows
+
     def spelled(self, code: int) -> list[int]:
         """Ids of a character that is no piece: its bytes, or the unknown piece."""
         ids = [int(self.bytes[b]) for b in chr(code).encode()]
@@ -261,12 +276,9 @@ class Encoder:
             edge = edge + np.concatenate([[0], np.cumsum(np.diff(edge) > 0)])
         if not len(codes):
             return np.zeros(0, np.int32), np.zeros(high - low, np.int64)
-        inner = np.isin(codes, p.inner)
+        number = p.number[np.minimum(codes, len(p.number) - 1)]
         cut = np.ones(len(codes) + 1, bool)
-        cut[1:-1] = ~inner[1:] | ~inner[:-1]
-        if p.cut_at_marks:
-            mark = codes == SPACE_MARK
-            cut[1:-1] |= mark[1:] & ~mark[:-1]
+        cut[1:-1] = ~p.follow[number[:-1], number[1:]]
         cut[edge] = True
         start = np.flatnonzero(cut[:-1])
         length = np.diff(np.append(start, len(codes)))
@@ -299,15 +311,18 @@ class Encoder:
         return ids, np.diff(ends)
 
 
-def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", check: bool = False, keep_text: bool = True) -> DataFrame:
     """Adds ``ids``, the pieces of each whole text as the model's library gives them.
 
-    One pass without a shuffle; the tables of ``model`` (bounded by its vocabulary) go along with the
-    tasks. Null text has null ids, empty text none. Other columns pass through; an ``ids`` is replaced.
+    With ``check``, the ids are decoded again in the same task, and ``round_trip`` tells whether that gives
+    the text (null for null). One pass without a shuffle; the tables of ``model`` (bounded by its vocabulary) go along with the
+    tasks. Null text has null ids, empty text none. Other columns pass through; columns named as added ones are replaced.
     """
     pieces = Pieces(model)
-    docs = docs.select(*[c for c in docs.columns if c != "ids"])
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    docs = docs.select(*[c for c in docs.columns if c not in ("ids", "round_trip")])
+    passed = [f for f in docs.schema.fields if keep_text or f.name != text]
+    schema = T.StructType([*passed, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = schema.add("round_trip", T.BooleanType()) if check else schema
 
     def run(batches):
         encoder = Encoder(pieces)
@@ -319,7 +334,12 @@ def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~valid[low:high], False)), pa.array(ids))
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=schema.names)
+                columns = [part.column(f.name) for f in passed] + [lists]
+                if check:
+                    back = pieces.decoded(ids.astype(np.int64), offsets)
+                    same = [r == data[at[i]:at[i + 1]].tobytes() if valid[i] else None for i, r in zip(range(low, high), back, strict=True)]
+                    columns.append(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -343,15 +363,8 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", into: str = "decode
             texts = []
             for low in range(0, len(lists), 512):
                 high = min(low + 512, len(lists))
-                own = flat[cut[low]:cut[high]].astype(np.int64)
-                known = (own >= 0) & (own < pieces.size)
-                n = np.where(known, pieces.raw_count[np.where(known, own, 0)], 0)
-                raw = pieces.raw[_ragged(pieces.raw_start[np.where(known, own, 0)], n)].tobytes()
-                ends = np.concatenate([[0], np.cumsum(n)])[cut[low:high + 1] - cut[low]]
-                for i in range(high - low):
-                    piece = raw[ends[i]:ends[i + 1]]
-                    piece = piece[1:] if pieces.prefix and piece[:1] == b" " else piece
-                    texts.append(piece.decode("utf-8", "replace") if valid[low + i] else None)
+                rows = pieces.decoded(flat[cut[low]:cut[high]].astype(np.int64), cut[low:high + 1] - cut[low])
+                texts += [r.decode("utf-8", "replace") if valid[i] else None for i, r in zip(range(low, high), rows, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
@@ -366,6 +379,5 @@ def default_model() -> str:
 @register("op10_sentence_pieces")
 def op10_sentence_pieces(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = default_model()
-    return decode(encode(docs, model), model).select(
-        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = encode(docs, default_model(), check=True, keep_text=False)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")

@@ -84,10 +84,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the ids of each text's pieces, their number, and whether they decode to the text."""
     findable(spark)
-    model = sentence_pieces.default_model()
-    coded = sentence_pieces.decode(sentence_pieces.encode(docs, model), model)
-    return coded.withColumn("n_pieces", F.size("ids").cast("long")).withColumn(
-        "round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+    coded = sentence_pieces.encode(docs, sentence_pieces.default_model(), check=True)
+    return coded.withColumn("n_pieces", F.size("ids").cast("long"))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", repeat_removal), ("source_mix", mixing),
