@@ -182,13 +182,13 @@ def content_digest(spark, sf):
 
 
 @register("a10_run_progress", """SELECT count(*) AS expected, count(*) FILTER (has_fw) AS validated, count(DISTINCT cve) FILTER (has_fw) AS unique_cves,
-  count(DISTINCT CASE WHEN k % 6 <> 5 THEN title END) FILTER (has_fw) AS unique_explanations, (SELECT count(*) FROM events WHERE event_type = 'click') AS model_calls,
-  (SELECT sum(user_id)::BIGINT FROM events WHERE event_type = 'click') AS tokens FROM rec""", ["rec"])
+  count(DISTINCT CASE WHEN k % 6 <> 5 THEN title END) FILTER (has_fw) AS unique_explanations, (SELECT count(*) FROM events) AS model_calls,
+  (SELECT sum(user_id)::BIGINT FROM events) AS tokens FROM rec""", ["rec"])
 def run_progress(spark, sf):
     r = B.records(spark, sf)
     out = r.where("inference.framework_assessment is not null").select("cve", F.col(
         "inference.framework_assessment.risk_communication.why_this_action").alias("explanation"))
-    usage = B.table(spark, sf, "events").where("event_type = 'click'").select(F.col("user_id").alias("tokens"))
+    usage = B.table(spark, sf, "events").select(F.col("user_id").alias("tokens"))
     return reconcile.run_progress(r, out, usage)
 
 

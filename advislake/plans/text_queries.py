@@ -1,7 +1,7 @@
 """Citation, tag check and privacy queries."""
 from pyspark.sql import functions as F
 
-from advislake.functions import vocab
+from advislake.functions import scalar, vocab
 from advislake.functions.exprs import struct_of
 from advislake.operators import citation, joins, parse, privacy, tagcheck
 from advislake.plans import bridge as B
@@ -43,13 +43,18 @@ def components(spark, sf):
 
 
 view("pairs", ["doctok"], f"""SELECT d.doc_id, b.item_id, b.text AS span, ' ' || array_to_string(d.t, ' ') || ' ' AS line, {_TOK.format(t='b.text')} AS need
-  FROM doctok d JOIN benchmark b ON b.item_id = d.doc_id % 40""")
+  FROM doctok d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
+
+
+def with_item(spark, sf):
+    """Every document with one benchmark item; all items are dealt out in turn."""
+    items = B.table(spark, sf, "benchmark").agg(F.count("*")).scalar()
+    return B.table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % items)
 
 
 def pairs(spark, sf):
-    docs = B.table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % 40)
     items = B.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("span"))
-    return docs.join(items, "item_id")
+    return with_item(spark, sf).join(items, "item_id")
 
 
 @register("t3_contains_run", """SELECT doc_id, len(list_filter(range(1, greatest(len(need) - 4, 1)::BIGINT), lambda i:
@@ -66,12 +71,11 @@ def _runs(need, run):
 
 @register("t4_verify", f"""WITH d AS (SELECT doc_id, ' ' || array_to_string(t, ' ') || ' ' AS line FROM doctok),
   p AS (SELECT d.doc_id, s.part, d.line, {_TOK.format(t='s.body')} AS need FROM d JOIN (SELECT item_id, 1 AS part, p1 AS body FROM spans UNION ALL SELECT item_id, 2, p2 FROM spans
-    UNION ALL SELECT item_id, 3, p4 FROM spans) s ON s.item_id = d.doc_id % 40),
+    UNION ALL SELECT item_id, 3, p4 FROM spans) s ON s.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
   h AS (SELECT doc_id, part, CASE WHEN len(need) >= 6 THEN {_runs('need', 6)} ELSE {_runs('need', 3)} END AS hit FROM p WHERE len(need) >= 3)
   SELECT doc_id, bool_or(hit) AS verified, bool_and(hit) AS fully, count(*) AS components, count(*) FILTER (hit) AS matched FROM h GROUP BY 1""", ["doctok", "spans"])
 def verify(spark, sf):
-    docs = B.table(spark, sf, "documents").withColumn("item_id", F.col("doc_id") % 40)
-    out = citation.verify_pairs(docs.join(spans(spark, sf), "item_id"), "span", "text")
+    out = citation.verify_pairs(with_item(spark, sf).join(spans(spark, sf), "item_id"), "span", "text")
     return out.select("doc_id", "citation.verified", F.col("citation.fully_verified").alias("fully"),
                       "citation.components", "citation.matched")
 
@@ -114,10 +118,13 @@ UNION ALL SELECT a.k, a.cve, 'evidence_grounded', 'evidence-ungrounded', a.tag F
 UNION ALL SELECT a.k, a.cve, 'citation_verification', 'citation-unverified', a.tag FROM asserted a WHERE a.tag IN {_JT} AND a.evidence LIKE 'totally%'""")
 
 
-@register("t5_source_text", "SELECT r.cve, lower(title) AS title FROM rec r", ["rec"])
+@register("t5_source_text", """SELECT a.cve, rtrim(s.text) AS head, 2 + (a.k % 4 <> 0)::INT + (a.k % 6 = 0)::INT + (customer_action_note IS NOT NULL)::INT + 1 AS notes
+  FROM adv a JOIN srctext s ON s.k = a.k""", ["adv", "srctext"])
 def source_text(spark, sf):
+    """The plain head of the text, and how many notes its structured part names."""
     text = tagcheck.source_text()
-    return B.records(spark, sf).where(text.startswith(F.lower("title"))).select("cve", F.lower("title").alias("title"))
+    return B.records(spark, sf).select("cve", F.rtrim(F.substring_index(text, " [", 1)).alias("head"),
+                                       F.regexp_count(text, F.lit('"title":')).alias("notes"))
 
 
 def _check_query(name, check):
@@ -231,28 +238,48 @@ def rejection_rates(spark, sf):
 view("priv", [], f"SELECT doc_id, text || chr(10) || {pick(B.PLANTED, 'doc_id % 14')} AS text FROM documents")
 
 
-def _detector(name, build, sql, where="true"):
-    @register(name, sql, ["priv"])
+def _detector(name, build, sql, category=None):
+    """Every finding of a detector (of one category, where it tells several apart) with its span.
+
+    Oracles take spans between consumed borders; white space is doubled first, so that two spans
+    never share one.
+    """
+    @register(name, f"WITH d AS (SELECT doc_id, text, regexp_replace(text, '(\\s)', '\\1\\1', 'g') AS t FROM priv) {sql}", ["priv"])
     def run(spark, sf):
         found = B.priv_text(spark, sf).select("doc_id", F.explode(build(F.col("text"))).alias("f"))
-        return found.select("doc_id", "f.*").where(where).select("doc_id").distinct()
-
-
-_any = "SELECT doc_id FROM priv WHERE regexp_matches(text, '{}')".format
-_detector("d1_ipv4_reserved", privacy.ipv4, _any(
-    r"(^|[^0-9.])(10\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])|192\.168|127\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])|169\.254|172\.(1[6-9]|2[0-9]|3[01]))(\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){2}($|[^0-9.])"),
-    "detail like 'RFC1918%' and (span rlike '^(10|127)[.]' or span rlike '^(192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]')")
-_detector("d2_ipv6", privacy.ipv6, "SELECT doc_id FROM priv WHERE text LIKE '%fe80::1ff:fe23:4567:890a here%'", "span like 'fe80%'")
-_detector("d3_email", privacy.email, r"""SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS e FROM priv)
-  WHERE NOT (split_part(e, '@', 1) IN ('secure', 'security', 'info', 'support', 'contact', 'abuse', 'cert') AND (split_part(e, '@', 2) IN ('microsoft.com', 'example.com', 'example.org', 'example.net')))""")
-_detector("d4_guid", lambda t: privacy.guid(t, privacy.allowed_url_spans(t)), "SELECT doc_id FROM priv WHERE text LIKE '%Object 3f2504e0-%'", "category = 'guid'")
-_detector("d5_tenant", lambda t: privacy.guid(t, privacy.allowed_url_spans(t)), "SELECT doc_id FROM priv WHERE text LIKE '%Tenant ID: 3f2504e0-%'", "category = 'tenant_identifier'")
-_detector("d6_hostname", lambda t: privacy.hostname(t, privacy.allowed_url_spans(t)), "SELECT doc_id FROM priv WHERE text LIKE '%contoso-corp.com/a/b%'", "span = 'portal.contoso-corp.com'")
-_detector("d7_unc_path", privacy.paths, r"SELECT doc_id FROM priv WHERE contains(text, '\\fileserver01\share')", "category = 'unc_path'")
-_detector("d8_filesystem_path", privacy.paths, r"SELECT doc_id FROM priv WHERE contains(text, 'C:\Users\jdoe')", "category = 'filesystem_path'")
-_detector("d9_security_identifier", privacy.sid_and_mac, "SELECT doc_id FROM priv WHERE text LIKE '%S-1-5-21-%'", "category = 'security_identifier'")
-_detector("d10_mac_address", privacy.sid_and_mac, "SELECT doc_id FROM priv WHERE text LIKE '%00:1A:2B:3C:4D:5E%'", "category = 'mac_address'")
-_detector("d11_asset_inventory", privacy.inventory, "SELECT doc_id FROM priv WHERE text LIKE '%SYD-DC-01 MEL-FS-02%'", "span like 'Assets%'")
+        found = found if category is None else found.where(F.col("f.category") == category)
+        return found.select("doc_id", "f.span")
+
+
+def _spans(before, span, after):
+    quoted = f"(?:^|{before})({span})(?:$|{after})".replace("'", "''")
+    return f"SELECT doc_id, text, unnest(regexp_extract_all(t, '{quoted}', 1)) AS span FROM d"
+
+
+_HEX, _GUID = "[0-9A-Fa-f]{1,4}", "[{]?[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}[}]?"
+_guids = lambda t: privacy.guid(t, privacy.allowed_url_spans(t))
+_GUIDS = _spans(r"[^\w-]", _GUID, r"[^\w-]")
+_VERSION = [p.replace("'", "''").replace("(?U)", "") for p in (scalar.VERSION_BEFORE, scalar.VERSION_AFTER)]
+_detector("d1_ipv4_reserved", privacy.ipv4, f"""SELECT doc_id, span FROM ({_spans('[^0-9.]', r'[0-9]{1,3}(?:[.][0-9]{1,3}){3}', '[^0-9.]')})
+  WHERE list_max(list_transform(string_split(span, '.'), lambda x: x::INT)) <= 255 AND NOT regexp_matches(span, '(^|[.])0[0-9]')
+  AND (regexp_matches(span, '^(10|127)[.]|^192[.]168[.]|^169[.]254[.]|^172[.](1[6-9]|2[0-9]|3[01])[.]') OR NOT (
+    regexp_matches(substr(text, greatest(strpos(text, span) - {vocab.CONTEXT_WINDOW}, 1), least(strpos(text, span) - 1, {vocab.CONTEXT_WINDOW})), '{_VERSION[0]}')
+    OR regexp_matches(substr(text, strpos(text, span) + length(span), {vocab.CONTEXT_WINDOW}), '{_VERSION[1]}')))""")
+_detector("d2_ipv6", privacy.ipv6, f"SELECT doc_id, span FROM ({_spans(r'[^\w:.]', f'(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,7}}:(?:{_HEX}(?::{_HEX}){{0,6}})?|::(?:{_HEX}:){{0,6}}{_HEX}', r'[^\w:.]')})")
+_detector("d3_email", privacy.email, f"""SELECT doc_id, span FROM ({_spans(r'[^\w.+-]', r'[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', r'[^\w-]')})
+  WHERE NOT (split_part(span, '@', 1) IN {inlist(vocab.ROLE_LOCAL_PARTS)} AND (split_part(span, '@', 2) IN ('microsoft.com', 'example.com', 'example.org', 'example.net')))""")
+_detector("d4_guid", _guids, f"SELECT doc_id, span FROM ({_GUIDS}) WHERE NOT contains(text, 'Tenant ID: ' || span) AND NOT contains(text, '?id=' || span)", "guid")
+_detector("d5_tenant", _guids, f"SELECT doc_id, span FROM ({_GUIDS}) WHERE contains(text, 'Tenant ID: ' || span)", "tenant_identifier")
+_detector("d6_hostname", lambda t: privacy.hostname(t, privacy.allowed_url_spans(t)), f"""SELECT doc_id, span FROM ({_spans('', r"(?:https?|ftps?)://(?:[^\s/?#@\"'<>]+@)?([A-Za-z0-9._-]+)", '')}) WHERE false
+  UNION ALL SELECT doc_id, host FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:https?|ftps?)://(?:[^\\s/?#@"<>]+@)?([A-Za-z0-9._-]+)', 1)) AS host FROM d)
+  WHERE NOT regexp_matches(host, '(^|[.])(microsoft[.]com|example[.](com|org|net))$')""")
+_detector("d7_unc_path", privacy.paths, "SELECT doc_id, unnest(regexp_extract_all(text, '\\\\\\\\[A-Za-z0-9._$-]{1,63}\\\\[^\\s\"''<>|]{1,120}')) AS span FROM d", "unc_path")
+_detector("d8_filesystem_path", privacy.paths, f"""SELECT doc_id, span FROM ({_spans(r'[^\w\\:]', r"[A-Za-z]:\\[^\s\"'<>|]{0,200}", '')}) WHERE NOT regexp_matches(lower(span), '^.:[\\\\]+(windows|program files)')
+  UNION ALL SELECT doc_id, span FROM ({_spans(r'[^\w~.]', r"(?:~|/(?:home|Users|root|mnt|media|srv|export|Volumes|net))/[A-Za-z0-9._+-][^\s\"'<>|]{0,180}", '')})""", "filesystem_path")
+_detector("d9_security_identifier", privacy.sid_and_mac, f"SELECT doc_id, span FROM ({_spans(r'[^\w-]', 'S-1-[0-9]{1,10}(?:-[0-9]{1,10}){1,15}', r'[^\w-]')})", "security_identifier")
+_detector("d10_mac_address", privacy.sid_and_mac, f"SELECT doc_id, span FROM ({_spans(r'[^\w:.-]', '(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}|(?:[0-9A-Fa-f]{4}[.]){2}[0-9A-Fa-f]{4}', r'[^\w:.-]')})", "mac_address")
+_detector("d11_asset_inventory", privacy.inventory, r"""SELECT doc_id, substr(trim(line), 1, 160) AS span FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE len(list_distinct(list_filter(regexp_extract_all(line, '\b[A-Z]{2,}[A-Z0-9]*(?:-[A-Z0-9]+)+\b'), lambda a: regexp_matches(a, '[0-9]')))) >= 3""")
 
 
 @register("d12_scan_text")
@@ -261,11 +288,15 @@ def scan_text(spark, sf):
         "doc_id", "category", "span", "start", "end")
 
 
-@register("d12_offsets_hold", "SELECT true AS holds FROM documents LIMIT 1")
+@register("d12_offsets_hold")
 def offsets(spark, sf):
-    docs = B.priv_text(spark, sf)
-    rows = privacy.scan_text(docs, "text", ["doc_id", "text"]).where("category <> 'asset_inventory'")
-    return rows.agg(F.bool_and(F.expr("substr(text, start + 1, end - start) = span")).alias("holds"))
+    """Findings whose span isn't at its place, by category; an inventory's span is shown with single spaces."""
+    rows = privacy.scan_text(B.priv_text(spark, sf), "text", ["doc_id", "text"])
+    there = F.expr("substr(text, start + 1, end - start)")
+    tight = lambda c: F.regexp_replace(c, r"\s+", " ")
+    same = (there == F.col("span")) | ((F.col("category") == "asset_inventory") & F.startswith(
+        F.trim(tight(there)), F.trim(tight(F.col("span")))))
+    return rows.groupBy("category").agg(F.count("*").alias("findings"), F.count_if(~same).alias("misplaced"))
 
 
 def planted_documents(spark, sf):
@@ -290,14 +321,13 @@ def clean_rows(spark, sf):
 
 @register("d14_packet_strings", """SELECT cve, 2 + 2 * (2 + (k % 4 <> 0)::INT + (k % 6 = 0)::INT + (customer_action_note IS NOT NULL)::INT + 1) - 0 + k % 4
    + 3 * (k % 4 + (CASE WHEN k % 4 > 0 AND k % 3 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 4 > 1 AND (k + 1) % 3 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 4 > 2 AND (k + 2) % 3 <> 0 THEN 1 ELSE 0 END))
-   + (SELECT count(*) FROM advtag t WHERE t.k = adv.k) AS fields FROM adv""", ["adv", "advtag"])
+   + 3 * (k % 9 = 4)::INT + (SELECT count(*) FROM advtag t WHERE t.k = adv.k) AS fields FROM adv""", ["adv", "advtag"])
 def packet_strings(spark, sf):
     return privacy.packet_strings(B.records(spark, sf)).groupBy("cve").agg(F.count("*").alias("fields"))
 
 
 @register("c7_version_and_identifier", """SELECT doc_id, doc_id % 3 = 0 AS versioned, doc_id % 2 = 0 AS public FROM documents""")
 def version_context(spark, sf):
-    from advislake.functions import scalar
     i = F.col("doc_id")
     before = F.when(i % 3 == 0, "fixed in version ").otherwise("host at ")
     token = F.when(i % 2 == 0, "CVE-2026-1").otherwise("SYD-DC-01")
@@ -315,18 +345,22 @@ def scan_report(spark, sf):
     return privacy.scan_report(packet, whole)
 
 
-@register("j15_proof_of_findings", """SELECT doc_id AS cve, category, doc_id % 4 <> 3 AS proved FROM (SELECT doc_id, 'email_address' AS category FROM priv WHERE text LIKE '%Write to jane.doe@contoso-corp.com please.')""", ["priv"])
-def proof(spark, sf):
-    lines = B.priv_text(spark, sf).select(F.col("doc_id").alias("cve"), F.element_at(F.split("text", "\n"), -1).alias("value"))
-    lines = lines.where(F.col("value").startswith("Write to jane"))
-    found = privacy.scan_text(lines, "value", ["cve", "value"]).where("category = 'email_address'").select(
-        "cve", "category", F.lit("/note").alias("field"), "value")
-    sources = lines.select("cve", F.when(F.col("cve") % 4 != 3, F.col("value")).otherwise("other").alias("value"),
-                           F.lit("file").alias("location"), F.lit("/Notes/0").alias("pointer"))
+def _proof(spark, sf):
+    """Findings of whole documents against the source values of their document, each listed twice."""
+    docs = B.priv_text(spark, sf)
+    found = privacy.scan_text(docs, "text", ["doc_id"]).select(
+        F.col("doc_id").alias("cve"), "category", F.lit("/note").alias("field"), F.col("span").alias("value"))
+    sources = found.select("cve", F.when(F.col("cve") % 4 != 3, F.col("value")).otherwise("other").alias("value"),
+                           F.lit("file").alias("location"), F.lit("/Notes/0").alias("pointer")).distinct()
     twice = sources.unionByName(sources.withColumn("pointer", F.lit("/Notes/1")))
-    return joins.proof_of_findings(found, twice).select("cve", "category", "proved")
+    return joins.proof_of_findings(found, twice)
+
+
+@register("j15_proof_of_findings")
+def proof(spark, sf):
+    return _proof(spark, sf).select("cve", "category", "value", "pointer", "proved")
 
 
-@register("j15_unproved", """SELECT doc_id AS cve FROM priv WHERE text LIKE '%Write to jane.doe@contoso-corp.com please.' AND doc_id % 4 = 3""", ["priv"])
+@register("j15_unproved")
 def unproved(spark, sf):
-    return proof(spark, sf).where("not proved").select("cve")
+    return _proof(spark, sf).where("not proved").select("cve", "category", "value")
