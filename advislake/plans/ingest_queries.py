@@ -324,20 +324,36 @@ def workload_tags(spark, sf):
         parse.workload_tags(F.col("title")), words([]))).alias("tags"))
 
 
-@register("p14_assemble_records", """SELECT f.cve, f.title, sev_word AS severity, sev_basis AS basis, base_score AS score, CASE WHEN base_score IS NULL THEN 'unknown' WHEN base_score = 0 THEN 'physical' ELSE av END AS av, kev, det, exa, round(epss, 6) AS epss,
-  car AS action_required, k % 3 + 1 AS n_products FROM sev f""", ["sev"])
+def tree_names(rows):
+    """A name of each listed product, made of its id and its document: no two documents agree."""
+    listed = rows.select("doc_id", F.explode("product_ids").alias("product_id")).distinct()
+    return listed.where("product_id <> 'P7'").withColumn("name", F.concat_ws(" of ", "product_id", "doc_id"))
+
+
+@register("p14_assemble_records", """SELECT f.cve, f.title, sev_word AS severity, sev_basis AS basis, base_score AS score, CASE WHEN base_score IS NULL THEN 'unknown' WHEN base_score = 0 THEN 'physical' ELSE av END AS av, kev, det,
+  CASE WHEN k % 8 <> 0 THEN 'unlikely' ELSE exa END AS exa, round(epss, 6) AS epss, car AS action_required, k % 3 + 1 AS n_products, k % 3 + 1 AS own_names,
+  '1.0' AS schema_version, '2026-Sep' AS month, CASE WHEN k % 8 <> 0 THEN 'web' ELSE '' END AS tags, CASE WHEN k % 8 <> 0 THEN 'assessor-2' ELSE 'none' END AS model,
+  'MSRC CVRF' AS source_type, '2026-09-08' AS revision, 1 + CASE WHEN customer_action_note IS NULL THEN 0 ELSE 2 END AS notes, 1 AS remediations, 'feed' AS provenance
+  FROM sev f""", ["sev"])
 def assemble(spark, sf):
     from advislake.plans.assemble import build_records
-    names = B.table(spark, sf, "part").select(
-        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("product_id"),
-        B._at(B.PRODUCT_NAMES, F.col("p_partkey") % 16).alias("name"))
-    out = build_records(vulnerabilities(spark, sf), names, B.kev(spark, sf), B.epss(spark, sf), "2026-Sep")
+    rows = vulnerabilities(spark, sf)
+    overlay = B.records(spark, sf).where("k % 8 <> 0").select(
+        "cve", words(["web", "web"]).alias("o_tags"), F.col("mitigation_candidates").alias("o_candidates"),
+        F.struct(F.lit("assessor-2").alias("model")).alias("o_inference"),
+        F.struct(F.lit("unlikely").alias("exploitation_assessment")).alias("o_threat"))
+    out = build_records(rows, tree_names(rows), B.kev(spark, sf), B.epss(spark, sf), "2026-Sep", overlay,
+                        F.parse_json(F.lit('{"source": "feed"}')))
+    own = F.filter("products", lambda p: (p["name"] == F.concat_ws(" of ", p["product_id"], F.col("cve"))) | (p["product_id"] == "P7"))
     return out.select(
         "cve", "title", F.col("severity_word").alias("severity"), F.col("severity_basis").alias("basis"),
         F.col("cvss.base_score").alias("score"), F.col("attack.vector").alias("av"), "threat.kev",
         F.col("threat.exploitation_detected").alias("det"), F.col("threat.exploitation_assessment").alias("exa"),
         F.round("threat.epss", 6).alias("epss"), F.col("customer_action_required").alias("action_required"),
-        F.size("products").alias("n_products"))
+        F.size("products").alias("n_products"), F.size(own).alias("own_names"), "schema_version", "month",
+        flat(F.col("tags")).alias("tags"), "inference.model", F.col("source.type").alias("source_type"), "source.revision",
+        F.size("vendor_guidance.notes").alias("notes"), F.size("vendor_guidance.remediations").alias("remediations"),
+        F.try_variant_get("dataset_provenance", "$.source", "string").alias("provenance"))
 
 
 @register("p15_tag_refresh", """SELECT count(*) AS records, count(*) FILTER (k % 5 = 0) AS changed, count(*) FILTER (n = 1) AS generic
