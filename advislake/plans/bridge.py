@@ -41,11 +41,7 @@ PATHS = ["inbound", "outbound", "local", "adjacent", "unknown", None]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    # a file too small to split would leave the row-local work to one task; an input
-    # that already has a split per core is left alone
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def _at(values, index: Column) -> Column:
@@ -273,6 +269,10 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 # --- long tables over lineitem ----------------------------------------------------------
 def adv_product(spark, sf) -> DataFrame:
     """(cve, product_id, name), one row per distinct pair."""
+    return stored(spark, sf, "products", _adv_product)
+
+
+def _adv_product(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select(
         F.concat(F.lit("CVE-2026-"), F.lpad(F.col("l_orderkey").cast("string"), 7, "0")).alias("cve"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"),
@@ -281,6 +281,10 @@ def adv_product(spark, sf) -> DataFrame:
 
 def adv_remediation(spark, sf) -> DataFrame:
     """(cve, pos, type, subtype, url, description, product_id)."""
+    return stored(spark, sf, "remediations", _adv_remediation)
+
+
+def _adv_remediation(spark, sf) -> DataFrame:
     flag = F.col("l_returnflag")
     return table(spark, sf, "lineitem").select(
         F.concat(F.lit("CVE-2026-"), F.lpad(F.col("l_orderkey").cast("string"), 7, "0")).alias("cve"),
@@ -310,6 +314,10 @@ PLANTED = [
 
 def priv_text(spark, sf) -> DataFrame:
     """documents.text with one planted line per document, chosen by doc_id."""
+    return stored(spark, sf, "planted", _priv_text, 500)
+
+
+def _priv_text(spark, sf) -> DataFrame:
     planted = _at(PLANTED, F.col("doc_id") % 14)
     return table(spark, sf, "documents").select(
         "doc_id", F.concat("text", F.lit("\n"), planted).alias("text"))

@@ -1,5 +1,7 @@
 """Working folder on shared storage, for written tables that cut lineage."""
+import atexit
 import hashlib
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,8 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="advislake-")
+    root = tempfile.mkdtemp(prefix="advislake-")  # tests: the executors run in this process
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -28,16 +31,16 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/advislake/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+def stored(spark: SparkSession, sf: str, name: str, build, rows_per_file: int = 10_000) -> DataFrame:
     """``build(spark, sf)`` written once per application as Parquet, then read back.
 
     The written files survive executor loss, and readers prune columns and push
-    filters into them.
+    filters into them. A file holds ``rows_per_file`` rows at most, so readers share the work.
     """
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _STORED:
         digest = hashlib.sha256(sf.encode()).hexdigest()[:8]
         path = fresh_path(spark, f"{name}-{digest}")
-        build(spark, sf).write.parquet(path)
+        build(spark, sf).write.option("maxRecordsPerFile", rows_per_file).parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])

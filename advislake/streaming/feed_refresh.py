@@ -1,27 +1,28 @@
-"""The score refresh as a restartable micro-batch over newly landed feed rows."""
-from pyspark.sql import DataFrame, functions as F
+"""Arriving scores as a restartable stream into a score log, and the log's latest scores."""
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from advislake.operators.joins import refresh_scores
-from advislake.sources.scratch import fresh_path
+SCORES = "cve string, epss double, percentile double, score_date string"
 
 
-def refresh_on_arrival(feed: DataFrame, release: dict, checkpoint: str):
-    """Starts a query that applies each arriving batch of scores to a release.
+def log_on_arrival(feed: DataFrame, log: str, checkpoint: str):
+    """Starts a query that writes each arriving batch of scores to its own folder of ``log``.
 
-    ``feed`` streams (cve, epss, percentile, score_date) rows. ``release["path"]`` is the
-    current Parquet version; every batch writes a new version and then moves the path on,
-    so readers never see a half-written one. A batch that is repeated gives the same
-    scores, as the refresh only sets values.
+    ``feed`` streams (cve, epss, percentile, score_date) rows. A batch holds the ids that it brings,
+    one row each; a batch that is repeated after a restart replaces its own folder, so the log stays
+    the same. Nothing of the release is rewritten.
     """
 
-    def apply(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("cve").agg(F.max_by(
+    def write(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy("cve").agg(F.max_by(
             F.struct("epss", "percentile", "score_date"), F.struct("score_date", "epss")).alias("s"))
-        target = fresh_path(batch.sparkSession, "release")
-        current = batch.sparkSession.read.parquet(release["path"])
-        refreshed = refresh_scores(current, latest.select("cve", "s.*")).drop("score_changed")
-        refreshed.select(*current.columns).write.parquet(target)
-        release["path"] = target
+        newest.select("cve", "s.*").write.mode("overwrite").parquet(f"{log}/batch={number}")
 
-    return (feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def latest_scores(spark: SparkSession, log: str) -> DataFrame:
+    """The last score of each id in the log, ready for ``joins.refresh_scores`` of the ids it holds."""
+    rows = spark.read.schema(f"{SCORES}, batch long").parquet(log)
+    last = F.max_by(F.struct("epss", "percentile", "score_date"), F.struct("score_date", "batch"))
+    return rows.groupBy("cve").agg(last.alias("s")).select("cve", "s.*")
