@@ -184,12 +184,12 @@ def tag_refresh(df: DataFrame) -> DataFrame:
 
 
 # --- product tree ----------------------------------------------------------------
-def product_names(trees: DataFrame, depth: int = 8) -> DataFrame:
+def product_names(trees: DataFrame) -> DataFrame:
     """Flatten (doc_id, tree VARIANT) to (doc_id, product_id, name); the last write wins.
 
-    Each level is one lateral explode of VARIANT children. A node deeper than
-    ``depth`` fails the job rather than being lost.
+    Each level is one lateral explode of VARIANT children, as many as the deepest tree has.
     """
+    depth = document_depth(trees, "tree")
     pick = lambda v, *names: F.coalesce(*[F.nullif(F.try_variant_get(
         F.col(v), f"$.{n}", "string"), F.lit("")) for n in names])
     level = trees.select("doc_id", F.col("tree").alias("node"), F.lit("").alias("path"))
@@ -209,9 +209,6 @@ def product_names(trees: DataFrame, depth: int = 8) -> DataFrame:
         writes = own.unionByName(full).where("product_id is not null and name is not null")
         found = writes if found is None else found.unionByName(writes)
         if step == depth:
-            deep = F.rlike(F.schema_of_variant("node"), F.lit("^(OBJECT|ARRAY)<.*(OBJECT|ARRAY)<"))
-            found = found.unionByName(_too_deep(level, deep, "name").select(
-                "doc_id", "path", F.lit(0).alias("sub"), F.lit(None).cast("string").alias("product_id"), "name"))
             break
         kids = level.lateralJoin(_tvf(level).variant_explode(F.col("node").outer()))
         # zero-padded positions keep document order under plain string order
@@ -222,15 +219,6 @@ def product_names(trees: DataFrame, depth: int = 8) -> DataFrame:
     return found.groupBy("doc_id", "product_id").agg(last.alias("name"))
 
 
-def _too_deep(level: DataFrame, deep: Column, into: str) -> DataFrame:
-    """No rows, or a failed job where a node lies below the unrolled levels.
-
-    The test guards the error inside one expression, as filters may be reordered.
-    """
-    fail = F.raise_error(F.lit("a document is nested deeper than the unrolled levels")).cast("string")
-    return level.withColumn(into, F.when(deep, fail)).where(F.col(into).isNotNull())
-
-
 def _tvf(df: DataFrame):
     return df.sparkSession.tvf
 
@@ -412,30 +400,49 @@ def evidence_facts(document: Column, family: str) -> Column:
         k == "providerMetadata", provider).otherwise(v))
 
 
-def string_leaves(df: DataFrame, value: str = "doc", depth: int = 12) -> DataFrame:
-    """Every string of a VARIANT as (.., pointer, text), pointers escaped per RFC 6901.
+def document_depth(df: DataFrame, value: str) -> int:
+    """Levels of the deepest VARIANT of a column, from the brackets of its JSON text; one pass.
 
-    One lateral explode per level; anything nested deeper than ``depth`` fails.
+    A document's own levels bound how often it has to be opened, so none is given beforehand.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.to_json(F.col(value)), r"\\.", ""), '"[^"]*"', "")
+    marks = F.split(F.regexp_replace(bare, r"[^\[\]{}]", ""), "")
+    step = lambda a, m: F.struct(
+        (a["now"] + F.when(m.isin("[", "{"), 1).when(m.isin("]", "}"), -1).otherwise(0)).alias("now"),
+        F.greatest(a["most"], a["now"] + F.when(m.isin("[", "{"), 1).otherwise(0)).alias("most"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return df.agg(F.max(F.aggregate(marks, start, step, lambda a: a["most"]))).first()[0] or 0
+
+
+def string_leaves(df: DataFrame, value: str = "doc", with_keys: bool = False, dotted: bool = False) -> DataFrame:
+    """Every string of a VARIANT as (.., pointer, text), at any depth, in one scan.
+
+    Each level opens what is left; finished leaves pass through. ``with_keys`` also gives every key
+    name of every object, whatever it holds, at its path with ``<key>`` behind it. Pointers are
+    escaped per RFC 6901, or written a.b[0] where ``dotted``.
     """
     keys = [c for c in df.columns if c != value]
     level = df.select(*keys, F.col(value).alias("node"), F.lit("").alias("pointer"))
-    kind = lambda: F.schema_of_variant("node")
-    found = None
-    for step in range(depth + 1):
-        here = level.where(kind() == "STRING").select(
-            *keys, "pointer", F.try_variant_get("node", "$", "string").alias("text"))
-        found = here if found is None else found.unionByName(here)
-        if step == depth:
-            deep = F.rlike(kind(), F.lit("^(OBJECT|ARRAY)<.+>"))
-            found = found.unionByName(_too_deep(level, deep, "text").select(*keys, "pointer", "text"))
-            break
-        inner = level.where(F.rlike(kind(), F.lit("^(OBJECT|ARRAY)")))
-        kids = inner.lateralJoin(_tvf(df).variant_explode(F.col("node").outer()))
-        token = F.coalesce(F.replace(F.replace(F.col("key"), F.lit("~"), F.lit("~0")),
-                                     F.lit("/"), F.lit("~1")), F.col("pos").cast("string"))
-        level = kids.select(*keys, F.col("value").alias("node"),
-                            F.concat("pointer", F.lit("/"), token).alias("pointer"))
-    return found
+    for _ in range(document_depth(df, value)):
+        kids = level.lateralJoin(_tvf(df).variant_explode_outer(F.col("node").outer()))
+        escaped = F.replace(F.replace(F.col("key"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        place = F.col("pos").cast("string")
+        if dotted:
+            path = F.when(F.col("key").isNull(), F.concat("pointer", F.lit("["), place, F.lit("]"))).when(
+                F.col("pointer") == "", F.col("key")).otherwise(F.concat("pointer", F.lit("."), "key"))
+        else:
+            path = F.concat("pointer", F.lit("/"), F.coalesce(escaped, place))
+        child = F.struct(F.coalesce("value", "node").alias("node"),
+                         F.when(F.col("pos").isNull(), F.col("pointer")).otherwise(path).alias("pointer"))
+        if with_keys:
+            named = F.struct(F.col("key").cast("variant").alias("node"), F.concat(path, F.lit("<key>")).alias("pointer"))
+            opened = F.explode(F.when(F.col("key").isNull(), F.array(child)).otherwise(F.array(child, named)))
+        else:
+            opened = F.explode(F.array(child))
+        level = kids.select(*keys, opened.alias("o")).select(*keys, "o.node", "o.pointer")
+    return level.where(F.schema_of_variant("node") == "STRING").select(
+        *keys, "pointer", F.try_variant_get("node", "$", "string").alias("text"))
+
 
 
 def source_content(df: DataFrame) -> DataFrame:

@@ -213,16 +213,16 @@ def scan_text(df: DataFrame, column: str, keys, extra=()) -> DataFrame:
     return rows.select(*keys, "f.category", "f.span", "f.start", "f.end", "f.detail")
 
 
-def scan_documents(df: DataFrame, keys, document: str, extra=(), depth: int = 12) -> DataFrame:
-    """Findings in every string value and every key name of a VARIANT document."""
-    leaves = string_leaves(df.select(*keys, F.col(document).alias("doc")), "doc", depth)
-    name = F.element_at(F.split("pointer", "/"), -1)
-    # a list position is no key; a key counts once for each value below it
-    named = leaves.where(~F.rlike(name, F.lit(r"^\d+$"))).select(
-        *keys, F.concat("pointer", F.lit("<key>")).alias("field"),
-        F.replace(F.replace(name, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")).alias("text"))
-    texts = leaves.select(*keys, F.col("pointer").alias("field"), "text").unionByName(named)
-    return scan_text(texts, "text", [*keys, "field"], extra)
+def scan_documents(df: DataFrame, keys, document: str, extra=()) -> DataFrame:
+    """Findings in every string value and every key name of a VARIANT document, fields as a.b[0]."""
+    leaves = string_leaves(df.select(*keys, F.col(document).alias("doc")), "doc", with_keys=True, dotted=True)
+    return scan_text(leaves.withColumnRenamed("pointer", "field"), "text", [*keys, "field"], extra)
+
+
+def clean_documents(df: DataFrame, key: str, document: str, extra=()) -> DataFrame:
+    """Rows whose whole document holds no finding; the others are withheld whole, never redacted."""
+    found = scan_documents(df, [key], document, extra).select(key).distinct()
+    return df.join(found, key, "left_anti")
 
 
 def clean_rows(df: DataFrame, column: str, extra=()) -> DataFrame:

@@ -245,7 +245,7 @@ def product_tree(spark, sf):
         leaf("P", name), leaf("Q", F.concat(F.lit("late "), name))).alias("FullProductName"))
     docs = B.table(spark, sf, "part").select(F.concat(F.lit("T"), n.cast("string")).alias("doc_id"),
                                              F.parse_json(F.to_json(tree)).alias("tree"))
-    return parse.product_names(docs, depth=6)
+    return parse.product_names(docs)
 
 
 @register("p2_product_ids", """SELECT cve, (SELECT string_agg(id, '|' ORDER BY id) FROM (SELECT DISTINCT 'P' || ((k * 3 + i * 7) % 200) AS id FROM (SELECT range AS i FROM range(3)) WHERE i <= k % 3)) AS ids FROM adv""", ["adv"])
@@ -458,7 +458,7 @@ def string_leaves(spark, sf):
     doc = F.struct(F.col("event_type").alias("props/raw"), F.array(F.struct(
         F.col("user_id").cast("string").alias("a~b"), F.col("value").alias("n"))).alias("inner"))
     rows = B.table(spark, sf, "events").select("event_id", F.parse_json(F.to_json(doc)).alias("doc"))
-    return parse.string_leaves(rows, depth=4)
+    return parse.string_leaves(rows)
 
 
 @register("c9_text_value_as_list", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN event_type ELSE '' END AS text,

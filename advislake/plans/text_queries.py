@@ -300,16 +300,27 @@ def offsets(spark, sf):
 
 
 def planted_documents(spark, sf):
-    doc = F.struct(F.col("event_type").alias("kind"), F.struct(F.when(
-        F.col("event_id") % 5 == 0, "mail to jane.doe@contoso-corp.com").otherwise("fine").alias("portal.contoso-corp.com")).alias("inner"))
+    """Event documents with a host as the name of a string, of a number, of an object and in a list."""
+    i = F.col("event_id")
+    doc = F.struct(
+        F.col("event_type").alias("kind"),
+        F.struct(F.when(i % 5 == 0, "mail to jane.doe@contoso-corp.com").otherwise("fine").alias("portal.contoso-corp.com")).alias("inner"),
+        F.when(i % 7 == 0, F.struct(F.lit(5).alias("files.contoso-corp.com"))).alias("numbers"),
+        F.when(i % 11 == 0, F.array(F.struct(F.struct(F.lit(True).alias("on")).alias("vpn.contoso-corp.com")))).alias("list"),
+        F.when(i % 13 == 0, F.struct(F.lit("from 10.20.30.40 on").alias("2024"))).alias("years"))
     return B.table(spark, sf, "events").select("event_id", F.parse_json(F.to_json(doc)).alias("doc"))
 
 
-@register("d12_scan_documents", """SELECT event_id, '/inner/portal.contoso-corp.com' AS field, 'email_address' AS category FROM events WHERE event_id % 5 = 0
-  UNION ALL SELECT event_id, '/inner/portal.contoso-corp.com', 'hostname' FROM events WHERE event_id % 5 = 0 AND false
-  UNION ALL SELECT event_id, '/inner/portal.contoso-corp.com<key>', 'hostname' FROM events""")
+_FOUND = """SELECT event_id, 'inner.portal.contoso-corp.com' AS field, 'email_address' AS category FROM events WHERE event_id % 5 = 0
+  UNION ALL SELECT event_id, 'inner.portal.contoso-corp.com<key>', 'hostname' FROM events
+  UNION ALL SELECT event_id, 'numbers.files.contoso-corp.com<key>', 'hostname' FROM events WHERE event_id % 7 = 0
+  UNION ALL SELECT event_id, 'list[0].vpn.contoso-corp.com<key>', 'hostname' FROM events WHERE event_id % 11 = 0
+  UNION ALL SELECT event_id, 'years.2024', 'ipv4_address' FROM events WHERE event_id % 13 = 0"""
+
+
+@register("d12_scan_documents", _FOUND)
 def scan_documents(spark, sf):
-    return privacy.scan_documents(planted_documents(spark, sf), ["event_id"], "doc", depth=4).select("event_id", "field", "category")
+    return privacy.scan_documents(planted_documents(spark, sf), ["event_id"], "doc").select("event_id", "field", "category")
 
 
 @register("d13_clean_rows", "SELECT event_id FROM events WHERE event_id % 5 <> 0")
@@ -319,6 +330,15 @@ def clean_rows(spark, sf):
     return privacy.clean_rows(rows, "note").select("event_id")
 
 
+@register("d13_clean_documents", "SELECT event_id FROM events WHERE event_id % 3 <> 1 AND event_id % 4 <> 1")
+def clean_documents(spark, sf):
+    i = F.col("event_id")
+    doc = F.struct(F.col("event_type").alias("kind"), F.when(i % 3 == 1, F.struct(F.array(F.lit("10.20.30.40")).alias("at"))).alias("deep"),
+                   F.when(i % 4 == 1, F.struct(F.lit(1).alias("portal.contoso-corp.com"))).alias("keyed"))
+    rows = B.table(spark, sf, "events").select("event_id", F.parse_json(F.to_json(doc)).alias("doc"))
+    return privacy.clean_documents(rows, "event_id", "doc").select("event_id")
+
+
 @register("d14_packet_strings", """SELECT cve, 2 + 2 * (2 + (k % 4 <> 0)::INT + (k % 6 = 0)::INT + (customer_action_note IS NOT NULL)::INT + 1) - 0 + k % 4
    + 3 * (k % 4 + (CASE WHEN k % 4 > 0 AND k % 3 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 4 > 1 AND (k + 1) % 3 <> 0 THEN 1 ELSE 0 END) + (CASE WHEN k % 4 > 2 AND (k + 2) % 3 <> 0 THEN 1 ELSE 0 END))
    + 3 * (k % 9 = 4)::INT + (SELECT count(*) FROM advtag t WHERE t.k = adv.k) AS fields FROM adv""", ["adv", "advtag"])
@@ -336,13 +356,13 @@ def version_context(spark, sf):
         scalar.is_public_identifier(token).alias("public"))
 
 
-@register("a11_scan_report", "SELECT 'record' AS scope, 'hostname' AS category, count(*) AS findings FROM adv WHERE k % 7 = 3", ["adv"])
+@register("a11_scan_report", """SELECT 'record' AS scope, 'hostname' AS category, count(*) AS findings FROM adv WHERE k % 7 = 3""", ["adv"])
 def scan_report(spark, sf):
+    """What goes into a packet, and every value and key of the whole record."""
     records = B.records(spark, sf)
     packet = privacy.scan_text(privacy.packet_strings(records), "text", ["cve", "field"])
-    whole = privacy.scan_text(records.select("cve", F.to_json(
-        F.struct("vendor_guidance", "source")).alias("text")), "text", ["cve"])
-    return privacy.scan_report(packet, whole)
+    documents = records.select("cve", F.parse_json(F.to_json(F.struct(*[c for c in records.columns if c != "k"]))).alias("doc"))
+    return privacy.scan_report(packet, privacy.scan_documents(documents, ["cve"], "doc"))
 
 
 def _proof(spark, sf):
