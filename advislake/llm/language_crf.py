@@ -20,6 +20,7 @@ from advislake.llm.registry import register
 BUCKETS = 1 << 18
 SAMPLE_DOCS = 400  # labelled documents of each language that the model is fitted on
 SAMPLE_CHARS = 20_000  # labelled documents longer than this are not drawn
+DRAW_PARTS = 64  # parts of a label that are ranked apart
 CHAIN = 32  # words of a training sequence
 STRETCH = 12  # mean words before a training sequence changes its document
 LANE = 256  # words of a text that advance one by one; longer texts are cut and joined exactly
@@ -228,9 +229,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", epochs: int = 2
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= sample_chars)) \
         .select(F.col("doc_id").alias("id"), F.col(lang).alias("label"), F.col(text).alias("sample"))
-    draw = F.xxhash64(F.lit(seed), "id")
-    rank = F.row_number().over(Win.partitionBy("label").orderBy(draw, "id"))
-    chosen = labelled.select("id", "label").withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("id", "label").distinct()
+    # a label may hold most rows: parts of a label are ranked first, then what is left of all parts
+    ids = labelled.select("id", "label").withColumn("draw", F.xxhash64(F.lit(seed), "id"))
+    for by in (["label", F.pmod("draw", F.lit(DRAW_PARTS))], ["label"]):
+        rank = F.row_number().over(Win.partitionBy(*by).orderBy("draw", "id"))
+        ids = ids.withColumn("rank", rank).where(F.col("rank") <= sample_docs).drop("rank")
+    chosen = ids.select("id", "label").distinct()
     rows = labelled.join(F.broadcast(chosen), ["id", "label"]).collect()  # sample_docs ids a label
     rows = sorted({(r["label"], r["id"], r["sample"]) for r in rows})
     labels = sorted({r[0] for r in rows})
