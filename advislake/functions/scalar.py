@@ -1,10 +1,12 @@
 """Display, text clean-up and digest functions as Column builders."""
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from advislake.functions import vocab
 from advislake.functions.exprs import lookup
 
-_ENTITY = r"^&(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z]+);"
+_ENTITY = r"^&(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);"
 _JS_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 
 
@@ -98,8 +100,11 @@ def _code_point(code: Column) -> Column:
     return F.decode(raw, "UTF-32")
 
 
-def decode_entities(text: Column, names: dict) -> Column:
-    """Named and numeric character references; unknown ones stay literal."""
+def decode_entities(text: Column, names: dict, fold: bool = True) -> Column:
+    """Named and numeric character references; unknown ones stay literal.
+
+    Names are taken in lower case, or as written without ``fold``.
+    """
 
     def one(part: Column) -> Column:
         entity = F.regexp_extract(part, _ENTITY, 1)
@@ -109,7 +114,7 @@ def decode_entities(text: Column, names: dict) -> Column:
                 .when(F.rlike(entity, F.lit("^#[xX]")), F.conv(digits, 16, 10))
                 .when(F.rlike(entity, F.lit("^#")), digits)).try_cast("bigint")
         valid = (code > 0) & (code <= 0x10FFFF) & ~((code >= 0xD800) & (code <= 0xDFFF))
-        named = lookup(names, F.lower(entity))
+        named = lookup(names, F.lower(entity) if fold else entity)
         value = F.when(F.startswith(entity, F.lit("#")), F.when(valid, _code_point(code))).otherwise(named)
         return F.when(entity == "", part).otherwise(
             F.coalesce(F.concat(value, rest), part))
@@ -140,10 +145,13 @@ def source_plain_text(value: Column) -> Column:
     return out
 
 
+# the whole table of the standard, as the language's library has it
+HTML_ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+
+
 def strip_markup(value: Column) -> Column:
-    """Tags to blanks and entities decoded, nothing else changed."""
-    return decode_entities(F.regexp_replace(F.coalesce(value, F.lit("")), "<[^>]+>", " "),
-                           {**vocab.ENTITIES, "nbsp": " "})
+    """Tags to blanks and all entities of the standard decoded, nothing else changed."""
+    return decode_entities(F.regexp_replace(F.coalesce(value, F.lit("")), "<[^>]+>", " "), HTML_ENTITIES, fold=False)
 
 
 def text_value(value: Column) -> Column:

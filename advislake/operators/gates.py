@@ -116,7 +116,11 @@ def candidate_violations(df: DataFrame, check=candidate_errors) -> DataFrame:
                        F.explode(check(F.col("_c"))).alias("violation"))
 
 
-def unknown_tags(df: DataFrame) -> DataFrame:
+def unknown_tags(df: DataFrame, taxonomy: DataFrame = None) -> DataFrame:
+    """(cve, tag) of tags outside the taxonomy: the given (namespace, tag) rows, or the built-in one."""
+    if taxonomy is not None:
+        rows = df.select("cve", F.explode(F.array_distinct("tags")).alias("tag"))
+        return rows.join(taxonomy.select("tag"), "tag", "left_anti").select("cve", "tag")
     return df.select("cve", F.explode(F.array_except("tags", words(vocab.ALL_TAGS))).alias("tag"))
 
 

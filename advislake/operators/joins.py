@@ -167,10 +167,17 @@ def control_directions(control: Column) -> Column:
     return F.coalesce(found, words(vocab.DIRECTIONS))
 
 
-def candidate_directions(df: DataFrame) -> DataFrame:
-    """(cve, control, direction, acts) for every candidate."""
+def candidate_directions(df: DataFrame, controls: DataFrame = None) -> DataFrame:
+    """(cve, control, direction, acts) for every candidate.
+
+    ``controls``: (id, directions) of a control file; a control that it lacks acts on all directions.
+    """
     rows = df.select("cve", F.col("inference.attack_path.direction").alias("direction"),
                      F.explode(F.transform("mitigation_candidates", lambda c: c.id)).alias("control"))
+    if controls is not None:
+        known = controls.select(F.col("id").alias("control"), "directions")
+        return rows.join(known, "control", "left").select("cve", "control", "direction", has(
+            F.coalesce("directions", words(vocab.DIRECTIONS)), F.col("direction")).alias("acts"))
     return rows.withColumn("acts", has(control_directions(F.col("control")), F.col("direction")))
 
 

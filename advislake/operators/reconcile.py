@@ -210,8 +210,15 @@ def run_log_errors(events: DataFrame, terminal: str, allowed, expected_model: st
 
 
 def content_digest(df: DataFrame) -> DataFrame:
-    """Order-free digest of a table: row count and the sum of row hashes."""
-    row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+    """Order-free digest of a table: row count and the sum of row digests (60 bits of MD5).
+
+    A row's text is its columns in name order, parted by U+001F, with ``\\N`` for null; nested columns
+    give their JSON.
+    """
+    nested = ("struct", "array", "map", "variant")
+    text = lambda c, kind: F.to_json(c) if kind.startswith(nested) else F.col(c).cast("string")
+    parts = [F.coalesce(text(c, kind), F.lit("\\N")) for c, kind in sorted(df.dtypes)]
+    row = F.conv(F.substring(F.md5(F.concat_ws("\u001f", *parts)), 1, 15), 16, 10)
     return df.agg(F.count("*").alias("records"), F.sum(row.cast("decimal(38,0)")).cast("string").alias("digest"))
 
 

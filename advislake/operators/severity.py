@@ -18,8 +18,17 @@ def mapped_band(scale: Column, band: Column) -> Column:
     return lookup(_SCALE_KEYS, F.concat(scale, F.lit("|"), F.lower(band)))
 
 
-def unmapped_bands(df: DataFrame, scale: str, band: str) -> DataFrame:
+def with_mapped_band(df: DataFrame, scales: DataFrame, scale: str, band: str, into: str = "mapped_band") -> DataFrame:
+    """As ``mapped_band``, for scales of a file: (scale, band, target) as ``readers.read_scales`` gives them."""
+    rows = scales.select(F.col("scale").alias("_scale"), F.lower("band").alias("_band"), F.col("target").alias(into)).distinct()
+    return df.join(rows, (F.col(scale) == F.col("_scale")) & (F.lower(F.col(band)) == F.col("_band")), "left").drop("_scale", "_band")
+
+
+def unmapped_bands(df: DataFrame, scale: str, band: str, scales: DataFrame = None) -> DataFrame:
     """Gate: rows whose band their own scale does not define."""
+    if scales is not None:
+        return with_mapped_band(df, scales, scale, band, "_target").where(
+            F.col(band).isNotNull() & F.col("_target").isNull()).drop("_target")
     return df.where(F.col(band).isNotNull() & mapped_band(F.col(scale), F.col(band)).isNull())
 
 
@@ -146,11 +155,6 @@ def renormalise(df: DataFrame) -> DataFrame:
             .drop("_text", "_basis"))
 
 
-def legacy_band(flat: Column) -> Column:
-    """Old flat severity text, only for reporting what moved."""
-    return lookup(vocab.LEGACY_BANDS, flat, "unknown")
-
-
 def band_moves(df: DataFrame) -> DataFrame:
     """Before/after record counts per band of a re-normalised release."""
     sides = F.explode(F.array(
@@ -158,7 +162,3 @@ def band_moves(df: DataFrame) -> DataFrame:
         F.struct(severity_band().alias("band"), F.lit(0).alias("b"), F.lit(1).alias("a"))))
     return (df.select(sides.alias("s")).groupBy("s.band")
             .agg(F.sum("s.b").alias("before"), F.sum("s.a").alias("after")))
-
-
-def is_vendor_band(band: Column) -> Column:
-    return within(band, ["critical", "high", "medium", "low"])

@@ -1,12 +1,16 @@
 """Validation gate and overlay merge queries."""
+import json
+
 from pyspark.sql import functions as F
 
 from advislake.functions import vocab
 from advislake.functions.exprs import attach, struct_of, words
-from advislake.operators import gates, joins, merge
+from advislake.operators import gates, joins, merge, severity
 from advislake.plans import bridge as B
 from advislake.plans.registry import register
 from advislake.plans.sql_views import inlist, pick, values, view
+from advislake.sources import readers
+from advislake.sources.scratch import fresh_path
 
 flat = lambda c, sep="|": F.array_join(c, sep)
 _DIRS = [(cid, d) for cid, _, _, ds in vocab.CONTROLS for d in ds]
@@ -323,3 +327,68 @@ def unknown_corrections(spark, sf):
     asked = corrections(spark, sf).select("cve").unionByName(B.advisories(spark, sf).where("k % 200 = 1").select(
         F.concat("cve", F.lit("-X")).alias("cve")))
     return joins.unknown_corrections(B.advisories(spark, sf), asked)
+
+
+# --- dimension files in use ----------------------------------------------------------------
+def dimension(spark, label, document):
+    """A dimension file as an owner of the vocabulary would hand it in."""
+    path = fresh_path(spark, label)
+    spark.range(1).select(F.lit(json.dumps(document)).alias("value")).coalesce(1).write.text(path)
+    return path
+
+
+@register("s7_scales_in_use", """SELECT a.cve, CASE WHEN a.cna_scale = 'chromium' AND lower(a.cna_band) = 'low' THEN 'medium' ELSE s.target END AS band
+  FROM adv a LEFT JOIN scale s ON s.scale = a.cna_scale AND lower(s.band) = lower(a.cna_band) WHERE a.cna_band IS NOT NULL""", ["adv", "scale"])
+def scales_in_use(spark, sf):
+    scales = {scale: {"bands": {band: {"maps_to": target} for band, target in bands.items()}} for scale, bands in vocab.SEVERITY_SCALES.items()}
+    scales["chromium"]["bands"]["Low"]["maps_to"] = "medium"
+    table = readers.read_scales(spark, dimension(spark, "scales", {"scales": scales}))
+    return severity.with_mapped_band(B.advisories(spark, sf).where("cna_band is not null"), table, "cna_scale", "cna_band", "band").select("cve", "band")
+
+
+@register("s7_taxonomy_in_use", "SELECT cve, tag FROM advtag WHERE tag IN ('user-content', 'dns')", ["advtag"])
+def taxonomy_in_use(spark, sf):
+    kept = {n: [t for t in tags if t not in ("user-content", "dns")] for n, tags in vocab.NAMESPACES.items()}
+    taxonomy = readers.read_taxonomy(spark, dimension(spark, "taxonomy", {"namespaces": kept}))
+    return gates.unknown_tags(B.records(spark, sf), taxonomy)
+
+
+@register("s7_controls_in_use", """SELECT c.cve, c.id AS control, r.direction, r.direction IS NOT NULL AND r.direction <> 'unknown' AND CASE WHEN c.id = 'waf_virtual_patch' THEN r.direction = 'local'
+  ELSE EXISTS (SELECT 1 FROM ctrldir d WHERE d.id = c.id AND d.direction = r.direction) END AS acts FROM cand c JOIN rec r USING (k)""", ["cand", "rec", "ctrldir"])
+def controls_in_use(spark, sf):
+    listed = [{"id": i, "name": n, "category": c, "applies_to_direction": ["local"] if i == "waf_virtual_patch" else list(d)}
+              for i, n, c, d in vocab.CONTROLS]
+    return joins.candidate_directions(B.records(spark, sf), readers.read_controls(spark, dimension(spark, "controls", listed)))
+
+
+@register("s7_definitions_in_use", "SELECT cve, tag, 'meaning of ' || tag AS definition FROM advtag", ["advtag"])
+def definitions_in_use(spark, sf):
+    document = {"definitions": {"_remark": "x"} | {t: f"meaning of {t}" for tags in vocab.NAMESPACES.values() for t in tags}}
+    defined = readers.read_definitions(spark, dimension(spark, "definitions", document))
+    return B.records(spark, sf).select("cve", F.explode("tags").alias("tag")).join(defined, "tag", "left").select("cve", "tag", "definition")
+
+
+@register("s7_filters_in_use", """SELECT CASE WHEN tag IN ('email', 'web', 'user-content') THEN 'reach' ELSE 'impact' END AS "group", tag, upper(tag) AS label, count(*) AS records
+  FROM advtag WHERE tag IN ('email', 'web', 'user-content', 'remote-code-execution', 'spoofing') AND tag <> 'web' GROUP BY 1, 2, 3""", ["advtag"])
+def filters_in_use(spark, sf):
+    group = lambda name, tags: {"id": name, "source": "tags", "options": [
+        {"tag": t, "label": t.upper()} | ({"overview": False} if t == "web" else {}) for t in tags]}
+    document = {"groups": [group("reach", ["email", "web", "user-content"]), group("impact", ["remote-code-execution", "spoofing"])]}
+    board = readers.read_filters(spark, dimension(spark, "filters", document)).where("overview")
+    rows = B.records(spark, sf).select("cve", F.explode("tags").alias("tag")).join(board, "tag")
+    return rows.groupBy("group", "tag", "label").agg(F.count("*").alias("records"))
+
+
+@register("s7_manifest_in_use", """SELECT month, month || '.jsonl' AS file, count(*) AS records, count(*) = max(n) AS complete FROM (
+  SELECT month, count(*) OVER (PARTITION BY month) AS n FROM adv) GROUP BY 1""", ["adv"])
+def manifest_in_use(spark, sf):
+    """Record counts that a manifest states, against the release."""
+    held = B.records(spark, sf).groupBy("month").agg(F.count("*").alias("records"))
+    entries = held.select(F.to_json(F.array(F.struct("month", F.concat("month", F.lit(".jsonl")).alias("file"), F.col("records").alias("record_count")))).alias("value"))
+    path = fresh_path(spark, "manifest")
+    entries.write.text(path)
+    manifest = spark.read.text(path).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(F.expr("substr(value, 2, length(value) - 2)"))), ","), F.lit("]")).alias("value"))
+    one = fresh_path(spark, "manifest")
+    manifest.coalesce(1).write.text(one)
+    stated = readers.read_manifest(spark, one)
+    return stated.join(held, "month").select("month", "file", "records", (F.col("record_count") == F.col("records")).alias("complete"))

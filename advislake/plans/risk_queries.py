@@ -292,7 +292,23 @@ def epss_bands(spark, sf):
         F.count("*").alias("records"))
 
 
-@register("c8_source_plain_text")
+def _replaced(text, steps):
+    for pattern, replacement in steps:
+        text = f"regexp_replace({text}, '{pattern}', {replacement}, 'g')"
+    return text
+
+
+_BLOCK, _NL = "p|div|li|h[1-6]", "chr(10)"
+_BLANK = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_BARE = _replaced("html", [
+    ("(?s)<!--.*?-->", "''"), *[(rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "''") for t in ("script", "style", "template", "iframe")],
+    (r">\s*\\[rn]\s*<", "'>' || chr(10) || '<'"), (rf"(?i)(</(?:{_BLOCK})>)[ \t]*\\[rn]\s*\z", r"'\1'"),
+    (rf"(?i)<br\s*/?>|</(?:{_BLOCK}|tr|section|blockquote)\s*>", f"{_NL} || {_NL}"), (r"(?i)<li\b[^>]*>", "'• '"), ("<[^>]*>", "''")])
+_PLAIN = _replaced("replace(replace(t, '&quot;', '\"'), '&amp;', '&')", [
+    (r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "''"), (r"[ \t]+\n", _NL), (r"\n{3,}", f"{_NL} || {_NL}"), (rf"^{_BLANK}+|{_BLANK}+\z", "''")])
+
+
+@register("c8_source_plain_text", f"SELECT page_id, {_PLAIN} AS text FROM (SELECT page_id, {_BARE} AS t FROM pages)")
 def plain_text(spark, sf):
     return B.table(spark, sf, "pages").select("page_id", scalar.source_plain_text(F.col("html")).alias("text"))
 
@@ -304,7 +320,8 @@ def strip_markup(spark, sf):
         F.col("html"), F.lit("&"), F.lit("and"))).alias("text"))
 
 
-@register("c10_entities")
+@register("c10_entities", """SELECT page_id, replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'),
+  '&quot;', '"'), '&amp;', '&') AS text FROM pages""")
 def entities(spark, sf):
     return B.table(spark, sf, "pages").select("page_id", scalar.strip_markup(F.col("html")).alias("text"))
 

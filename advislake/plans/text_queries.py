@@ -238,13 +238,19 @@ def rejection_rates(spark, sf):
 view("priv", [], f"SELECT doc_id, text || chr(10) || {pick(B.PLANTED, 'doc_id % 14')} AS text FROM documents")
 
 
+_DOUBLED = r"WITH d AS (SELECT doc_id, text, regexp_replace(text, '(\s)', '\1\1', 'g') AS t FROM priv)"
+_DETECTED = []
+
+
 def _detector(name, build, sql, category=None):
     """Every finding of a detector (of one category, where it tells several apart) with its span.
 
     Oracles take spans between consumed borders; white space is doubled first, so that two spans
     never share one.
     """
-    @register(name, f"WITH d AS (SELECT doc_id, text, regexp_replace(text, '(\\s)', '\\1\\1', 'g') AS t FROM priv) {sql}", ["priv"])
+    _DETECTED.append(sql)
+
+    @register(name, f"{_DOUBLED} {sql}", ["priv"])
     def run(spark, sf):
         found = B.priv_text(spark, sf).select("doc_id", F.explode(build(F.col("text"))).alias("f"))
         found = found if category is None else found.where(F.col("f.category") == category)
@@ -282,20 +288,22 @@ _detector("d11_asset_inventory", privacy.inventory, r"""SELECT doc_id, substr(tr
   WHERE len(list_distinct(list_filter(regexp_extract_all(line, '\b[A-Z]{2,}[A-Z0-9]*(?:-[A-Z0-9]+)+\b'), lambda a: regexp_matches(a, '[0-9]')))) >= 3""")
 
 
-@register("d12_scan_text")
+_CATEGORIES = ["ipv4_address", "ipv6_address", "email_address", "guid", "tenant_identifier", "hostname", "unc_path", "filesystem_path",
+               "security_identifier", "mac_address", "asset_inventory"]
+_ALL_SPANS = f"{_DOUBLED}, f AS ({' UNION ALL '.join(f"SELECT doc_id, '{c}' AS category, span FROM ({q})" for c, q in zip(_CATEGORIES, _DETECTED))})"
+
+
+@register("d12_scan_text", f"{_ALL_SPANS} SELECT * FROM f", ["priv"])
 def scan_text(spark, sf):
-    return privacy.scan_text(B.priv_text(spark, sf), "text", ["doc_id"]).select(
-        "doc_id", "category", "span", "start", "end")
+    return privacy.scan_text(B.priv_text(spark, sf), "text", ["doc_id"]).select("doc_id", "category", "span")
 
 
-@register("d12_offsets_hold")
+@register("d12_offsets_hold", f"{_ALL_SPANS} SELECT category, count(*) AS findings, 0 AS misplaced FROM f GROUP BY 1", ["priv"])
 def offsets(spark, sf):
-    """Findings whose span isn't at its place, by category; an inventory's span is shown with single spaces."""
+    """Findings whose span isn't at its place, by category; an inventory's span is trimmed and cut."""
     rows = privacy.scan_text(B.priv_text(spark, sf), "text", ["doc_id", "text"])
     there = F.expr("substr(text, start + 1, end - start)")
-    tight = lambda c: F.regexp_replace(c, r"\s+", " ")
-    same = (there == F.col("span")) | ((F.col("category") == "asset_inventory") & F.startswith(
-        F.trim(tight(there)), F.trim(tight(F.col("span")))))
+    same = (there == F.col("span")) | ((F.col("category") == "asset_inventory") & F.startswith(F.trim(there), F.col("span")))
     return rows.groupBy("category").agg(F.count("*").alias("findings"), F.count_if(~same).alias("misplaced"))
 
 
@@ -376,11 +384,12 @@ def _proof(spark, sf):
     return joins.proof_of_findings(found, twice)
 
 
-@register("j15_proof_of_findings")
+@register("j15_proof_of_findings", f"""{_ALL_SPANS} SELECT DISTINCT doc_id AS cve, category, span AS value, CASE WHEN doc_id % 4 <> 3 THEN '/Notes/0' END AS pointer,
+  doc_id % 4 <> 3 AS proved FROM f""", ["priv"])
 def proof(spark, sf):
     return _proof(spark, sf).select("cve", "category", "value", "pointer", "proved")
 
 
-@register("j15_unproved")
+@register("j15_unproved", f"{_ALL_SPANS} SELECT DISTINCT doc_id AS cve, category, span AS value FROM f WHERE doc_id % 4 = 3", ["priv"])
 def unproved(spark, sf):
     return _proof(spark, sf).where("not proved").select("cve", "category", "value")
