@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from advislake.functions import vocab
 from advislake.functions.exprs import has, index_of, lookup, truthy, within, words
 from advislake.operators.parse import ssvc
+from advislake.sources.scratch import fresh_path
 
 EPSS_FIELDS = ["epss", "epss_percentile", "epss_date", "epss_status"]
 
@@ -99,13 +100,23 @@ def refresh_scores(df: DataFrame, scores: DataFrame, feed_date: str = None) -> D
             .drop("threat", "_e", "_p", "_d").withColumnRenamed("_threat", "threat"))
 
 
-def stamp_provenance(df: DataFrame, url: str, sha256: str, feed_date: str) -> DataFrame:
-    """Provenance of the feed, on every record of a month in which any score changed."""
-    changed = df.groupBy("month").agg(F.bool_or("score_changed").alias("_any"))
-    stamp = F.struct(F.lit(url).alias("url"), F.lit(sha256).alias("sha256"),
-                     F.lit(feed_date).alias("score_date"))
-    return df.join(changed, "month", "left").withColumn(
-        "epss_source", F.when(F.col("_any"), stamp)).drop("_any")
+MOST_MONTHS = 10_000  # months of a release whose table is broadcast; beyond it, the join shuffles
+
+
+def stamp_provenance(df: DataFrame, url: str, sha256: str, feed_date: str, batch_api_fallback: bool = False) -> DataFrame:
+    """Provenance of the feed, on every record of a month in which any score changed.
+
+    The refreshed rows are written once, as both the months and the records are read from them.
+    """
+    path = fresh_path(df.sparkSession, "refreshed")
+    df.write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path)
+    changed = rows.where("score_changed").select(F.col("month").alias("_month")).distinct()
+    changed = changed if changed.count() > MOST_MONTHS else F.broadcast(changed)
+    stamp = F.struct(F.lit(url).alias("url"), F.lit(sha256).alias("sha256"), F.lit(feed_date).alias("score_date"),
+                     F.lit(batch_api_fallback).alias("batch_api_fallback"))
+    return rows.join(changed, F.col("month") == F.col("_month"), "left").withColumn(
+        "epss_source", F.when(F.col("_month").isNotNull(), stamp)).drop("_month")
 
 
 def two_tier_scores(wanted: DataFrame, bulk: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -35,11 +35,13 @@ def update_status(products: DataFrame, remediations: DataFrame) -> DataFrame:
 def update_summary(status: DataFrame, records: DataFrame, selected=()) -> DataFrame:
     """Per record: total, available, missing and the flag, scoped to selected products.
 
-    ``records``: cve, tags, product_tags. Missing names are the status rows that are
-    not available; they stay rows.
+    ``records``: cve, tags, product_tags. The missing products' names come with the record;
+    they are as many as its products at most.
     """
     counts = status.groupBy("cve").agg(F.count("*").alias("total"),
-                                       F.count_if("available").alias("available"))
+                                       F.count_if("available").alias("available"),
+                                       F.array_sort(F.collect_list(F.when(~F.col("available"), F.coalesce(
+                                           "name", "product_id")))).alias("missing_names"))
     out = records.join(counts, "cve", "left").withColumns({
         "total": F.coalesce("total", F.lit(0)), "available": F.coalesce("available", F.lit(0))})
     in_scope = overlaps(F.concat(F.coalesce("product_tags", words([])), F.coalesce("tags", words([]))),
@@ -47,7 +49,8 @@ def update_summary(status: DataFrame, records: DataFrame, selected=()) -> DataFr
     missing = F.col("total") - F.col("available")
     flag = (in_scope & (missing > 0)) if selected else (
         (F.col("total") > 0) & (F.col("available") == 0))
-    return out.select("cve", "total", "available", missing.alias("missing"), flag.alias("flag"))
+    return out.select("cve", "total", "available", missing.alias("missing"), flag.alias("flag"),
+                      F.coalesce("missing_names", words([])).alias("missing_names"))
 
 
 def pending_first(status: DataFrame) -> DataFrame:

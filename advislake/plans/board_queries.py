@@ -28,25 +28,27 @@ def update_status(spark, sf):
     return review.update_status(B.adv_product(spark, sf), B.adv_remediation(spark, sf))
 
 
-@register("r8_update_summary", _STATUS + """, c AS (SELECT p.cve, count(*) AS total, count(*) FILTER (available) AS available
+@register("r8_update_summary", _STATUS + """, c AS (SELECT p.cve, count(*) AS total, count(*) FILTER (available) AS available, string_agg(p.name, '|' ORDER BY p.name) FILTER (NOT available) AS names
    FROM lineprod p JOIN f ON f.cve = p.cve AND f.product_id = p.product_id GROUP BY 1),
   scope AS (SELECT cve FROM advtag WHERE tag IN ('dns', 'office', 'server-2022') UNION SELECT cve FROM ptag WHERE tag IN ('dns', 'office', 'server-2022'))
   SELECT a.cve, coalesce(total, 0) AS total, coalesce(available, 0) AS available, coalesce(total - available, 0) AS missing,
-   a.cve IN (SELECT cve FROM scope) AND coalesce(total - available, 0) > 0 AS flag FROM adv a LEFT JOIN c ON c.cve = a.cve""",
+   a.cve IN (SELECT cve FROM scope) AND coalesce(total - available, 0) > 0 AS flag, coalesce(names, '') AS missing_names FROM adv a LEFT JOIN c ON c.cve = a.cve""",
           ["adv", "lineprod", "linerem", "advtag", "ptag"])
 def update_summary(spark, sf):
     status = review.update_status(B.adv_product(spark, sf), B.adv_remediation(spark, sf))
-    return review.update_summary(status, B.records(spark, sf).select("cve", "tags", "product_tags"),
-                                 ["dns", "office", "server-2022"])
+    out = review.update_summary(status, B.records(spark, sf).select("cve", "tags", "product_tags"),
+                                ["dns", "office", "server-2022"])
+    return out.withColumn("missing_names", F.array_join("missing_names", "|"))
 
 
 @register("w7_pending_first", _STATUS + """ SELECT p.cve, row_number() OVER (PARTITION BY p.cve ORDER BY f.available, p.product_id) AS place,
    p.product_id FROM lineprod p JOIN f ON f.cve = p.cve AND f.product_id = p.product_id""", ["lineprod", "linerem"])
 def pending_first(spark, sf):
-    from pyspark.sql import Window
     rows = review.pending_first(review.update_status(B.adv_product(spark, sf), B.adv_remediation(spark, sf)))
-    w = Window.partitionBy("cve").orderBy("available", "product_id")
-    return rows.select("cve", F.row_number().over(w).alias("place"), "product_id")
+    # places follow the order that the operator gave
+    placed = ordering.number_rows(rows).select("cve", "rank", "product_id")
+    first = placed.groupBy("cve").agg(F.min("rank").alias("first"))
+    return placed.join(first, "cve").select("cve", (F.col("rank") - F.col("first") + 1).alias("place"), "product_id")
 
 
 @register("r9_review_status", "SELECT cve, required, codes FROM review", ["review"])
@@ -175,11 +177,10 @@ def worst_first(spark, sf):
         "cve", F.col("resid_action").alias("res_a"), F.col("resid_likelihood").alias("res_l"))
 
 
-@register("w4_worst_first_top_up", _WORST.format(src="(SELECT * FROM prof WHERE month = '1995-Jan' AND band = 'unknown')"), ["prof"])
+@register("w4_worst_first_top_up", _WORST.format(src="(SELECT * FROM prof WHERE res_a <> 3)"), ["prof"])
 def worst_first_top_up(spark, sf):
-    """One month's unrated records: few emergencies, so the list is topped up."""
-    quiet = B.records(spark, sf).where("month = '1995-Jan' and severity.normalized_band = 'unknown'")
-    return ordering.worst_first(risk.with_profile(quiet, SELECTION)).select(
+    """Once the emergencies are dealt with, the list is all top-up."""
+    return ordering.worst_first(risk.with_profile(B.records(spark, sf), SELECTION).where("resid_action <> 3")).select(
         "cve", F.col("resid_action").alias("res_a"), F.col("resid_likelihood").alias("res_l"))
 
 

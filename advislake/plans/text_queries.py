@@ -192,11 +192,19 @@ def citation_counts(spark, sf):
     return tagcheck.citation_counts(tagcheck.with_checks(checkable(spark, sf)))
 
 
-@register("k6_tier1_annotation", """SELECT r.cve, string_agg(DISTINCT "check", '|' ORDER BY "check") AS failed FROM rec r LEFT JOIN tagfind f ON f.k = r.k GROUP BY 1""", ["rec", "tagfind"])
+@register("k6_tier1_annotation", """WITH s AS (SELECT k, count(*) FILTER (state = 'unchecked') AS unchecked, count(*) FILTER (state = 'not-applicable') AS off FROM checkstate GROUP BY 1)
+  SELECT r.cve, string_agg(DISTINCT "check", '|' ORDER BY "check") AS failed, count(f.code) AS findings, string_agg(code || ':' || tag, '|' ORDER BY code || ':' || tag) AS codes,
+   CASE WHEN count(f.code) > 0 THEN max(unchecked) END AS unchecked, CASE WHEN count(f.code) > 0 THEN max(off) END AS not_applicable, r.title, true AS untouched
+  FROM rec r JOIN s ON s.k = r.k LEFT JOIN tagfind f ON f.k = r.k GROUP BY r.cve, r.title""", ["rec", "tagfind", "checkstate"])
 def tier1_annotation(spark, sf):
-    records = B.records(spark, sf)
-    findings = tagcheck.finding_rows(tagcheck.with_checks(checkable(spark, sf)))
-    return sinks.annotate_tier1(records, findings).select("cve", flat(F.col("tier1_review.failed_checks")).alias("failed"))
+    given = checkable(spark, sf)
+    out = sinks.annotate_tier1(tagcheck.with_checks(given), "2026-09-12T00:00:00Z")
+    t = F.col("tier1_review")
+    return out.select(
+        "cve", flat(t["failed_checks"]).alias("failed"), F.coalesce(F.size(t["findings"]), F.lit(0)).alias("findings"),
+        flat(F.array_sort(F.transform(t["findings"], lambda f: F.concat_ws(":", f["code"], f["tag"])))).alias("codes"),
+        F.size(t["unchecked"]).alias("unchecked"), F.size(t["not_applicable"]).alias("not_applicable"), "title",
+        F.lit(set(given.columns) <= set(out.columns)).alias("untouched"))
 
 
 @register("j18_scoring_jobs", f"SELECT cve, tag FROM advtag WHERE k % 6 <> 1 AND tag IN {_JT}", ["advtag"])
