@@ -364,6 +364,25 @@ def credit_violations(df: DataFrame) -> DataFrame:
             .select("cve", "mask", "violation"))
 
 
+def selection_violations(df: DataFrame) -> DataFrame:
+    """Audit of every record under all of its controls: (cve, violation); row-local.
+
+    The applied controls must be the eligible ones, and none may earn what its kind cannot give.
+    """
+    swept = with_profile(df, vocab.CONTROL_IDS)
+    ids = lambda array: F.array_sort(F.transform(array, lambda c: c.id))
+    eligible = F.filter("mitigation_candidates", lambda c: truthy(c.relevance == "relevant") & ~truthy(c.confidence == "low"))
+    uses = lambda listed, extra=None: F.exists("applied", lambda c: within(c.id, listed) & (
+        F.lit(True) if extra is None else extra(c)))
+    network = [c for c in vocab.NETWORK_CONTROLS if c != "isolation_airgap"]
+    broken = reasons(
+        F.when(ids(eligible) != ids(F.col("applied")), "eligible-mismatch"),
+        F.when(uses(network) & ~within(F.col("attack.vector"), ["network", "adjacent"]), "network-control"),
+        F.when(uses(vocab.CONTENT_CONTROLS) & ~F.coalesce(F.array_contains("tags", "user-content"), F.lit(False)), "content-control"),
+        F.when(uses(vocab.RESPONSE_CONTROLS, lambda c: F.coalesce(c.effect.likelihood_steps, F.lit(0)) != 0), "response-control"))
+    return swept.select("cve", F.explode(broken).alias("violation"))
+
+
 def unrelated_control_effect(df: DataFrame) -> DataFrame:
     """Catalogue controls the record has no eligible candidate for, that still moved it."""
     swept = control_sweep(df)

@@ -6,7 +6,7 @@ from advislake.functions.exprs import index_of
 from advislake.operators import parse, risk, severity
 from advislake.plans import bridge as B
 from advislake.plans.registry import register
-from advislake.plans.sql_views import SELECTION, idx, pick, profile_view
+from advislake.plans.sql_views import SELECTION, idx, inlist, pick, profile_view
 
 flat = lambda c, sep="|": F.array_join(c, sep)
 n = lambda c: c.cast("bigint")
@@ -200,6 +200,17 @@ def control_sweep(spark, sf):
         F.count_if(F.col("resid_likelihood") < F.col("base_likelihood")).alias("likelihood_lowered"))
 
 
+@register("v16_selection_audit", f"""WITH ok AS (SELECT e.k, e.id, e.ls FROM elig e JOIN rec q ON q.k = e.k WHERE e.rel AND NOT e.incompatible AND q.car IS DISTINCT FROM false),
+  x AS (SELECT r.k, r.cve, r.av, r.has_uc, (SELECT string_agg(id, '|' ORDER BY id) FROM ok WHERE ok.k = r.k) AS applied,
+    (SELECT string_agg(id, '|' ORDER BY id) FROM cand c WHERE c.k = r.k AND c.relevance = 'relevant' AND c.confidence <> 'low') AS expected FROM rec r)
+  SELECT cve, 'eligible-mismatch' AS violation FROM x WHERE applied IS DISTINCT FROM expected
+  UNION ALL SELECT cve, 'network-control' FROM x WHERE av NOT IN ('network', 'adjacent') AND EXISTS (SELECT 1 FROM ok WHERE ok.k = x.k AND id IN {inlist([c for c in vocab.NETWORK_CONTROLS if c != 'isolation_airgap'])})
+  UNION ALL SELECT cve, 'content-control' FROM x WHERE NOT has_uc AND EXISTS (SELECT 1 FROM ok WHERE ok.k = x.k AND id IN {inlist(vocab.CONTENT_CONTROLS)})
+  UNION ALL SELECT cve, 'response-control' FROM x WHERE EXISTS (SELECT 1 FROM ok WHERE ok.k = x.k AND ls <> 0 AND id IN {inlist(vocab.RESPONSE_CONTROLS)})""", ["elig", "cand", "rec"])
+def selection_audit(spark, sf):
+    return risk.selection_violations(B.records(spark, sf))
+
+
 @register("v16_credit_property_audit", """WITH ids AS (SELECT k, id, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS bit, ls, cs, block, confidence,
    rel AND NOT incompatible AS ok FROM (SELECT *, row_number() OVER (PARTITION BY k, id ORDER BY pos) AS r FROM (
      SELECT e.* FROM elig e WHERE EXISTS (SELECT 1 FROM cand c WHERE c.k = e.k AND c.id = e.id AND c.relevance = 'relevant'
