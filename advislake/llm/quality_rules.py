@@ -85,7 +85,8 @@ def judge(data: np.ndarray, at: np.ndarray, low: int, high: int, max_lost: float
     closed = np.isin(tail, np.frombuffer(b"".join(c for c in _CLOSING if len(c) == 1), np.uint8))
     for i in np.flatnonzero(tail >= 0x80):
         closed[i] = bytes(data[max(w.end[last_word[i]] - 3, w.start[last_word[i]]):w.end[last_word[i]]]).endswith(tuple(c for c in _CLOSING if len(c) > 1))
-    punctuation = (~closed & (line_words < 4)) | (shouts * 2 > line_words) | ((upper > 4 * lower) & (line_words > 3))
+    symbols = take(IS_SYMBOL[part])
+    punctuation = (~closed & (line_words < 4)) | (shouts * 2 > line_words) | (symbols * 2 > line_words) | ((upper > 4 * lower) & (line_words > 3))
     navigation = pipes * 4 >= line_words
     boilerplate = np.zeros(len(begins), bool)
     for i in np.flatnonzero(line_words <= boilerplate_words):
@@ -104,7 +105,8 @@ def line_first_clean(docs: DataFrame, text: str = "text", max_lost: float = 0.5,
                      with_text: bool = True) -> DataFrame:
     """Adds the counts of OUTPUT, ``kept`` and, if asked for, ``clean_text`` (kept lines joined by \\n).
 
-    A line falls by the punctuation rule (shouted, all capitals, or short without a closing mark), the
+    A line falls by the punctuation rule (shouted, all capitals, a symbol for every two words, or short
+    without a closing mark), the
     navigation rule (a pipe for every four words) or the boilerplate rule (a stock phrase in a line of at
     most ``boilerplate_words`` words). A document is kept if it has 50 words, no more than half of its
     words in repeated 3-word runs, and lost at most ``max_lost`` of its words with its lines. One pass
@@ -139,7 +141,7 @@ def line_first_clean(docs: DataFrame, text: str = "text", max_lost: float = 0.5,
 
 
 _LINE_BAD = f"""(regexp_matches(line, '\\|') and 4 * (length(line) - length(replace(line, '|', ''))) >= nw)
-  or 2 * (length(line) - length(replace(line, '!', ''))) > nw
+  or 2 * (length(line) - length(replace(line, '!', ''))) > nw or 2 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) > nw
   or (length(regexp_replace(line, '[^A-Z]', '', 'g')) > 4 * length(regexp_replace(line, '[^a-z]', '', 'g')) and nw > 3)
   or (nw < 4 and not list_contains([{', '.join("'" + c.replace("'", "''") + "'" for c in CLOSING)}], right(rtrim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), 1)))
   or (nw <= 60 and ({' or '.join(f"contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{p}')" for p in BOILERPLATE)}))"""
