@@ -83,18 +83,23 @@ def verify_pairs(df: DataFrame, span: str, text: str) -> DataFrame:
     return lined.withColumn("citation", verify(F.col(span), F.col("_line"))).drop("_line")
 
 
+MOST_RUNS = 200_000  # asked runs that are broadcast, some tens of bytes each
+
+
 def verify_in_corpus(citations: DataFrame, documents: DataFrame, key: str, span: str, text: str) -> DataFrame:
     """How many parts of each citation occur in any document: (key, components, matched).
 
     Runs of both sides meet on their text in an equi-join. The corpus runs are first
     reduced to those any citation asks for, so the shuffle carries only hits, and no
-    citation-document pairs are formed.
+    citation-document pairs are formed. Up to MOST_RUNS asked runs are broadcast, so that
+    common runs of the corpus are not shuffled to one task; more of them are joined by shuffle.
     """
     parts = citations.select(key, F.posexplode(components(F.col(span))).alias("part", "body"))
     need = parts.select(key, "part", tokens(F.col("body")).alias("t"))
     need = need.select(key, "part", run_length(F.size("t")).alias("run"), "t")
     asked = need.select(key, "part", "run", F.explode_outer(F.array_distinct(runs(F.col("t"), F.col("run")))).alias("gram"))
     lengths = asked.select("gram").where("gram is not null").distinct()
+    lengths = lengths if lengths.limit(MOST_RUNS + 1).count() > MOST_RUNS else F.broadcast(lengths)
     doc_tokens = documents.select(tokens(F.col(text)).alias("t"))
     grams = F.concat(runs(F.col("t"), F.lit(LONG_RUN)), runs(F.col("t"), F.lit(SHORT_RUN)))
     seen = (doc_tokens.select(F.explode(F.array_distinct(grams)).alias("gram"))

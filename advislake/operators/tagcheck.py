@@ -46,8 +46,11 @@ def _finding(check: str, code: str, tag: Column, detail: Column = None) -> Colum
 
 
 @reusable
-def _stages() -> list:
-    """Projections from asserted tags (array<struct<tag, evidence>>) to findings and states."""
+def _stages(wanted: tuple) -> list:
+    """Projections from asserted tags (array<struct<tag, evidence>>) to findings and states.
+
+    Only what the wanted checks read is referred to at the end, so the optimizer drops the rest.
+    """
     text, a = F.col("_text"), F.col("asserted")
     tags = F.col("asserted.tag")
     has_tags = a.isNotNull()
@@ -106,15 +109,16 @@ def _stages() -> list:
         .when(silent, off(NO_SOURCE_TEXT)).when(F.size("_cited") < 1, off(NO_CITATION)).otherwise(on),
     }
     states = F.array(*[struct_of(check=c, state=F.col("_state")[c]["state"], reason=F.col("_state")[c]["reason"])
-                       for c in CHECKS])
+                       for c in wanted])
     gate = lambda check, rows: F.when(F.col("_state")[check]["state"] == "checked", F.col(rows))
-    empty = F.filter("_recall", lambda f: F.lit(False))
+    empty = F.array().cast("array<struct<check:string,code:string,tag:string,detail:string>>")
     lists = dict(zip(CHECKS, ["_recall", "_precision", "_delivery", "_absent", "_grounded", "_unverified"]))
+    lists = {c: lists[c] for c in wanted}
     return [
         {"_text": source_text(), "_tags": tags, "_judged": judged,
          "_line": token_line(F.to_json(F.struct("cve", "title", "products", "cvss", "attack", "vendor_guidance")))},
         {"_named": named, "_cited": cited, "_text_words": _words_of(text)},
-        {"_corroborated": corroborated, "_verdicts": verdicts, "_state": struct_of(**state)},
+        {"_corroborated": corroborated, "_verdicts": verdicts, "_state": struct_of(**{c: state[c] for c in wanted})},
         {"_recall": recall, "_precision": precision, "_delivery": delivery, "_absent": absent,
          "_grounded": grounded, "_unverified": unverified},
         {"_findings": F.concat(*[F.coalesce(gate(c, rows), empty) for c, rows in lists.items()]),
@@ -122,13 +126,18 @@ def _stages() -> list:
     ]
 
 
-def with_checks(df: DataFrame) -> DataFrame:
-    """Adds findings and states of the six checks; needs asserted and shape columns."""
+def with_checks(df: DataFrame, checks=tuple(CHECKS)) -> DataFrame:
+    """Adds findings and states of the given checks, and the verdicts of citations where those are checked.
+
+    Needs asserted and shape columns.
+    """
     out = df
-    for stage in _stages():
+    for stage in _stages(tuple(checks)):
         out = out.withColumns(stage)
-    return settle(out.select(*df.columns, "_findings", "_states", "_verdicts"), df.columns, {
-        "findings": F.col("_findings"), "states": F.col("_states"), "verdicts": F.col("_verdicts")})
+    made = {"findings": F.col("_findings"), "states": F.col("_states")}
+    if "citation_verification" in checks:
+        made["verdicts"] = F.col("_verdicts")
+    return settle(out.select(*df.columns, *[f"_{name}" for name in made]), df.columns, made)
 
 
 def finding_rows(checked: DataFrame) -> DataFrame:

@@ -130,8 +130,7 @@ def source_text(spark, sf):
 def _check_query(name, check):
     @register(name, f'SELECT cve, code, tag FROM tagfind WHERE "check" = \'{check}\'', ["tagfind"])
     def run(spark, sf):
-        rows = tagcheck.finding_rows(tagcheck.with_checks(checkable(spark, sf)))
-        return rows.where(F.col("check") == check).select("cve", "code", "tag")
+        return tagcheck.finding_rows(tagcheck.with_checks(checkable(spark, sf), (check,))).select("cve", "code", "tag")
 
 
 _check_query("t6_workload_recall", "workload_recall")
