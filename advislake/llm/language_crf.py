@@ -20,6 +20,7 @@ from advislake.llm.registry import register
 BUCKETS = 1 << 18
 SAMPLE_DOCS = 400  # labelled documents of each language that the model is fitted on
 SAMPLE_CHARS = 20_000  # labelled documents longer than this are not drawn
+FEATURE_WORDS = 8_192
 DRAW_PARTS = 64  # parts of a label that are ranked apart
 CHAIN = 32  # words of a training sequence
 STRETCH = 12  # mean words before a training sequence changes its document
@@ -31,7 +32,20 @@ IS_LETTER[192:256] = True  # lead bytes of two bytes and more
 
 
 def _features(w: W.Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of the picked words, and the first place of each word's features."""
+    """Hashed features of the picked words, and the first place of each word's features.
+
+    FEATURE_WORDS words are handled at a time, as their n-grams take far more room than the result.
+    """
+    parts, firsts, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    for low in range(0, len(pick), FEATURE_WORDS):
+        at, first = _features_of(w, pick[low:low + FEATURE_WORDS])
+        parts.append(at)
+        firsts.append(first + n)
+        n += len(at)
+    return np.concatenate(parts), np.concatenate(firsts)
+
+
+def _features_of(w: W.Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, size = w.start[pick], (w.end - w.start)[pick]
     owner = np.repeat(np.arange(len(pick)), size)
     base = np.concatenate([[0], np.cumsum(size)])
@@ -56,7 +70,7 @@ def _features(w: W.Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         add(left == n, code, 5 + n)
     owners, codes = np.concatenate(owners), np.concatenate(codes)
     order = np.argsort(owners, kind="stable")
-    at = (W.mix(codes[order]) >> np.uint64(64 - 18)).astype(np.int64)
+    at = (W.mix(codes[order]) >> np.uint64(64 - 18)).astype(np.int32)
     return at, np.searchsorted(owners[order], np.arange(len(pick)))
 
 
