@@ -52,8 +52,10 @@ def _at(values, index: Column) -> Column:
 def advisories(spark: SparkSession, sf: str) -> DataFrame:
     """Flat advisory feed: one row per order."""
     k = F.col("k")
+    # three narrow columns dealt out, so that the row-local work behind them is shared at any size
     base = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("k"), "o_orderdate", "o_orderpriority")
+        F.col("o_orderkey").alias("k"), "o_orderdate", "o_orderpriority").repartition(
+        spark.sparkContext.defaultParallelism, "k")
     pr = lambda *letters: _at(letters, k % len(letters))
     suffix = F.when(k % 17 == 0, " issue").otherwise(
         F.concat(F.lit(" "), _at(IMPACTS, k % 6), F.lit(" Vulnerability")))
