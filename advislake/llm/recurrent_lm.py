@@ -148,7 +148,11 @@ class Recurrent:
     def step(self, symbol: np.ndarray, h: np.ndarray):
         """Next state; the update gate, the reset gate, the candidate and the recurrent part go back with it."""
         x, r = self.p["x"][symbol], h @ self.p["u"]
-        gates = 1 / (1 + np.exp(-np.clip(x[:, :2 * UNITS] + r[:, :2 * UNITS], -30, 30)))
+        gates = x[:, :2 * UNITS] + r[:, :2 * UNITS]
+        with np.errstate(over="ignore"):  # exp may reach infinity, whose gate is 0
+            np.exp(np.negative(gates, out=gates), out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
         z, reset, part = gates[:, :UNITS], gates[:, UNITS:], r[:, 2 * UNITS:]
         new = np.tanh(x[:, 2 * UNITS:] + reset * part)
         return h + z * (new - h), z, reset, new, part
@@ -156,13 +160,15 @@ class Recurrent:
     def log_probs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target symbol after its state; adds gradients if asked for."""
         p = self.p
-        logits = h @ p["c"] + p["cb"]
+        logits = h @ p["c"]
+        logits += p["cb"]
         logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        norm = e.sum(1)
         kind = self.class_of(target)
         rows = np.arange(len(target))
-        out = logits[rows, kind] - np.log(norm)
+        out = logits[rows, kind]
+        e = np.exp(logits, out=logits)
+        norm = e.sum(1)
+        out -= np.log(norm)
         back = None
         if grads is not None:
             d = e / norm[:, None]
@@ -170,8 +176,9 @@ class Recurrent:
             grads["c"] += h.T @ d
             grads["cb"] += d.sum(0)
             back = d @ p["c"].T
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        small = kind.astype(np.uint8)  # sorted by counting
+        order = np.argsort(small, kind="stable")
+        edge = np.searchsorted(small[order], np.arange(CLASSES + 1))
         for k in range(CLASSES):
             own, a, b = order[edge[k]:edge[k + 1]], self.v.cuts[k], self.v.cuts[k + 1]
             if not len(own) or b - a < 2:
@@ -235,7 +242,8 @@ class Recurrent:
                     before = h[:k]
                     h, z, reset, new, part = self.step(last, before)
                     steps.append((last, before, h, z, reset, new, part, symbol[begin[:k] + t]))
-                grads = {n: np.zeros_like(v) for n, v in p.items()}
+                grads = {n: np.zeros_like(v) for n, v in p.items() if n != "x"}
+                inputs = []
                 _, back = self.log_probs(np.concatenate([s[2] for s in steps]), np.concatenate([s[7] for s in steps]), grads)
                 cut = np.cumsum([len(s[0]) for s in steps])
                 flow = np.zeros((0, UNITS), np.float32)
@@ -246,16 +254,21 @@ class Recurrent:
                     d_new = d * z * (1 - new * new)
                     d_x = np.concatenate([d * (new - before) * z * (1 - z), d_new * part * reset * (1 - reset), d_new], 1)
                     d_r = np.concatenate([d_x[:, :2 * UNITS], d_new * reset], 1)
-                    np.add.at(grads["x"], last, d_x)
+                    inputs.append((last, d_x))
                     grads["u"] += before.T @ d_r
                     flow = d * (1 - z) + d_r @ p["u"].T
                 n = int(cut[-1])
                 seen += n
+                # of the input table only the rows that were read change
+                read, where = np.unique(np.concatenate([x for x, _ in inputs]), return_inverse=True)
+                grads["x"] = np.zeros((len(read), 3 * UNITS), np.float32)
+                np.add.at(grads["x"], where, np.concatenate([d for _, d in inputs]))
                 for name, g in grads.items():
                     g /= np.sqrt(n)
                     np.clip(g, -5, 5, out=g)
-                    past[name] += g * g
-                    p[name] -= rate * g / np.sqrt(past[name])
+                    rows_of = read if name == "x" else slice(None)
+                    past[name][rows_of] += g * g
+                    p[name][rows_of] -= rate * g / np.sqrt(past[name][rows_of])
         return seen
 
 
