@@ -1,8 +1,7 @@
 """LM scoring: a gated recurrent model with class-factored output over corpus-wide word counts.
 
 Counts of all words are gathered from every training text. The commonest WORDS words have vectors of
-their own, grouped into classes by frequency; all other words belong to tail classes by their shape and
-ending. The network gives P(class | history) and, for common words, P(word | class, history); within a
+their own, grouped into classes by frequency; all other words belong to tail classes by their ending. The network gives P(class | history) and, for common words, P(word | class, history); within a
 tail class a word has its corpus-wide count, by a join. So the model is a distribution over all words that
 occur, with one unit of count in each tail class for all unseen ones.
 """
@@ -36,18 +35,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _tail(w: W.Words) -> np.ndarray:
-    """Tail class of every word: first and second letter capital, punctuation at the end, last two letters."""
+    """Tail class of every word: punctuation at the end, last two letters. As counts are of lower-cased words,
+    it depends on the lower-cased word alone."""
     if not len(w.start):
         return np.zeros(0, np.int64)
-    first, last = w.data[w.start], w.data[w.end - 1]
-    second = w.data[np.minimum(w.start + 1, w.end - 1)]
-    upper = lambda b: (b >= 65) & (b <= 90)
-    low = W.LOWER[last]
+    low = W.LOWER[w.data[w.end - 1]]
     mark = (low < 0x80) & ~((low >= 97) & (low <= 122)) & ~((low >= 48) & (low <= 57))
     end = np.maximum(w.end - 1 - mark, w.start)
     one, two = W.LOWER[w.data[end]].astype(np.uint64), W.LOWER[w.data[np.maximum(end - 1, w.start)]].astype(np.uint64)
-    ending = W.mix(one | (two << np.uint64(8))) % np.uint64(TAILS // 8)
-    return (upper(first) * 4 + upper(second) * 2 + mark).astype(np.int64) * (TAILS // 8) + ending.astype(np.int64)
+    ending = W.mix(one | (two << np.uint64(8))) % np.uint64(TAILS // 2)
+    return mark.astype(np.int64) * (TAILS // 2) + ending.astype(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -64,7 +61,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 continue
             keys, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
             keys, n = np.append(keys, END), np.append(n, batch.num_rows)
-            tail = np.append(np.concatenate(tails)[first], -1)
+            tail = np.append(np.concatenate(tails)[first], 0)  # the class that an end is scored in, if it is rare
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(tail.astype(np.int32)),
                                               pa.array(n.astype(np.int64))], names=["h", "tail", "n"])
 

@@ -268,6 +268,25 @@ def test_recurrent_probabilities_sum_to_one():
     assert abs(np.exp(common).sum() + np.exp(tails).sum() + unused - 1) < 1e-4
 
 
+def test_words_of_two_casings_sum_to_one(monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "WORDS", 3)
+    texts = ["a a a a b b b b", "Zeta zeta ZETA zeta, Zeta,", "oMEGA Omega omega theta", "Theta Iota iota"]
+    v = lm_vocabulary(texts)
+    model = recurrent_lm.Recurrent(v)
+    batch = pa.RecordBatch.from_arrays([pa.array(sorted({x for t in texts for x in t.split()}))], names=["text"])
+    symbol, rank, h, first = v.tokens(batch)
+    assert (rank >= 0).all()
+    state = np.random.RandomState(1).standard_normal((1, recurrent_lm.UNITS)).astype(np.float32)
+    p = np.exp(model.log_probs(np.repeat(state, len(symbol), 0), symbol)[0])
+    tail = symbol >= recurrent_lm.WORDS
+    p[tail] *= 10 ** (v.log_count[rank[tail]] - v.tail_log[symbol[tail] - recurrent_lm.WORDS])
+    by_word = collections.defaultdict(set)
+    for word, x in zip(h.tolist(), p.tolist(), strict=True):
+        by_word[word].add(round(x, 9))
+    assert all(len(x) == 1 for x in by_word.values())  # whatever its casing
+    assert sum(map(max, by_word.values())) <= 1 + 1e-5
+
+
 def test_texts_are_scored_alike_alone_and_together():
     texts = ["a b c a b " * 30, "b", "", "c a " * 50]
     model = recurrent_lm.Recurrent(lm_vocabulary(texts))
