@@ -25,8 +25,7 @@ UNITS = 24
 WINDOW = 32  # steps of a scored window
 BACK = 16  # steps of a trained window
 LANES = 64  # texts that are trained together
-ROUNDS = 2
-SLICES = 64  # a round trains on one of so many slices of the training texts
+ROUNDS = 2  # each trains on a slice of its own; together they have every training text once
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
 
@@ -325,13 +324,12 @@ def _commonest(counts: DataFrame) -> list:
     return [] if least is None else sorted(counts.where(step >= least).collect(), key=lambda r: (-r["c"], r["h"]))
 
 
-def score_texts(docs: DataFrame, text: str = "text", train: Column | None = None, rounds: int = ROUNDS,
-                slices: int = SLICES) -> DataFrame:
+def score_texts(docs: DataFrame, text: str = "text", train: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    ``train`` tells the rows to learn from. Counts come from all of them; in each of ``rounds`` rounds every
-    task trains the network on one of ``slices`` slices of its training texts, and the tasks' parameters are
-    averaged, so what is learned from grows with the corpus. Rare words meet their counts in a shuffle join;
+    ``train`` tells the rows to learn from. Counts come from all of them, and the network is trained on all of
+    them once: they are dealt to ``rounds`` slices by a hash of doc_id and text, in each round every task trains
+    on its texts of one slice, and the tasks' parameters are averaged. Rare words meet their counts in a shuffle join;
     only words beyond the NAMED commonest take part, so no key is hot.
 
     Null text counts as empty: its one token is the end. A null doc_id is trained on. Repeated rows count as
@@ -351,7 +349,7 @@ def score_texts(docs: DataFrame, text: str = "text", train: Column | None = None
                             total, types, per_tail("c"), per_tail("n"))
     model = Recurrent(vocabulary)
     for k in range(rounds):
-        piece = learn.where(F.pmod(F.xxhash64(F.lit("slice"), "doc_id"), F.lit(slices)) == k).select("text")
+        piece = learn.where(F.pmod(F.xxhash64(F.lit("slice"), "doc_id", "text"), F.lit(rounds)) == k).select("text")
         params = _averaged(piece, model, 0.1 / (k + 1))
         if params is not None:
             model = Recurrent(vocabulary, params)

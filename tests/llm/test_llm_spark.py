@@ -268,6 +268,17 @@ def test_language_model_beats_counts_on_texts_it_has_not_seen(spark):
     assert got[0] > got[1]
 
 
+def test_every_training_text_is_trained_on_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(k if k < 40 else None, f"text {k}") for k in range(80)], "doc_id long, text string")
+    rounds = []
+    monkeypatch.setattr(recurrent_lm, "_averaged", lambda piece, model, rate: rounds.append([r["text"] for r in piece.collect()]))
+    recurrent_lm.score_texts(docs)
+    learn = docs.where(~recurrent_lm.held_out(F.col("doc_id"))).collect()
+    assert sorted(sum(rounds, [])) == sorted(r["text"] for r in learn)
+    null = {r["text"] for r in learn if r["doc_id"] is None}
+    assert all(0 < len(null & set(x)) < len(null) for x in rounds)  # rows without doc_id are dealt, too
+
+
 def test_rare_words_meet_their_counts_in_the_join(docs, rows, monkeypatch):
     one = {(r["doc_id"], r["n_tokens"]): r for r in recurrent_lm.score_texts(docs, rounds=0).collect()}
     monkeypatch.setattr(recurrent_lm, "NAMED", 32)
