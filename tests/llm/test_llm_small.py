@@ -305,3 +305,12 @@ def test_grams_begin_after_spaces():
     assert first.tolist() == [0, 2, 2, 4]
     assert gram.tolist() == [((s * n + s) * n + s) * n + 0, ((s * n + s) * n + 0) * n + 1,
                              ((s * n + s) * n + s) * n + kneser_ney.CAPITAL, ((s * n + s) * n + kneser_ney.CAPITAL) * n + kneser_ney.DIGIT]
+
+
+def test_no_two_characters_are_spelled_alike():
+    codes = np.array([c for c in [*range(0x20, 0x3000), 0x4E00, 0x9FFF, 0xAC00, 0x1F600, 0x1F601, 0x20000, 0x10FFFF] if chr(c).isalpha() or c >= 0x300], np.uint32)
+    units, first = kneser_ney._spelled(codes)
+    assert units.min() >= 0 and units.max() < kneser_ney.SYMBOLS
+    spelled = {tuple(units[a:b]) for a, b in itertools.pairwise(first)}
+    folded = sum(c < 0x300 and chr(c).isupper() and chr(c).lower() in kneser_ney.ACCENTS for c in codes.tolist()) - 1
+    assert len(spelled) == len(codes) - folded

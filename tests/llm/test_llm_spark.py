@@ -300,6 +300,20 @@ def test_kneser_ney(spark, docs, empty):
     assert kneser_ney.classify(empty, empty).count() == 0
 
 
+def test_kneser_ney_tells_text_from_gibberish_in_any_script(spark):
+    scripts = {"ru": ("старый дом стоит у реки и новый дом тоже", "щъфыж эюх яцчщъ ж ъыьэю ф щюяъы хцж ъфщыя"),
+               "el": ("το παλιό σπίτι είναι κοντά στο ποτάμι", "ξψ ωφχψξ ζθξψω ύώΰψζ ξζψωθ φχξ ψωζθξφ"),
+               "zh": ("老房子在河边新房子也在河边", "鑫龘靐齉齾爩鱻麤灪籱爨癵驫"), "pl": ("żółta łódź płynie po żółtej wodzie", "źśćńą ęśćź ńąćźśę ćń śźńćąęń ść źńąćś"),
+               "up": ("THE OLD HOUSE IS NEAR THE RIVER", "XQJ ZKV QXJZW VK QZXJ XJV KQZXW")}
+    good = [(f"{s}{k}", f"{a} {k} " * 5) for s, (a, _) in scripts.items() for k in range(40)]
+    texts = spark.createDataFrame(good + [(s, (b + " 7 ") * 5) for s, (_, b) in scripts.items()], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in kneser_ney.classify(texts.withColumn("lang", F.substring("doc_id", 1, 2)),
+                                                       texts.where("length(doc_id) > 2").select("doc_id")).collect()}
+    for s in scripts:
+        assert not got[s]["kept"] and got[s]["perplexity"] > 3 * got[f"{s}1"]["perplexity"], s
+        assert got[f"{s}1"]["n_symbols"] == len(scripts[s][0] + " 1 ") * 5
+
+
 def test_pipeline(spark):
     findable(spark)
     given = spark.read.parquet(f"{SF}/documents.parquet")
