@@ -19,7 +19,7 @@ from advislake.llm.registry import register
 
 BUCKETS = 1 << 18
 SAMPLE_DOCS = 400  # labelled documents of each language that the model is fitted on
-SAMPLE_CHARS = 20_000  # labelled documents longer than this are not drawn
+SAMPLE_CHARS = 20_000  # of a longer labelled document a stretch of this size is drawn
 FEATURE_WORDS = 8_192
 DRAW_PARTS = 64  # parts of a label that are ranked apart
 CHAIN = 32  # words of a training sequence
@@ -234,14 +234,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def _stretch(text: Column, id_: Column, size: int, seed: int) -> Column:
+    """The text, or the whole words of a random stretch of ``size`` characters of a longer one (the stretch itself, if
+    it has no whole word)."""
+    plain = F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ")  # a stretch of white space only would have no words
+    begin = F.pmod(F.xxhash64(F.lit(seed), F.lit("stretch"), id_, text), F.greatest(F.length(plain) - size + 1, F.lit(1))) + 1
+    cut = F.substring(plain, begin.cast("int"), F.lit(size))
+    words = F.regexp_extract(cut, r"(?s)^[^ ]* (.*) [^ ]*$", 1)
+    return F.when(F.length(text) <= size, text).otherwise(F.when(F.trim(words) == "", cut).otherwise(words))
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", epochs: int = 2, seed: int = 5,
         sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Field:
-    """A field fitted on at most ``sample_docs`` whole texts of each label, of at most ``sample_chars`` characters.
+    """A field fitted on at most ``sample_docs`` texts of each label; of one of more than ``sample_chars``
+    characters, on the words of a random stretch of that size.
 
     The texts with the lowest hash of doc_id are drawn; first ids alone are ranked, then their texts are
     fetched. Rows with null text or label are no examples. Without examples the field has no labels.
     """
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= sample_chars)) \
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()) \
         .select(F.col("doc_id").alias("id"), F.col(lang).alias("label"), F.col(text).alias("sample"))
     # a label may hold most rows: parts of a label are ranked first, then what is left of all parts
     ids = labelled.select("id", "label").withColumn("draw", F.xxhash64(F.lit(seed), "id"))
@@ -249,7 +260,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", epochs: int = 2
         rank = F.row_number().over(Win.partitionBy(*by).orderBy("draw", "id"))
         ids = ids.withColumn("rank", rank).where(F.col("rank") <= sample_docs).drop("rank")
     chosen = ids.select("id", "label").distinct()
-    rows = labelled.join(F.broadcast(chosen), ["id", "label"]).collect()  # sample_docs ids a label
+    rows = labelled.join(F.broadcast(chosen), ["id", "label"]).select("id", "label", _stretch(F.col("sample"), F.col("id"), sample_chars, seed)
+                                                                      .alias("sample")).collect()  # sample_docs ids a label
     rows = sorted({(r["label"], r["id"], r["sample"]) for r in rows})
     labels = sorted({r[0] for r in rows})
     field = Field(labels)

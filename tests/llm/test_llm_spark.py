@@ -242,6 +242,15 @@ def test_language(spark, docs, empty):
     assert language_crf.label(empty, field).count() == 0
 
 
+def test_languages_of_long_texts_only_are_labels(spark):
+    long, short = "das haus des königs ist rot und alt " * 40, "the house of the king is red and old "
+    texts = spark.createDataFrame([(k, long, "de") for k in range(4)] + [(k, short * 5, "en") for k in range(4, 12)]
+                                  + [(20, "x" * 900, "xx")], "doc_id long, text string, lang string")
+    field = language_crf.fit(texts, sample_chars=300)
+    assert field.labels == ["de", "en", "xx"]
+    assert {r["lang"] for r in language_crf.label(texts, field).where("lang = lang_pred").collect()} >= {"de", "en"}
+
+
 def test_language_model(spark, docs, empty, rows):
     import zlib
     got = recurrent_lm.score_texts(docs).collect()
