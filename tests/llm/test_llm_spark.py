@@ -323,6 +323,12 @@ def test_kneser_ney_tells_text_from_gibberish_in_any_script(spark):
         assert got[f"{s}1"]["n_symbols"] == len(scripts[s][0] + " 1 ") * 5
 
 
+def test_trusted_texts_are_drawn_without_steps(spark):
+    ids = spark.range(5000).withColumnRenamed("id", "good")
+    got = [kneser_ney._drawn(ids, most).count() for most in (5001, 5000, 4999, 3000)]
+    assert got[:2] == [5000, 5000] and got[2] > 4950 and abs(got[3] - 3000) < 150
+
+
 def test_pipeline(spark):
     findable(spark)
     given = spark.read.parquet(f"{SF}/documents.parquet")
