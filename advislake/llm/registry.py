@@ -7,7 +7,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 QUERIES: dict = {}
 ORACLES: dict = {}
 MODULES = ["quality_rules", "url_filters", "substring_dedup", "recurrent_lm", "language_crf", "minmax_dedup",
-           "kneser_ney", "embedding_dedup", "source_mix", "sentence_pieces", "fill_in_middle", "line_runs"]
+           "kneser_ney", "embedding_dedup", "source_mix", "sentence_pieces", "fill_in_middle", "line_runs",
+           "phrase_graph"]
 
 
 def findable(spark) -> None:

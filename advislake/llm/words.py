@@ -87,13 +87,14 @@ def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.
 
 
 class Words:
-    """Words of one block of rows: byte spans, row of each word, first word of each row."""
+    """Words of one block of rows: byte spans, row of each word, first word of each row. ``outside`` marks the
+    one-byte characters that no word holds."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, low: int, high: int):
+    def __init__(self, data: np.ndarray, at: np.ndarray, low: int, high: int, outside: np.ndarray = SPACE):
         a, b = int(at[low]), int(at[high])
         self.data, self.rows = data, high - low
         self.row_start, self.row_end = at[low:high], at[low + 1:high + 1]
-        inside = ~SPACE[data[a:b]]
+        inside = ~outside[data[a:b]]
         edge = np.zeros(b - a + 1, bool)  # a row's end also ends a word
         edge[(at[low:high + 1] - a)] = True
         begins = inside.copy()
