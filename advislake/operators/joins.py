@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from advislake.functions import vocab
 from advislake.functions.exprs import has, index_of, lookup, truthy, within, words
 from advislake.operators.parse import ssvc
+from advislake.operators.proof import public_syntax
 from advislake.sources.scratch import fresh_path
 
 EPSS_FIELDS = ["epss", "epss_percentile", "epss_date", "epss_status"]
@@ -207,17 +208,22 @@ def relevant_controls(df: DataFrame) -> DataFrame:
 
 
 def proof_of_findings(findings: DataFrame, values: DataFrame, public: Column = None) -> DataFrame:
-    """Match every finding to the first source location holding the same whole value.
+    """Match every finding to the first source location that holds the same whole value and makes it public.
 
-    ``findings``: cve, field, category, value; ``values``: cve, value, location, pointer.
-    ``public`` tests the syntax on the joined row. Unresolved findings keep a null location.
+    ``findings``: cve, field, category, value (the whole text of the field), span, start, end (0-based
+    offsets of the span); ``values``: cve, value, location, pointer. A finding is proved where its value is
+    the source's own and ``public`` holds on the joined row; by default the rule of its category
+    (``proof.public_syntax``). Unproved findings keep a null location. Values meet by their hash, so long
+    texts are not sorted, and are compared whole afterwards.
     """
     src = values.select("cve", F.sha2("value", 256).alias("digest"), "location", "pointer",
                         F.col("value").alias("source_value"))
     keyed = findings.withColumn("digest", F.sha2("value", 256))
     joined = keyed.join(src, ["cve", "digest"], "left").where(
         F.col("source_value").isNull() | (F.col("source_value") == F.col("value")))
-    good = F.col("source_value").isNotNull() & (F.lit(True) if public is None else truthy(public))
+    if public is None:
+        public = public_syntax(*[F.col(c) for c in ("source_value", "span", "start", "category", "pointer")])
+    good = F.col("source_value").isNotNull() & truthy(public)
     keys = [c for c in findings.columns]
     return joined.groupBy(*keys, "digest").agg(F.min(F.when(
         good, F.struct("location", "pointer"))).alias("at")).select(

@@ -2,7 +2,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from advislake.functions import vocab
-from advislake.functions.exprs import (any_of, filled, has, lookup, overlaps, truthy, within,
+from advislake.functions.exprs import (any_of, filled, has, lookup, overlaps, struct_of, truthy, within,
                                        words)
 from advislake.functions.scalar import as_list, strip_markup, source_plain_text, text_value
 
@@ -369,6 +369,7 @@ def source_packet() -> Column:
         notes.alias("notes"), remedies.alias("remediations"))
 
 
+# fixed values: members of a source document that bear on an assessment
 VENDOR_EVIDENCE = ["CVE", "Title", "Notes", "Threats", "CVSSScoreSets", "ProductStatuses",
                    "Remediations", "RevisionHistory", "DiscoveryDate", "ReleaseDate",
                    "DiscoveryDateSpecified", "ReleaseDateSpecified", "CWE", "References",
@@ -377,6 +378,40 @@ CNA_EVIDENCE = ["providerMetadata", "title", "descriptions", "affected", "proble
                 "references", "metrics", "configurations", "workarounds", "solutions",
                 "exploits", "timeline", "impacts", "tags", "dateAssigned", "datePublic",
                 "rejectedReasons", "cpeApplicability"]
+PROGRAM_METADATA = ["cveId", "state", "datePublished", "dateUpdated"]
+PROVIDER_METADATA = ["shortName", "dateUpdated"]
+PROGRAM_CONTAINERS = ["cna", "adp"]
+
+
+def _members(value: Column, names) -> Column:
+    """The named members of a VARIANT object as map<string, variant>; null for anything but an object."""
+    return F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, v: F.array_contains(words(names), k))
+
+
+def _pruned_container(value: Column) -> Column:
+    provider = lambda v: F.coalesce(F.to_variant_object(_members(v, PROVIDER_METADATA)), v)
+    return F.to_variant_object(F.transform_values(
+        _members(value, CNA_EVIDENCE), lambda k, v: F.when(k == "providerMetadata", provider(v)).otherwise(v)))
+
+
+def program_facts(document: Column) -> Column:
+    """A program record (VARIANT) rebuilt from what bears on an assessment, as VARIANT.
+
+    Kept: four members of ``cveMetadata``, the container of the assigner and every one of the enrichers, each
+    with its whitelisted members and a provider's name and date. A container may be an object or a list of
+    objects. What is left out anywhere (contacts, credits, unknown members) is not read into the result;
+    absent blocks are empty objects, and a null document gives null.
+    """
+    def container(value):
+        listed = F.try_variant_get(value, "$", "array<variant>")
+        return F.when(listed.isNotNull(), F.to_variant_object(F.transform(listed, _pruned_container))).otherwise(_pruned_container(value))
+
+    containers = _members(F.try_variant_get(document, "$.containers", "variant"), PROGRAM_CONTAINERS)
+    none = F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<variant>))")
+    rebuilt = struct_of(
+        cveMetadata=F.to_variant_object(F.coalesce(_members(F.try_variant_get(document, "$.cveMetadata", "variant"), PROGRAM_METADATA), none)),
+        containers=F.to_variant_object(F.coalesce(F.transform_values(containers, lambda k, v: container(v)), none)))
+    return F.when(document.isNotNull(), F.to_variant_object(rebuilt))
 
 
 def evidence_facts(document: Column, family: str) -> Column:

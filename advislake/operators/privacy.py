@@ -93,7 +93,7 @@ def _inside(spans: Column, m: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] <= m["start"]) & (m["end"] <= s["end"]))
 
 
-def _address(literal: Column) -> Column:
+def ipv4_number(literal: Column) -> Column:
     """32-bit value of a dotted quad; null when an octet is over 255 or zero-padded."""
     octets = F.transform(F.split(literal, r"\."), lambda o: o.cast("bigint"))
     valid = F.forall(octets, lambda o: o <= 255) & ~F.rlike(literal, F.lit(r"(?:^|\.)0\d"))
@@ -111,10 +111,10 @@ def _reserved(address: Column) -> Column:
 
 
 def ipv4(text: Column) -> Column:
-    keep = lambda m: let(_address(m["span"]), lambda a: a.isNotNull() & (
+    keep = lambda m: let(ipv4_number(m["span"]), lambda a: a.isNotNull() & (
         _reserved(a) | ~looks_like_version(_before(text, m), _after(text, m))))
     return _emit(matches(text, IPV4), "ipv4_address", lambda m: F.when(
-        _reserved(_address(m["span"])), "RFC1918/reserved address").otherwise("public IPv4 address"), keep)
+        _reserved(ipv4_number(m["span"])), "RFC1918/reserved address").otherwise("public IPv4 address"), keep)
 
 
 def ipv6(text: Column) -> Column:

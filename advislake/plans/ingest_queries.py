@@ -215,6 +215,21 @@ def publication_annotate(spark, sf):
         F.count("*").alias("records"), F.count_if("review.required").alias("to_review"))
 
 
+@register("k3_publish_month", """SELECT month, count(*) AS records, count(*) FILTER (month LIKE '%-Sep') AS changed,
+  md5(string_agg(CASE WHEN month LIKE '%-Sep' THEN upper(title) ELSE title END, '|' ORDER BY cve)) AS titles FROM adv WHERE k % 8 <> 0 GROUP BY 1""", ["adv"])
+def publish_month(spark, sf):
+    """All months published, then the Septembers anew: the other months stay, and the manifest leads to each."""
+    root = fresh_path(spark, "releases")
+    complete = B.records(spark, sf).where("inference.framework_assessment is not null")  # k % 8 <> 0; a month with gaps is refused
+    complete = complete.withColumn("inference", F.col("inference").withField("review_status", F.lit("reviewed")))
+    sinks.publish_release(complete, root, "2026-09-10T00:00:00Z")
+    again = complete.where(F.col("month").endswith("-Sep")).withColumn("title", F.upper("title"))
+    sinks.publish_release(again, root, "2026-09-11T00:00:00Z")
+    rows = sinks.published_release(spark, root).select("month", "cve", "title", (F.upper("title") == F.col("title")).alias("changed"))
+    titles = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cve", "title"))), lambda x: x["title"]), "|"))
+    return rows.groupBy("month").agg(F.count("*").alias("records"), F.count_if("changed").alias("changed"), titles.alias("titles"))
+
+
 @register("k4_publication_gates", """SELECT month, 'partial-assessment' AS gate, count(*) AS expected, count(*) FILTER (has_fw) AS found FROM rec
   GROUP BY 1 HAVING count(*) <> count(*) FILTER (has_fw)""", ["rec"])
 def publication_gates(spark, sf):
@@ -452,6 +467,31 @@ def cna_evidence(spark, sf):
     return docs.select("cve", flat(F.array_sort(F.map_keys(parse.evidence_facts(F.col("cna"), "cna")))).alias("members"))
 
 
+@register("p20_program_facts", """SELECT cve, md5('{"containers":{' || CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN '"adp":{"title":"one"},' ELSE
+   '"adp":[{"metrics":[{"score":' || k % 10 || '}],"providerMetadata":{"shortName":"ADP"},"title":"adp ' || k % 3 || '"},{}],' END
+   || '"cna":{"affected":[{"contact":"inside","product":"p' || k % 5 || '"}],"providerMetadata":{"dateUpdated":"d1","shortName":"' || assigner || '"},"title":"' || title
+   || '"}},"cveMetadata":{"cveId":"' || cve || '","datePublished":"2026-09-01"' || CASE WHEN k % 9 = 4 THEN '' ELSE ',"state":"PUBLISHED"' END || '}}') AS digest FROM adv""", ["adv"])
+def program_facts(spark, sf):
+    """Digests of rebuilt program records; a member that must go is planted at every level."""
+    k, one = F.col("k"), F.array(F.lit("jane"))
+    adp = F.array(
+        struct_of(title=F.concat(F.lit("adp "), (k % 3).cast("string")), providerMetadata=struct_of(shortName="ADP", orgId="o"),
+                  metrics=F.array(struct_of(score=k % 10)), x_tool=F.lit("t")),
+        struct_of(title=F.lit(None).cast("string"), providerMetadata=F.lit(None).cast("struct<shortName:string,orgId:string>"),
+                  metrics=F.lit(None).cast("array<struct<score:bigint>>"), x_tool=F.lit("only this")))
+    doc = struct_of(
+        dataType="CVE_RECORD",
+        cveMetadata=struct_of(cveId=F.col("cve"), state=F.when(k % 9 != 4, "PUBLISHED"), assignerOrgId="a", datePublished="2026-09-01", requester="u"),
+        containers=struct_of(
+            cna=struct_of(title=F.col("title"), credits=one, x_generator=struct_of(engine="e"),
+                          affected=F.array(struct_of(product=F.concat(F.lit("p"), (k % 5).cast("string")), contact="inside")),
+                          providerMetadata=struct_of(orgId="o", shortName=F.col("assigner"), dateUpdated="d1")),
+            adp=F.when(k % 4 == 1, F.parse_json(F.lit('{"title": "one", "credits": ["x"]}'))).when(k % 4 > 1, F.parse_json(F.to_json(adp))),
+            other=struct_of(title="not a container")))
+    docs = B.advisories(spark, sf).select("cve", F.parse_json(F.to_json(doc)).alias("doc"))
+    return docs.select("cve", F.md5(F.to_json(parse.program_facts(F.col("doc")))).alias("digest"))
+
+
 @register("p21_string_leaves", """SELECT event_id, '/props~1raw' AS pointer, event_type AS text FROM events
   UNION ALL SELECT event_id, '/inner/0/a~0b', CAST(user_id AS VARCHAR) FROM events""")
 def string_leaves(spark, sf):

@@ -388,7 +388,7 @@ def _proof(spark, sf):
     sources = found.select("cve", F.when(F.col("cve") % 4 != 3, F.col("value")).otherwise("other").alias("value"),
                            F.lit("file").alias("location"), F.lit("/Notes/0").alias("pointer")).distinct()
     twice = sources.unionByName(sources.withColumn("pointer", F.lit("/Notes/1")))
-    return joins.proof_of_findings(found, twice)
+    return joins.proof_of_findings(found, twice, F.lit(True))
 
 
 @register("j15_proof_of_findings", f"""{_ALL_SPANS} SELECT DISTINCT doc_id AS cve, category, span AS value, CASE WHEN doc_id % 4 <> 3 THEN '/Notes/0' END AS pointer,
@@ -400,3 +400,50 @@ def proof(spark, sf):
 @register("j15_unproved", f"{_ALL_SPANS} SELECT DISTINCT doc_id AS cve, category, span AS value FROM f WHERE doc_id % 4 = 3", ["priv"])
 def unproved(spark, sf):
     return _proof(spark, sf).where("not proved").select("cve", "category", "value")
+
+
+# pointer, text, source differs, and the findings of the text: category, span, proved
+PROOF_CASES = [
+    ("/containers/cna/affected/0/versions/0/lessThan", "built as 10.20.30.<n>", False, [("ipv4_address", "10.20.30.<n>", True)]),
+    ("/containers/cna/descriptions/0/value", "built as 10.20.30.<n>", False, [("ipv4_address", "10.20.30.<n>", False)]),
+    ("/Vulnerability/3/Remediations/1/FixedBuild", "10.0.17.<n>", False, [("ipv4_address", "10.0.17.<n>", True)]),
+    ("/Vulnerability/3/Remediations/1/FixedBuilds", "10.0.17.<n>", False, [("ipv4_address", "10.0.17.<n>", False)]),
+    ("/Notes/0", "it was Reproduced  on 8.8.4.<n> by us", False, [("ipv4_address", "8.8.4.<n>", True)]),
+    ("/Notes/0", "it was reproduced on 192.168.4.<n> by us", False, [("ipv4_address", "192.168.4.<n>", False)]),
+    ("/Notes/0", "see <https://files<n>.contoso-corp.com/a> now", False, [("hostname", "files<n>.contoso-corp.com", True)]),
+    ("/Notes/0", "see https://Files<n>.contoso-corp.com.:8443/a now", False, [("hostname", "Files<n>.contoso-corp.com.", True)]),
+    ("/Notes/0", "connect to files<n>.contoso-corp.com now", False, [("hostname", "files<n>.contoso-corp.com", False)]),
+    ("/Notes/0", "at https://a.contoso-corp.com/?to=db<n>.contoso-corp.com now", False,
+     [("hostname", "a.contoso-corp.com", True), ("hostname", "db<n>.contoso-corp.com", False)]),
+    ("/References/0/URL", "https://a.contoso-corp.com/?id=0f8fad5b-d9cb-469f-a165-70867728950e&n=<n>", False,
+     [("hostname", "a.contoso-corp.com", True), ("guid", "0f8fad5b-d9cb-469f-a165-70867728950e", True)]),
+    ("/references/0/url", "https://a.contoso-corp.com/?id=0f8fad5b-d9cb-469f-a165-70867728950e&n=<n>", False,
+     [("hostname", "a.contoso-corp.com", True), ("guid", "0f8fad5b-d9cb-469f-a165-70867728950e", False)]),
+    ("/References/0/URL", "0f8fad5b-d9cb-469f-a165-70867728950e beside https://learn.microsoft.com/<n>", False,
+     [("guid", "0f8fad5b-d9cb-469f-a165-70867728950e", False)]),
+    ("/references/0/url", "https://lore.kernel.org/all/<n>.abc@mail.contoso-corp.com/", False,
+     [("email_address", "<n>.abc@mail.contoso-corp.com", True)]),
+    ("/references/0/url", "https://lists.contoso-corp.com/all/<n>.abc@mail.contoso-corp.com/", False,
+     [("hostname", "lists.contoso-corp.com", True), ("email_address", "<n>.abc@mail.contoso-corp.com", False)]),
+    ("/references/0/url", "https://files<n>.contoso-corp.com/b", True, [("hostname", "files<n>.contoso-corp.com", False)]),
+    ("/Notes/version", "owner S-1-5-21-1-2-<n> of it", False, [("security_identifier", "S-1-5-21-1-2-<n>", False)]),
+    ("/Notes/URL", "https://x.example.com 00:1A:2B:3C:4D:5E <n>", False, [("mac_address", "00:1A:2B:3C:4D:5E", False)]),
+    ("/Notes/URL", "kept in /home/jane/<n>", False, [("filesystem_path", "/home/jane/<n>", False)]),
+    ("/Notes/version", "tenant id: 0f8fad5b-d9cb-469f-a165-70867728950e <n>", False,
+     [("tenant_identifier", "0f8fad5b-d9cb-469f-a165-70867728950e", False)]),
+    ("/Notes/version", r"copied to \\fs01\share<n>", False, [("unc_path", r"\\fs01\share<n>", False)]),
+    ("/Notes/version", "address fe80:1:2:3:4:5:6:7 <n>", False, [("ipv6_address", "fe80:1:2:3:4:5:6:7", False)])]
+
+
+@register("j15_syntax_proof", f"""SELECT event_id AS cve, c.category, replace(c.span, '<n>', (event_id % 200)::VARCHAR) AS span,
+  CASE WHEN c.proved THEN c.pointer END AS pointer, c.proved
+  FROM events JOIN (VALUES {values([(k, p, c, s, ok) for k, (p, _, _, found) in enumerate(PROOF_CASES) for c, s, ok in found])}) AS c(k, pointer, category, span, proved)
+  ON event_id % {len(PROOF_CASES)} = c.k""")
+def syntax_proof(spark, sf):
+    """Findings of a text of every event against its source; proved where the category's rule says so."""
+    case = F.get(F.array(*[struct_of(pointer=p, text=t, other=o) for p, t, o, _ in PROOF_CASES]), (F.col("event_id") % len(PROOF_CASES)).cast("int"))
+    rows = B.table(spark, sf, "events").select(F.col("event_id").alias("cve"), case.alias("c")).select(
+        "cve", "c.pointer", "c.other", F.replace("c.text", F.lit("<n>"), (F.col("cve") % 200).cast("string")).alias("value"))
+    found = privacy.scan_text(rows, "value", ["cve", "value"]).withColumn("field", F.lit("note"))
+    sources = rows.select("cve", F.when(F.col("other"), "something else").otherwise(F.col("value")).alias("value"), F.lit("raw").alias("location"), "pointer")
+    return joins.proof_of_findings(found, sources).select("cve", "category", "span", "pointer", "proved")

@@ -3,7 +3,7 @@ import json
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from advislake.operators import gates, joins, merge, parse, review
 from advislake.plans import bridge as B
@@ -128,3 +128,84 @@ def test_violations_tell_what_was_claimed(spark):
     got = gates.with_direction_gate(rows).select(F.explode("direction_gate.violations").alias("v")).select("v.*").limit(5).collect()
     assert got and all(r.code == "direction-contradiction" and r.message.endswith("Credit removed; assessment retained.") and
                        "local" not in r.applies_to_direction for r in got)
+
+
+def release(spark, month, titles):
+
+    rows = B.records(spark, SF).where("inference.framework_assessment is not null").limit(len(titles))
+    named = F.get(F.array(*[F.lit(t) for t in titles]), F.row_number().over(Window.orderBy("cve")) - 1)
+    return rows.withColumns({"month": F.lit(month), "title": named,
+                             "inference": F.col("inference").withField("review_status", F.lit("reviewed"))})
+
+
+def test_publishing_one_month_leaves_the_others(spark, tmp_path):
+    files = lambda: {p: p.read_bytes() for p in (tmp_path / "r").rglob("*.parquet")}
+    root = str(tmp_path / "r")
+    assert sinks.published_manifest(spark, root).count() == 0
+    with pytest.raises(ValueError, match="nothing is published"):
+        sinks.published_release(spark, root)
+    sinks.publish_release(release(spark, "2026-Sep", ["a", "b"]), root, "t1", {"2026-Sep": "September"})
+    sinks.publish_release(release(spark, "2026-Oct", ["c"]), root, "t2")
+    before = files()
+    manifest = sinks.publish_release(release(spark, "2026-Sep", ["d", "e", "f"]), root, "t3")
+    assert [(m["month"], m["label"], m["record_count"], m["published_at"]) for m in manifest.collect()] == [
+        ("2026-Oct", "2026-Oct", 1, "t2"), ("2026-Sep", "2026-Sep", 3, "t3")]
+    now = files()
+    assert all(now[p] == raw for p, raw in before.items()) and len(now) > len(before)
+    titles = lambda: sorted((r["month"], r["title"]) for r in sinks.published_release(spark, root).select("month", "title").collect())
+    assert titles() == [("2026-Oct", "c"), ("2026-Sep", "d"), ("2026-Sep", "e"), ("2026-Sep", "f")]
+    assert sinks.published_release(spark, root, ["2026-Oct"]).count() == 1
+    # files of a lost publication, which wrote no manifest, are not seen
+    sinks.annotate(release(spark, "2026-Sep", ["lost"])).write.partitionBy("month").parquet(f"{root}/data/release=lost")
+    assert len(titles()) == 4
+    twice = release(spark, "2026-Nov", ["x"])
+    for refused in (twice.union(twice), twice.withColumn("inference", F.lit(None).cast(twice.schema["inference"].dataType)), twice.limit(0)):
+        with pytest.raises(ValueError, match="refusing"):
+            sinks.publish_release(refused, root, "t4")
+    assert len(titles()) == 4
+
+
+def test_static_publication_keeps_other_months(spark, tmp_path):
+    sinks.publish(release(spark, "2026-Sep", ["a"]), str(tmp_path))
+    sinks.publish(release(spark, "2026-Oct", ["b"]), str(tmp_path))
+    assert sorted(r["title"] for r in spark.read.parquet(str(tmp_path)).select("title").collect()) == ["a", "b"]
+
+
+def test_program_facts_prune_every_level(spark):
+    given = [
+        '{"cveMetadata": {"cveId": "C", "assigner": "x"}, "credits": 1, "containers": {"other": {}, "cna": {"title": "t", "credits": [1],'
+        ' "providerMetadata": {"shortName": "a", "orgId": "o"}, "metrics": [{"credits": "inside"}]}, "adp": [{"title": "q", "x": 1}, 7]}}',
+        '{"containers": {"cna": [{"title": "l", "z": 1}], "adp": {"providerMetadata": "text", "z": 2}}}', "{}", "[1]", None]
+    want = [
+        '{"containers":{"adp":[{"title":"q"},null],"cna":{"metrics":[{"credits":"inside"}],"providerMetadata":{"shortName":"a"},"title":"t"}},"cveMetadata":{"cveId":"C"}}',
+        '{"containers":{"adp":{"providerMetadata":"text"},"cna":[{"title":"l"}]},"cveMetadata":{}}',
+        '{"containers":{},"cveMetadata":{}}', '{"containers":{},"cveMetadata":{}}', None]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select(
+        "i", F.to_json(parse.program_facts(F.parse_json("t"))).alias("j")).orderBy("i").collect()
+    assert [r["j"] for r in rows] == want
+
+
+def test_syntax_proof_edges(spark):
+    cases = [  # value, span, start, category, pointer, proved
+        ("http://a.b.test/x http://c.d.test/y", "c.d.test", 26, "hostname", "/u", True),
+        ("http://a.b.test/x c.d.test", "c.d.test", 18, "hostname", "/u", False),
+        ("xxhttps://a.b.test", "a.b.test", 10, "hostname", "/u", True),
+        ("a.b.test,https://a.b.test", "a.b.test", 0, "hostname", "/u", False),
+        ("tps://A.b.test.:1", "A.b.test", 6, "hostname", "/u", True),
+        ("https://x/ a.b.test", "a.b.test", 11, "hostname", "/u", False),
+        ("reproduced on 1.2.3.4", "1.2.3.4", 14, "ipv4_address", "/n", True),
+        ("reproduced on 192.0.0.9", "192.0.0.9", 14, "ipv4_address", "/n", True),
+        ("reproduced on 192.0.0.11", "192.0.0.11", 14, "ipv4_address", "/n", False),
+        ("reproduced on 1.2.3.04", "1.2.3.04", 14, "ipv4_address", "/n", False),
+        ("reproduced on" + " " * 70 + "1.2.3.4", "1.2.3.4", 83, "ipv4_address", "/n", False),
+        ("10.0.0.1", "10.0.0.1", 0, "ipv4_address", "/a/versionEndExcluding", True),
+        ("10.0.0.1", "10.0.0.1", 0, "ipv4_address", "version", False),
+        ("10.0.0.1", "10.0.0.1", 0, "ipv4_address", None, False),
+        ("10.0.0.1", "10.0.0.1", 0, "mac_address", "/a/version", False)]
+    rows = [(str(i), "f", c, v, s, at, at + len(s)) for i, (v, s, at, c, _, _) in enumerate(cases)]
+    found = spark.createDataFrame(rows + [("none", "f", "hostname", "text", "t", 0, 1), (None, "f", "hostname", None, None, None, None)],
+                                  "cve string, field string, category string, value string, span string, start int, end int")
+    sources = spark.createDataFrame([(str(i), c[0], "raw", c[4]) for i, c in enumerate(cases)] + [(None, None, None, None)],
+                                    "cve string, value string, location string, pointer string")
+    got = {r["cve"]: r["proved"] for r in joins.proof_of_findings(found, sources).collect()}
+    assert got == {str(i): c[5] for i, c in enumerate(cases)} | {"none": False, None: False}
