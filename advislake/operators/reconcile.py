@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from advislake.functions.exprs import reasons, truthy
 from advislake.functions.scalar import canonical_sha256, epss_band
 from advislake.operators.parse import exploitation_assessment
+from advislake.sources.scratch import fresh_path
 
 
 def coverage_gaps(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -113,6 +114,67 @@ def pending(after: DataFrame, accepted: DataFrame) -> DataFrame:
     return current.join(accepted.select("cve", "fingerprint"), ["cve", "fingerprint"], "left_anti")
 
 
+def reusable(after: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Accepted rows that still fit: their id and fingerprint are those of a current record; one row an id.
+
+    ``accepted`` has cve, fingerprint and what was accepted. Of several rows that fit, the first by their
+    JSON text stays, so reruns agree.
+    """
+    current = after.select("cve", fingerprint(after).alias("fingerprint"))
+    fitting = accepted.join(current, ["cve", "fingerprint"], "left_semi")
+    others = [c for c in accepted.columns if c not in ("cve", "fingerprint")]
+    if not others:
+        return fitting.distinct()
+    row = F.struct(*others)
+    kept = fitting.groupBy("cve", "fingerprint").agg(F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("r"))
+    return kept.select("cve", "fingerprint", "r.*")
+
+
+def release_gaps(after: DataFrame, assessed: DataFrame) -> DataFrame:
+    """(cve, problem) of a set of assessments against the current records: missing, extra, repeated or stale.
+
+    No rows means that the assessments are those of the current records, each once.
+    """
+    current = after.select("cve", fingerprint(after).alias("now"))
+    held = assessed.groupBy("cve").agg(F.count("*").alias("n"), F.min("fingerprint").alias("then"))
+    both = current.join(held, "cve", "full_outer")
+    problem = (F.when(F.col("n").isNull(), "missing").when(F.col("now").isNull(), "extra")
+               .when(F.col("n") > 1, "repeated").when(F.col("now") != F.col("then"), "stale"))
+    return both.select("cve", problem.alias("problem")).where("problem is not null")
+
+
+def settle_release(snapshot, assess, accepted: DataFrame, revisions: int = 3):
+    """Assessments of the newest records, with only changed ones assessed anew: (records, assessments).
+
+    ``snapshot()`` reads the sources anew, ``assess(records)`` gives (cve, ...) rows for the records it is
+    handed, ``accepted`` are earlier rows with their fingerprint. Each pass keeps what still fits, assesses
+    what is pending and reads the sources again; it ends when nothing has changed meanwhile. Refused: rows
+    for ids that are not current, missing or repeated rows, and sources that change in every one of
+    ``revisions`` passes. Both tables are written, so a reading is made once and a lost executor repeats
+    no assessment of an earlier pass.
+    """
+    spark = accepted.sparkSession
+
+    def written(df, label):
+        path = fresh_path(spark, label)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    records = written(snapshot(), "revision")
+    for _ in range(revisions):
+        kept = reusable(records, accepted)
+        new = assess(pending(records, kept)).join(records.select("cve", fingerprint(records).alias("fingerprint")), "cve", "left")
+        accepted = written(kept.unionByName(new.select(*kept.columns)), "assessed")
+        broken = release_gaps(records, accepted).orderBy("cve").limit(5).collect()
+        if broken:
+            raise ValueError(f"refusing an incomplete or foreign set of assessments: {[tuple(r) for r in broken]}")
+        fresh = written(snapshot(), "revision")
+        if revision_diff(records, fresh).isEmpty():
+            return fresh, accepted
+        records = fresh
+    raise ValueError(f"the sources changed in all {revisions} passes; nothing is released")
+
+
 def reserved_hash(columns) -> Column:
     return F.xxhash64(*[F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})
                         for c in sorted(columns)])

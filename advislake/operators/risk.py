@@ -329,27 +329,78 @@ def control_sweep(df: DataFrame, controls=None) -> DataFrame:
     return _with_residual(swept, _residual_stages(("control",), "expr"))
 
 
+def _effective_ids() -> Column:
+    eff = lambda c: truthy(c.relevance == "relevant") & ~truthy(c.confidence == "low") & (
+        (F.coalesce(c.effect.likelihood_steps, F.lit(0)) > 0)
+        | (F.coalesce(c.effect.consequence_steps, F.lit(0)) > 0))
+    return F.coalesce(F.array_distinct(F.transform(F.filter("mitigation_candidates", eff), lambda c: c.id)), words([]))
+
+
+def _chosen(ids: str, mask: str) -> Column:
+    return F.filter(ids, lambda x, i: F.getbit(F.col(mask), i) == 1)
+
+
 def subset_sweep(df: DataFrame) -> DataFrame:
     """Every subset of a record's effective controls; column ``selection`` is the subset.
 
-    Subsets are enumerated from a bit mask per record; the number of controls is
-    bounded by the catalogue.
+    Subsets are enumerated from a bit mask per record, 2^k rows for k controls: for listing the subsets of
+    a few records. Audits of many records go by ``selection_states``.
     """
-    eff = lambda c: truthy(c.relevance == "relevant") & ~truthy(c.confidence == "low") & (
-        (F.coalesce(c.effect.likelihood_steps, F.lit(0)) > 0)
-        | (F.coalesce(c.effect.consequence_steps, F.lit(0)) > 0))
-    based = with_baseline(df).withColumn("_ids", F.coalesce(
-        F.array_distinct(F.transform(F.filter("mitigation_candidates", eff), lambda c: c.id)),
-        words([])))
+    based = with_baseline(df).withColumn("_ids", _effective_ids())
     top = F.expr("cast(shiftleft(1L, size(_ids)) - 1 as bigint)")
     masked = based.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), top)))
-    chosen = F.filter("_ids", lambda x, i: F.getbit(F.col("mask"), i) == 1)
-    return with_profile(masked.withColumn("selection", chosen).drop("_ids"), "selection")
+    return with_profile(masked.withColumn("selection", _chosen("_ids", "mask")).drop("_ids"), "selection")
+
+
+# a selection acts through its likelihood steps (2 at most count), consequence steps (1) and path block only
+STATES = [(steps, consequence, block) for steps in range(vocab.PATH_BLOCK_CREDIT_CAP + 1)
+          for consequence in range(vocab.CONSEQUENCE_CREDIT_CAP + 1) for block in (0, 1)]
+
+
+def selection_states(df: DataFrame) -> DataFrame:
+    """One row for each outcome that selections of a record's effective controls can have.
+
+    Columns of ``df`` with the baseline, ``selection`` and ``mask`` of one subset that leads there and
+    ``cases``, the number of subsets that do. Subsets are not enumerated: controls are taken up one by one
+    into the at most ``len(STATES)`` states of the credit caps, each with its count and one witness, inside
+    the row, so a record with all catalogue controls costs as many steps as it has controls. Steps of
+    applied controls are 0, 1 or 2, as others earn nothing.
+    """
+    swept = with_profile(df, vocab.CONTROL_IDS)
+    effect = lambda c: struct_of(
+        id=c.id, l=F.coalesce(c.effect.likelihood_steps, F.lit(0)).cast("int"), c=F.coalesce(c.effect.consequence_steps, F.lit(0)).cast("int"),
+        b=F.when(truthy(c.effect.path_block) & truthy(c.confidence == "high"), 1).otherwise(0))
+    nothing = lambda x: struct_of(id=x, l=F.lit(0), c=F.lit(0), b=F.lit(0))
+    rows = swept.select(*df.columns, F.transform("applied", effect).alias("_effects"), _effective_ids().alias("_ids"))
+    rows = rows.withColumn("_items", F.transform("_ids", lambda x: F.coalesce(
+        F.get(F.filter("_effects", lambda e: e.id == x), F.lit(0)), nothing(x))))
+    start = ", ".join(f"named_struct('l', {n}, 'c', {c}, 'b', {b}, 'n', {int(not n + c + b)}L, 'mask', 0L)" for n, c, b in STATES)
+
+    def take(acc, item):
+        """States after one more control: as before without it, and moved on with it."""
+        def after(to):
+            leads = lambda s: (F.least(s.l + item.l, F.lit(vocab.PATH_BLOCK_CREDIT_CAP)) == to.l) & (
+                F.least(s.c + item.c, F.lit(vocab.CONSEQUENCE_CREDIT_CAP)) == to.c) & (F.greatest(s.b, item.b) == to.b) & (s.n > 0)
+            came = F.filter(acc.states, leads)
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), acc.at)  # the Python form takes a literal only
+            return struct_of(
+                l=to.l, c=to.c, b=to.b, n=to.n + F.aggregate(came, F.lit(0).cast("bigint"), lambda a, s: a + s.n),
+                mask=F.when(to.n > 0, to.mask).otherwise(F.coalesce(F.get(came, F.lit(0)).mask.bitwiseOR(bit), F.lit(0).cast("bigint"))))
+        return struct_of(at=acc.at + 1, states=F.transform(acc.states, after))
+
+    reached = F.aggregate("_items", struct_of(at=F.lit(0), states=F.expr(f"array({start})")), take, lambda a: F.filter(a.states, lambda s: s.n > 0))
+    rows = rows.select(*df.columns, "_ids", F.explode(reached).alias("_s")).select(
+        *df.columns, "_ids", F.col("_s.mask").alias("mask"), F.col("_s.n").alias("cases"))
+    return with_baseline(rows.withColumn("selection", _chosen("_ids", "mask")).drop("_ids"))
 
 
 def credit_violations(df: DataFrame) -> DataFrame:
-    """Property audit over the subset sweep: rows where a credit rule is broken."""
-    swept = subset_sweep(df)
+    """Property audit over all subsets of a record's controls: (cve, mask, violation, cases).
+
+    A row for each broken rule and outcome of selections; ``mask`` is one selection that breaks it and
+    ``cases`` how many do.
+    """
+    swept = with_profile(selection_states(df), "selection")
     block = F.exists("applied", lambda c: truthy(c.effect.path_block) & truthy(c.confidence == "high"))
     drop = F.col("base_likelihood") - F.col("resid_likelihood")
     floor = archetype_floor(F.col("base_model"), block)
@@ -361,7 +412,7 @@ def credit_violations(df: DataFrame) -> DataFrame:
         F.when(~nca & (drop > F.when(block, 2).otherwise(1)), "stacked-credit"),
         F.when(F.col("resid_action") < floor, "broke-floor"))
     return (swept.withColumn("violation", F.explode(broken))
-            .select("cve", "mask", "violation"))
+            .select("cve", "mask", "violation", "cases"))
 
 
 def selection_violations(df: DataFrame) -> DataFrame:

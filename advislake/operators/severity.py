@@ -91,18 +91,66 @@ def cna_assessment(program: str, publisher: str = "microsoft") -> Column:
     return F.when(other_party & (F.coalesce(p("vendor_severity.band"), F.lit("")) != ""), made)
 
 
+MOST_BANDS = 10_000
+
+
+class Rules:
+    """What bands and scores mean: the package's own constants, or the tables of a scales file.
+
+    ``scales``: (scale, band, target) of ``readers.read_scales``; ``ranges``: (scale, low, high, band) of
+    ``readers.read_score_ranges``, of which ``score_scale`` counts. The tables are small and bounded
+    (MOST_BANDS; the reader bounds ranges): each becomes one value that goes along with every row, so
+    records are neither joined nor shuffled.
+    """
+
+    def __init__(self, scales: DataFrame = None, ranges: DataFrame = None, version: str = vocab.SCALES_VERSION,
+                 score_scale: str = "cvss-score"):
+        self.version, self.columns = version, {}
+        if scales is not None:
+            keyed = F.collect_set(F.struct(F.concat("scale", F.lit("|"), F.lower("band")), "target"))
+            many = F.raise_error(F.lit("a scales file with too many bands")).cast("map<string,string>")
+            self.columns["_scale_targets"] = scales.agg(F.when(F.count("*") > MOST_BANDS, many).otherwise(F.map_from_entries(keyed))).scalar()
+        if ranges is not None:
+            own = ranges.where(F.col("scale") == score_scale)
+            self.columns["_score_ranges"] = own.agg(F.array_sort(F.collect_list(F.struct("low", "high", "band")))).scalar()
+
+    def attached(self, df: DataFrame) -> DataFrame:
+        return df.withColumns(self.columns) if self.columns else df
+
+    def band(self, scale: Column, band: Column) -> Column:
+        """A vendor band on the target vocabulary, ignoring case; null when its scale has none."""
+        if "_scale_targets" not in self.columns:
+            return mapped_band(scale, band)
+        return F.try_element_at("_scale_targets", F.coalesce(F.concat(scale, F.lit("|"), F.lower(band)), F.lit("\0")))
+
+    def score(self, score: Column) -> Column:
+        """The band whose closed range holds the score; null scores and gaps are unknown."""
+        if "_score_ranges" not in self.columns:
+            return band_from_score(score)
+        held = F.get(F.filter("_score_ranges", lambda r: (score >= r["low"]) & (score <= r["high"])), F.lit(0))
+        return F.coalesce(held["band"], F.lit("unknown"))
+
+
+def with_score_band(df: DataFrame, score: str, rules: Rules, into: str = "band") -> DataFrame:
+    """Adds the band of a score column under the given rules."""
+    return rules.attached(df).withColumn(into, rules.score(F.col(score))).drop(*rules.columns)
+
+
+FIXED = Rules()
+
+
 def build_severity(value: Column, basis: Column, cvss: str, program: str,
-                   strict: bool = True) -> Column:
+                   strict: bool = True, rules: Rules = FIXED) -> Column:
     """The severity struct. The highest mapped band wins, the publisher on ties.
 
     ``strict`` fails the job on a band its scale does not define, as guessing one
-    would invent a rating.
+    would invent a rating. ``rules`` of a file need their columns attached.
     """
     missing = F.raise_error(F.lit("a scale does not define a band it was given")).cast("string")
     rank = lambda c: lookup(vocab.BAND_RANK, c, 0)
 
     def band(side):
-        target = mapped_band(side["scale"], side["value"])
+        target = rules.band(side["scale"], side["value"])
         return F.when(side.isNotNull(), F.coalesce(target, missing) if strict else target)
 
     def assemble(s):
@@ -119,7 +167,7 @@ def build_severity(value: Column, basis: Column, cvss: str, program: str,
             normalized_band=F.when(~has_party, s["derived"]).when(cna_wins, s["cna_band"])
             .otherwise(s["pub_band"]),
             normalized_basis=F.when(has_party, F.concat(
-                F.lit("scale-mapping:"), scale, F.lit(f":{vocab.SCALES_VERSION}")))
+                F.lit("scale-mapping:"), scale, F.lit(f":{rules.version}")))
             .when(s["derived"] != "unknown", "cvss-derived").otherwise("absent"),
             divergence=F.when(differ, struct_of(
                 kind=F.when(comparable, "assessment").otherwise("scale"),
@@ -130,18 +178,18 @@ def build_severity(value: Column, basis: Column, cvss: str, program: str,
     parties = struct_of(pub=publisher_assessment(value, basis, cvss), cna=cna_assessment(program))
     return let(parties, lambda p: let(
         struct_of(pub=p["pub"], cna=p["cna"], pub_band=band(p["pub"]), cna_band=band(p["cna"]),
-                  derived=band_from_score(F.col(f"{cvss}.base_score"))), assemble))
+                  derived=rules.score(F.col(f"{cvss}.base_score"))), assemble))
 
 
 def with_severity(df: DataFrame, value="severity_text_band", basis="severity_basis",
                   cvss="cvss", program="cve_program", into="severity",
-                  strict: bool = True) -> DataFrame:
-    severity = build_severity(F.col(value), F.col(basis), cvss, program, strict)
-    return attach(df.drop(into), struct_of(**{into: severity}))
+                  strict: bool = True, rules: Rules = FIXED) -> DataFrame:
+    severity = build_severity(F.col(value), F.col(basis), cvss, program, strict, rules)
+    return attach(rules.attached(df.drop(into)), struct_of(**{into: severity})).drop(*rules.columns)
 
 
-def renormalise(df: DataFrame) -> DataFrame:
-    """Re-derive severity of a release from its source facts (idempotent).
+def renormalise(df: DataFrame, rules: Rules = FIXED) -> DataFrame:
+    """Re-derive severity of a release from its source facts (idempotent), under a file's rules if given.
 
     Adds ``band_before`` so callers can count what moved.
     """
@@ -151,7 +199,7 @@ def renormalise(df: DataFrame) -> DataFrame:
     basis = F.when(publisher.isNotNull(), "vendor").otherwise(
         F.coalesce(F.col("severity_basis"), F.lit("absent")))
     return (df.withColumns({"_text": text, "_basis": basis, "band_before": severity_band()})
-            .transform(with_severity, value="_text", basis="_basis")
+            .transform(with_severity, value="_text", basis="_basis", rules=rules)
             .drop("_text", "_basis"))
 
 

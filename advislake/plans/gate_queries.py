@@ -346,6 +346,43 @@ def scales_in_use(spark, sf):
     return severity.with_mapped_band(B.advisories(spark, sf).where("cna_band is not null"), table, "cna_scale", "cna_band", "band").select("cve", "band")
 
 
+OWN_RANGES = [(8.0, 10.0, "critical"), (5.0, 7.9, "high"), (2.0, 4.9, "medium"), (0.0, 1.9, "low")]
+_OWN = " ".join(f"WHEN base_score BETWEEN {low} AND {high} THEN '{band}'" for low, high, band in OWN_RANGES)
+_RULED = f"""WITH m AS (SELECT s.*, CASE WHEN cna_nband IS NOT NULL AND cna_scale = 'chromium' AND lower(cna_band) = 'low' THEN 'medium' ELSE cna_nband END AS cb FROM sev s),
+  x AS (SELECT m.*, cb IS NULL OR coalesce(p.rank, -1) >= c.rank AS pub_wins, CASE {_OWN} ELSE 'unknown' END AS derived
+    FROM m LEFT JOIN bandrank p ON p.band = m.pub_band LEFT JOIN bandrank c ON c.band = m.cb),
+  y AS (SELECT *, CASE WHEN pub_band IS NULL AND cb IS NULL THEN derived WHEN pub_wins THEN pub_band ELSE cb END AS new_band FROM x)"""
+
+
+def own_rules(spark):
+    """Rules of a file with other cut-offs, one other target and its own version."""
+    scales = {scale: {"bands": {band: {"maps_to": target} for band, target in bands.items()}} for scale, bands in vocab.SEVERITY_SCALES.items()}
+    scales["chromium"]["bands"]["Low"]["maps_to"] = "medium"
+    scales["cvss-score"] = {"ranges": [{"min": low, "max": high, "maps_to": band} for low, high, band in OWN_RANGES]}
+    path = dimension(spark, "scales", {"version": "2.3", "scales": scales})
+    return severity.Rules(readers.read_scales(spark, path), readers.read_score_ranges(spark, path), readers.scales_version(spark, path))
+
+
+@register("s7_severity_by_file", f"""{_RULED} SELECT cve, new_band AS band, CASE WHEN pub_band IS NULL AND cb IS NULL THEN
+    CASE WHEN derived = 'unknown' THEN 'absent' ELSE 'cvss-derived' END
+    WHEN pub_wins THEN 'scale-mapping:msrc:2.3' ELSE 'scale-mapping:' || cna_scale || ':2.3' END AS basis FROM y""", ["sev", "bandrank"])
+def severity_by_file(spark, sf):
+    return severity.with_severity(B.sourced(spark, sf), rules=own_rules(spark)).select(
+        "cve", F.col("severity.normalized_band").alias("band"), F.col("severity.normalized_basis").alias("basis"))
+
+
+@register("m6_renormalise_by_file", f"""{_RULED} SELECT band, sum(b)::BIGINT AS before, sum(a)::BIGINT AS after FROM (
+    SELECT r.band, 1 AS b, 0 AS a FROM rec r UNION ALL SELECT new_band, 0, 1 FROM y) GROUP BY 1""", ["sev", "bandrank", "rec"])
+def renormalise_by_file(spark, sf):
+    return severity.band_moves(severity.renormalise(B.records(spark, sf), own_rules(spark)))
+
+
+@register("j11_score_band_by_file", f"""SELECT cve, CASE {_OWN} ELSE 'unknown' END AS band FROM (SELECT cve, base_score + (CASE WHEN k % 2 = 0 THEN 0.05 ELSE 0 END)::DOUBLE AS base_score FROM adv)""", ["adv"])
+def score_band_by_file(spark, sf):
+    scored = B.advisories(spark, sf).select("cve", (F.col("base_score") + F.when(F.col("k") % 2 == 0, 0.05).otherwise(0.0)).alias("s"))
+    return severity.with_score_band(scored, "s", own_rules(spark)).select("cve", "band")
+
+
 @register("s7_taxonomy_in_use", "SELECT cve, tag FROM advtag WHERE tag IN ('user-content', 'dns')", ["advtag"])
 def taxonomy_in_use(spark, sf):
     kept = {n: [t for t in tags if t not in ("user-content", "dns")] for n, tags in vocab.NAMESPACES.items()}

@@ -105,6 +105,18 @@ def pending(spark, sf):
     return reconcile.pending(next_release(spark, sf), accepted).select("cve")
 
 
+@register("x6_settled_release", f"""WITH now AS (SELECT cve, NOT ({_CHANGED}) AS same FROM adv WHERE k % 43 <> 0 UNION ALL SELECT cve || '-N', false FROM adv WHERE k % 500 = 1)
+  SELECT cve, CASE WHEN same THEN 'first pass' ELSE 'second pass' END AS made FROM now""", ["adv"])
+def settled_release(spark, sf):
+    """A release whose sources change while it is assessed: unchanged records keep their first assessment,
+    changed and new ones get another, removed ones go."""
+    readings = iter([B.records(spark, sf), next_release(spark, sf), next_release(spark, sf)])
+    passes = iter(["first pass", "second pass"])
+    none = spark.createDataFrame([], "cve string, fingerprint string, made string")
+    _, assessed = reconcile.settle_release(lambda: next(readings), lambda df: df.select("cve", F.lit(next(passes)).alias("made")), none)
+    return assessed.select("cve", "made")
+
+
 @register("x7_altered", "SELECT cve FROM adv WHERE k % 77 = 0", ["adv"])
 def altered(spark, sf):
     r = B.records(spark, sf)

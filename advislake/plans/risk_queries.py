@@ -230,7 +230,7 @@ def selection_audit(spark, sf):
    UNION ALL SELECT 'stacked-credit' FROM f WHERE car IS DISTINCT FROM false AND base_l - rl > (CASE WHEN blk THEN 2 ELSE 1 END)
    UNION ALL SELECT 'broke-floor' FROM f WHERE ra < flr) GROUP BY 1""", ["base", "elig", "cand", "arch"])
 def property_audit(spark, sf):
-    return risk.credit_violations(B.records(spark, sf)).groupBy("violation").agg(F.count("*").alias("cases"))
+    return risk.credit_violations(B.records(spark, sf)).groupBy("violation").agg(F.sum("cases").alias("cases"))
 
 
 @register("v16_unrelated_controls", f"""SELECT b.cve, c.control FROM base b JOIN arch a ON a.model = b.base_m,

@@ -1,5 +1,5 @@
 """Readers of vendor documents, feeds, sidecars, overlays and releases."""
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from advislake import schema
 from advislake.functions import vocab
@@ -193,6 +193,35 @@ def read_scales(spark: SparkSession, path: str) -> DataFrame:
         "scale", F.lit(":"), "band"), target).alias("target"))
 
 
+MOST_RANGES = 1_000
+
+
+def read_score_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(scale, low, high, band) of the numeric cut-offs of a scales file, closed at both ends.
+
+    Refused: a band outside the vocabulary, a range without ends or with its ends swapped, ranges of one
+    scale that overlap, and more than MOST_RANGES ranges, as they go along with every row. Gaps are allowed.
+    """
+    kind = "map<string,struct<ranges:array<struct<min:double,max:double,maps_to:string>>>>"
+    rows = (_document(spark, path).select(F.explode(F.try_variant_get("doc", "$.scales", kind)).alias("scale", "s"))
+            .select("scale", F.explode("s.ranges").alias("r"))
+            .select("scale", F.col("r.min").alias("low"), F.col("r.max").alias("high"), F.col("r.maps_to").alias("band")))
+    before = Window.partitionBy("scale").orderBy("low", "high")
+    rows = rows.withColumns({"_end": F.max("high").over(before.rowsBetween(Window.unboundedPreceding, -1)),
+                             "_n": F.row_number().over(before)})
+    whole = F.coalesce((F.col("low") <= F.col("high")) & ~F.isnan("low") & ~F.isnan("high"), F.lit(False))
+    bad = (F.when(~F.coalesce(F.array_contains(words(vocab.BANDS), F.col("band")), F.lit(False)), "band outside the vocabulary")
+           .when(~whole, "range without proper ends").when(F.col("low") <= F.col("_end"), "overlapping ranges")
+           .when(F.col("_n") > MOST_RANGES, "too many ranges"))
+    named = F.concat("scale", F.lit(" "), F.coalesce(F.col("low").cast("string"), F.lit("?")))
+    return _refuse_rows(rows, bad.isNotNull(), "score ranges refused", F.concat(named, F.lit(": "), bad)).select("scale", "low", "high", "band")
+
+
+def scales_version(spark: SparkSession, path: str) -> str:
+    """The version that a scales file states; null when it states none."""
+    return _document(spark, path).select(F.try_variant_get("doc", "$.version", "string")).first()[0]
+
+
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """(namespace, tag)"""
     return (_document(spark, path).select(F.explode(F.try_variant_get(
