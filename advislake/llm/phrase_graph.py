@@ -21,7 +21,7 @@ LONGEST = 4
 LEAST_COUNT, CONTAINED, TOP = 30, 80, 2000
 MOST_CODES = 1 << 20  # words whose codes go along with the tasks: 16 MB at most
 COMMON, SALTS = 1024, 64  # pairs of the COMMON commonest words are dealt out by their third word
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BREAK = np.zeros(256, bool)  # ends a piece
 BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 OUTSIDE = BREAK.copy()
@@ -35,7 +35,7 @@ class _Words:
         self.w = w = W.Words(data, at, low, high, OUTSIDE)
         self.key = W.mix(w.hashes(fold=True) ^ lang[low:high].view(np.uint64)[w.row])
         a, b = int(at[low]), int(at[high])
-        breaks = np.append(0, np.cumsum(BREAK[data[a:b]]))
+        breaks = np.append(0, np.cumsum(BREAK[data[a:b]], dtype=np.int32))
         self.begins = np.ones(len(w.start), bool)
         self.begins[1:] = (w.row[1:] != w.row[:-1]) | (breaks[w.start[1:] - a] != breaks[w.end[:-1] - a])
 
