@@ -79,6 +79,27 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_PAGE = 256
+
+
+def running(array: Column, at: Column, kind: str, step) -> Column:
+    """array<``kind``> of what ``step(at, item)`` gives, in order; ``step`` returns (next at, value or null).
+
+    Values gather in pages, and full pages are moved aside, so an append copies one page at most: time grows
+    with the number of items, not with its square.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    start = struct_of(at=at, page=none, full=F.expr(f"cast(array() as array<array<{kind}>>)"))
+
+    def move(acc, item):
+        ahead, value = step(acc["at"], item)
+        full = F.size(acc["page"]) >= _PAGE
+        grown = F.concat(F.when(full, none).otherwise(acc["page"]), F.when(value.isNotNull(), F.array(value.cast(kind))).otherwise(none))
+        return struct_of(at=ahead, page=grown, full=F.when(full, F.concat(acc["full"], F.array(acc["page"]))).otherwise(acc["full"]))
+
+    return F.aggregate(array, start, move, lambda a: F.flatten(F.concat(a["full"], F.array(a["page"]))))
+
+
 def struct_of(**fields) -> Column:
     return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(n) for n, c in fields.items()])
 

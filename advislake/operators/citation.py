@@ -1,7 +1,7 @@
 """Citation checks: does quoted evidence occur in the text it cites?"""
 from pyspark.sql import Column, DataFrame, functions as F
 
-from advislake.functions.exprs import let, struct_of, truthy
+from advislake.functions.exprs import attach, let, struct_of, truthy
 
 LONG_RUN = 6       # consecutive tokens that must match
 SHORT_RUN = 3      # for parts too short for a long run
@@ -83,30 +83,54 @@ def verify_pairs(df: DataFrame, span: str, text: str) -> DataFrame:
     return lined.withColumn("citation", verify(F.col(span), F.col("_line"))).drop("_line")
 
 
-MOST_RUNS = 200_000  # asked runs that are broadcast, some tens of bytes each
+MOST_RUNS = 200_000  # asked runs that are broadcast, 16 bytes of hashes each
+_SALT = "again"
+
+
+def run_rows(df: DataFrame, keep, words: str, lengths) -> DataFrame:
+    """(keep, n, h1, h2): a row for each run of ``n`` tokens, with two hashes that together stand for its text.
+
+    ``words`` holds the hashes of the tokens. A row gets the tokens that follow it from shifted copies of
+    the array, so runs are hashed in compiled code, cost the same however long their words are, and no
+    text of a run is made.
+    """
+    most = max(lengths)
+    w = F.col(words)
+    shifted = F.arrays_zip(*[F.slice(w, F.lit(k + 1), F.size(w)).alias(f"w{k}") for k in range(most)])
+    at = df.select(*keep, F.inline(shifted).alias(*[f"w{k}" for k in range(most)]))
+
+    def hashed(n):
+        held = [F.col(f"w{k}") for k in range(n)]
+        return F.struct(F.lit(n).alias("n"), F.when(held[-1].isNotNull(), F.xxhash64(*held)).alias("h1"),
+                        F.xxhash64(F.lit(_SALT), *held).alias("h2"))
+
+    return at.select(*keep, F.inline(F.array(*[hashed(n) for n in lengths]))).where("h1 is not null")
+
+
+def token_hashes(text: Column) -> Column:
+    return F.transform(tokens(text), lambda t: F.xxhash64(t))
 
 
 def verify_in_corpus(citations: DataFrame, documents: DataFrame, key: str, span: str, text: str) -> DataFrame:
     """How many parts of each citation occur in any document: (key, components, matched).
 
-    Runs of both sides meet on their text in an equi-join. The corpus runs are first
-    reduced to those any citation asks for, so the shuffle carries only hits, and no
-    citation-document pairs are formed. Up to MOST_RUNS asked runs are broadcast, so that
-    common runs of the corpus are not shuffled to one task; more of them are joined by shuffle.
+    Runs of both sides meet on two hashes of their tokens. Corpus runs are hashed as they are met and
+    reduced at once to those any citation asks for, so what is shuffled are hits, 16 bytes each, and no
+    citation-document pairs are formed. Up to MOST_RUNS asked runs are broadcast, so that common runs of the
+    corpus are not shuffled to one task; more of them are joined by shuffle.
     """
     parts = citations.select(key, F.posexplode(components(F.col(span))).alias("part", "body"))
-    need = parts.select(key, "part", tokens(F.col("body")).alias("t"))
-    need = need.select(key, "part", run_length(F.size("t")).alias("run"), "t")
-    asked = need.select(key, "part", "run", F.explode_outer(F.array_distinct(runs(F.col("t"), F.col("run")))).alias("gram"))
-    lengths = asked.select("gram").where("gram is not null").distinct()
-    lengths = lengths if lengths.limit(MOST_RUNS + 1).count() > MOST_RUNS else F.broadcast(lengths)
-    doc_tokens = documents.select(tokens(F.col(text)).alias("t"))
-    grams = F.concat(runs(F.col("t"), F.lit(LONG_RUN)), runs(F.col("t"), F.lit(SHORT_RUN)))
-    seen = (doc_tokens.select(F.explode(F.array_distinct(grams)).alias("gram"))
-            .join(lengths, "gram", "left_semi").distinct().withColumn("hit", F.lit(True)))
-    met = asked.join(seen, "gram", "left").groupBy(key, "part").agg(
-        F.bool_or(truthy(F.col("hit"))).alias("found"))
-    return met.groupBy(key).agg(F.count("*").alias("components"), F.count_if("found").alias("matched"))
+    need = parts.select(key, "part", token_hashes(F.col("body")).alias("w"))
+    sized = need.select(key, "part", "w", run_length(F.size("w")).alias("_run"))
+    asked = run_rows(sized, [key, "part", "_run"], "w", (SHORT_RUN, LONG_RUN)).where("n = _run").drop("_run", "n").distinct()
+    wanted = asked.select("h1", "h2").distinct()
+    wanted = wanted if wanted.limit(MOST_RUNS + 1).count() > MOST_RUNS else F.broadcast(wanted)
+    words = attach(documents.select(F.col(text).alias("_text")), struct_of(w=token_hashes(F.col("_text")))).select("w")
+    seen = run_rows(words, [], "w", (SHORT_RUN, LONG_RUN)).drop("n").join(wanted, ["h1", "h2"], "left_semi").distinct()
+    met = asked.join(seen.withColumn("hit", F.lit(True)), ["h1", "h2"], "left").groupBy(key, "part").agg(F.max("hit").alias("hit"))
+    # parts too short for a run have none; they count, unmatched
+    found = need.select(key, "part").join(met, [key, "part"], "left")
+    return found.groupBy(key).agg(F.count("*").alias("components"), F.count_if(truthy(F.col("hit"))).alias("matched"))
 
 
 def scorer_failures(df: DataFrame, view: str = "view") -> DataFrame:

@@ -6,7 +6,7 @@ inside the row, so a scan needs no shuffle and no Python worker.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from advislake.functions import vocab
-from advislake.functions.exprs import has, let, reusable, struct_of, truthy, within, words
+from advislake.functions.exprs import any_of, has, let, reusable, running, struct_of, truthy, within, words
 from advislake.functions.scalar import is_public_identifier, looks_like_version, strip_markup
 from advislake.operators.parse import string_leaves
 from advislake.operators.search import domain_allowed
@@ -43,26 +43,39 @@ FINDING = "array<struct<start:int,category:string,end:int,span:string,detail:str
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
+_PLACED = "struct<span:string,start:int,end:int>"
+
+# fixed values: what a text must hold before a pattern can match; cheap to look for
+GUARDS = {
+    URL: ["://"], URL_HOST: ["://"], EMAIL: ["@"], SID: ["S-1-"], UNC: ["\\\\"], WINDOWS_PATH: [":\\"], POSIX_PATH: ["/"],
+    HOST_LABEL: [":", "="], IPV6: [":"], GUID: ["-"]}
+SHAPES = {
+    IPV4: r"\d\.\d{1,3}\.", MAC: r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.",
+    GUID: r"[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-", FQDN: r"[A-Za-z0-9]\.[A-Za-z]", IPV6: "[0-9A-Fa-f:]:[0-9A-Fa-f:]"}
+
+
+def _possible(text: Column, pattern: str) -> Column:
+    """Whether a text can hold a match at all; most can't, and then the pattern isn't run."""
+    out = any_of([F.contains(text, F.lit(part)) for part in GUARDS[pattern]]) if pattern in GUARDS else F.lit(True)
+    return out & F.rlike(text, F.lit(SHAPES[pattern])) if pattern in SHAPES else out
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<span, start, end>> of a pattern's second group, 0-based offsets."""
+    """array<struct<span, start, end>> of a pattern's second group, 0-based offsets; linear in the matches."""
     clean = F.translate(text, _OPEN + _CLOSE, "  ")
     marked = F.regexp_replace(clean, pattern, f"$1{_OPEN}$2{_CLOSE}$3")
 
     def locate(parts):
-        empty = F.array().cast("array<struct<span:string,start:int,end:int>>")
-        first = struct_of(at=F.length(F.get(parts, F.lit(0))), found=empty)
-
-        def step(acc, part):
+        def step(at, part):
             span = F.substring_index(part, _CLOSE, 1)
-            here = struct_of(span=span, start=acc["at"], end=acc["at"] + F.length(span))
-            return struct_of(at=acc["at"] + F.length(part) - 1, found=F.concat(acc["found"], F.array(here)))
+            return at + F.length(part) - 1, struct_of(span=span, start=at, end=at + F.length(span))
 
         rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-        return F.aggregate(rest, first, step)["found"]
+        return running(rest, F.length(F.get(parts, F.lit(0))), _PLACED, step)
 
-    # most texts hold no match at all, so the split is left out for them
-    return F.when(F.contains(marked, F.lit(_OPEN)), let(F.split(marked, _OPEN), locate)).otherwise(
-        F.array().cast("array<struct<span:string,start:int,end:int>>"))
+    none = F.expr(f"cast(array() as array<{_PLACED}>)")
+    found = let(marked, lambda m: F.when(F.contains(m, F.lit(_OPEN)), let(F.split(m, _OPEN), locate)).otherwise(none))
+    return F.when(_possible(text, pattern), found).otherwise(none)
 
 
 def _before(text: Column, m: Column, window: int = vocab.CONTEXT_WINDOW) -> Column:
@@ -186,16 +199,16 @@ def inventory(text: Column) -> Column:
                 F.lit("line lists "), F.size(assets).cast("string"), F.lit(" asset-shaped names: "),
                 F.array_join(assets, ", ")))
 
-    def step(acc, line):
-        n = F.length(line)
-        detail = listed(line)
-        here = struct_of(start=acc["at"], category="asset_inventory", end=acc["at"] + n,
-                         span=F.substr(F.trim(line), F.lit(1), F.lit(160)), detail=detail)
-        found = F.when(detail.isNotNull(), F.concat(acc["found"], F.array(here))).otherwise(acc["found"])
-        return struct_of(at=acc["at"] + n, found=found)
+    def step(at, line):
+        end, detail = at + F.length(line), listed(line)
+        here = struct_of(start=at, category="asset_inventory", end=end, span=F.substr(F.trim(line), F.lit(1), F.lit(160)), detail=detail)
+        return end, F.when(detail.isNotNull(), here)
 
-    start = struct_of(at=F.lit(0), found=F.array().cast(FINDING))
-    return F.aggregate(F.split(text, LINE_ENDS), start, step)["found"]
+    lowered = F.lower(text)
+    two = F.size(F.filter(words(sorted(vocab.INVENTORY_TERMS)), lambda t: F.contains(lowered, t))) >= 2
+    # a line can't hold what the whole text doesn't
+    possible = F.rlike(text, F.lit(r"[A-Z]{2}[A-Z0-9]*-[A-Z0-9]")) | two
+    return F.when(possible, running(F.split(text, LINE_ENDS), F.lit(0), FINDING[len("array<"):-1], step)).otherwise(F.array().cast(FINDING))
 
 
 @reusable
