@@ -1,4 +1,6 @@
 """Deterministic checks of judgement tags against the supplied record; findings only."""
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from advislake.functions import vocab
@@ -26,14 +28,37 @@ def source_text() -> Column:
                                          F.to_json("vendor_guidance.remediations"))), " "))
 
 
-def _named_term(text: Column, terms) -> Column:
-    """First listed term that occurs at a left word boundary."""
-    out = F.lit(None).cast("string")
-    for term in reversed(terms):
-        pattern = r"\b" + term.replace(".", r"\.")
-        # a plain substring test rejects most terms before the pattern runs
-        out = F.when(text.contains(term) & F.rlike(text, F.lit(pattern)), term).otherwise(out)
-    return out
+def _branches(terms) -> str:
+    """An alternation of the terms with their common beginnings written once, longer terms first."""
+    by_first: dict = {}
+    for term in terms:
+        by_first.setdefault(term[:1], []).append(term[1:])
+    ends = by_first.pop("", None) is not None
+    parts = [re.escape(first) + _branches(rest) for first, rest in sorted(by_first.items())]
+    inner = "|".join(parts)
+    if ends:
+        return f"(?:{inner})?" if parts else ""
+    return inner if len(parts) == 1 else f"(?:{inner})"
+
+
+def terms_at_words(terms: dict) -> Column:
+    """For a dict of tags and their ordered terms, the first term of each tag that the lower-cased column
+    ``_text`` holds at a left word boundary: array<struct<tag, term>> in the order of the tags.
+
+    One pattern reads the text once: at every word boundary it looks ahead for the longest listed term,
+    which also tells the shorter terms that begin it. What is found is mapped to tags and ranks.
+    """
+    listed = [(rank, tag, at, term) for rank, (tag, ts) in enumerate(terms.items()) for at, term in enumerate(ts)]
+    every = sorted({term for *_, term in listed})
+    found = F.array_distinct(F.regexp_extract_all("_text", F.lit(rf"\b(?=({_branches(every)}))"), 1))
+    begun = {hit: [entry for entry in listed if hit.startswith(entry[3])] for hit in every}
+    kind = "array<struct<rank:int,at:int,tag:string,term:string>>"
+    entries = F.create_map(*[x for hit in every for x in (F.lit(hit), F.array(*[
+        struct_of(rank=rank, at=at, tag=tag, term=term) for rank, tag, at, term in begun[hit]]).cast(kind))])
+    told = F.array_sort(F.flatten(F.transform(found, lambda hit: F.try_element_at(entries, hit))))
+    first = let(told, lambda ts: F.filter(ts, lambda t, i: (i == 0) | (F.get(ts, i - 1)["rank"] != t["rank"])))
+    none = F.array().cast("array<struct<tag:string,term:string>>")
+    return F.when(F.size(found) > 0, F.transform(first, lambda t: struct_of(tag=t["tag"], term=t["term"]))).otherwise(none)
 
 
 def _words_of(text: Column) -> Column:
@@ -54,13 +79,12 @@ def _stages(wanted: tuple) -> list:
     text, a = F.col("_text"), F.col("asserted")
     tags = F.col("asserted.tag")
     has_tags = a.isNotNull()
-    terms = vocab.WORKLOAD_TERMS
-    named = F.array(*[struct_of(tag=tag, term=_named_term(text, ts)) for tag, ts in terms.items()])
+    named = terms_at_words(vocab.WORKLOAD_TERMS)
     judged = F.filter(a, lambda x: within(x["tag"], vocab.JUDGEMENT_TAGS))
     cited = F.filter(F.col("_judged"), lambda x: filled(x["evidence"]))
-    recall = F.transform(F.filter("_named", lambda n: n["term"].isNotNull() & ~has(F.col("_tags"), n["tag"])),
+    recall = F.transform(F.filter("_named", lambda n: ~has(F.col("_tags"), n["tag"])),
                          lambda n: _finding("workload_recall", "workload-recall-miss", n["tag"], n["term"]))
-    corroborated = F.transform(F.filter("_named", lambda n: n["term"].isNotNull()), lambda n: n["tag"])
+    corroborated = F.transform("_named", lambda n: n["tag"])
     precision = F.transform(
         F.filter(a, lambda x: within(x["tag"], vocab.NAMESPACES["workload"])
                  & ~has(F.col("_corroborated"), x["tag"])),
