@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from advislake.llm import words as W
+from advislake.llm.components import written
 from advislake.llm.registry import register
 
 BUCKETS = 1 << 18
 SAMPLE_DOCS = 400  # labelled documents of each language that the model is fitted on
 SAMPLE_CHARS = 20_000  # of a longer labelled document a stretch of this size is drawn
+SAMPLE_TOTAL = 64_000_000  # characters of the whole sample
+MOST_LABELS = 256  # languages a field tells apart; each has a weight for every bucket
 FEATURE_WORDS = 8_192
 DRAW_PARTS = 64  # parts of a label that are ranked apart
 CHAIN = 32  # words of a training sequence
@@ -244,30 +247,54 @@ def _stretch(text: Column, id_: Column, size: int, seed: int) -> Column:
     return F.when(F.length(text) <= size, text).otherwise(F.when(F.trim(words) == "", cut).otherwise(words))
 
 
+def _trained(epochs: int, seed: int):
+    """Fits one field on all rows (label, draw, sample) of its partition and gives its arrays as one row."""
+    def run(batches):
+        rows = sorted(row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("label", "draw", "sample")), strict=True))
+        labels = sorted({r[0] for r in rows})
+        field = Field(labels)
+        if rows:
+            number = {x: k for k, x in enumerate(labels)}
+            field.fit([r[2] for r in rows], np.array([number[r[0]] for r in rows]), epochs, seed)
+        arrays = [pa.array([x.tobytes()], pa.binary()) for x in (field.weights, field.moves, field.begin)]
+        yield pa.RecordBatch.from_arrays([pa.array([labels], pa.list_(pa.string())), *arrays], names=["labels", "weights", "moves", "begin"])
+
+    return run
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", epochs: int = 2, seed: int = 5,
         sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Field:
     """A field fitted on at most ``sample_docs`` texts of each label; of one of more than ``sample_chars``
     characters, on the words of a random stretch of that size.
 
-    The texts with the lowest hash of doc_id are drawn; first ids alone are ranked, then their texts are
-    fetched. Rows with null text or label are no examples. Without examples the field has no labels.
+    The texts with the lowest hash of doc_id and text are drawn, so rows without ids and different texts of
+    one id are drawn like any other and equal rows count once; hashes alone are ranked, then their texts are
+    fetched. With many labels the sample shrinks so that it holds SAMPLE_TOTAL characters at most, one text
+    a label at least; more than MOST_LABELS labels are refused, as the weights grow with them. The sample
+    goes to one task, which fits the field; the driver gets the weights. Rows with null text or label are
+    no examples. Without examples the field has no labels.
     """
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()) \
-        .select(F.col("doc_id").alias("id"), F.col(lang).alias("label"), F.col(text).alias("sample"))
+        .select(F.col("doc_id").alias("id"), F.col(lang).alias("label"), F.col(text).alias("sample")) \
+        .withColumn("draw", F.xxhash64(F.lit(seed), "id", "sample"))
     # a label may hold most rows: parts of a label are ranked first, then what is left of all parts
-    ids = labelled.select("id", "label").withColumn("draw", F.xxhash64(F.lit(seed), "id"))
+    ids = labelled.select("label", "draw").distinct()
     for by in (["label", F.pmod("draw", F.lit(DRAW_PARTS))], ["label"]):
-        rank = F.row_number().over(Win.partitionBy(*by).orderBy("draw", "id"))
-        ids = ids.withColumn("rank", rank).where(F.col("rank") <= sample_docs).drop("rank")
-    chosen = ids.select("id", "label").distinct()
-    rows = labelled.join(F.broadcast(chosen), ["id", "label"]).select("id", "label", _stretch(F.col("sample"), F.col("id"), sample_chars, seed)
-                                                                      .alias("sample")).collect()  # sample_docs ids a label
-    rows = sorted({(r["label"], r["id"], r["sample"]) for r in rows})
-    labels = sorted({r[0] for r in rows})
-    field = Field(labels)
-    if rows:
-        number = {x: k for k, x in enumerate(labels)}
-        field.fit([r[2] for r in rows], np.array([number[r[0]] for r in rows]), epochs, seed)
+        rank = F.row_number().over(Win.partitionBy(*by).orderBy("draw"))
+        ids = ids.drop("rank").withColumn("rank", rank).where(F.col("rank") <= sample_docs)
+    ids = written(ids, "language-draws")
+    labels = ids.select("label").distinct().limit(MOST_LABELS + 1).count()
+    if labels > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    each = max(1, SAMPLE_TOTAL // (sample_chars * max(labels, 1)))
+    chosen = ids.where(F.col("rank") <= each).select("label", "draw")
+    sample = labelled.join(F.broadcast(chosen), ["label", "draw"]).select(
+        "label", "draw", _stretch(F.col("sample"), F.col("id"), sample_chars, seed).alias("sample")).dropDuplicates(["label", "draw"])
+    row = sample.repartition(1).mapInArrow(_trained(epochs, seed), "labels array<string>, weights binary, moves binary, begin binary").first()
+    field = Field(list(row["labels"]) if row else [])
+    for name in ("weights", "moves", "begin") if row else ():
+        held = getattr(field, name)
+        setattr(field, name, np.frombuffer(bytes(row[name]), np.float32).reshape(held.shape))
     return field
 
 

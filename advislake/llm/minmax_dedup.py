@@ -172,7 +172,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     signed = written(_signed(docs, "text", size), "minmax-signatures")
-    classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first_id"))
+    classes = signed.where("class is not null").groupBy("class").agg(
+        F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("one"))
     spread = signed.where("class is not null").select(F.explode("bands").alias("key"), "class")
     buckets = spread.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n"))
     members = written(spread.join(buckets.where("low < high").select("key", "n"), "key").distinct(), "minmax-buckets")
@@ -180,7 +181,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = 5, percent:
     hubs = members.join(weight, "class").groupBy("key").agg(F.max(F.struct("weight", "class"))["class"].alias("hub"))
     pairs = written(members.join(hubs, "key").where("class <> hub").select(
         F.col("class").alias("a"), F.col("hub").alias("b")).distinct(), "minmax-pairs")
-    named = members.select("class").distinct().join(classes, "class").select("class", F.col("first_id").alias("id"))
+    named = members.select("class").distinct().join(classes, "class").select("class", F.col("one.doc_id").alias("id"), F.col("one.text_key").alias("id_key"))
     texts = written(_texts_of(docs, named, size), "minmax-texts")
     links = written(_verified(pairs, texts, size, percent), "minmax-links")
     roots = connected(links)
@@ -223,11 +224,14 @@ def _open_links(pairs: DataFrame, roots: DataFrame, texts: DataFrame, size: int,
 
 
 def _texts_of(docs: DataFrame, named: DataFrame, size: int) -> DataFrame:
-    """(class, text) of each named class, from the document of its smallest doc_id.
+    """(class, text) of each named class, from one document of it.
 
-    Where a doc_id is repeated, its rows are told apart by the class that their text gives.
+    Rows are met by id and hash of the text together, so many texts of one id, or without ids, meet their
+    own class only; what the text gives is compared with the class all the same.
     """
-    found = docs.join(named.select(F.col("id"), F.col("class")), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    found = keyed.join(named.select("id", "id_key", "class"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("id_key"))) \
+        .select("class", "text")
 
     def run(batches):
         for batch in batches:

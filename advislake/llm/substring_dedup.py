@@ -66,7 +66,7 @@ def _stretches(h: np.ndarray, row: np.ndarray, window: int):
 def _seeds(docs: DataFrame, window: int) -> DataFrame:
     """seed, stretch, doc_id, tkey and pos (first window << 6 | windows) of each seed occurrence."""
     schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("stretch", T.LongType()),
-                           docs.schema["doc_id"], T.StructField("tkey", T.IntegerType()),
+                           docs.schema["doc_id"], T.StructField("tkey", T.LongType()),
                            T.StructField("pos", T.LongType())])
 
     def run(batches):
@@ -168,10 +168,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 50, with_t
         raise ValueError(f"window must be {SEED}..{MOST_WINDOWS + SEED - 1} words")
     added = {"n_words", "n_removed", "kept_sha256", "removed_spans", "clean_text"}
     docs = docs.select(*[c for c in docs.columns if c not in added])
-    keyed = docs.select("doc_id", F.col(text).alias("text"), F.hash(text).alias("tkey"))
+    keyed = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("tkey"))
     marks = repeated_marks(keyed, window)
     whole = docs.select(F.struct(*docs.columns).alias("row") if with_text else F.struct("doc_id").alias("row"),
-                        F.col("doc_id").alias("key_id"), F.col(text).alias("key_text"), F.hash(text).alias("key_hash"))
+                        F.col("doc_id").alias("key_id"), F.col(text).alias("key_text"), F.xxhash64(text).alias("key_hash"))
     joined = whole.join(marks, F.col("key_id").eqNullSafe(F.col("d")) & (F.col("key_hash") == F.col("t")), "left") \
         .select("row", "key_text", "marks")
     schema = T.StructType([joined.schema["row"], T.StructField("n_words", T.LongType()),
