@@ -22,8 +22,22 @@ def _one_of_each(rows: DataFrame, *key: str) -> DataFrame:
     return once.unionByName(rows.where("repeated").dropDuplicates(list(key))).drop("repeated")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct beside its id and the hash of its text, so no column of its own meets one of a stage."""
+    return docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].alias("row_id"), F.xxhash64(docs["text"]).alias("row_key"))
+
+
+def _rewritten(docs: DataFrame, held, text, changed) -> list:
+    """The columns of ``docs``, as ``held`` finds them, with another text, and its length where it has changed."""
+    chars = lambda c: F.when(changed, F.length(text)).otherwise(held(c)).cast(docs.schema[c].dataType)
+    return [(text if c == "text" else chars(c) if c == "n_chars" else held(c)).alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which one learned language has at least half of the letters."""
+    """Keeps documents in which one learned language has at least half of the letters.
+
+    Ids play no part but in the draw of examples; rows without text go. An empty table stays empty.
+    """
     findable(spark)
     field = language_crf.fit(docs)
     labelled = language_crf.label(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns}), field, "own_text")
@@ -32,7 +46,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates; texts without words are linked with nothing."""
+    """Keeps one document of each group of near duplicates; texts without words are linked with nothing.
+
+    Rows are told apart by doc_id and text together, so null and repeated ids are fine.
+    """
     findable(spark)
     near = minmax_dedup.near_duplicates(docs)
     alike = near.groupBy("doc_id", "text_key", "root").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
@@ -41,48 +58,44 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay = alike.where("root is not null").groupBy("root").agg(first.alias("s")).select("s.*").unionByName(
         alike.where("root is null").select("doc_id", "text_key", "repeated"))
     stay = stay.select(F.col("doc_id").alias("stay_id"), F.col("text_key").alias("stay_key"), "repeated")
-    kept = docs.withColumn("text_key", F.xxhash64("text")).join(
-        stay, F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_key") == F.col("stay_key")))
-    return _one_of_each(kept.select(*docs.columns, "text_key", "repeated"), "doc_id", "text_key").select(*docs.columns)
+    kept = _packed(docs).join(stay, F.col("row_id").eqNullSafe(F.col("stay_id")) & (F.col("row_key") == F.col("stay_key")))
+    return _one_of_each(kept.select("row", "row_id", "row_key", "repeated"), "row_id", "row_key").select("row.*")
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of REPEAT_WORDS words and more that occur elsewhere; documents left without words go."""
     findable(spark)
-    clean = substring_dedup.remove_repeats(docs, window=REPEAT_WORDS)
-    return clean.where("n_removed = 0 or n_removed < n_words").select(*[
-        F.col("clean_text").alias("text") if c == "text" else
-        F.when(F.col("n_removed") > 0, F.length("clean_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")
-        if c == "n_chars" else F.col(c) for c in docs.columns])
+    own = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "doc_id"})
+    clean = substring_dedup.remove_repeats(own, "own_text", REPEAT_WORDS).where("n_removed = 0 or n_removed < n_words")
+    held = lambda c: F.col(c if c == "doc_id" else f"own_{c}")
+    return clean.select(*_rewritten(docs, held, F.col("clean_text"), F.col("n_removed") > 0))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats, keeps or drops documents so that each source gives its target of words.
 
-    The document at a source's cut gives its first words only, so that the budget is met.
+    The document at a source's cut gives its first words only, so that the budget is met. Rows are told
+    apart by doc_id, source and text, so null and repeated ids are fine; rows without words go.
     """
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    keyed = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_key"))
     mixed = source_mix.mix(keyed, source_mix.word_count(F.col("text")), also=("text_key",))
     mixed = mixed.groupBy("doc_id", "source", "text_key").agg(
         F.sum("taken").alias("total"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")).where("total > 0")
     mixed = mixed.select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("text_key").alias("m_key"),
                          "total", "size", (F.col("n") > 1).alias("repeated"))
-    rows = keyed.join(mixed, F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source"))
-                      & (F.col("text_key") == F.col("m_key"))).drop("m_id", "m_source", "m_key")
-    rows = _one_of_each(rows, "doc_id", "source", "text_key")
+    rows = _packed(docs).withColumn("row_source", F.col("row.source"))
+    rows = rows.join(mixed, F.col("row_id").eqNullSafe(F.col("m_id")) & F.col("row_source").eqNullSafe(F.col("m_source"))
+                     & (F.col("row_key") == F.col("m_key"))).drop("m_id", "m_source", "m_key")
+    rows = _one_of_each(rows, "row_id", "row_source", "row_key")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("total") / F.col("size")))))
     left = F.col("total") - (F.col("copy") - 1) * F.col("size")
-    cut = left < F.col("size")
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(source_mix.WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
-    rows = rows.withColumn("cut_text", F.when(cut, words))
-    return rows.select(*[
-        F.coalesce("cut_text", "text").alias("text") if c == "text" else
-        F.coalesce(F.length("cut_text"), F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars"
-        else F.col(c) for c in docs.columns])
+    words = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(source_mix.WORD), F.lit(0)), F.lit(1), left.cast("int")), " ")
+    cut = rows.withColumn("cut_text", F.when(left < F.col("size"), words))
+    return cut.select(*_rewritten(docs, lambda c: F.col("row")[c], F.coalesce("cut_text", "row.text"), F.col("cut_text").isNotNull()))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of each text's pieces, their number, and whether they decode to the text."""
+    """Adds the ids of each text's pieces, their number, and whether they decode to the text; row by row."""
     findable(spark)
     coded = sentence_pieces.encode(docs, sentence_pieces.default_model(), check=True)
     return coded.withColumn("n_pieces", F.size("ids").cast("long"))
