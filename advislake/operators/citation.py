@@ -6,6 +6,7 @@ from advislake.functions.exprs import attach, let, struct_of, truthy
 LONG_RUN = 6       # consecutive tokens that must match
 SHORT_RUN = 3      # for parts too short for a long run
 MIN_PART = 3       # shorter fragments are ignored
+# fixed values: what parts the quotes of a composite citation, and labels before a quote
 SEPARATORS = r'"\s*[;+,]\s*"|\s*\.\.\.\s*|\s*\|\s*|\n+|;\s(?=[A-Z])|\s\+\s'
 LABELS = r"(?i)^\s*(?:title|description|faq|notes?|vendor guidance|cvss|attack)\s*[:\-]\s*"
 

@@ -78,6 +78,7 @@ def update_counts() -> Column:
 
 
 # --- review status -----------------------------------------------------------------------
+# fixed values: doubts that contradict the guidance, and those that only weigh it
 CONFLICT = r"(?i)\b(?:conflicts?|conflicting|contradict\w*|inconsisten\w*|discrepanc\w*|tension)\b"
 INTERPRETATION_ONLY = (
     r"(?i)simplistic|simple .{0,25}interpretation|EPSS signal conflicts|Critical severity.*CVSS"

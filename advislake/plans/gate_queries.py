@@ -298,7 +298,7 @@ def corrections(spark, sf):
     field = struct_of(baseline_action=F.lit("Immediate"), factors=F.create_map(F.lit("uncertainty"), F.lit("None")),
                       risk_communication=struct_of(summary=F.lit("Corrected summary")))
     control = struct_of(relevance="not-relevant", evidence="amended", effect=struct_of(likelihood_steps=F.lit(0)))
-    return B.advisories(spark, sf).where("k % 25 = 1 and k % 8 <> 0").select(
+    return B.advisories(spark, sf).where("k % 25 = 1").select(
         "cve", F.lit("typo").alias("reason"), field.alias("fields"),
         F.create_map(F.lit("waf_virtual_patch"), control).alias("controls"))
 
@@ -306,13 +306,15 @@ def corrections(spark, sf):
 _FIXED = "(CASE WHEN r.k % 25 = 1 THEN {} ELSE {} END)"
 
 
-@register("j17_apply_corrections", f"""SELECT r.cve, CASE WHEN r.k % 25 = 1 THEN 'Immediate' ELSE {pick(vocab.ACTIONS, 'saved_a')} END AS action, r.k % 25 = 1 AS corrected,
-  CASE WHEN r.k % 25 = 1 THEN 'Corrected summary' WHEN r.k % 4 <> 1 THEN 'Assessed ' || r.cve END AS summary,
-  CASE WHEN r.k % 25 = 1 THEN 'None' ELSE {pick(B.UNCERTAINTIES, 'k % 5')} END AS uncertainty, CASE WHEN r.k % 37 = 0 THEN '' ELSE 'stated' END AS impact,
-  model_version, (SELECT string_agg(CASE WHEN r.k % 25 = 1 AND id = 'waf_virtual_patch' THEN 'not-relevant:amended:0:' || cs ELSE relevance || ':' || evidence || ':' || ls || ':' || cs END, '|' ORDER BY pos) FROM cand c WHERE c.k = r.k) AS controls
-  FROM rec r WHERE has_fw""", ["rec", "cand"])
+@register("j17_apply_corrections", f"""SELECT r.cve, CASE WHEN r.k % 25 = 1 THEN 'Immediate' WHEN has_fw THEN {pick(vocab.ACTIONS, 'saved_a')} END AS action, r.k % 25 = 1 AS corrected,
+  CASE WHEN r.k % 25 = 1 THEN 'Corrected summary' WHEN has_fw AND r.k % 4 <> 1 THEN 'Assessed ' || r.cve END AS summary,
+  CASE WHEN r.k % 25 = 1 THEN 'None' WHEN has_fw THEN {pick(B.UNCERTAINTIES, 'k % 5')} END AS uncertainty,
+  CASE WHEN has_fw THEN CASE WHEN r.k % 37 = 0 THEN '' ELSE 'stated' END END AS impact, CASE WHEN has_fw THEN model_version END AS model_version,
+  (SELECT string_agg(CASE WHEN r.k % 25 = 1 AND id = 'waf_virtual_patch' THEN 'not-relevant:amended:0:' || cs ELSE relevance || ':' || evidence || ':' || ls || ':' || cs END, '|' ORDER BY pos) FROM cand c WHERE c.k = r.k) AS controls
+  FROM rec r""", ["rec", "cand"])
 def apply_corrections(spark, sf):
-    out = joins.apply_corrections(B.records(spark, sf).where("k % 8 <> 0"), corrections(spark, sf), "0" * 64, "qa")
+    """All records, also those without an assessment: a correction of such a one states what it names and nothing else."""
+    out = joins.apply_corrections(B.records(spark, sf), corrections(spark, sf), "0" * 64, "qa")
     at = lambda path, name: F.col(f"inference.framework_assessment.{path}").alias(name)
     steps = lambda c, f: c["effect"][f].cast("string")
     return out.select("cve", at("baseline_action", "action"), F.col("inference.verification").isNotNull().alias("corrected"),

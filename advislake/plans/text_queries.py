@@ -173,6 +173,16 @@ def code_histogram(spark, sf):
     return tagcheck.code_histogram(tagcheck.with_checks(checkable(spark, sf)))
 
 
+@register("t12_partial_citations", f"""SELECT count(*) AS citations, count(*) FILTER (t.k % 6 = 1 AND n < {citation.MIN_PART}) AS unverified,
+  count(*) FILTER (t.k % 6 = 1 AND n >= {citation.MIN_PART}) AS partially, count(*) FILTER (t.k % 6 <> 1) AS fully
+  FROM advtag t JOIN (SELECT k, len(regexp_extract_all(lower(title), '[a-z0-9]+')) AS n FROM rec) r ON r.k = t.k WHERE tag IN {_JT}""", ["advtag", "rec"])
+def partial_citations(spark, sf):
+    """Citations of which one record in six quotes the title beside words that occur nowhere."""
+    said = F.when(F.col("k") % 6 == 1, F.concat("title", F.lit(" | totally unrelated prose quoted"))).otherwise(F.col("title"))
+    rows = B.records(spark, sf).withColumns({"asserted": F.transform("tags", lambda t: struct_of(tag=t, evidence=said)), "shape": F.lit("structured")})
+    return tagcheck.citation_counts(tagcheck.with_checks(rows, ("citation_verification",)))
+
+
 @register("a7_reason_histogram", f"""SELECT "check", state, CASE WHEN k % 19 = 0 THEN {"'" + tagcheck.NO_TAG_SET + "'"} WHEN state = 'not-applicable' THEN '{tagcheck.NO_DELIVERY_TAG}'
    WHEN k % 8 = 0 THEN '{tagcheck.NO_EVIDENCE_FIELD}' ELSE '{tagcheck.NO_CITATION}' END AS reason, count(*) AS records FROM checkstate WHERE state <> 'checked' GROUP BY 1, 2, 3""", ["checkstate"])
 def reason_histogram(spark, sf):
@@ -361,14 +371,24 @@ def packet_strings(spark, sf):
     return privacy.packet_strings(B.records(spark, sf)).groupBy("cve").agg(F.count("*").alias("fields"))
 
 
-@register("c7_version_and_identifier", """SELECT doc_id, doc_id % 3 = 0 AS versioned, doc_id % 2 = 0 AS public FROM documents""")
+_QUADS = _spans('[^0-9.]', r'[0-9]{1,3}(?:[.][0-9]{1,3}){3}', '[^0-9.]')
+
+
+@register("c7_version_and_identifier", f"""{_DOUBLED} SELECT doc_id, 'version' AS kind, span AS token,
+    regexp_matches(substr(text, greatest(strpos(text, span) - {vocab.CONTEXT_WINDOW}, 1), least(strpos(text, span) - 1, {vocab.CONTEXT_WINDOW})), '{_VERSION[0]}')
+    OR regexp_matches(substr(text, strpos(text, span) + length(span), {vocab.CONTEXT_WINDOW}), '{_VERSION[1]}') AS verdict FROM ({_QUADS})
+  UNION ALL SELECT doc_id, 'identifier', token, upper(split_part(token, '-', 1)) IN {inlist(vocab.PUBLIC_IDENTIFIER_PREFIXES)}
+  FROM (SELECT doc_id, unnest(regexp_extract_all(t, '(?:^|[^A-Za-z0-9_-])([A-Z]{{2,}}[A-Z0-9]*(?:-[A-Z0-9]+)+)(?:$|[^A-Za-z0-9_-])', 1)) AS token FROM d)""", ["priv"])
 def version_context(spark, sf):
-    i = F.col("doc_id")
-    before = F.when(i % 3 == 0, "fixed in version ").otherwise("host at ")
-    token = F.when(i % 2 == 0, "CVE-2026-1").otherwise("SYD-DC-01")
-    return B.table(spark, sf, "documents").select(
-        "doc_id", scalar.looks_like_version(before, F.lit(" here")).alias("versioned"),
-        scalar.is_public_identifier(token).alias("public"))
+    """Every dotted quad of the texts with its surroundings, and every identifier-shaped token."""
+    docs = B.priv_text(spark, sf)
+    quads = docs.select("doc_id", "text", F.explode(privacy.matches(F.col("text"), privacy.IPV4)).alias("m"))
+    window = lambda at, n: F.substr("text", at + 1, n)
+    begin = F.greatest(F.col("m.start") - vocab.CONTEXT_WINDOW, F.lit(0))
+    versions = quads.select("doc_id", F.lit("version").alias("kind"), F.col("m.span").alias("token"), scalar.looks_like_version(
+        window(begin, F.col("m.start") - begin), window(F.col("m.end"), F.lit(vocab.CONTEXT_WINDOW))).alias("verdict"))
+    tokens = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(privacy.ASSET), 0)).alias("token"))
+    return versions.unionByName(tokens.select("doc_id", F.lit("identifier").alias("kind"), "token", scalar.is_public_identifier(F.col("token")).alias("verdict")))
 
 
 @register("a11_scan_report", """SELECT 'record' AS scope, 'hostname' AS category, count(*) AS findings FROM adv WHERE k % 7 = 3""", ["adv"])
