@@ -184,39 +184,44 @@ def tag_refresh(df: DataFrame) -> DataFrame:
 
 
 # --- product tree ----------------------------------------------------------------
+_NODE = "struct<node:variant,path:string,sub:int,product_id:string,name:string>"
+
+
 def product_names(trees: DataFrame) -> DataFrame:
     """Flatten (doc_id, tree VARIANT) to (doc_id, product_id, name); the last write wins.
 
-    Each level is one lateral explode of VARIANT children, as many as the deepest tree has.
+    One chain over one scan: at each level a node gives the names it writes beside itself, and what is still
+    to be opened gives its children, while written names pass through. There are as many levels as the
+    deepest tree has.
     """
     depth = document_depth(trees, "tree")
-    pick = lambda v, *names: F.coalesce(*[F.nullif(F.try_variant_get(
-        F.col(v), f"$.{n}", "string"), F.lit("")) for n in names])
-    level = trees.select("doc_id", F.col("tree").alias("node"), F.lit("").alias("path"))
-    found = None
+    level = trees.select("doc_id", F.inline(F.array(struct_of(
+        node=F.col("tree"), path="", sub=F.lit(None), product_id=F.lit(None), name=F.lit(None)).cast(_NODE))))
+    pick = lambda v, *names: F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{n}", "string"), F.lit("")) for n in names])
+    node = F.col("node")
+
+    def write(sub, at):
+        """What a node's own or full product name writes; in that order."""
+        id_, name = pick(at, "ProductID", "product_id"), pick(at, "Value", "value")
+        return F.when(id_.isNotNull() & name.isNotNull(), struct_of(
+            node=F.lit(None), path=F.col("path"), sub=F.lit(sub), product_id=id_, name=name).cast(_NODE))
+
+    full = F.coalesce(F.try_variant_get(node, "$.FullProductName", "variant"), F.try_variant_get(node, "$.full_product_name", "variant"))
+    self = struct_of(node=node, path=F.col("path"), sub=F.col("sub"), product_id=F.col("product_id"), name=F.col("name")).cast(_NODE)
+    is_object = F.startswith(F.schema_of_variant(node), F.lit("OBJECT"))
     for step in range(depth + 1):
-        here = level.where(F.startswith(F.schema_of_variant("node"), F.lit("OBJECT")))
-        # a node writes its own name first and its full product name second
-        own = here.select("doc_id", "path", F.lit(0).alias("sub"),
-                          pick("node", "ProductID", "product_id").alias("product_id"),
-                          pick("node", "Value", "value").alias("name"))
-        full = here.withColumn("full", F.coalesce(
-            F.try_variant_get("node", "$.FullProductName", "variant"),
-            F.try_variant_get("node", "$.full_product_name", "variant"))).select(
-            "doc_id", "path", F.lit(1).alias("sub"),
-            pick("full", "ProductID", "product_id").alias("product_id"),
-            pick("full", "Value", "value").alias("name"))
-        writes = own.unionByName(full).where("product_id is not null and name is not null")
-        found = writes if found is None else found.unionByName(writes)
+        told = F.when(is_object, F.array_compact(F.array(self, write(0, node), write(1, full)))).otherwise(F.array(self))
+        level = level.select("doc_id", F.inline(told))
         if step == depth:
             break
-        kids = level.lateralJoin(_tvf(level).variant_explode(F.col("node").outer()))
+        kids = level.lateralJoin(_tvf(level).variant_explode_outer(node.outer()))
+        child = F.when(F.rlike(F.schema_of_variant("value"), F.lit("^(OBJECT|ARRAY)")), F.col("value"))
         # zero-padded positions keep document order under plain string order
-        level = kids.select("doc_id", F.col("value").alias("node"), F.concat(
-            "path", F.lpad(F.col("pos").cast("string"), 9, "0")).alias("path")).where(
-            F.rlike(F.schema_of_variant("node"), F.lit("^(OBJECT|ARRAY)")))
+        path = F.when(F.col("pos").isNull(), F.col("path")).otherwise(F.concat("path", F.lpad(F.col("pos").cast("string"), 9, "0")))
+        level = kids.select("doc_id", child.alias("node"), path.alias("path"), "sub", "product_id", "name") \
+            .where("node is not null or name is not null")
     last = F.max_by("name", F.struct("path", "sub"))
-    return found.groupBy("doc_id", "product_id").agg(last.alias("name"))
+    return level.where("name is not null").groupBy("doc_id", "product_id").agg(last.alias("name"))
 
 
 def _tvf(df: DataFrame):
@@ -394,7 +399,7 @@ def _pruned_container(value: Column) -> Column:
         _members(value, CNA_EVIDENCE), lambda k, v: F.when(k == "providerMetadata", provider(v)).otherwise(v)))
 
 
-def program_facts(document: Column) -> Column:
+def program_evidence(document: Column) -> Column:
     """A program record (VARIANT) rebuilt from what bears on an assessment, as VARIANT.
 
     Kept: four members of ``cveMetadata``, the container of the assigner and every one of the enrichers, each

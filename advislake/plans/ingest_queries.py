@@ -467,11 +467,11 @@ def cna_evidence(spark, sf):
     return docs.select("cve", flat(F.array_sort(F.map_keys(parse.evidence_facts(F.col("cna"), "cna")))).alias("members"))
 
 
-@register("p20_program_facts", """SELECT cve, md5('{"containers":{' || CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN '"adp":{"title":"one"},' ELSE
+@register("p20_program_evidence", """SELECT cve, md5('{"containers":{' || CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN '"adp":{"title":"one"},' ELSE
    '"adp":[{"metrics":[{"score":' || k % 10 || '}],"providerMetadata":{"shortName":"ADP"},"title":"adp ' || k % 3 || '"},{}],' END
    || '"cna":{"affected":[{"contact":"inside","product":"p' || k % 5 || '"}],"providerMetadata":{"dateUpdated":"d1","shortName":"' || assigner || '"},"title":"' || title
    || '"}},"cveMetadata":{"cveId":"' || cve || '","datePublished":"2026-09-01"' || CASE WHEN k % 9 = 4 THEN '' ELSE ',"state":"PUBLISHED"' END || '}}') AS digest FROM adv""", ["adv"])
-def program_facts(spark, sf):
+def program_evidence(spark, sf):
     """Digests of rebuilt program records; a member that must go is planted at every level."""
     k, one = F.col("k"), F.array(F.lit("jane"))
     adp = F.array(
@@ -489,7 +489,7 @@ def program_facts(spark, sf):
             adp=F.when(k % 4 == 1, F.parse_json(F.lit('{"title": "one", "credits": ["x"]}'))).when(k % 4 > 1, F.parse_json(F.to_json(adp))),
             other=struct_of(title="not a container")))
     docs = B.advisories(spark, sf).select("cve", F.parse_json(F.to_json(doc)).alias("doc"))
-    return docs.select("cve", F.md5(F.to_json(parse.program_facts(F.col("doc")))).alias("digest"))
+    return docs.select("cve", F.md5(F.to_json(parse.program_evidence(F.col("doc")))).alias("digest"))
 
 
 @register("p21_string_leaves", """SELECT event_id, '/props~1raw' AS pointer, event_type AS text FROM events
