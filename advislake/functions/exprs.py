@@ -79,25 +79,19 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-_PAGE = 256
+def prefix_sums(numbers: Column) -> Column:
+    """Sums of a number array up to and with each element, in n log n steps.
 
-
-def running(array: Column, at: Column, kind: str, step) -> Column:
-    """array<``kind``> of what ``step(at, item)`` gives, in order; ``step`` returns (next at, value or null).
-
-    Values gather in pages, and full pages are moved aside, so an append copies one page at most: time grows
-    with the number of items, not with its square.
+    Every round adds the element 1, 2, 4, .. places before. An accumulator that grew by appending would be
+    copied whole for every element.
     """
-    none = F.expr(f"cast(array() as array<{kind}>)")
-    start = struct_of(at=at, page=none, full=F.expr(f"cast(array() as array<array<{kind}>>)"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)))).cast("int"))
 
-    def move(acc, item):
-        ahead, value = step(acc["at"], item)
-        full = F.size(acc["page"]) >= _PAGE
-        grown = F.concat(F.when(full, none).otherwise(acc["page"]), F.when(value.isNotNull(), F.array(value.cast(kind))).otherwise(none))
-        return struct_of(at=ahead, page=grown, full=F.when(full, F.concat(acc["full"], F.array(acc["page"]))).otherwise(acc["full"]))
+    def add(sums, k):
+        before = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(sums, lambda x, i: x + F.when(i >= before, F.get(sums, i - before)).otherwise(0))
 
-    return F.aggregate(array, start, move, lambda a: F.flatten(F.concat(a["full"], F.array(a["page"]))))
+    return F.aggregate(rounds, numbers, add)
 
 
 def struct_of(**fields) -> Column:

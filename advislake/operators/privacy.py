@@ -6,7 +6,7 @@ inside the row, so a scan needs no shuffle and no Python worker.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from advislake.functions import vocab
-from advislake.functions.exprs import any_of, has, let, reusable, running, struct_of, truthy, within, words
+from advislake.functions.exprs import any_of, has, let, prefix_sums, reusable, struct_of, truthy, within, words
 from advislake.functions.scalar import is_public_identifier, looks_like_version, strip_markup
 from advislake.operators.parse import string_leaves
 from advislake.operators.search import domain_allowed
@@ -66,12 +66,17 @@ def matches(text: Column, pattern: str) -> Column:
     marked = F.regexp_replace(clean, pattern, f"$1{_OPEN}$2{_CLOSE}$3")
 
     def locate(parts):
-        def step(at, part):
+        rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+        # a part holds one closing mark; its text begins where the parts before it end
+        ends = prefix_sums(F.transform(rest, lambda p: F.length(p) - 1))
+        base = F.length(F.get(parts, F.lit(0)))
+
+        def placed(part, end):
             span = F.substring_index(part, _CLOSE, 1)
-            return at + F.length(part) - 1, struct_of(span=span, start=at, end=at + F.length(span))
+            start = base + end - F.length(part) + 1
+            return struct_of(span=span, start=start, end=start + F.length(span))
 
-        rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-        return running(rest, F.length(F.get(parts, F.lit(0))), _PLACED, step)
+        return F.zip_with(rest, ends, placed).cast(f"array<{_PLACED}>")
 
     none = F.expr(f"cast(array() as array<{_PLACED}>)")
     found = let(marked, lambda m: F.when(F.contains(m, F.lit(_OPEN)), let(F.split(m, _OPEN), locate)).otherwise(none))
@@ -199,16 +204,17 @@ def inventory(text: Column) -> Column:
                 F.lit("line lists "), F.size(assets).cast("string"), F.lit(" asset-shaped names: "),
                 F.array_join(assets, ", ")))
 
-    def step(at, line):
-        end, detail = at + F.length(line), listed(line)
-        here = struct_of(start=at, category="asset_inventory", end=end, span=F.substr(F.trim(line), F.lit(1), F.lit(160)), detail=detail)
-        return end, F.when(detail.isNotNull(), here)
+    def found(lines):
+        ends = prefix_sums(F.transform(lines, lambda line: F.length(line)))
+        each = F.zip_with(lines, ends, lambda line, end: struct_of(
+            start=end - F.length(line), category="asset_inventory", end=end, span=F.substr(F.trim(line), F.lit(1), F.lit(160)), detail=listed(line)))
+        return F.filter(each, lambda f: f["detail"].isNotNull()).cast(FINDING)
 
     lowered = F.lower(text)
     two = F.size(F.filter(words(sorted(vocab.INVENTORY_TERMS)), lambda t: F.contains(lowered, t))) >= 2
     # a line can't hold what the whole text doesn't
     possible = F.rlike(text, F.lit(r"[A-Z]{2}[A-Z0-9]*-[A-Z0-9]")) | two
-    return F.when(possible, running(F.split(text, LINE_ENDS), F.lit(0), FINDING[len("array<"):-1], step)).otherwise(F.array().cast(FINDING))
+    return F.when(possible, let(F.split(text, LINE_ENDS), found)).otherwise(F.array().cast(FINDING))
 
 
 @reusable

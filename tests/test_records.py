@@ -181,7 +181,7 @@ def test_program_facts_prune_every_level(spark):
         '{"containers":{"adp":{"providerMetadata":"text"},"cna":[{"title":"l"}]},"cveMetadata":{}}',
         '{"containers":{},"cveMetadata":{}}', '{"containers":{},"cveMetadata":{}}', None]
     rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select(
-        "i", F.to_json(parse.program_facts(F.parse_json("t"))).alias("j")).orderBy("i").collect()
+        "i", F.to_json(parse.program_evidence(F.parse_json("t"))).alias("j")).orderBy("i").collect()
     assert [r["j"] for r in rows] == want
 
 
