@@ -47,11 +47,12 @@ def cvss_basis(spark, sf):
     ("factors", "has_fw AND (k % 37 = 0 OR k % 5 = 2)"), ("communication", "has_fw AND (k % 4 = 1 OR k % 6 = 5)")])
 def framework_vocabulary(spark, sf):
     k, path = F.col("k"), "inference.framework_assessment"
-    inference = F.col("inference")
+    # each leaf is written beside the others: rewriting the whole struct leaf by leaf would copy it for every leaf
+    framework = F.col(path)
     for leaf, odd in (("baseline_model", k % 71 == 3), ("baseline_likelihood", k % 73 == 4),
                       ("baseline_action", k % 79 == 5), ("confidence", k % 83 == 6)):
-        inference = inference.withField(f"framework_assessment.{leaf}", F.when(odd, "odd").otherwise(F.col(f"{path}.{leaf}")))
-    planted = F.when(F.col(path).isNotNull(), inference).otherwise(F.col("inference"))
+        framework = framework.withField(leaf, F.when(odd, "odd").otherwise(F.col(f"{path}.{leaf}")))
+    planted = F.when(F.col(path).isNotNull(), F.col("inference").withField("framework_assessment", framework)).otherwise(F.col("inference"))
     # behind a barrier, or every rule would copy the planting
     rows = attach(B.records(spark, sf), struct_of(planted=planted))
     return exploded(rows.drop("inference").withColumnRenamed("planted", "inference"), gates.framework_errors())
