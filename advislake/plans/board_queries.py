@@ -10,9 +10,9 @@ from advislake.plans.sql_views import SELECTION, pick, values
 flat = lambda c, sep="|": F.array_join(c, sep)
 
 
-def assessed(spark, sf):
+def assessed(spark, sf, columns=()):
     """Records with their profile under the bench selection and their review status."""
-    return review.with_review(risk.with_profile(B.records(spark, sf), SELECTION))
+    return review.with_review(risk.with_profile(B.records(spark, sf, *columns), SELECTION))
 
 
 # --- updates and review --------------------------------------------------------------
@@ -36,7 +36,7 @@ def update_status(spark, sf):
           ["adv", "lineprod", "linerem", "advtag", "ptag"])
 def update_summary(spark, sf):
     status = review.update_status(B.adv_product(spark, sf), B.adv_remediation(spark, sf))
-    out = review.update_summary(status, B.records(spark, sf).select("cve", "tags", "product_tags"),
+    out = review.update_summary(status, B.records(spark, sf, "cve", "tags", "product_tags"),
                                 ["dns", "office", "server-2022"])
     return out.withColumn("missing_names", F.array_join("missing_names", "|"))
 
@@ -75,7 +75,7 @@ _STATE = f"""{pick(vocab.ACTIONS, 'worst')} AS worst_action, coalesce(worst_coun
   w AS (SELECT f.month, count(*) AS worst_count, bool_or(f.band <> 'unknown') AS any_rated FROM fullrec f JOIN t ON t.month = f.month AND f.res_a = t.worst GROUP BY 1)
   SELECT t.month, total, review_count, n0, n1, n2, n3, {_STATE} FROM t LEFT JOIN w ON w.month = t.month""", ["fullrec"])
 def tile_summary(spark, sf):
-    return board.tile_summary(assessed(spark, sf), "month")
+    return board.tile_summary(assessed(spark, sf, B.ASSESSED), "month")
 
 
 _OPTIONS = [(g, t, label, shown) for g, _, opts in vocab.FILTER_GROUPS for t, label, shown in opts]
@@ -95,7 +95,7 @@ def overview_board(spark, sf):
 @register("a3_month_totals", """SELECT month, count(*) AS total, count(*) FILTER (res_a = 0) AS n0, count(*) FILTER (res_a = 1) AS n1,
   count(*) FILTER (res_a = 2) AS n2, count(*) FILTER (res_a = 3) AS n3, count(*) FILTER (required) AS review_count FROM fullrec GROUP BY 1""", ["fullrec"])
 def month_totals(spark, sf):
-    return board.month_totals(assessed(spark, sf))
+    return board.month_totals(assessed(spark, sf, B.ASSESSED))
 
 
 @register("a4_option_counts", f"""WITH o AS (SELECT * FROM (VALUES {values(_OPTIONS)}) AS t(grp, tag, label, shown))
@@ -139,8 +139,7 @@ def publication_order(spark, sf):
 def _sort_query(name, key, direction, order):
     @register(name, f"SELECT cve, row_number() OVER (ORDER BY {order}, k) AS place FROM prof", ["prof"])
     def run(spark, sf):
-        df = B.records(spark, sf)
-        df = df if key == "cve" else risk.with_profile(df, SELECTION)
+        df = B.records(spark, sf, "cve") if key == "cve" else risk.with_profile(B.records(spark, sf), SELECTION)
         return placed(ordering.advisory_sort(df, key, direction), ["cve"])
 
 

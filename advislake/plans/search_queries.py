@@ -56,7 +56,7 @@ def synthetic(spark, sf):
 
 @register("f6_facets", """SELECT cve FROM fullrec WHERE band IN ('high', 'critical') AND av IN ('network', 'adjacent') AND (kev OR det) AND required""", ["fullrec"])
 def facets(spark, sf):
-    return search.facets(B.records(spark, sf), ["high", "critical"], ["network", "adjacent"],
+    return search.facets(B.records(spark, sf, *B.ASSESSED), ["high", "critical"], ["network", "adjacent"],
                          exploited_only=True, review_only=True).select("cve")
 
 
