@@ -259,7 +259,9 @@ def product_tree(spark, sf):
         F.lit("x").alias("Name"), F.array(leaf("Q", name), leaf("R", F.concat(F.lit("deep "), name))).alias("Items"))).alias("Items"))
     tree = F.struct(F.array(branch).alias("Branch"), F.array(
         leaf("P", name), leaf("Q", F.concat(F.lit("late "), name))).alias("FullProductName"))
-    docs = B.table(spark, sf, "part").select(F.concat(F.lit("T"), n.cast("string")).alias("doc_id"),
+    # one narrow column dealt out, as a file of millions of parts is read by one task
+    parts = B.table(spark, sf, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    docs = parts.select(F.concat(F.lit("T"), n.cast("string")).alias("doc_id"),
                                              F.parse_json(F.to_json(tree)).alias("tree"))
     return parse.product_names(docs)
 
