@@ -165,11 +165,14 @@ def text_value(value: Column) -> Column:
                       F.when(nameless, F.lit("")).otherwise(whole), F.lit(""))
 
 
-def as_list(value: Column) -> Column:
-    """A VARIANT scalar or array as array<variant>; absent is empty."""
-    absent = value.isNull() | F.is_variant_null(value)
-    return F.coalesce(F.try_variant_get(value, "$", "array<variant>"),
-                      F.when(absent, F.array().cast("array<variant>")).otherwise(F.array(value)))
+def as_list(value: Column, path: str = "$") -> Column:
+    """A VARIANT scalar or array, or the member at ``path``, as array<variant>; absent is empty.
+
+    A member that is a list is opened in place: as a VARIANT of its own it would be built anew first.
+    """
+    single = value if path == "$" else F.try_variant_get(value, path, "variant")
+    return F.coalesce(F.try_variant_get(value, path, "array<variant>"),
+                      F.filter(F.array(single), lambda v: v.isNotNull() & ~F.is_variant_null(v)))
 
 
 def is_variant_object(value: Column) -> Column:

@@ -425,12 +425,9 @@ def evidence_facts(document: Column, family: str) -> Column:
     ``vendor`` takes top-level members, ``cna`` one container's members.
     """
     names = VENDOR_EVIDENCE if family == "vendor" else CNA_EVIDENCE
-    members = F.array_compact(F.array(*[
-        F.when(F.try_variant_get(document, f"$.{n}", "variant").isNotNull(), F.struct(
-            F.lit(n).alias("key"),
-            F.to_json(F.try_variant_get(document, f"$.{n}", "variant")).alias("value")))
-        for n in names]))
-    facts = F.map_from_entries(members)
+    # each member is looked up once; a missing one has no text, one that holds null has the text null
+    text = lambda n: F.to_json(F.try_variant_get(document, f"$.{n}", "variant"))
+    facts = F.map_filter(F.create_map(*[part for n in names for part in (F.lit(n), text(n))]), lambda k, v: v.isNotNull())
     if family == "vendor":
         return facts
     provider = F.to_json(F.struct(

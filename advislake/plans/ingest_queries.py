@@ -57,9 +57,9 @@ def raw_documents(spark, sf):
         .otherwise(doc(F.array(vulnerability), "vulnerabilities")).alias("value"))
 
 
-def vulnerabilities(spark, sf):
+def vulnerabilities(spark, sf, *fields):
     path = landed(spark, "documents", raw_documents(spark, sf))
-    return readers.vulnerability_rows(readers.read_vendor_documents(spark, path))
+    return readers.vulnerability_rows(readers.read_vendor_documents(spark, path), *fields)
 
 
 # --- sources ---------------------------------------------------------------------------
@@ -86,7 +86,7 @@ def broken_lines(spark, sf):
 @register("s2_read_vendor_documents", """SELECT cve, title, '2026-09-08' AS revision, 1 + CASE WHEN customer_action_note IS NULL THEN 0 ELSE 2 END AS notes,
   (severity_text IS NOT NULL)::INT + (exploit_text <> '')::INT AS threats FROM adv""", ["adv"])
 def read_vendor_documents(spark, sf):
-    return vulnerabilities(spark, sf).select("cve", "title", "revision", F.size("notes").alias("notes"),
+    return vulnerabilities(spark, sf, "cve", "title", "notes", "threats").select("cve", "title", "revision", F.size("notes").alias("notes"),
                                              F.size("threats").alias("threats"))
 
 
@@ -268,12 +268,12 @@ def product_tree(spark, sf):
 
 @register("p2_product_ids", """SELECT cve, (SELECT string_agg(id, '|' ORDER BY id) FROM (SELECT DISTINCT 'P' || ((k * 3 + i * 7) % 200) AS id FROM (SELECT range AS i FROM range(3)) WHERE i <= k % 3)) AS ids FROM adv""", ["adv"])
 def product_ids(spark, sf):
-    return vulnerabilities(spark, sf).select("cve", flat(F.col("product_ids")).alias("ids"))
+    return vulnerabilities(spark, sf, "cve", "product_ids").select("cve", flat(F.col("product_ids")).alias("ids"))
 
 
 @register("p3_threat_description", "SELECT cve, coalesce(severity_text, '') AS severity, exploit_text FROM adv", ["adv"])
 def threat_descriptions(spark, sf):
-    return vulnerabilities(spark, sf).select(
+    return vulnerabilities(spark, sf, "cve", "threats").select(
         "cve", parse.threat_description(F.col("threats"), "3").alias("severity"),
         parse.threat_description(F.col("threats"), "1").alias("exploit_text"))
 
@@ -282,7 +282,7 @@ def threat_descriptions(spark, sf):
   WHERE base_score IS NOT NULL""", ["adv"])
 def best_cvss(spark, sf):
     best = parse.best_cvss(F.col("score_sets"))
-    return (vulnerabilities(spark, sf).select("cve", best.alias("b")).where("b is not null")
+    return (vulnerabilities(spark, sf, "cve", "score_sets").select("cve", best.alias("b")).where("b is not null")
             .select("cve", F.col("b.BaseScore").alias("score"), F.col("b.Vector").alias("vector")))
 
 
@@ -311,7 +311,7 @@ def disclosure(spark, sf):
 
 @register("p10_notes_and_remediations", """SELECT cve, car AS action_required, 1 + CASE WHEN customer_action_note IS NULL THEN 0 ELSE 2 END AS notes, k % 3 + 1 AS fixed FROM facts""", ["facts"])
 def notes(spark, sf):
-    v = vulnerabilities(spark, sf)
+    v = vulnerabilities(spark, sf, "cve", "notes", "remediations")
     rows = v.select("cve", parse.note_rows(F.col("notes")).alias("notes"),
                     parse.remediation_rows(F.col("remediations")).alias("remediations"))
     return rows.select("cve", parse.customer_action(F.col("notes")).alias("action_required"),
@@ -459,7 +459,7 @@ def record_url(spark, sf):
   ELSE 'CVE|CVSSScoreSets|Notes|ProductStatuses|Remediations|Threats|Title' END AS members FROM adv""", ["adv"])
 def evidence_facts(spark, sf):
     facts = parse.evidence_facts(F.col("raw"), "vendor")
-    return vulnerabilities(spark, sf).select("cve", flat(F.array_sort(F.map_keys(facts))).alias("members"))
+    return vulnerabilities(spark, sf, "cve").select("cve", flat(F.array_sort(F.map_keys(facts))).alias("members"))
 
 
 @register("p20_cna_evidence", """SELECT cve, CASE WHEN k % 7 = 0 THEN 'affected|descriptions|metrics|problemTypes|references'

@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from advislake import schema
 from advislake.functions import vocab
-from advislake.functions.exprs import attach, words
+from advislake.functions.exprs import attach, struct_of, words
 from advislake.functions.scalar import as_list, is_variant_object, text_value
 from advislake.operators.search import is_synthetic
 
@@ -68,50 +68,53 @@ def read_vendor_documents(spark: SparkSession, path: str, multi_line: bool = Fal
     """
     names = ["Vulnerability", "Vulnerabilities", "vulnerabilities"]
     # keys that differ only by case cannot be struct fields, so the document is one VARIANT
-    raw = spark.read.option("singleVariantColumn", "doc").option("multiLine", multi_line).json(path)
+    raw = spark.read.option("singleVariantColumn", "doc").option("multiLine", multi_line).json(path).select(
+        "doc", F.col("_metadata.file_path").alias("_file"))
     get = lambda p: F.try_variant_get("doc", f"$.{p}", "variant")
-    listed = F.array().cast("array<variant>")
-    for name in reversed(names):
-        items = as_list(get(name))
-        listed = F.when(F.size(items) > 0, items).otherwise(listed)
-    return raw.select(
-        F.coalesce(F.nullif(text_value(get("DocumentTracking.ID")), F.lit("")),
-                   F.col("_metadata.file_path")).alias("doc_id"),
+    # the first list that is not empty; each is made once
+    held = F.filter(F.array(*[as_list(F.col("doc"), f"$.{name}") for name in names]), lambda items: F.size(items) > 0)
+    listed = F.coalesce(F.get(held, F.lit(0)), F.array().cast("array<variant>"))
+    # behind a barrier, as the test for empty lists that an explode brings along would make each list thrice
+    return attach(raw, struct_of(_listed=listed)).select(
+        F.coalesce(F.nullif(text_value(get("DocumentTracking.ID")), F.lit("")), F.col("_file")).alias("doc_id"),
         text_value(get("DocumentTracking.CurrentReleaseDate")).alias("revision"),
         F.coalesce(get("ProductTree"), get("product_tree")).alias("tree"),
-        listed.alias("vulnerabilities"))
+        F.col("_listed").alias("vulnerabilities"))
 
 
-def vulnerability_rows(documents: DataFrame) -> DataFrame:
-    """One row per vulnerability with typed notes, threats, score sets and remediations."""
+def vulnerability_rows(documents: DataFrame, *fields: str) -> DataFrame:
+    """One row per vulnerability with typed notes, threats, score sets and remediations.
+
+    With ``fields``, these of the typed columns; the others stand behind a barrier and would be made unread.
+    """
     rows = documents.select("doc_id", "revision", F.explode("vulnerabilities").alias("v"))
     get = lambda p, kind="variant": F.try_variant_get("v", f"$.{p}", kind)
     of = lambda x, p, kind="string": F.try_variant_get(x, f"$.{p}", kind)
-    objects = lambda p: F.filter(as_list(get(p)), is_variant_object)
+    objects = lambda p: F.filter(as_list(F.col("v"), f"$.{p}"), is_variant_object)
     strings = lambda x: F.transform(as_list(x), lambda e: F.try_variant_get(e, "$", "string"))
     cve = F.coalesce(get("CVE", "string"), get("cve", "string"), F.lit("UNKNOWN"))
     ids = F.flatten(F.transform(objects("ProductStatuses"), lambda s: F.concat(
         strings(of(s, "ProductID", "variant")), strings(of(s, "product_id", "variant")))))
-    facts = F.struct(
-        cve.alias("cve"),
-        F.coalesce(F.nullif(text_value(get("Title")), F.lit("")), cve).alias("title"),
-        F.transform(objects("Notes"), lambda n: F.struct(
+    facts = dict(
+        cve=cve,
+        title=F.coalesce(F.nullif(text_value(get("Title")), F.lit("")), cve),
+        notes=F.transform(objects("Notes"), lambda n: F.struct(
             of(n, "Title").alias("Title"), of(n, "Type", "int").alias("Type"),
-            text_value(n).alias("Value"))).alias("notes"),
-        F.transform(objects("Threats"), lambda t: F.struct(
+            text_value(n).alias("Value"))),
+        threats=F.transform(objects("Threats"), lambda t: F.struct(
             of(t, "Type").alias("Type"),
-            text_value(of(t, "Description", "variant")).alias("Description"))).alias("threats"),
-        F.transform(objects("CVSSScoreSets"), lambda s: F.struct(
+            text_value(of(t, "Description", "variant")).alias("Description"))),
+        score_sets=F.transform(objects("CVSSScoreSets"), lambda s: F.struct(
             of(s, "BaseScore", "double").alias("BaseScore"),
             of(s, "TemporalScore", "double").alias("TemporalScore"),
-            of(s, "Vector").alias("Vector"))).alias("score_sets"),
-        F.transform(objects("Remediations"), lambda r: F.struct(
+            of(s, "Vector").alias("Vector"))),
+        remediations=F.transform(objects("Remediations"), lambda r: F.struct(
             of(r, "Type").alias("Type"), of(r, "SubType").alias("SubType"), of(r, "URL").alias("URL"),
             text_value(of(r, "Description", "variant")).alias("Description"),
-            strings(of(r, "ProductID", "variant")).alias("ProductID"))).alias("remediations"),
-        F.array_sort(F.array_distinct(ids)).alias("product_ids"))
+            strings(of(r, "ProductID", "variant")).alias("ProductID"))),
+        product_ids=F.array_sort(F.array_distinct(ids)))
     # parsed once here, however often the columns are used or filtered later
-    return attach(rows, facts).withColumnRenamed("v", "raw")
+    return attach(rows, struct_of(**{n: facts[n] for n in fields or facts})).withColumnRenamed("v", "raw")
 
 
 def read_kev(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
