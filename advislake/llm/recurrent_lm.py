@@ -7,6 +7,8 @@ occur, with one unit of count in each tail class for all unseen ones.
 """
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,9 +24,12 @@ NAMED = 100_000  # commonest words whose counts go along with the tasks; the oth
 CLASSES = 32
 TAILS = 64
 UNITS = 24
-WINDOW = 32  # steps of a scored window
-BACK = 16  # steps of a trained window
-LANES = 64  # texts that are trained together
+BACK = 16  # steps of a window
+LONGER = 16  # times these steps at most, when few texts are left
+LANES = 256  # lanes of texts that are trained together
+SCORED = 512  # lanes of texts that are scored together
+STRETCH = 2048  # tokens that are trained from one state
+RATE = 0.2  # first rate of learning; 0.1 served for windows of a quarter of the tokens
 ROUNDS = 2  # each trains on a slice of its own; together they have every training text once
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 
@@ -141,133 +146,186 @@ class Recurrent:
             return CLASSES + symbol - WORDS
         return np.where(symbol < WORDS, self.v.group[np.minimum(symbol, self.v.words - 1)], CLASSES + symbol - WORDS)
 
-    def step(self, symbol: np.ndarray, h: np.ndarray):
-        """Next state; the update gate, the reset gate, the candidate and the recurrent part go back with it."""
-        x, r = self.p["x"][symbol], h @ self.p["u"]
-        gates = x[:, :2 * UNITS] + r[:, :2 * UNITS]
+    def states(self, last: np.ndarray, cut: list, fresh: np.ndarray, state: np.ndarray):
+        """States after the symbols of a window, from zero where a text begins; the states before, the update gates, the
+        reset gates, the candidates and the recurrent parts go back with them."""
+        n = len(last)
+        three = lambda rows: np.ascontiguousarray(rows.reshape(-1, 3, UNITS).swapaxes(0, 1))
+        x, u = three(self.p["x"].take(last, 0)), three(self.p["u"])
+        gates = x[:2]
+        np.negative(gates, out=gates)
+        u[:2] *= -1
+        keep = ~fresh[:, None]
+        after, before, new = (np.empty((n, UNITS), x.dtype) for _ in range(3))
+        r, low = np.empty((3, n, UNITS), x.dtype), 0
         with np.errstate(over="ignore"):  # exp may reach infinity, whose gate is 0
-            np.exp(np.negative(gates, out=gates), out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        z, reset, part = gates[:, :UNITS], gates[:, UNITS:], r[:, 2 * UNITS:]
-        new = np.tanh(x[:, 2 * UNITS:] + reset * part)
-        return h + z * (new - h), z, reset, new, part
+            for high in cut:
+                h, gate, part, candidate = before[low:high], gates[:, low:high], r[:, low:high], new[low:high]
+                np.multiply(state[:high - low], keep[low:high], out=h)
+                np.matmul(h, u, out=part)
+                gate += part[:2]
+                np.exp(gate, out=gate)
+                gate += 1
+                np.reciprocal(gate, out=gate)
+                np.multiply(gate[1], part[2], out=candidate)
+                candidate += x[2, low:high]
+                np.tanh(candidate, out=candidate)
+                state = np.subtract(candidate, h, out=after[low:high])
+                state *= gate[0]
+                state += h
+                low = high
+        return after, before, gates[0], gates[1], new, r[2]
 
     def log_probs(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log probability of each target symbol after its state; adds gradients if asked for."""
         p = self.p
-        logits = h @ p["c"]
-        logits += p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        kind = self.class_of(target)
+        kind = self.class_of(target).astype(np.uint8)
+        order = np.argsort(kind, kind="stable")  # sorted by counting; states of one class then lie together
+        target, kind = target[order], kind[order]
+        edge = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
         rows = np.arange(len(target))
-        out = logits[rows, kind]
-        e = np.exp(logits, out=logits)
-        norm = e.sum(1)
-        out -= np.log(norm)
-        back = None
+        # the biases, less the largest, are weights of a constant unit
+        h = np.concatenate([h.take(order, 0), np.ones((len(h), 1), h.dtype)], 1)
+        joined = lambda w, bias: np.concatenate([w, (bias - bias.max())[:, None]], 1)
+        weights = joined(p["w"], p["wb"]), joined(p["c"].T, p["cb"])
+        reach = max(np.abs(w[:, :-1]).sum(1).max() for w in weights) * np.abs(h).max(initial=0)
+
+        def softmax(h, weights, at, norm):
+            """Logits ``at``, and gradients of the weights and states; sums of the exponentials go to ``norm``."""
+            e = weights @ h.T  # a column a token, as sums over rows are quicker
+            if not reach < 60:  # else no power leaves the range of floats
+                e -= e.max(0)
+            at = at, rows[:len(h)]
+            got = e[at]
+            np.exp(e, out=e)
+            np.sum(e, 0, out=norm)
+            if grads is None:
+                return got, None, None
+            e[at] -= norm
+            share = (1 / norm)[:, None]
+            back = e.T @ weights
+            back *= share
+            return got, e @ (h * share), back
+
+        norm, within = np.empty(len(h), h.dtype), np.ones(len(h), h.dtype)
+        out, d_c, back = softmax(h, weights[1], kind, norm)
         if grads is not None:
-            d = e / norm[:, None]
-            d[rows, kind] -= 1
-            grads["c"] += h.T @ d
-            grads["cb"] += d.sum(0)
-            back = d @ p["c"].T
-        small = kind.astype(np.uint8)  # sorted by counting
-        order = np.argsort(small, kind="stable")
-        edge = np.searchsorted(small[order], np.arange(CLASSES + 1))
+            grads["c"] += d_c[:, :-1].T
+            grads["cb"] += d_c[:, -1]
         for k in range(CLASSES):
-            own, a, b = order[edge[k]:edge[k + 1]], self.v.cuts[k], self.v.cuts[k + 1]
-            if not len(own) or b - a < 2:
+            low, high, a, b = edge[k], edge[k + 1], self.v.cuts[k], self.v.cuts[k + 1]
+            if low == high or b - a < 2:
                 continue
-            logits = h[own] @ p["w"][a:b].T + p["wb"][a:b]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            norm = e.sum(1)
-            at = (np.arange(len(own)), target[own] - a)
-            out[own] += logits[at] - np.log(norm)
+            got, d_w, d = softmax(h[low:high], weights[0][a:b], target[low:high] - a, within[low:high])
+            out[low:high] += got
             if grads is not None:
-                d = e / norm[:, None]
-                d[at] -= 1
-                grads["w"][a:b] += d.T @ h[own]
-                grads["wb"][a:b] += d.sum(0)
-                back[own] += d @ p["w"][a:b]
-        return out, back
+                grads["w"][a:b] += d_w[:, :-1]
+                grads["wb"][a:b] += d_w[:, -1]
+                back[low:high] += d
+        out -= np.log(norm)
+        out -= np.log(within)
+        place = np.empty_like(order)
+        place[order] = rows
+        return out[place], None if back is None else back[:, :-1].take(place, 0)
 
     def score(self, symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural log probability of each whole text. Texts advance together, longest first, and their
-        states are carried from window to window."""
-        length = np.diff(first)
-        order = np.argsort(-length, kind="stable")
-        size, begin = length[order], first[:-1][order]
-        total = np.zeros(len(size))
-        h = np.zeros((len(size), UNITS), np.float32)
-        start = WORDS + TAILS
-        for low in range(0, int(size[0]) if len(size) else 0, WINDOW):
-            states, targets, owners = [], [], []
-            for t in range(low, min(low + WINDOW, int(size[0]))):
-                k = int(np.searchsorted(-size, -t, "left"))
-                last = symbol[begin[:k] + t - 1] if t else np.full(k, start)
-                h = self.step(last, h[:k])[0]
-                states.append(h)
-                targets.append(symbol[begin[:k] + t])
-                owners.append(np.arange(k))
-            got, _ = self.log_probs(np.concatenate(states), np.concatenate(targets))
-            k = len(owners[0])
-            total[:k] += np.bincount(np.concatenate(owners), got, k)
-        out = np.empty(len(size))
-        out[order] = total
-        return out
+        """Natural log probability of each whole text. Lanes of texts advance together, and their states are carried
+        from window to window."""
+        total = np.zeros(len(first) - 1)
+        row = np.repeat(np.arange(len(total)), np.diff(first))
+        state = np.zeros((SCORED, UNITS), np.float32)
+        for at, cut, last, fresh in _windows(symbol, first, first, SCORED):
+            h = self.states(last, cut, fresh, state)[0]
+            state = h[cut[-2] if len(cut) > 1 else 0:]
+            np.add.at(total, row[at], self.log_probs(h, symbol[at])[0])
+        return total
 
     def train(self, symbol: np.ndarray, first: np.ndarray, rate: float) -> int:
-        """Truncated backpropagation over windows of BACK steps, LANES texts at a time, states carried; AdaGrad."""
+        """Truncated backpropagation over windows of BACK steps, LANES lanes of texts at a time, states carried; AdaGrad.
+        A longer text is dealt out in stretches of STRETCH tokens, so that it does not train alone."""
         p = {k: v.copy() for k, v in self.p.items()}
         self.p = p
         past = {k: np.full_like(v, 1e-3) for k, v in p.items()}
-        length = np.diff(first)
-        order = np.argsort(-length, kind="stable")
-        seen = 0
-        for low in range(0, len(order), LANES):
-            rows = order[low:low + LANES]
-            size, begin = length[rows], first[:-1][rows]
-            h = np.zeros((len(rows), UNITS), np.float32)
-            for a in range(0, int(size[0]), BACK):
-                steps, k = [], len(rows)
-                for t in range(a, min(a + BACK, int(size[0]))):
-                    k = int(np.searchsorted(-size, -t, "left"))
-                    last = symbol[begin[:k] + t - 1] if t else np.full(k, WORDS + TAILS)
-                    before = h[:k]
-                    h, z, reset, new, part = self.step(last, before)
-                    steps.append((last, before, h, z, reset, new, part, symbol[begin[:k] + t]))
-                grads = {n: np.zeros_like(v) for n, v in p.items() if n != "x"}
-                inputs = []
-                _, back = self.log_probs(np.concatenate([s[2] for s in steps]), np.concatenate([s[7] for s in steps]), grads)
-                cut = np.cumsum([len(s[0]) for s in steps])
-                flow = np.zeros((0, UNITS), np.float32)
-                for s, d in zip(reversed(steps), reversed(np.split(back, cut[:-1])), strict=True):
-                    last, before, _, z, reset, new, part, _ = s
-                    d = d.copy()
-                    d[:len(flow)] += flow
-                    d_new = d * z * (1 - new * new)
-                    d_x = np.concatenate([d * (new - before) * z * (1 - z), d_new * part * reset * (1 - reset), d_new], 1)
-                    d_r = np.concatenate([d_x[:, :2 * UNITS], d_new * reset], 1)
-                    inputs.append((last, d_x))
-                    grads["u"] += before.T @ d_r
-                    flow = d * (1 - z) + d_r @ p["u"].T
-                n = int(cut[-1])
-                seen += n
-                # of the input table only the rows that were read change
-                read, where = np.unique(np.concatenate([x for x, _ in inputs]), return_inverse=True)
-                grads["x"] = np.zeros((len(read), 3 * UNITS), np.float32)
-                np.add.at(grads["x"], where, np.concatenate([d for _, d in inputs]))
-                for name, g in grads.items():
-                    g /= np.sqrt(n)
-                    np.clip(g, -5, 5, out=g)
-                    rows_of = read if name == "x" else slice(None)
-                    past[name][rows_of] += g * g
-                    p[name][rows_of] -= rate * g / np.sqrt(past[name][rows_of])
+        seen, state = 0, np.zeros((LANES, UNITS), np.float32)
+        more = (np.diff(first) - 1) // STRETCH
+        k = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
+        begin = np.sort(np.concatenate([first, np.repeat(first[:-1], more) + k * STRETCH]))
+        for at, cut, last, fresh in _windows(symbol, first, begin, LANES):
+            n = len(at)
+            seen += n
+            h, before, z, reset, new, part = self.states(last, cut, fresh, state)
+            state = h[cut[-2] if len(cut) > 1 else 0:]
+            grads = {k: np.zeros_like(v) for k, v in p.items() if k != "x"}
+            _, back = self.log_probs(h, symbol[at], grads)
+            # what the gradient of a state is multiplied by on its way to the gates, the candidate and the state before
+            stays = 1 - z
+            through, to_z, to_reset = z * (1 - new * new), (new - before) * z * stays, part * reset * (1 - reset)
+            d_r, d_new = np.empty((3, n, UNITS), h.dtype), np.empty((n, UNITS), h.dtype)
+            flow, keep = np.zeros((0, UNITS), h.dtype), ~fresh[:, None]  # nothing goes back into the text before
+            u = np.ascontiguousarray(p["u"].reshape(UNITS, 3, UNITS).transpose(1, 2, 0))
+            for low, high in zip(reversed([0, *cut[:-1]]), reversed(cut), strict=True):
+                d, d_part, d_own = back[low:high], d_r[:, low:high], d_new[low:high]
+                d[:len(flow)] += flow
+                np.multiply(d, through[low:high], out=d_own)
+                np.multiply(d, to_z[low:high], out=d_part[0])
+                np.multiply(d_own, to_reset[low:high], out=d_part[1])
+                np.multiply(d_own, reset[low:high], out=d_part[2])
+                flow = (d_part @ u).sum(0)
+                d *= stays[low:high]
+                flow += d
+                flow *= keep[low:high]
+            grads["u"] += np.concatenate([before.T @ d for d in d_r], 1)
+            # of the input table only the rows that were read change
+            order = np.argsort(last.astype(np.uint16), kind="stable")
+            read, begin = np.unique(last[order], return_index=True)
+            grads["x"] = np.add.reduceat(np.concatenate([d_r[0], d_r[1], d_new], 1).take(order, 0), begin, axis=0)
+            for name, g in grads.items():
+                g *= n ** -0.5
+                np.clip(g, -5, 5, out=g)
+                rows_of = read if name == "x" else slice(None)
+                past[name][rows_of] += g * g
+                g *= rate
+                g /= np.sqrt(past[name][rows_of])
+                p[name][rows_of] -= g
         return seen
 
 
+def _windows(symbol: np.ndarray, first: np.ndarray, begins: np.ndarray, lanes: int):
+    """Places of BACK tokens of every lane at a time, until each token was given once: the places by step, the end
+    of each step, the symbol before each place, and whether a state begins there. When few lanes are left, as with one
+    long text, they get up to LONGER times the steps.
+
+    Texts, or their stretches between two of ``begins``, are dealt whole to the lanes, longest first, each to the lane with
+    the fewest tokens; lanes come in falling length, so those of a step are the first of the step before.
+    """
+    size = np.diff(begins)
+    load = [(0, lane) for lane in range(min(lanes, len(size)))]
+    lane = np.zeros(len(size), np.int64)
+    order = np.argsort(-size, kind="stable")
+    for row, n in zip(order.tolist(), size[order].tolist(), strict=True):
+        have, lane[row] = load[0]
+        heapq.heapreplace(load, (have + n, int(lane[row])))
+    length = np.array([n for n, _ in sorted(load, key=lambda x: x[1])], np.int64)
+    falling = np.argsort(-length, kind="stable")
+    length, rank = length[falling], np.argsort(falling)
+    order = order[np.argsort(rank[lane[order]], kind="stable")]  # lane by lane
+    n = size[order]
+    place = np.repeat(begins[:-1][order] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    begin = np.cumsum(length) - length
+    before = np.concatenate([[WORDS + TAILS], symbol[:-1]]) if len(symbol) else symbol
+    before[first[:-1]] = WORDS + TAILS
+    starts = np.zeros(len(symbol), bool)
+    starts[begins[:-1]] = True
+    low, end = 0, int(length[0]) if len(length) else 0
+    while low < end:
+        left = int(np.searchsorted(-length, -low, "left"))
+        high = min(low + BACK * min(lanes // left, LONGER), end)
+        count = np.searchsorted(-length, -np.arange(low, high), "left")
+        at = place[np.concatenate([begin[:k] + t for t, k in zip(range(low, high), count.tolist(), strict=True)])]
+        yield at, np.cumsum(count).tolist(), before[at], starts[at]
+        low = high
+
+
 def _averaged(docs: DataFrame, model: Recurrent, rate: float, part_floats: int = 4096) -> dict | None:
     """Parameters after every task has trained on its texts, averaged by words seen; None without texts.
 
@@ -350,7 +408,7 @@ def score_texts(docs: DataFrame, text: str = "text", train: Column | None = None
     model = Recurrent(vocabulary)
     for k in range(rounds):
         piece = learn.where(F.pmod(F.xxhash64(F.lit("slice"), "doc_id", "text"), F.lit(rounds)) == k).select("text")
-        params = _averaged(piece, model, 0.1 / (k + 1))
+        params = _averaged(piece, model, RATE / (k + 1))
         if params is not None:
             model = Recurrent(vocabulary, params)
     floor = float(np.log10(total + types + 1.0))

@@ -298,6 +298,52 @@ def test_texts_are_scored_alike_alone_and_together():
         assert abs(model.score(symbol, first)[0] - scores[i]) < 1e-3
 
 
+def test_windows_give_every_token_once_and_long_texts_do_not_train_alone(monkeypatch):
+    size = [1, 5000, 3, 40, 1, 700, 2]
+    first = np.concatenate([[0], np.cumsum(size)])
+    symbol = np.arange(first[-1], dtype=np.int32) % 7
+    windows = list(recurrent_lm._windows(symbol, first, first, 4))
+    assert sorted(np.concatenate([w[0] for w in windows])) == list(range(first[-1]))
+    lane = {}
+    for at, cut, last, fresh in windows:
+        for low, high in zip([0, *cut[:-1]], cut, strict=True):
+            for i in range(low, high):  # the next of the lane's text, or a text's first
+                assert fresh[i] == (at[i] in first[:-1]) and (fresh[i] or at[i] == lane[i - low] + 1)
+                assert last[i] == (recurrent_lm.WORDS + recurrent_lm.TAILS if fresh[i] else symbol[at[i] - 1])
+                lane[i - low] = at[i]
+    seen, steps = [], []
+    monkeypatch.setattr(recurrent_lm, "STRETCH", 64)
+    inner = recurrent_lm._windows
+    monkeypatch.setattr(recurrent_lm, "_windows", lambda *a: (seen.append(w[0]) or steps.extend(w[1]) or w for w in inner(*a)))
+    model = recurrent_lm.Recurrent(lm_vocabulary(["a b c"]))
+    assert model.train(np.zeros(first[-1], np.int32), first, 0.1) == first[-1]
+    assert sorted(np.concatenate(seen)) == list(range(first[-1])) and len(steps) < 200  # 5,000 and more when it trained alone
+
+
+def test_states_and_probabilities_are_those_of_a_plain_loop():
+    texts = ["a b c a b", "b zeta, c a", "", "c " * 70]
+    model = recurrent_lm.Recurrent(lm_vocabulary(texts))
+    random = np.random.RandomState(5)
+    for big in (0.3, 30.0):  # beyond the range of floats, too
+        model.p = {n: (v + big * random.standard_normal(v.shape)).astype(np.float64) for n, v in model.p.items()}
+        symbol, _, _, first = model.v.tokens(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+        p, u, log_softmax = model.p, recurrent_lm.UNITS, lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+        for i, got in enumerate(model.score(symbol, first)):
+            h, last, want = np.zeros(u), recurrent_lm.WORDS + recurrent_lm.TAILS, 0.0
+            for s in symbol[first[i]:first[i + 1]]:
+                x, r = p["x"][last], h @ p["u"]
+                z, reset = sigmoid(x[:u] + r[:u]), sigmoid(x[u:2 * u] + r[u:2 * u])
+                h = h + z * (np.tanh(x[2 * u:] + reset * r[2 * u:]) - h)
+                k = int(model.class_of(np.array([s]))[0])
+                want += log_softmax(h @ p["c"] + p["cb"])[k]
+                if s < recurrent_lm.WORDS:
+                    a, b = model.v.cuts[k], model.v.cuts[k + 1]
+                    want += log_softmax(p["w"][a:b] @ h + p["wb"][a:b])[s - a]
+                last = s
+            assert abs(got - want) < 1e-3 * max(1, abs(want))
+
+
 def test_grams_begin_after_spaces():
     data, at = W.text_bytes(pa.array(["ab", "", "É1"]))
     gram, first = kneser_ney._grams(data, at, 0, 3)
