@@ -28,10 +28,12 @@ BACK = 16  # steps of a window
 LONGER = 16  # times these steps at most, when few texts are left
 LANES = 256  # lanes of texts that are trained together
 SCORED = 512  # lanes of texts that are scored together
+BLOCK = 1024  # tokens whose classes are summed at a time, in the near cache
 STRETCH = 2048  # tokens that are trained from one state
 RATE = 0.2  # first rate of learning; 0.1 served for windows of a quarter of the tokens
 ROUNDS = 2  # each trains on a slice of its own; together they have every training text once
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
+LEADING = np.uint64(48)  # below the bits by which a search among the named words begins
 
 
 def held_out(doc_id: Column) -> Column:
@@ -93,16 +95,24 @@ class Vocabulary:
         self.tail_log = np.log10(tail_counts + tail_types + 1.0)
         self.log_count = np.log10(counts + 1.0)
         order = np.argsort(keys)
-        self.keys, self.rank = keys[order], order
+        # the greatest hash stands at the end, too, so that a search ends; it counts only for a word that has it
+        self.keys = np.append(keys[order], np.uint64(2**64 - 1))
+        self.rank = np.append(order, order[-1] if len(order) and keys[order[-1]] == self.keys[-1] else -1)
+        self.begin = np.searchsorted(keys[order], np.arange(1 << 16, dtype=np.uint64) << LEADING).astype(np.int32)
         self.words = n
         self.unigram = counts[:n].astype(float)
 
     def look_up(self, h: np.ndarray) -> np.ndarray:
         """Rank of each hash among the named words, -1 for others."""
-        if not len(self.keys):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.rank[at], -1)
+        # from the first key of the same leading bits on, until all are found or passed
+        at = self.begin[h >> LEADING]
+        key = self.keys[at]
+        open_ = np.flatnonzero(key < h)
+        while len(open_):
+            at[open_] += 1
+            key[open_] = self.keys[at[open_]]
+            open_ = open_[key[open_] < h[open_]]
+        return np.where(key == h, self.rank[at], -1)
 
     def tokens(self, batch: pa.RecordBatch):
         """Of the rows of a batch: symbol of every token (word rank, or WORDS + tail class), rank among the
@@ -208,10 +218,14 @@ class Recurrent:
             return got, e @ (h * share), back
 
         norm, within = np.empty(len(h), h.dtype), np.ones(len(h), h.dtype)
-        out, d_c, back = softmax(h, weights[1], kind, norm)
-        if grads is not None:
-            grads["c"] += d_c[:, :-1].T
-            grads["cb"] += d_c[:, -1]
+        out, back = np.empty(len(h), h.dtype), None if grads is None else np.empty_like(h)
+        for low in range(0, len(h), BLOCK):
+            s = slice(low, low + BLOCK)
+            out[s], d_c, d = softmax(h[s], weights[1], kind[s], norm[s])
+            if grads is not None:
+                back[s] = d
+                grads["c"] += d_c[:, :-1].T
+                grads["cb"] += d_c[:, -1]
         for k in range(CLASSES):
             low, high, a, b = edge[k], edge[k + 1], self.v.cuts[k], self.v.cuts[k + 1]
             if low == high or b - a < 2:
@@ -237,7 +251,7 @@ class Recurrent:
         for at, cut, last, fresh in _windows(symbol, first, first, SCORED):
             h = self.states(last, cut, fresh, state)[0]
             state = h[cut[-2] if len(cut) > 1 else 0:]
-            np.add.at(total, row[at], self.log_probs(h, symbol[at])[0])
+            total += np.bincount(row[at], self.log_probs(h, symbol[at])[0], len(total))
         return total
 
     def train(self, symbol: np.ndarray, first: np.ndarray, rate: float) -> int:
@@ -277,7 +291,8 @@ class Recurrent:
             grads["u"] += np.concatenate([before.T @ d for d in d_r], 1)
             # of the input table only the rows that were read change
             order = np.argsort(last.astype(np.uint16), kind="stable")
-            read, begin = np.unique(last[order], return_index=True)
+            begin = np.flatnonzero(np.diff(last[order], prepend=-1))
+            read = last[order[begin]]
             grads["x"] = np.add.reduceat(np.concatenate([d_r[0], d_r[1], d_new], 1).take(order, 0), begin, axis=0)
             for name, g in grads.items():
                 g *= n ** -0.5
