@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from advislake.llm.components import connected, forest, written
 from advislake.llm.registry import register
 
-TILE_ROWS = 2048
+TILE_ROWS = 2048  # rows that are compared at a time
+BLOCK_BYTES = 32 << 20  # of the doubles of a block; blocks are what is shuffled, tile by tile they are compared
+SHIPS = 4  # times that a block is shuffled in one round, on an average; shuffle files go after each round
+MOST_CELLS = 1000  # along the first axis
 GROUPS = (0.25, 0.5)  # shares of the coordinates after which pairs are given up
 PART = 200_000  # pairs that are finished at a time
 SLACK = 1e-9
+SLACK32 = 1e-6  # for each coordinate of a first look in single precision
 
 
 def _matrix(col: pa.Array, size: int) -> np.ndarray:
@@ -55,52 +59,99 @@ def principal_axes(vectors: DataFrame, size: int) -> np.ndarray:
     return np.linalg.eigh(total.reshape(size, size))[1][:, ::-1]
 
 
-def _close(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float):
-    """Places (i, j) of the rows of a and b whose cosine reaches the threshold."""
-    ua, ub = _unit(a), _unit(b)
-    ra, rb = ua @ axes, ub @ axes
-    size = ra.shape[1]
-    cuts = [max(1, int(size * g)) for g in GROUPS] + [size]
-    rest = lambda r, k: np.sqrt(np.maximum(0.0, (r[:, k:] ** 2).sum(1)))
-    product = ra[:, :cuts[0]] @ rb[:, :cuts[0]].T
-    i, j = np.nonzero(product + np.outer(rest(ra, cuts[0]), rest(rb, cuts[0])) >= threshold - SLACK)
+def _rest(rotated: np.ndarray, stop: int) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, (rotated[:, stop:] ** 2).sum(1)))
+
+
+class _Side:
+    """Vectors of a tile: unit, rotated, and in single precision the first coordinates with the norm of what is left."""
+
+    def __init__(self, x: np.ndarray, axes: np.ndarray):
+        self.unit = _unit(x)
+        self.rotated = self.unit @ axes
+        size = self.rotated.shape[1]
+        self.cuts = [max(1, int(size * g)) for g in GROUPS] + [size]
+        first = self.cuts[0]
+        self.first = np.column_stack([self.rotated[:, :first], _rest(self.rotated, first)]).astype(np.float32)
+        self.low, self.high = self.rotated.min(0), self.rotated.max(0)
+
+    def apart(self, other: _Side, threshold: float) -> bool:
+        """Whether the boxes of two tiles are farther apart than two vectors within the threshold can be."""
+        gap = np.maximum(0.0, np.maximum(self.low - other.high, other.low - self.high))
+        return (gap ** 2).sum() > 2 - 2 * threshold + SLACK
+
+
+def _pairs(a: _Side, b: _Side, threshold: float):
+    """Places (i, j) of the rows of two tiles whose cosine reaches the threshold."""
+    i, j = np.nonzero(a.first @ b.first.T >= np.float32(threshold - SLACK32 * (a.cuts[0] + 2)))
     found = []
     for low in range(0, len(i), PART):
         p, q = i[low:low + PART], j[low:low + PART]
-        so_far = product[p, q]
-        for k, stop in zip(cuts, cuts[1:], strict=False):
-            so_far = so_far + np.einsum("ij,ij->i", ra[p, k:stop], rb[q, k:stop])
-            keep = so_far + rest(ra, stop)[p] * rest(rb, stop)[q] >= threshold - SLACK
-            p, q, so_far = p[keep], q[keep], so_far[keep]
-        keep = np.einsum("ij,ij->i", ua[p], ub[q]) >= threshold
+        so_far, start = np.zeros(len(p)), 0
+        for stop in a.cuts:
+            so_far = so_far + np.einsum("ij,ij->i", a.rotated[p, start:stop], b.rotated[q, start:stop])
+            keep = so_far + _rest(a.rotated, stop)[p] * _rest(b.rotated, stop)[q] >= threshold - SLACK
+            p, q, so_far, start = p[keep], q[keep], so_far[keep], stop
+        keep = np.einsum("ij,ij->i", a.unit[p], b.unit[q]) >= threshold
         found.append((p[keep], q[keep]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([p for p, _ in found]), np.concatenate([q for _, q in found])
 
 
-def _tile_links(left: pa.Table, right: pa.Table, size: int, axes: np.ndarray, threshold: float) -> pa.Table:
-    """For the vectors of a pair of tiles: links counted with the copies of the other end, and a reached root."""
+def _close(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float):
+    """Places (i, j) of the rows of a and b whose cosine reaches the threshold."""
+    return _pairs(_Side(a, axes), _Side(b, axes), threshold)
+
+
+def _tiles(x: np.ndarray, axes: np.ndarray) -> list[tuple[np.ndarray, _Side]]:
+    """Rows of a block in tiles of near vectors: halved along the axis on which they spread most."""
+    rotated = (_unit(x) @ axes).astype(np.float32)
+
+    def halved(rows):
+        if len(rows) <= TILE_ROWS:
+            return [rows]
+        widest = rotated[rows].var(0).argmax()
+        half = len(rows) // 2
+        order = np.argpartition(rotated[rows, widest], half)
+        return halved(rows[order[:half]]) + halved(rows[order[half:]])
+
+    return [(rows, _Side(x[rows], axes)) for rows in halved(np.arange(len(x)))]
+
+
+def _block_links(left: pa.Table, right: pa.Table, size: int, axes: np.ndarray, threshold: float) -> pa.Table:
+    """For the vectors of a pair of blocks: links counted with the copies of the other end, and a reached root.
+
+    The links of a pair of tiles are counted and reduced to a spanning forest before the next one is compared.
+    """
     out = {"cid": pa.int64(), "links": pa.int64(), "root": pa.int64()}
     if not left.num_rows or not right.num_rows:
         return pa.table({k: pa.array([], t) for k, t in out.items()})
-    sides = [(t.column("cid").to_numpy(), t.column("copies").to_numpy(), t.column("tile")[0].as_py(),
-              _matrix(t.column("v").combine_chunks(), size)) for t in (left, right)]
-    (a_id, a_n, a_tile, a), (b_id, b_n, b_tile, b) = sides
-    p, q = _close(a, b, axes, threshold)
-    if a_tile == b_tile:
-        place = {int(c): k for k, c in enumerate(a_id)}
-        q = np.array([place[int(c)] for c in b_id], np.int64)[q]
-        p, q = p[p != q], q[p != q]
-        nodes = a_id
-        links = np.bincount(p, a_n[q], len(nodes))
-    else:
-        nodes = np.concatenate([a_id, b_id])
-        links = np.concatenate([np.bincount(p, b_n[q], len(a_id)), np.bincount(q, a_n[p], len(b_id))])
-        q = q + len(a_id)
+    same = left.column("block")[0].as_py() == right.column("block")[0].as_py()
+    sides = [(t.column("cid").to_numpy(), t.column("copies").to_numpy(),
+              _tiles(_matrix(t.column("v").combine_chunks(), size), axes)) for t in ((left,) if same else (left, right))]
+    nodes = np.concatenate([ids for ids, _, _ in sides])
+    copies = np.concatenate([n for _, n, _ in sides])
+    mine = sides[0][2]
+    others = mine if same else [(rows + len(sides[0][0]), side) for rows, side in sides[1][2]]
+    links, ends = np.zeros(len(nodes), np.int64), [(np.zeros(0, np.int64),) * 2]
+    for k, (a_rows, a) in enumerate(mine):
+        for b_rows, b in others[k:] if same else others:
+            if a.apart(b, threshold):
+                continue
+            i, j = _pairs(a, b, threshold)
+            if a is b:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                p, q = a_rows[i], b_rows[j]
+                links += np.bincount(p, copies[q], len(nodes)).astype(np.int64) + np.bincount(q, copies[p], len(nodes)).astype(np.int64)
+                met = np.unique(np.concatenate([p, q]))
+                root = forest(met, np.searchsorted(met, p), np.searchsorted(met, q))
+                ends.append((met[met != root], root[met != root]))
+    p, q = (np.concatenate(e) for e in zip(*ends, strict=True))
     label = forest(nodes, p, q)
     linked = links > 0
-    return pa.table({"cid": nodes[linked].astype(np.int64), "links": links[linked].astype(np.int64), "root": label[linked].astype(np.int64)})
+    return pa.table({"cid": nodes[linked].astype(np.int64), "links": links[linked], "root": label[linked].astype(np.int64)})
 
 
 def near_vectors(rows: DataFrame, vector: str = "embedding", vector_id: str = "vec_id", threshold: float = 0.95) -> DataFrame:
@@ -108,16 +159,18 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", vector_id: str = "v
 
     Equal vectors form a class that is compared once and counts as often as it occurs. Classes are dealt to
     cells along the first principal axis, as wide as two vectors within the threshold can be apart there;
-    cells are split by a hash into tiles of about TILE_ROWS, and each tile meets those of its own and of the
-    next cell. A pair of tiles gives counts and a spanning forest, never its links, so a dense group of n
-    vectors costs comparisons but no n * n rows. That all tiles of near cells meet is the cost of exact
-    answers: work grows with the square of the rows of near cells.
+    cells are split by a hash into blocks of about BLOCK_BYTES, and each block meets those of its own and of the
+    next cell, tile by tile of near vectors. A pair of blocks gives counts and a spanning forest, never its links,
+    so a dense group of n vectors costs comparisons but no n * n rows. That all blocks of near cells meet is the
+    cost of exact answers: work grows with the square of the rows of near cells. Disk does not: pairs of blocks
+    go in rounds, in each of which a block is shuffled SHIPS times, and each round's shuffle is given back.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are kept;
     shorter vectors count as padded with zeros. Repeated ids keep one row each; a null id takes part, and
     is kept only where its component has no other id. Other columns and labels are ignored.
     """
-    given = rows.select(F.col(vector_id).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "array<float>" if dict(rows.dtypes)[vector] == "array<float>" else "array<double>"  # single precision needs half the room
+    given = rows.select(F.col(vector_id).alias("vec_id"), F.col(vector).cast(kind).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0)
     good = given.where(F.coalesce(usable, F.lit(False)))
@@ -128,7 +181,8 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", vector_id: str = "v
         return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                             F.lit(True).alias("kept"))
     axes = principal_axes(classes, size)
-    width = np.sqrt(2 - 2 * threshold) + SLACK  # |x - y|**2 = 2 - 2 cos bounds the gap on any axis
+    # |x - y|**2 = 2 - 2 cos bounds the gap on any axis
+    width = max(np.sqrt(2 - 2 * threshold) + SLACK, 2 / MOST_CELLS)
 
     def cells(batches):
         for batch in batches:
@@ -136,25 +190,31 @@ def near_vectors(rows: DataFrame, vector: str = "embedding", vector_id: str = "v
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.floor(first / width).astype(np.int64))],
                                              names=["cid", "copies", "v", "cell"])
 
-    placed = written(classes.select("cid", "copies", "v").mapInArrow(cells, "cid long, copies long, v array<double>, cell long"),
-                     "vector-cells")
-    splits = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("splits"))  # a few cells
-    tile_of = F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("cid"), F.col("splits"))
-    placed = placed.join(splits, "cell").withColumn("tile", tile_of)
-    tiles = splits.select("cell", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("k")) \
-        .select("cell", (F.col("cell") * (1 << 32) + F.col("k")).alias("tile"))
-    near = tiles.select(F.col("tile").alias("a"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
-    pairs = near.join(tiles.withColumnRenamed("tile", "b"), "cell").where("a <= b").select("a", "b")
-    pairs = written(pairs, "vector-tiles")
-    names = ["a", "b", "tile", "cid", "copies", "v"]
-    left, right = (pairs.join(placed, F.col(side) == F.col("tile")).select(*names).toDF(*[f"{side}_{n}" for n in names])
-                   for side in ("a", "b"))
+    placed = classes.select("cid", "copies", "v").mapInArrow(cells, f"cid long, copies long, v {kind}, cell long")
+    most = max(TILE_ROWS, BLOCK_BYTES // (8 * size))
+    splits = written(placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).alias("splits")), "vector-cells")
+    block_of = F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("cid"), F.col("splits"))
+    placed = placed.join(F.broadcast(splits), "cell").withColumn("block", block_of)  # MOST_CELLS + 2 rows at most
+    blocks = splits.select("cell", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("k")) \
+        .select("cell", (F.col("cell") * (1 << 32) + F.col("k")).alias("block"))
+    near = blocks.select(F.col("block").alias("a"), F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    pairs = written(near.join(blocks.withColumnRenamed("block", "b"), "cell").where("a <= b").select("a", "b"), "vector-blocks")
+    names = ["a", "b", "block", "cid", "copies", "v"]
 
     def compare(one: pa.Table, other: pa.Table) -> pa.Table:
-        return _tile_links(one.rename_columns(names), other.rename_columns(names), size, axes, threshold)
-
-    found = written(left.groupBy("a_a", "a_b").cogroup(right.groupBy("b_a", "b_b")).applyInArrow(
-        compare, "cid long, links long, root long"), "vector-links")
+        return _block_links(one.rename_columns(names), other.rename_columns(names), size, axes, threshold)
+
+    def linked(some: DataFrame) -> DataFrame:
+        left, right = (some.join(placed, F.col(side) == F.col("block")).select(*names).toDF(*[f"{side}_{n}" for n in names])
+                       for side in ("a", "b"))
+        return left.groupBy("a_a", "a_b").cogroup(right.groupBy("b_a", "b_b")).applyInArrow(
+            compare, "cid long, links long, root long")
+
+    rounds = max(1, -(-2 * pairs.count() // (SHIPS * blocks.count())))
+    found = None
+    for k in range(rounds):
+        part = written(linked(pairs.where(F.pmod(F.col("a") + F.col("b"), F.lit(rounds)) == k)), "vector-links")
+        found = part if found is None else found.union(part)
     counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = connected(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     labelled = classes.select("cid", "v", "first_id", "copies") \
