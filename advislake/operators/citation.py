@@ -39,15 +39,19 @@ def run_length(size: Column) -> Column:
 
 
 def runs(need: Column, run: Column) -> Column:
-    """Every run of ``run`` consecutive tokens, as blank-delimited text."""
-    count = F.size(need) - run + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(
-        F.lit(" "), F.array_join(F.slice(need, i, run), " "), F.lit(" ")))).otherwise(
-            F.array().cast("array<string>"))
+    """Every run of ``run`` consecutive tokens, as blank-delimited text; the tokens are made once."""
+    def of(tokens):
+        count = F.size(tokens) - run + 1
+        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(
+            F.lit(" "), F.array_join(F.slice(tokens, i, run), " "), F.lit(" ")))).otherwise(
+                F.array().cast("array<string>"))
+
+    return let(need, of)
 
 
 def contains_run(line: Column, need: Column, run: Column) -> Column:
-    return F.exists(runs(need, run), lambda r: F.contains(line, r))
+    """Whether any run of ``need`` is in ``line``, which is made once and not for each run."""
+    return let(line, lambda whole: F.exists(runs(need, run), lambda r: F.contains(whole, r)))
 
 
 def verify(span: Column, line: Column) -> Column:
