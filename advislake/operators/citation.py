@@ -11,47 +11,63 @@ SEPARATORS = r'"\s*[;+,]\s*"|\s*\.\.\.\s*|\s*\|\s*|\n+|;\s(?=[A-Z])|\s\+\s'
 LABELS = r"(?i)^\s*(?:title|description|faq|notes?|vendor guidance|cvss|attack)\s*[:\-]\s*"
 
 
+def _plain(text: Column) -> Column:
+    """Lower-case text; tags and common entities are blanks."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>|&(?:quot|amp|#8217);", " "))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case letter and digit runs, tags and common entities removed."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
-    for entity, value in [("&quot;", " "), ("&amp;", " "), ("&#8217;", "'")]:
-        t = F.replace(t, F.lit(entity), F.lit(value))
-    return F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9]+"), 0)
+    return F.regexp_extract_all(_plain(text), F.lit("[a-z0-9]+"), 0)
 
 
 def token_line(text: Column) -> Column:
     """Tokens joined by blanks with a blank at both ends, so a run is a substring."""
-    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(_plain(text), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def _parts(span: Column) -> Column:
+    """array<struct<part, words>>: parts of a composite citation with at least three tokens; else the whole of it."""
+    trim = lambda c, chars: F.trim(c, F.lit(chars))
+    blanks = " \t\n\x0b\f\r"
+    given = F.coalesce(span, F.lit(""))
+    # a pattern to split at is compiled for every row, one that is looked for is not
+    cut = F.when(F.rlike(given, F.lit(SEPARATORS)), F.split(given, SEPARATORS)).otherwise(F.array(given))
+    parts = F.transform(cut, lambda p: F.regexp_replace(trim(trim(p, blanks), "\"' "), LABELS, ""))
+    worded = lambda p: struct_of(part=p, words=tokens(p))
+    long = F.filter(F.transform(parts, worded), lambda p: F.size(p["words"]) >= MIN_PART)
+    whole = trim(given, blanks)
+    return let(long, lambda ps: F.when(F.size(ps) > 0, ps).when(whole != "", F.array(worded(whole))).otherwise(ps))
 
 
 def components(span: Column) -> Column:
     """Parts of a composite citation with at least three tokens; else the whole of it."""
-    trim = lambda c, chars: F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
-    parts = F.transform(F.split(F.coalesce(span, F.lit("")), SEPARATORS), lambda p: F.regexp_replace(
-        trim(trim(p, r"\s"), "\"' "), LABELS, ""))
-    long = F.filter(parts, lambda p: F.size(tokens(p)) >= MIN_PART)
-    whole = trim(F.coalesce(span, F.lit("")), r"\s")
-    return let(long, lambda ps: F.when(F.size(ps) > 0, ps).when(whole != "", F.array(whole)).otherwise(ps))
+    return F.transform(_parts(span), lambda p: p["part"])
 
 
 def run_length(size: Column) -> Column:
     return F.when(size >= LONG_RUN, LONG_RUN).otherwise(SHORT_RUN)
 
 
+def _starts(need: Column, run: Column) -> Column:
+    count = F.size(need) - run + 1
+    return F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+
+
+def _run_at(need: Column, at: Column, run: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(F.slice(need, at, run), " "), F.lit(" "))
+
+
 def runs(need: Column, run: Column) -> Column:
     """Every run of ``run`` consecutive tokens, as blank-delimited text; the tokens are made once."""
-    def of(tokens):
-        count = F.size(tokens) - run + 1
-        return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.concat(
-            F.lit(" "), F.array_join(F.slice(tokens, i, run), " "), F.lit(" ")))).otherwise(
-                F.array().cast("array<string>"))
-
-    return let(need, of)
+    return let(need, lambda tokens: F.transform(_starts(tokens, run), lambda i: _run_at(tokens, i, run)))
 
 
 def contains_run(line: Column, need: Column, run: Column) -> Column:
-    """Whether any run of ``need`` is in ``line``, which is made once and not for each run."""
-    return let(line, lambda whole: F.exists(runs(need, run), lambda r: F.contains(whole, r)))
+    """Whether any run of ``need`` is in ``line``; both are made once and not for each run, of which none is made
+    behind one that is found."""
+    return let(struct_of(line=line, need=need), lambda x: F.exists(
+        _starts(x["need"], run), lambda i: F.contains(x["line"], _run_at(x["need"], i, run))))
 
 
 def verify(span: Column, line: Column) -> Column:
@@ -64,11 +80,11 @@ def verify(span: Column, line: Column) -> Column:
         whole, size = s["whole"], F.size(s["whole"])
         exact = contains_run(line, whole, size)
         short = (size >= 2) & (size < MIN_PART) & exact
-        part = lambda p: let(tokens(p), lambda t: contains_run(line, t, run_length(F.size(t))))
-        hits = F.filter(s["parts"], part)
-        misses = F.filter(s["parts"], lambda p: ~part(p))
+        held = lambda p: contains_run(line, p["words"], run_length(F.size(p["words"])))
+        judged = F.transform(s["parts"], lambda p: struct_of(part=p["part"], hit=held(p)))  # each part is looked for once
 
-        def settle(v):
+        def settle(j):
+            v = {"hits": F.filter(j, lambda x: x["hit"]), "misses": F.transform(F.filter(j, lambda x: ~x["hit"]), lambda x: x["part"])}
             none = F.size(v["hits"]) == 0
             rescued = none & (size >= 2) & (size <= 8) & exact
             left = F.when(short | rescued, F.array().cast("array<string>")).otherwise(v["misses"])
@@ -77,9 +93,9 @@ def verify(span: Column, line: Column) -> Column:
             return struct_of(verified=matched > 0, fully_verified=(count > 0) & (F.size(left) == 0),
                              components=count, matched=matched, unmatched=F.slice(left, 1, 2))
 
-        return let(struct_of(hits=hits, misses=misses), settle)
+        return let(judged, settle)
 
-    return let(struct_of(whole=tokens(span), parts=components(span)), judge)
+    return let(struct_of(whole=tokens(span), parts=_parts(span)), judge)
 
 
 def verify_pairs(df: DataFrame, span: str, text: str) -> DataFrame:

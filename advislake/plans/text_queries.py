@@ -157,7 +157,7 @@ SELECT k, cve, c AS "check", CASE WHEN NOT has_tags THEN 'unchecked' WHEN c IN (
 
 @register("t12_check_states", 'SELECT "check", state, count(*) AS records FROM checkstate GROUP BY 1, 2', ["checkstate"])
 def check_states(spark, sf):
-    rows = tagcheck.with_checks(checkable(spark, sf)).select(F.explode("states").alias("s"))
+    rows = tagcheck.with_checks(checkable(spark, sf), made=("states",)).select(F.explode("states").alias("s"))
     return rows.groupBy("s.check", "s.state").agg(F.count("*").alias("records"))
 
 
@@ -173,7 +173,7 @@ def check_summary(spark, sf):
 
 @register("a7_code_histogram", 'SELECT "check", code, count(*) AS findings FROM tagfind GROUP BY 1, 2', ["tagfind"])
 def code_histogram(spark, sf):
-    return tagcheck.code_histogram(tagcheck.with_checks(checkable(spark, sf)))
+    return tagcheck.code_histogram(tagcheck.with_checks(checkable(spark, sf), made=("findings",)))
 
 
 @register("t12_partial_citations", f"""SELECT count(*) AS citations, count(*) FILTER (t.k % 6 = 1 AND n < {citation.MIN_PART}) AS unverified,
@@ -189,13 +189,13 @@ def partial_citations(spark, sf):
 @register("a7_reason_histogram", f"""SELECT "check", state, CASE WHEN k % 19 = 0 THEN {"'" + tagcheck.NO_TAG_SET + "'"} WHEN state = 'not-applicable' THEN '{tagcheck.NO_DELIVERY_TAG}'
    WHEN k % 8 = 0 THEN '{tagcheck.NO_EVIDENCE_FIELD}' ELSE '{tagcheck.NO_CITATION}' END AS reason, count(*) AS records FROM checkstate WHERE state <> 'checked' GROUP BY 1, 2, 3""", ["checkstate"])
 def reason_histogram(spark, sf):
-    return tagcheck.reason_histogram(tagcheck.with_checks(checkable(spark, sf)))
+    return tagcheck.reason_histogram(tagcheck.with_checks(checkable(spark, sf), made=("states",)))
 
 
 @register("a8_month_report", """SELECT count(*) AS records_total, (SELECT count(DISTINCT k) FROM tagfind) AS records_flagged,
   count(*) - (SELECT count(DISTINCT k) FROM tagfind) AS records_without_findings, (SELECT count(*) FROM tagfind) AS findings_total FROM rec""", ["rec", "tagfind"])
 def month_report(spark, sf):
-    return tagcheck.month_report(tagcheck.with_checks(checkable(spark, sf)))
+    return tagcheck.month_report(tagcheck.with_checks(checkable(spark, sf), made=("findings",)))
 
 
 @register("t12_citation_counts", f"""SELECT count(*) AS citations, count(*) FILTER (evidence LIKE 'totally%') AS unverified, 0 AS partially,
