@@ -10,7 +10,7 @@ from advislake.functions import vocab
 from advislake.functions.exprs import has, index_of, lookup, truthy, within, words
 from advislake.operators.parse import ssvc
 from advislake.operators.proof import public_syntax
-from advislake.sources.scratch import fresh_path
+from advislake.sources.scratch import fresh_path, shuffle_given_back
 
 EPSS_FIELDS = ["epss", "epss_percentile", "epss_date", "epss_status"]
 
@@ -107,16 +107,17 @@ MOST_MONTHS = 10_000  # months of a release whose table is broadcast; beyond it,
 def stamp_provenance(df: DataFrame, url: str, sha256: str, feed_date: str, batch_api_fallback: bool = False) -> DataFrame:
     """Provenance of the feed, on every record of a month in which any score changed.
 
-    The refreshed rows are written once, as both the months and the records are read from them.
+    Only the months are written; for them the refreshed rows are read with the columns that tell a change, and no
+    whole record is written or shuffled but for a reader of whole records.
     """
-    path = fresh_path(df.sparkSession, "refreshed")
-    df.write.parquet(path)
-    rows = df.sparkSession.read.schema(df.schema).parquet(path)
-    changed = rows.where("score_changed").select(F.col("month").alias("_month")).distinct()
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, "months")
+    with shuffle_given_back(spark):
+        df.where("score_changed").select(F.col("month").alias("_month")).distinct().write.parquet(path)
+    changed = spark.read.schema(f"_month {df.schema['month'].dataType.simpleString()}").parquet(path)
     changed = changed if changed.count() > MOST_MONTHS else F.broadcast(changed)
     stamp = F.struct(F.lit(url).alias("url"), F.lit(sha256).alias("sha256"), F.lit(feed_date).alias("score_date"),
                      F.lit(batch_api_fallback).alias("batch_api_fallback"))
-    return rows.join(changed, F.col("month") == F.col("_month"), "left").withColumn(
+    return df.join(changed, F.col("month") == F.col("_month"), "left").withColumn(
         "epss_source", F.when(F.col("_month").isNotNull(), stamp)).drop("_month")
 
 

@@ -652,14 +652,14 @@ _REFRESH = """SELECT cve, month, k, CASE WHEN e.epss IS NOT NULL AND k % 5 <> 0
 
 @register("j6_refresh_scores", f"SELECT cve, status, epss, epss_date, score_changed FROM ({_REFRESH})", ["adv", "epss"])
 def refresh_scores(spark, sf):
-    return joins.refresh_scores(B.records(spark, sf), fresh_scores(spark, sf), "2026-09-11").select(
+    return joins.refresh_scores(B.records(spark, sf, "cve", "threat"), fresh_scores(spark, sf), "2026-09-11").select(
         "cve", F.col("threat.epss_status").alias("status"), F.round("threat.epss", 6).alias("epss"),
         F.col("threat.epss_date").alias("epss_date"), "score_changed")
 
 
 @register("j6_refresh_provenance", f"SELECT month, count(*) AS stamped FROM ({_REFRESH}) GROUP BY 1", ["adv", "epss"])
 def refresh_provenance(spark, sf):
-    fresh = joins.refresh_scores(B.records(spark, sf), fresh_scores(spark, sf), "2026-09-11")
+    fresh = joins.refresh_scores(B.records(spark, sf, "month", "cve", "threat"), fresh_scores(spark, sf), "2026-09-11")
     return (joins.stamp_provenance(fresh, "https://feed.example", "0" * 64, "2026-09-11")
             .where("epss_source is not null").groupBy("month").agg(F.count("*").alias("stamped")))
 
