@@ -194,7 +194,9 @@ def export_jsonl(spark, sf):
     # a VARIANT orders its keys, so field order does not matter
     digest = lambda df, name: df.select("cve", F.sha2(F.to_json(F.parse_json(F.to_json(F.struct(
         *sorted(df.columns))))), 256).alias(name))
-    return digest(given, "a").join(digest(readers.read_advisories(spark, path), "b"), "cve").select(
+    # both sides are whole releases, but two columns out of many are estimated to be small enough for a broadcast
+    back = digest(readers.read_advisories(spark, path), "b").hint("merge")
+    return digest(given, "a").join(back, "cve").select(
         "cve", (F.col("a") == F.col("b")).alias("whole"))
 
 
